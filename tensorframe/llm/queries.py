@@ -7,16 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorframe.llm import byte_bpe, quality, secrets
+from tensorframe.llm import byte_bpe, fingerprints, mixing, quality, secrets
 from tensorframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,5 +35,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scans, op7_byte_bpe, op9_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op9_quality_rules)}
+ORACLES: dict[str, str] = {
+    "op2_fingerprints": fingerprints.ORACLE_SQL,
+    "op5_mixing": mixing.ORACLE_SQL,
+}
