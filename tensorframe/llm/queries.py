@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorframe.llm import byte_bpe, fingerprints, mixing, quality, secrets
+from tensorframe.llm import byte_bpe, chat, fingerprints, mixing, quality, secrets, warc
 from tensorframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -31,12 +31,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op9_quality_rules)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc)}
 ORACLES: dict[str, str] = {
     "op2_fingerprints": fingerprints.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
