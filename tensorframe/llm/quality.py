@@ -148,5 +148,37 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
     )
 
 
+def without_lines(text: str, removed: set[int], min_line_words: int = MIN_LINE_WORDS) -> str:
+    """The text without the lines whose hash is among the removed."""
+    kept = []
+    for line in text.split("\n"):
+        if any(h in removed for h in lines_of(line, min_line_words)):
+            continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def clean(docs: DataFrame, **settings) -> DataFrame:
+    """The documents kept, without the removed lines; n_chars, where it exists, follows the text."""
+    tie = F.xxhash64("text")
+    # Rows of one doc_id and text have one verdict.
+    found = verdicts(docs.withColumn("doc_id", F.struct("doc_id", tie.alias("tie"))), **settings)
+    found = found.filter(~F.col("kept") | (F.size("removed") > 0)).select("doc_id.*", "kept", "removed").dropDuplicates(["doc_id", "tie"])
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
+    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (tie == F.col("_tie")), "left").filter(F.coalesce("_kept", F.lit(True)))
+    rows = rows.select(*docs.columns, "_removed")
+    least = settings.get("min_line_words", MIN_LINE_WORDS)
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches):
+        for b in batches:
+            texts = [without_lines(x, set(r), least) if r and x else x for x, r in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            part = b.select(list(range(b.num_columns - 1)))
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, pa.string()))
+
+    out = rows.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+
+
 def digests(docs: DataFrame) -> DataFrame:
     return verdicts(docs).select("doc_id", *RULES.names, "base_failed", "kept", "n_lost_words")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorframe.llm import byte_bpe, chat, fingerprints, mixing, quality, secrets, warc
+from tensorframe.llm import byte_bpe, chat, fingerprints, jaccard, mixing, quality, secrets, warc
 from tensorframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents"))
 
@@ -43,8 +48,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc, pipeline)}
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": jaccard.ORACLE_SQL,
     "op2_fingerprints": fingerprints.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
