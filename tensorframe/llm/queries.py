@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorframe.llm import byte_bpe, chat, fingerprints, jaccard, mixing, quality, secrets, warc
+from tensorframe.llm import byte_bpe, chat, fingerprints, jaccard, licenses, mixing, private, quality, secrets, warc
 from tensorframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,10 +26,18 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_secret_scans, op5_mixing, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_secret_scans, op4_license_scans, op5_mixing, op6_personal_data, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc, pipeline)}
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": jaccard.ORACLE_SQL,
     "op2_fingerprints": fingerprints.ORACLE_SQL,
