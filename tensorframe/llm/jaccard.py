@@ -350,7 +350,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     # Texts come from the documents again, one for each member: shingles of all documents would fill the disks.
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
     texts = docs.select(key(F.col("doc_id")).alias("_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_digest"), "text")
-    found = texts.join(members.withColumn("_id", key(F.col("first"))).withColumnRenamed("digest", "_digest"), ["_id", "_digest"]).dropDuplicates(["rid"])
+    # A merge join at every size: members grow with the documents, so a plan that broadcasts them would not last.
+    wanted = members.withColumn("_id", key(F.col("first"))).withColumnRenamed("digest", "_digest")
+    found = texts.join(wanted.hint("merge"), ["_id", "_digest"]).dropDuplicates(["rid"])
     blocks = in_blocks(found.withColumn("whole", F.col("size") <= TEXT_BLOCK), "comp", F.col("size"), TEXT_BLOCK)
     links = materialize(verified(blocks, threshold), "links")
 
