@@ -65,3 +65,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 7), (5, 5), (8, 8)]
     got = {(x.node, x.root) for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 100) for i in range(100, 161)} | {(5, 5), (9, 5), (7, 5)}
+
+
+WORDS_OF = 5
+
+
+def brute_classes(texts):
+    """Classes of ids whose texts' shingles are 0.8 alike, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").split()
+        sets[i] = {tuple(w[k : k + WORDS_OF]) for k in range(max(len(w) - WORDS_OF + 1, 1))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    classes = {}
+    for i in texts:
+        classes.setdefault(find(i), set()).add(i)
+    return list(classes.values())
