@@ -54,7 +54,8 @@ def im2col(x: TensorFrame, kernel, padding=0, stride=1, dilation=1) -> TensorFra
     b, c = x.shape[:2]
     full = (b, oh, ow, c, *kernel)
     cells = taps.select(F.expr(_lin(full, ("b", "y", "x", "c", "fi", "fj"))).alias("lin"), "v")
-    return reshape(_filled(cells, full, x.dtype), (b * oh * ow, c * kernel[0] * kernel[1]))
+    # The patch matrix has the same row-major places as the six axes.
+    return _filled(cells, (b * oh * ow, c * kernel[0] * kernel[1]), x.dtype)
 
 
 def col2im(cols: TensorFrame, shape, kernel, padding=0, stride=1, dilation=1) -> TensorFrame:
@@ -65,8 +66,10 @@ def col2im(cols: TensorFrame, shape, kernel, padding=0, stride=1, dilation=1) ->
     b, c = shape[:2]
     if cols.shape != (b * oh * ow, c * kernel[0] * kernel[1]):
         raise K.ShapeError(f"{cols.shape} isn't a patch matrix of {shape}")
-    full = reshape(cols, (b, oh, ow, c, *kernel))
-    df = full.df.select(F.col("i0").alias("b"), F.col("i3").alias("c"), (F.col("i1") * s[0] + F.col("i4") * d[0] - p[0]).alias("h"), (F.col("i2") * s[1] + F.col("i5") * d[1] - p[1]).alias("w"), "v")
+    df = cols.df.select(
+        F.expr(f"i0 div {oh * ow}").alias("b"), F.expr(f"i1 div {kernel[0] * kernel[1]}").alias("c"),
+        F.expr(f"i0 div {ow} % {oh} * {s[0]} + i1 div {kernel[1]} % {kernel[0]} * {d[0]} - {p[0]}").alias("h"), F.expr(f"i0 % {ow} * {s[1]} + i1 % {kernel[1]} * {d[1]} - {p[1]}").alias("w"), "v",
+    )
     df = df.filter((F.col("h") >= 0) & (F.col("h") < shape[2]) & (F.col("w") >= 0) & (F.col("w") < shape[3]))
     return _filled(df.groupBy(F.expr(_lin(shape, "bchw")).alias("lin")).agg(F.sum("v").alias("v")), shape)
 
