@@ -148,3 +148,28 @@ def digests(docs: DataFrame) -> DataFrame:
     """Documents as files of their source: <source>/<language>/<doc_id>."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return scan(docs.select("doc_id", "text", F.concat_ws("/", name("source"), name("lang"), name("doc_id")).alias("path")))
+
+
+def oracle_sql(templates=TEMPLATES, bar: float = BAR) -> str:
+    values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
+    terms = lambda text: f"regexp_extract_all(lower({text}), '{TERM}')"
+    return f"""
+WITH f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(doc_id::VARCHAR, '') AS path FROM documents),
+tpl AS (SELECT * FROM (VALUES {values}) v(template, license, text)),
+tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms("text")}) AS term FROM tpl) GROUP BY ALL),
+docterm AS (SELECT DISTINCT rid, term FROM (SELECT rid, unnest({terms("text")}) AS term FROM f)),
+df AS (SELECT v.term, count(docterm.rid) AS df FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN docterm USING (term) GROUP BY v.term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM f))::DOUBLE / (1 + df)) + 1 AS idf FROM df),
+tw AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
+units AS (SELECT rid, unit, text FROM (SELECT rid, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS unit FROM f) UNION ALL SELECT rid, -1, text FROM f),
+ut AS (SELECT rid, unit, term, count(*) AS tf FROM (SELECT rid, unit, unnest({terms("text")}) AS term FROM units) GROUP BY ALL),
+uw AS (SELECT rid, unit, term, tf * coalesce(idf, ln((1 + (SELECT count(*) FROM f))::DOUBLE / 2) + 1) AS x, sqrt(sum(tf * tf * coalesce(idf, ln((1 + (SELECT count(*) FROM f))::DOUBLE / 2) + 1) ^ 2) OVER (PARTITION BY rid, unit)) AS norm FROM ut LEFT JOIN idf USING (term)),
+scored AS (SELECT rid, unit, license, round(sum(x * w) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) GROUP BY rid, unit, template, license HAVING round(sum(x * w) / any_value(norm), 6) >= {bar}),
+own AS (SELECT rid, unit, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY unit >= 0, score DESC, license) = 1),
+p AS (SELECT f.rid, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, score, CASE WHEN unit >= 0 THEN 'header' WHEN unit = -1 THEN 'file' END AS kind FROM f LEFT JOIN own USING (rid)),
+held AS (SELECT dir, license, score, path FROM p WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, path) = 1),
+near AS (SELECT d.dir, h.license, h.score, h.path FROM (SELECT DISTINCT dir FROM p) d JOIN held h ON d.dir = h.dir OR h.dir = '' OR starts_with(d.dir, h.dir || '/') QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(h.dir) DESC) = 1)
+SELECT doc_id, p.path, coalesce(p.license, n.license) AS license, coalesce(kind, CASE WHEN n.dir IS NOT NULL THEN 'inherited' END, 'none') AS license_kind,
+  coalesce(p.score, n.score) AS license_score, CASE WHEN kind IS NOT NULL THEN p.path ELSE n.path END AS license_from
+FROM p LEFT JOIN near n ON p.dir = n.dir AND kind IS NULL
+"""

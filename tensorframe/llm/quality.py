@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import WORD, materialize
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -177,3 +177,24 @@ def clean(docs: DataFrame, **settings) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     return verdicts(docs).select("doc_id", *RULES.names, "base_failed", "kept", "n_lost_words")
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{WORD}') AS w FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + {SPAN - 1}], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM w WHERE len(w) >= {SPAN})),
+again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, s) > 1),
+rep AS (SELECT rid, count(DISTINCT i + k.range) AS n FROM again, range({SPAN}) k GROUP BY rid),
+lines AS (SELECT rid, source, line, regexp_extract_all(line, '{WORD}') AS lw FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE len(lw) > 0 GROUP BY rid),
+norm AS (SELECT rid, source, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s, len(lw) AS n FROM lines WHERE len(lw) >= {MIN_LINE_WORDS}),
+hosts AS (SELECT source, greatest({MIN_DOCS}.0::DOUBLE, count(*) * {SHARE}::DOUBLE) AS most FROM d GROUP BY source),
+held AS (SELECT source, s, count(DISTINCT rid) AS n FROM norm GROUP BY source, s),
+freq AS (SELECT held.source, s FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > {MIN_DOCS} AND n > most),
+lost AS (SELECT rid, sum(n) AS n FROM norm JOIN freq ON norm.s = freq.s AND norm.source IS NOT DISTINCT FROM freq.source GROUP BY rid),
+m AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
+      FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words) AND n_lost_words <= {MOST_LOST}::DOUBLE * n_words AS kept FROM m
+"""
