@@ -10,12 +10,40 @@ import numpy as np
 
 
 def _conv_columns(x: np.ndarray, kernel, padding, stride, dilation) -> tuple[np.ndarray, tuple[int, int]]:
+    """[c·fh·fw, n·oh·ow]: a block copy for each tap, so that one product gives all channels."""
     (ph, pw), (sh, sw), (dh, dw) = padding, stride, dilation
     x = np.pad(x, ((0, 0), (0, 0), (ph, ph), (pw, pw))) if ph or pw else x
-    span = dh * (kernel[0] - 1) + 1, dw * (kernel[1] - 1) + 1
-    w = np.lib.stride_tricks.sliding_window_view(x, span, axis=(2, 3))[:, :, ::sh, ::sw, ::dh, ::dw]
-    n, c, oh, ow = w.shape[:4]
-    return w.transpose(0, 2, 3, 1, 4, 5).reshape(n * oh * ow, -1), (oh, ow)
+    n, c, h, w = x.shape
+    oh, ow = (h - dh * (kernel[0] - 1) - 1) // sh + 1, (w - dw * (kernel[1] - 1) - 1) // sw + 1
+    cols = np.empty((c, *kernel, n, oh, ow), x.dtype)
+    by_channel = x.transpose(1, 0, 2, 3)
+    for i in range(kernel[0]):
+        for j in range(kernel[1]):
+            cols[:, i, j] = by_channel[:, :, i * dh : i * dh + sh * (oh - 1) + 1 : sh, j * dw : j * dw + sw * (ow - 1) + 1 : sw]
+    return cols.reshape(c * kernel[0] * kernel[1], -1), (oh, ow)
+
+
+def _taps(shape, kernel, stride):
+    """For each tap of a window, the slices of the cells that it meets."""
+    oh, ow = (shape[2] - kernel[0]) // stride[0] + 1, (shape[3] - kernel[1]) // stride[1] + 1
+    for i in range(kernel[0]):
+        for j in range(kernel[1]):
+            yield (slice(None), slice(None), slice(i, i + stride[0] * (oh - 1) + 1, stride[0]), slice(j, j + stride[1] * (ow - 1) + 1, stride[1]))
+
+
+def _pooled(x: np.ndarray, kernel, stride, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Window maxima, a tap at a time, and if asked which tap is the first to have it."""
+    out = first = None
+    for k, tap in enumerate(_taps(x.shape, kernel, stride)):
+        v = x[tap]
+        if out is None:
+            out = v.copy()
+            first = np.zeros(out.shape, np.uint16) if where else None
+            continue
+        if where:
+            first[v > out] = k
+        np.maximum(out, v, out=out)
+    return out, first
 
 
 def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -31,25 +59,19 @@ def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list
             w = params[names[0]]
             cols, (oh, ow) = _conv_columns(x, w.shape[2:], *options)
             saved = x.shape, cols
-            y = cols @ w.reshape(w.shape[0], -1).T
+            y = w.reshape(w.shape[0], -1) @ cols
             if len(names) > 1:
-                y += params[names[1]]
-            x = y.reshape(x.shape[0], oh, ow, -1).transpose(0, 3, 1, 2)
+                y += params[names[1]][:, None]
+            x = y.reshape(w.shape[0], x.shape[0], oh, ow).transpose(1, 0, 2, 3)
         elif kind == "pool":
-            (kh, kw), (sh, sw) = options
-            view = np.lib.stride_tricks.sliding_window_view(x, (kh, kw), axis=(2, 3))[:, :, ::sh, ::sw]
-            flat = view.reshape(*view.shape[:4], -1)
-            if keep is None:
-                x = flat.max(axis=4)
-            else:
-                first = flat.argmax(axis=4)
-                saved = x.shape, first
-                x = np.take_along_axis(flat, first[..., None], 4)[..., 0]
+            shape = x.shape
+            x, first = _pooled(x, *options, keep is not None)
+            saved = shape, first
         elif kind == "relu":
-            with np.errstate(invalid="ignore"):
-                passed = x >= 0
-            saved = passed
-            x = np.where(passed, x, x.dtype.type(0))
+            if keep is not None:
+                with np.errstate(invalid="ignore"):
+                    saved = x >= 0
+            x = np.fmax(x, x.dtype.type(0))  # of NaN and 0 it is 0
         elif kind == "flatten":
             saved = x.shape
             x = x.reshape(x.shape[0], -1)
@@ -73,24 +95,23 @@ def backward(plan: list, params: dict[str, np.ndarray], kept: list, g: np.ndarra
             w = params[names[0]]
             (ph, pw), (sh, sw), (dh, dw) = options
             n, _, oh, ow = g.shape
-            flat = g.transpose(0, 2, 3, 1).reshape(-1, w.shape[0])
-            grads[names[0]] = (flat.T @ cols).reshape(w.shape)
+            flat = g.transpose(1, 0, 2, 3).reshape(w.shape[0], -1)
+            grads[names[0]] = (flat @ cols.T).reshape(w.shape)
             if len(names) > 1:
-                grads[names[1]] = flat.sum(axis=0)
+                grads[names[1]] = flat.sum(axis=1)
             if at == 0:
                 continue
-            back = (flat @ w.reshape(w.shape[0], -1)).reshape(n, oh, ow, shape[1], *w.shape[2:])
+            back = (w.reshape(w.shape[0], -1).T @ flat).reshape(shape[1], *w.shape[2:], n, oh, ow)
             x = np.zeros((n, shape[1], shape[2] + 2 * ph, shape[3] + 2 * pw), g.dtype)
             for i in range(w.shape[2]):
                 for j in range(w.shape[3]):
-                    x[:, :, i * dh : i * dh + sh * oh : sh, j * dw : j * dw + sw * ow : sw] += back[..., i, j].transpose(0, 3, 1, 2)
+                    x[:, :, i * dh : i * dh + sh * (oh - 1) + 1 : sh, j * dw : j * dw + sw * (ow - 1) + 1 : sw] += back[:, i, j].transpose(1, 0, 2, 3)
             g = x[:, :, ph : ph + shape[2], pw : pw + shape[3]]
         elif kind == "pool":
             shape, first = saved
-            (kh, kw), (sh, sw) = options
             x = np.zeros(shape, g.dtype)
-            n, c, y, z = np.indices(first.shape, sparse=True)
-            np.add.at(x, (n, c, y * sh + first // kw, z * sw + first % kw), g)
+            for k, tap in enumerate(_taps(shape, *options)):
+                x[tap] += np.where(first == k, g, g.dtype.type(0))
             g = x
         elif kind == "relu":
             g = np.where(saved, g, g.dtype.type(0))

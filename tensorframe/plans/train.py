@@ -25,7 +25,8 @@ from tensorframe.plans.layers import Layer, Sequential
 
 cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-ROWS = 1000
+#: Rows that go through the layers at a time: few enough for a core's caches.
+ROWS = 128
 
 
 class Net:
