@@ -123,24 +123,24 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
     """files with license, license_kind (header, file, inherited or none), license_score and license_from (a path)."""
-    # A text decides its own license, so copies are scored once.
-    d = files.withColumn("key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    own = materialize(own_licenses(d, text, templates, bar), "licenses")
-    placed = materialize(d.drop(text).withColumn("_dir", directory(F.col(path))), "files")
+    keep = [c for c in files.columns if c != text]
+    # A text decides its own license, so copies are scored once.  The caller's columns stay in a struct, where no name can clash.
+    d = files.select(F.struct(*keep).alias("_row"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
+    own = materialize(own_licenses(d.select("key", "_text"), "_text", templates, bar), "licenses")
+    placed = materialize(d.drop("_text").withColumn("_dir", directory(F.col("_path"))), "files")
     placed = placed.join(own, "key", "left")
-    holders = placed.filter("kind = 'file' and _dir is not null").groupBy(F.col("_dir").alias("_holder")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", F.col(path).alias("from"))).alias("_best"))
+    holders = placed.filter("kind = 'file' and _dir is not null").groupBy(F.col("_dir").alias("_holder")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", F.col("_path").alias("from"))).alias("_best"))
     # Each directory once, however many files it has; then its prefixes, as many as it is deep.
     parts = F.split("_dir", "/", -1)
     dirs = placed.filter("kind is null and _dir is not null").select("_dir").distinct()
     prefixes = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("_holder")))).alias("p")).select("_dir", "p.*")
     nearest = prefixes.join(holders, "_holder").groupBy("_dir").agg(F.max_by("_best", "depth").alias("_near"))
     out = placed.join(nearest.withColumnRenamed("_dir", "_of"), (F.col("_dir") == F.col("_of")) & F.col("kind").isNull(), "left")
-    keep = [c for c in files.columns if c != text]
     return out.select(
-        *keep, F.coalesce("license", "_near.license").alias("license"),
+        "_row.*", F.coalesce("license", "_near.license").alias("license"),
         F.coalesce("kind", F.when(F.col("_near").isNotNull(), "inherited"), F.lit("none")).alias("license_kind"),
         F.coalesce("score", -F.col("_near.minus")).alias("license_score"),
-        F.when(F.col("kind").isNotNull(), F.col(path)).otherwise(F.col("_near.from")).alias("license_from"),
+        F.when(F.col("kind").isNotNull(), F.col("_path")).otherwise(F.col("_near.from")).alias("license_from"),
     )
 
 

@@ -47,7 +47,7 @@ FILES = [
 
 
 def test_equals_brute_force(spark):
-    docs = spark.createDataFrame(FILES, "doc_id long, path string, text string").selectExpr("*", "'x' as kind_", "1 as unit")
+    docs = spark.createDataFrame(FILES, "doc_id long, path string, text string").selectExpr("*", "'x' as kind", "1 as unit", "2 as key", "3 as score")
     got = licenses.scan(docs.repartition(3)).select("doc_id", "license", "license_kind", "license_score", "license_from").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(FILES)
     assert licenses.scan(docs.limit(0)).count() == 0
