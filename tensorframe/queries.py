@@ -7,6 +7,7 @@ integer formulas, so that both engines make the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tensorframe import operators as O
 from tensorframe.frame import TensorFrame
 from tensorframe.functions import accuracy, cross_entropy_backward, cross_entropy_rows, epoch_stats
 from tensorframe.plans import SGD, Conv2, Dense, Flatten, MaxPool2, Parameter, Relu, Sequential, Variable
-from tensorframe.plans.train import Net, evaluate, gradients, predict
+from tensorframe.plans.train import Net, evaluate, gradients, predict, train
 from tensorframe.sources import sequential, shuffled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,3 +474,20 @@ def q_cnn_forward_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cnn_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = evaluate(table(spark, sf_dir, "embeddings"), Net(cnn(spark), np.float64), (1, 8, 8), 1.0, "embedding")
     return stats.select("count", F.round("loss", 4).alias("loss"))
+
+
+@query()
+def q_cnn_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of all parameters of the network, by the tape."""
+    model = cnn(spark)
+    model.init_parameter_grads()
+    model(vectors(spark, sf_dir, (1, 8, 8))).cross_entropy(labels(spark, sf_dir)).backward()
+    rows = [p.grad.df.select(F.lit(name).alias("param"), p.grad.linear().alias("idx"), F.round("v", 4).alias("v")) for name, p in model.parameters()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query()
+def q_cnn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics before each of three steps of gradient descent with momentum."""
+    stats = train(table(spark, sf_dir, "embeddings"), Net(cnn(spark), np.float64), (1, 8, 8), 0.05, 0.9, steps=3, value="embedding")
+    return spark.createDataFrame([(k, x["count"], round(float(x["loss"]), 4), x["correct"]) for k, x in enumerate(stats)], "step int, count long, loss double, correct long")
