@@ -52,3 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def buckets(spark: SparkSession) -> int:
     """Pieces into which a global order is cut; grows with the shuffle setting."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows joined with a table of one row a key, whose rows are few beside them.
+
+    A hot key's rows are dealt over as many places as there are salts, each with a
+    copy of the key's row.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)))
+    copies = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import materialize, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, seen = _round_end(e)
     while seen[0]:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Large star: the larger end of each edge goes to the smaller end's least neighbour.  Only nodes
+        # with a smaller neighbour have one; hubs at which many edges end are salted.
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        large = spread_join(e.select(F.col("v").alias("k"), "u"), least.select(F.col("u").alias("k"), "m"), "k", "left").select("u", F.coalesce("m", "k").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, now = _round_end(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import materialize, spread_join
 from tensorframe.llm.graph import components
 
 WORDS = 5
@@ -346,7 +346,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     comps = components(materialize(candidate_edges(values, threshold, tolerance), "candidates"))
 
     sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = materialize(comps.join(sizes, "root").join(reps, F.col("node") == F.col("rid")).select(F.col("root").alias("comp"), "size", "rid", "first", "copies", "digest"), "members")
+    members = materialize(spread_join(comps, sizes, "root").join(reps, F.col("node") == F.col("rid")).select(F.col("root").alias("comp"), "size", "rid", "first", "copies", "digest"), "members")
     # Texts come from the documents again, one for each member: shingles of all documents would fill the disks.
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
     texts = docs.select(key(F.col("doc_id")).alias("_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_digest"), "text")
@@ -361,7 +361,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     counts = links.groupBy("rid").agg(F.sum("links").alias("links"))
     linked = roots.join(counts, "rid").join(reps.select("rid", "first"), "rid")
     classes = linked.groupBy("root").agg(F.min("first").alias("class_first"))
-    linked = linked.join(classes, "root").select("rid", "links", "class_first")
+    linked = spread_join(linked, classes, "root").select("rid", "links", "class_first")
     of_text = reps.join(linked, "rid", "left").select(
         F.col("digest").alias("_digest"), F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_first")).alias("_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"),
     )
