@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +86,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Pieces(dict):
     """Ids by pre-token; filled on demand and emptied when full."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks = ranks
+        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         rank = self.ranks.get(raw)
-        ids = (rank,) if rank is not None else tuple(merge(raw, self.ranks))
-        if len(raw) <= LONG_PIECE:
+        # The library merges short pieces fastest, but its time grows with the square of a piece.
+        short = len(raw) <= LONG_PIECE
+        ids = (rank,) if rank is not None else tuple(self.merge(raw) if short else merge(raw, self.ranks))
+        if short:
             if len(self) >= CACHE_PIECES:
                 self.clear()
             self[piece] = ids
@@ -102,7 +106,7 @@ class _Pieces(dict):
 
 def _tokens(rank_data: bytes, pattern: str):
     """Per task: pieces of a text, and ids by piece."""
-    return regex.compile(portable(pattern)).findall, _Pieces(parse_ranks(rank_data))
+    return regex.compile(portable(pattern)).findall, _Pieces(parse_ranks(rank_data), pattern)
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
