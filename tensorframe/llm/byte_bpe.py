@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorframe.llm.common import slices, tidy
+
 #: White space as the tokenizer's own engine has it (Unicode White_Space).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 LONG_PIECE = 512
 
 
@@ -122,7 +124,7 @@ def encode(docs: DataFrame, rank_data: bytes, pattern: str, text: str = "text",
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     keys = [f"k{i}" for i in range(len(keep))]
     fields = [inner.schema[k] for k in keys]
-    whole = inner.filter(F.length("t") <= chunk_chars).mapInArrow(_encode_whole(rank_data, pattern, len(keys)), T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    whole = inner.filter(F.length("t") <= chunk_chars).mapInArrow(tidy(_encode_whole(rank_data, pattern, len(keys))), T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     parts = _encode_long(inner.filter(F.length("t") > chunk_chars), keys, rank_data, pattern, chunk_chars, overlap)
     both = whole.unionByName(parts)
     return both.select(*[F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)], F.col("ids").alias(out))
@@ -131,11 +133,9 @@ def encode(docs: DataFrame, rank_data: bytes, pattern: str, text: str = "text",
 def _encode_whole(rank_data: bytes, pattern: str, n_keys: int):
     def run(batches):
         cut, ids = _tokens(rank_data, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                rows = [list(chain.from_iterable(map(ids.__getitem__, cut(x)))) for x in part.column(n_keys).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], _lists(rows)], names=[*part.schema.names[:n_keys], "ids"])
+        for part in slices(batches):
+            rows = [list(chain.from_iterable(map(ids.__getitem__, cut(x)))) for x in part.column(n_keys).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], _lists(rows)], names=[*part.schema.names[:n_keys], "ids"])
 
     return run
 
@@ -158,7 +158,7 @@ def _encode_long(docs: DataFrame, keys: list[str], rank_data: bytes, pattern: st
     def scan(batches):
         starts = regex.compile(portable(pattern)).finditer
         space = regex.compile(f"[{SPACE}]").match
-        for b in batches:
+        for b in slices(batches, 64):
             heads, tails, sure = [], [], []
             for x in b.column(b.schema.get_field_index("t")).to_pylist():
                 # Not after white space: how that is cut depends on what follows it.
@@ -172,7 +172,7 @@ def _encode_long(docs: DataFrame, keys: list[str], rank_data: bytes, pattern: st
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     stitched = (
-        chunks.repartition(F.col("rid"), F.col("k")).mapInArrow(scan, scan_schema)
+        chunks.repartition(F.col("rid"), F.col("k")).mapInArrow(tidy(scan), scan_schema)
         .withColumn("agreed", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))
         # A boundary before white space and after none is one whatever came before.
         .withColumn("sure", F.when(F.col("k") == 0, 0).otherwise(F.array_min("sure")))
@@ -191,13 +191,13 @@ def _encode_long(docs: DataFrame, keys: list[str], rank_data: bytes, pattern: st
 
     def pieces(batches):
         cut, ids = _tokens(rank_data, pattern)
-        for b in batches:
+        for b in slices(batches, 64):
             rows = [list(chain.from_iterable(map(ids.__getitem__, cut(x)))) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(rows)], names=[*b.schema.names[:-1], "ids"])
 
     ordered = F.sort_array(F.collect_list(F.struct("seg", "ids")))
     return (
-        segments.repartition(F.col("rid"), F.col("seg")).mapInArrow(pieces, out)
+        segments.repartition(F.col("rid"), F.col("seg")).mapInArrow(tidy(pieces), out)
         .groupBy("rid").agg(*[F.first(k).alias(k) for k in keys], F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
         .drop("rid")
     )
@@ -212,14 +212,12 @@ def decode(tokens: DataFrame, rank_data: bytes, ids: str = "token_ids", out: str
         of = {v: k for k, v in parse_ranks(rank_data).items()}
         most = max(of, default=-1) + 1
         by_id = np.array([of.get(i, b"") for i in range(most)], dtype=object)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                rows = part.column(part.schema.get_field_index(ids))
-                done = [None if x is None else b"".join(by_id[x.values.to_numpy()].tolist()) for x in rows]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names[:-1]), pa.array(done, pa.binary())], names=names)
-
-    return tokens.mapInArrow(run, schema)
+        for part in slices(batches):
+            rows = part.column(part.schema.get_field_index(ids))
+            done = [None if x is None else b"".join(by_id[x.values.to_numpy()].tolist()) for x in rows]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names[:-1]), pa.array(done, pa.binary())], names=names)
+
+    return tokens.mapInArrow(tidy(run), schema)
 
 
 def digests(tokens: DataFrame, rank_data: bytes, ids: str = "token_ids") -> DataFrame:

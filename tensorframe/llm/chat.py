@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import materialize, tidy
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -109,7 +109,7 @@ def stream(conversations: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * len(_arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _arrow, strict=True)], names=STREAM.names)
 
-    return ordered.mapInArrow(run, STREAM)
+    return ordered.mapInArrow(tidy(run), STREAM)
 
 
 READ = T.StructType([
@@ -157,7 +157,7 @@ def read_back(written: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if f.dataType == T.StringType() else pa.int64()) for c, f in zip(columns, READ.fields, strict=True)], names=READ.names)
 
     n = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written.repartitionByRange(n, "shard").sortWithinPartitions("shard", "nth").mapInArrow(run, READ)
+    return written.repartitionByRange(n, "shard").sortWithinPartitions("shard", "nth").mapInArrow(tidy(run), READ)
 
 
 def digests(conversations: DataFrame) -> DataFrame:

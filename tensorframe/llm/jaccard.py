@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize, spread_join
+from tensorframe.llm.common import materialize, slices, spread_join, tidy
 from tensorframe.llm.graph import components
 
 WORDS = 5
@@ -47,6 +47,8 @@ TOLERANCE = 1e-6
 #: Rows of a block; larger buckets and components are dealt out as pairs of blocks.
 BUCKET_BLOCK = 4096
 TEXT_BLOCK = 512
+#: Shingles sorted at a time when sets are intersected.
+RANGE = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -60,7 +62,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -213,15 +215,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                sets = [shingles(x, hashes) for x in part.column(2).to_pylist()]
-                values = np.concatenate([minhash(x) for x in sets])
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * VALUES, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), sig], names=schema.names)
+        for part in slices(batches):
+            sets = [shingles(x, hashes) for x in part.column(2).to_pylist()]
+            values = np.concatenate([minhash(x) for x in sets])
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * VALUES, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), sig], names=schema.names)
 
-    return inner.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
+    return inner.mapInArrow(tidy(run), schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -275,7 +275,7 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=EDGES.names)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, EDGES)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(run), EDGES)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -287,6 +287,17 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
             for j in range(i + 1, m):
                 out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         return out
+    # By ranges of hashes, so that what is sorted at a time is bounded, however long the texts.
+    n = -(-sum(map(len, sets)) // RANGE) or 1
+    cuts = [np.searchsorted(x, np.array([(k << 64) // n for k in range(1, n)], np.uint64)) for x in sets]
+    for k in range(n):
+        parts = [x[(c[k - 1] if k else 0) : (c[k] if k < n - 1 else len(x))] for x, c in zip(sets, cuts, strict=True)]
+        _add_shared(out, parts)
+    return out
+
+
+def _add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
+    m = len(sets)
     owner = np.repeat(np.arange(m), [len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
@@ -295,13 +306,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = 4096
+    width = 2048
     for at in range(0, int(shared.sum()), width):
         s, e = np.searchsorted(column, [at, at + width])
         x = np.zeros((m, width), np.float32)
         x[owner[s:e], column[s:e] - at] = 1
         out += x @ x.T
-    return out
 
 
 LINKS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("root", T.LongType()), T.StructField("links", T.LongType()), T.StructField("whole", T.BooleanType())])
@@ -318,7 +328,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 g = t.slice(s, e - s)
                 side, rid, copies = (g.column(c).to_numpy() for c in ("side", "rid", "copies"))
-                sets = [shingles(x, hashes) for x in g.column("text").to_pylist()]
+                sets = [shingles(x.as_py(), hashes) for x in g.column("text")]
                 sizes = np.array([len(x) for x in sets], np.float64)
                 shared = shared_counts(sets)
                 linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
@@ -334,7 +344,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=LINKS.names)
 
     rows = members.select("comp", "i", "j", "side", "rid", "copies", "whole", "text")
-    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, LINKS)
+    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(tidy(run), LINKS)
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import WORD, materialize
+from tensorframe.llm.common import WORD, materialize, slices, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -103,18 +103,16 @@ def measure(docs: DataFrame, host: str = "source", min_line_words: int = MIN_LIN
     at = T.StructType([*inner.schema.fields[:2], *RULES.fields, T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 1000):
-                part = b.slice(start, 1000)
-                texts = [x or "" for x in part.column(2).to_pylist()]
-                counts = np.array([rules(x) for x in texts], dtype=np.int64).reshape(-1, len(RULES))
-                lines = [lines_of(x, min_line_words) for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(counts[:, i]) for i in range(len(RULES))), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))],
-                    names=at.names,
-                )
+        for part in slices(batches):
+            texts = [x or "" for x in part.column(2).to_pylist()]
+            counts = np.array([rules(x) for x in texts], dtype=np.int64).reshape(-1, len(RULES))
+            lines = [lines_of(x, min_line_words) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *(pa.array(counts[:, i]) for i in range(len(RULES))), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))],
+                names=at.names,
+            )
 
-    return inner.mapInArrow(run, at)
+    return inner.mapInArrow(tidy(run), at)
 
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -166,12 +164,12 @@ def clean(docs: DataFrame, **settings) -> DataFrame:
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [without_lines(x, set(r), least) if r and x else x for x, r in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             part = b.select(list(range(b.num_columns - 1)))
             yield part.set_column(at, part.schema.field(at), pa.array(texts, pa.string()))
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tensorframe.llm.common import slices, tidy
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -108,11 +110,11 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans", **settings) ->
 
     def run(batches):
         scanner = Scanner(**settings)
-        for b in batches:
+        for b in slices(batches):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner(x or "")] for x in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names[:-1]), pa.array(spans, kind)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def joined(spans):
@@ -133,7 +135,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     def run(batches):
         scanner = Scanner()
         at = schema.names.index("text")
-        for b in batches:
+        for b in slices(batches):
             done = []
             for x in b.column(at).to_pylist():
                 pieces, end = [], 0
@@ -144,5 +146,5 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 done.append("".join([*pieces, x[end:]]) if pieces else x)
             yield b.set_column(at, b.schema.field(at), pa.array(done, pa.string()))
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize, scratch_path
+from tensorframe.llm.common import materialize, scratch_path, tidy
 
 END = "\r\n\r\n"
 LEAST_BYTES = 1000
@@ -138,7 +138,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(run, CAPTURE)
+    return files.mapInArrow(tidy(run), CAPTURE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,7 +204,7 @@ def merge_runs(captures: DataFrame) -> DataFrame:
         yield _batch(out)
 
     # A shuffle may mix the rows that one task sends, so each run's slice is put in its order again.
-    return captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", F.col("page_id").asc_nulls_first(), "nth").mapInArrow(run, CAPTURE)
+    return captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", F.col("page_id").asc_nulls_first(), "nth").mapInArrow(tidy(run), CAPTURE)
 
 
 def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -91,3 +91,14 @@ def brute_classes(texts):
     for i in texts:
         classes.setdefault(find(i), set()).add(i)
     return list(classes.values())
+
+
+def test_shared_counts_by_ranges(monkeypatch):
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for n in (0, 5, 400, 900, 30, 7)]
+    sets += [np.unique(np.concatenate([sets[3][::2], sets[2][:100]])), sets[3]]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for n in (10**9, 100, 7):
+        monkeypatch.setattr(jaccard, "RANGE", n)
+        got = jaccard.shared_counts(sets)
+        assert all(got[i][j] == want[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
