@@ -95,12 +95,12 @@ def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar:
     n = df.pop("", 0)
     idfs, vectors, heavy = weights(df, n, templates, bar)
 
-    lines = files.select("key", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("unit", "line"))
-    # The heavy terms' letters tell most lines apart before they are cut into terms.
-    cue = "|".join(re.escape(t) for t in sorted(heavy))
-    units = lines.filter(F.lower("line").rlike(f"(?<![a-z0-9])(?:{cue})(?![a-z0-9])")).select("key", F.col("unit").cast("long").alias("unit"), _terms(F.col("line")).alias("terms"))
-    whole = files.filter(F.lower(text).rlike(f"(?<![a-z0-9])(?:{cue})(?![a-z0-9])")).select("key", F.lit(-1).cast("long").alias("unit"), _terms(F.col(text)).alias("terms"))
-    units = units.unionByName(whole).filter(F.arrays_overlap("terms", F.lit(sorted(heavy)))).dropDuplicates(["key", "unit"])
+    # Few files have a heavy term; of equal texts one is enough.
+    found = files.filter(F.arrays_overlap(_terms(F.coalesce(F.col(text), F.lit(""))), F.lit(sorted(heavy))))
+    found = materialize(found.select("key", F.col(text).alias("t")).dropDuplicates(["key"]), "candidates")
+    lines = found.select("key", F.posexplode(F.split("t", "\n", -1)).alias("unit", "line")).select("key", F.col("unit").cast("long").alias("unit"), _terms(F.col("line")).alias("terms"))
+    whole = found.select("key", F.lit(-1).cast("long").alias("unit"), _terms(F.col("t")).alias("terms"))
+    units = lines.unionByName(whole).filter(F.arrays_overlap("terms", F.lit(sorted(heavy))))
     known = F.filter("terms", lambda t: F.array_contains(F.lit(vocabulary), t))
     units = units.select("key", "unit", known.alias("known"), "terms")
     other_counts = F.aggregate(F.transform(F.array_distinct(F.array_except("terms", F.lit(vocabulary))), lambda t: F.size(F.filter("terms", lambda u: u == t))), F.lit(0).cast("long"), lambda a, c: a + c * c)
