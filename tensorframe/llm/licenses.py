@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tensorframe.llm.common import materialize
 
-TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 BAR = 0.6
 #: Notices by license (public texts, shortened to what tells them apart).
 TEMPLATES = (
@@ -54,7 +54,7 @@ TEMPLATES = (
 
 
 def terms_of(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return [t.lower() for t in re.findall(TERM, text)]
 
 
 def idf(df: Column | float, n: Column | float):
@@ -63,7 +63,8 @@ def idf(df: Column | float, n: Column | float):
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    # Terms are ASCII, and lower case is quick to make of those alone.
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def weights(df: dict[str, int], n: int, templates=TEMPLATES, bar: float = BAR):
@@ -152,7 +153,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def oracle_sql(templates=TEMPLATES, bar: float = BAR) -> str:
     values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates))
-    terms = lambda text: f"regexp_extract_all(lower({text}), '{TERM}')"
+    terms = lambda text: f"list_transform(regexp_extract_all({text}, '{TERM}'), lambda t: lower(t))"
     return f"""
 WITH f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(doc_id::VARCHAR, '') AS path FROM documents),
 tpl AS (SELECT * FROM (VALUES {values}) v(template, license, text)),
