@@ -7,10 +7,11 @@ is a header, a whole text that does makes the file a license file.  A file with
 neither inherits from the license file of its nearest ancestor directory, by
 joins of path prefixes.
 
-Only the templates' vocabulary (bounded by the templates) is looked up.  Terms
-outside it lengthen a unit's vector at the weight of a term of one file.  A unit
-is scored only if it has one of the heavy template terms without which, by the
-Cauchy-Schwarz bound, no unit can reach the bar.
+The frequencies of the templates' vocabulary (bounded by the templates) come to
+the driver; those of other terms, which lengthen a unit's vector, are joined by
+term.  A unit is scored only if it has one of the heavy template terms without
+which, by the Cauchy-Schwarz bound, no unit can reach the bar, and if it would
+reach the bar were its other terms in all files.
 
 Defined cases: a null text has no terms; a null path has no directory and
 inherits nothing; of equal scores the license first by name wins, of several
@@ -86,13 +87,19 @@ def weights(df: dict[str, int], n: int, templates=TEMPLATES, bar: float = BAR):
     return idfs, vectors, heavy
 
 
-def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
-    """files (with a key of the text) to key, kind (header or file), license and score, where a unit reaches the bar."""
+def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float = BAR, others_in: int | None = None) -> DataFrame:
+    """files (with a key of the text) to key, kind (header or file), license and score, where a unit reaches the bar.
+
+    Terms outside the templates' vocabulary are counted, or taken to be in others_in files each.
+    """
     spark = files.sparkSession
     vocabulary = sorted({t for _, x in templates for t in terms_of(x)})
-    # Frequencies of the vocabulary's terms: as many rows as the templates have terms.
-    counted = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_terms(F.coalesce(F.col(text), F.lit(""))), F.lit(vocabulary)))).alias("term")).groupBy("term").count().collect()
-    df = {r.term: r["count"] for r in counted}
+    # In how many files each term is; the templates' terms, as many as the templates have, come to the driver.
+    in_file = _terms(F.coalesce(F.col(text), F.lit("")))
+    in_file = F.array_distinct(in_file) if others_in is None else F.array_intersect(in_file, F.lit(vocabulary))
+    everywhere = F.concat(F.array(F.lit("")), in_file)
+    frequencies = materialize(files.select(F.explode(everywhere).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    df = {r.term: r.df for r in frequencies.filter(F.col("term").isin("", *vocabulary)).collect()}
     n = df.pop("", 0)
     idfs, vectors, heavy = weights(df, n, templates, bar)
 
@@ -103,16 +110,21 @@ def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar:
     whole = found.select("key", F.lit(-1).cast("long").alias("unit"), _terms(F.col("t")).alias("terms"))
     units = lines.unionByName(whole).filter(F.arrays_overlap("terms", F.lit(sorted(heavy))))
     known = F.filter("terms", lambda t: F.array_contains(F.lit(vocabulary), t))
-    units = units.select("key", "unit", known.alias("known"), "terms")
-    other_counts = F.aggregate(F.transform(F.array_distinct(F.array_except("terms", F.lit(vocabulary))), lambda t: F.size(F.filter("terms", lambda u: u == t))), F.lit(0).cast("long"), lambda a, c: a + c * c)
-    unknown_idf = idf(1, n)
-    units = units.select("key", "unit", "known", (other_counts * unknown_idf * unknown_idf).alias("others"))
-    term = units.select("key", "unit", "others", F.explode("known").alias("term")).groupBy("key", "unit", "others", "term").agg(F.count(F.lit(1)).alias("tf"))
+    other = F.transform(F.array_distinct(F.array_except("terms", F.lit(vocabulary))), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda u: u == t)).cast("long").alias("tf")))
+    units = units.select("key", "unit", known.alias("known"), other.alias("other"))
+    # No term weighs less than one that all files have, whose idf is 1: a bound on the score, before frequencies are joined.
+    least = F.aggregate("other", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"])
+    term = units.select("key", "unit", least.alias("least"), F.explode("known").alias("term")).groupBy("key", "unit", "least", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Broadcast: a row for each term of each template, whatever the files.
     table = spark.createDataFrame([(t, i, templates[i][0], idfs[t], x) for i, v in enumerate(vectors) for t, x in v.items()], "term string, template int, license string, idf double, w double")
-    norms = term.join(F.broadcast(table.select("term", "idf").distinct()), "term").groupBy("key", "unit").agg(F.sqrt(F.first("others") + F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    norms = term.join(F.broadcast(table.select("term", "idf").distinct()), "term").groupBy("key", "unit").agg(F.first("least").alias("least"), F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("known"))
     dots = term.join(F.broadcast(table), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= bar)
+    near = materialize(dots.join(norms, ["key", "unit"]).filter(F.col("dot") >= (bar - 1e-6) * F.sqrt(F.col("known") + F.col("least"))), "near")
+    # The units that the bound leaves get the true weights of their other terms.
+    left = units.join(near.select("key", "unit").distinct(), ["key", "unit"], "left_semi").select("key", "unit", F.explode("other").alias("x")).select("key", "unit", "x.*")
+    left = left.join(frequencies, "term") if others_in is None else left.withColumn("df", F.lit(others_in))
+    others = left.groupBy("key", "unit").agg(F.sum(F.pow(F.col("tf") * idf(F.col("df"), F.lit(n)), 2)).alias("others"))
+    scored = near.join(others, ["key", "unit"], "left").withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("known") + F.coalesce("others", F.lit(0.0))), 6)).filter(F.col("score") >= bar)
     # A whole text before a line, then the best score, then the license's name.
     best = scored.groupBy("key").agg(F.min(F.struct((F.col("unit") >= 0).alias("line"), (-F.col("score")).alias("minus"), "license")).alias("x"))
     return best.select("key", F.when(F.col("x.line"), "header").otherwise("file").alias("kind"), F.col("x.license").alias("license"), (-F.col("x.minus")).alias("score"))
@@ -122,12 +134,12 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, bar: float = BAR, others_in: int | None = None) -> DataFrame:
     """files with license, license_kind (header, file, inherited or none), license_score and license_from (a path)."""
     keep = [c for c in files.columns if c != text]
     # A text decides its own license, so copies are scored once.  The caller's columns stay in a struct, where no name can clash.
     d = files.select(F.struct(*keep).alias("_row"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
-    own = materialize(own_licenses(d.select("key", "_text"), "_text", templates, bar), "licenses")
+    own = materialize(own_licenses(d.select("key", "_text"), "_text", templates, bar, others_in), "licenses")
     placed = materialize(d.drop("_text").withColumn("_dir", directory(F.col("_path"))), "files")
     placed = placed.join(own, "key", "left")
     holders = placed.filter("kind = 'file' and _dir is not null").groupBy(F.col("_dir").alias("_holder")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", F.col("_path").alias("from"))).alias("_best"))
@@ -146,9 +158,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEM
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Documents as files of their source: <source>/<language>/<doc_id>."""
+    """Documents as files of their source: <source>/<language>/<doc_id>; as in ORACLES, other terms weigh as if one file had them."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return scan(docs.select("doc_id", "text", F.concat_ws("/", name("source"), name("lang"), name("doc_id")).alias("path")))
+    return scan(docs.select("doc_id", "text", F.concat_ws("/", name("source"), name("lang"), name("doc_id")).alias("path")), others_in=1)
 
 
 def oracle_sql(templates=TEMPLATES, bar: float = BAR) -> str:
