@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from tensorframe.llm import secrets
@@ -54,3 +56,28 @@ def test_scan_and_redact(spark):
     done = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert done[2].text == "[SECRET]" and done[2].n_chars == 8 and done[0].text is None
     assert secrets.digests(docs.limit(0)).count() == 0
+
+
+def found_in(name, alphabet, length, scan=secrets.Scanner()):
+    """The share of random values of which a window is found, and that nothing of the name is."""
+    r, hits = random.Random(length), 0
+    for _ in range(200):
+        got = scan(name + "".join(r.choices(alphabet, k=length)) + " end")
+        assert all(s >= len(name) for s, *_ in got) or name[-1:] != "="
+        hits += any(e > len(name) for *_, e in got)
+    return hits / 200
+
+
+def test_names_do_not_raise_the_bar_of_values():
+    lower, upper = "0123456789abcdef", "0123456789ABCDEF"
+    for n in (24, 28, 31):
+        assert min(found_in(x, lower, n) for x in ("", "key=", "my-key/", "key_")) > 0.95
+    assert min(found_in("SECRET_KEY=", upper, n) for n in (24, 40)) > 0.95
+    assert found_in("", string.ascii_lowercase + string.digits, 20) > 0.95
+
+
+def test_letters_and_digits_alone_are_judged():
+    assert found_in("", string.ascii_letters, 32) > 0.95 and found_in("key=", string.digits, 32) > 0.95
+    assert found_in("", string.ascii_lowercase, 64) > 0.9
+    scan = secrets.Scanner()
+    assert scan("Donaudampfschifffahrtsgesellschaft some-words-joined-by-signs 2023-11-22-2023-11-22 keiterkeitenlicherte") == []
