@@ -10,7 +10,9 @@ Targets share the whole by weight; one may not exceed `most` times its source,
 and what that leaves is shared among the others (water filling, solved in closed
 form over sources ordered by size per weight).  A source's documents, in order
 of the MD5 of their ids, are taken whole passes first; the last pass takes those
-that fit, and then the largest other one that still fits.
+that fit before the first that doesn't, and does so again among the others that
+fit what room is left, until none does.  The registered query, as its SQL, takes
+but the largest other one instead.
 
 Running sums never put a source into one task: sums by range of hash, added up
 per source, start windows over (source, range).
@@ -23,6 +25,8 @@ mix() and kept by train_order().
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +53,34 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return t.withColumn("target", F.least(F.lit(float(most)) * F.col("source_size"), level * F.col("weight"))).drop("n", "level")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, times, taken, positions (one for each time)."""
+def _starts(sized: DataFrame) -> DataFrame:
+    """What of each (skey, bucket)'s source is in the buckets before: start."""
+    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sized.groupBy("skey", "bucket").agg(F.sum("size").alias("b")).withColumn("start", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
+
+
+def _fill_up(spare: DataFrame) -> DataFrame:
+    """The rows of spare (skey, bucket, at, h, size, rest, filled) that are taken, with their places `last` in the last pass.
+
+    Each round takes at least the first spare document of each source that has one.
+    """
+    columns, rounds = spare.columns, []
+    inside = Window.partitionBy("skey", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        last = F.col("filled") + F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+        done = materialize(spare.join(_starts(spare), ["skey", "bucket"]).withColumn("last", last).withColumn("fits", F.col("last") + F.col("size") <= F.col("rest")).select(*columns, "last", "fits"), "mixing")
+        rounds.append(done.filter("fits").select("skey", "at", "h", "size", "last"))
+        if done.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        ends = done.filter("fits").groupBy("skey").agg(F.max(F.col("last") + F.col("size")).alias("end"))
+        spare = spread_join(done.filter("not fits").select(columns), ends, "skey").withColumn("filled", F.col("end")).filter(F.col("size") <= F.col("rest") - F.col("filled")).select(columns)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES, fill_up: bool = True) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, times, taken, positions (one for each time).
+
+    Without fill_up, the last pass takes only the largest document after those that fit at once.
+    """
     n = buckets(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("tie")), "mixing")
@@ -59,23 +89,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     aims = aims.withColumn("skey", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))).drop("source")
     aims = aims.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
-    sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("b")).withColumn("start", F.coalesce(F.sum("b").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("b")
-    starts = sums.join(aims, "skey")
+    starts = _starts(sized).join(aims, "skey")
     inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(starts, ["skey", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("fits", (F.col("size") > 0) & (F.col("at") + F.col("size") <= F.col("rest")))
-    # What the last pass has room for after the first documents; then the largest other one that fits.
-    placed = materialize(placed.drop("start", "bucket", "h"), "mixing")
+    # What the last pass has room for after the first documents; then others that fit.
+    placed = materialize(placed.drop("start"), "mixing")
     room = placed.groupBy("skey").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("at") + F.col("size"))), F.lit(0)).alias("filled"))
-    spare = spread_join(placed, room, "skey").filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled")))
-    extra = spare.groupBy("skey").agg(F.max(F.struct("size", "at")).alias("x")).select("skey", F.col("x.at").alias("extra"))
-    ends = room.join(extra, "skey", "left")
-    d = spread_join(placed, ends, "skey")
-    once = F.col("fits") | ((F.col("size") > 0) & F.coalesce(F.col("at") == F.col("extra"), F.lit(False)))
+    spare = spread_join(placed, room, "skey").filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled"))).select("skey", "bucket", "at", "h", "size", "rest", "filled")
+    if fill_up:
+        extra = _fill_up(spare)
+        more = extra.groupBy("skey").agg(F.sum("size").cast("double").alias("more"))
+    else:
+        extra = spare.groupBy("skey").agg(F.max(F.struct("size", "at", "h", "rest", "filled")).alias("x")).select("skey", "x.*").withColumn("last", F.col("filled"))
+        more = extra.select("skey", (F.col("rest") - F.col("filled")).alias("more"))
+    ends = room.join(more, "skey", "left")
+    # By the hash too, so that documents without words, which share a place, are dealt out.
+    d = spread_join(placed, ends, "skey").join(extra.select("skey", "at", "h", "last"), ["skey", "at", "h"], "left")
+    once = F.col("fits") | ((F.col("size") > 0) & F.col("last").isNotNull())
     d = d.withColumn("n_times", F.when(F.col("size") > 0, F.col("full") + once.cast("long")).otherwise(0))
-    # The extra document comes after those that fitted; what is taken in all scales the demand to 0..1.
-    last = F.when(F.col("fits"), F.col("at")).otherwise(F.col("filled"))
+    # The extra documents come after those that fitted; what is taken in all scales the demand to 0..1.
+    last = F.when(F.col("fits"), F.col("at")).otherwise(F.coalesce("last", "filled"))
     start = lambda k: k * F.col("source_size") + F.when(k < F.col("full"), F.col("at")).otherwise(last)
-    total = F.greatest(F.col("full") * F.col("source_size") + F.col("filled") + F.coalesce(F.when(F.col("extra").isNotNull(), F.col("rest") - F.col("filled")), F.lit(0.0)), F.lit(1.0))
+    total = F.greatest(F.col("full") * F.col("source_size") + F.col("filled") + F.coalesce("more", F.lit(0.0)), F.lit(1.0))
     share = lambda k: F.least((start(k) + F.col("size") / 2) / total, F.lit(1.0))
     slope = F.element_at(F.lit(list(slopes)), F.col("place") + 1)
     # a t^2 + (1 - a) t = u, in the form that is stable also at a = 0.
@@ -100,7 +135,8 @@ def train_order(docs: DataFrame, **settings) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    """As in ORACLES: without fill_up."""
+    return mix(docs, fill_up=False).select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
 _SLOPE = "(CASE place WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END)"

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -40,3 +41,21 @@ def test_train_order(spark):
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == +times
     assert mixing.train_order(docs.limit(0)).count() == 0 == mixing.digests(docs.limit(0)).count()
+
+
+def test_the_last_pass_takes_all_that_fits(spark):
+    first = min(range(61), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    data = [(i, "w " * (10_000 if i == first else 10), "a") for i in range(61)] + [(100 + i, "w " * 50, "b") for i in range(100)]
+    # All fit but the first document, which alone is beyond the target.
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert got[first].times == 0 and all(got[i].times == 1 for i in range(61) if i != first)
+    assert len({got[i].positions[0] for i in range(61) if i != first}) == 60
+    # Nothing that is left over fits what a source misses.
+    rows_of = mixing.mix(documents(spark)).collect()
+    for source in {r.source for r in rows_of}:
+        of = [r for r in rows_of if r.source == source and r.size]
+        if not of:
+            continue
+        gap = of[0].target - sum(r.taken for r in of)
+        full = int(of[0].target // of[0].source_size)
+        assert gap >= -1e-9 and all(r.size > gap for r in of if r.times == full)
