@@ -57,24 +57,3 @@ def test_query_paths(spark):
     docs = spark.createDataFrame([(1, "x", None, "s"), (2, "Released under the MIT License.", "en", None), (3, "own", "en", None)], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in licenses.digests(docs).collect()}
     assert got[1].path == "s//1" and got[3].license == "MIT" and got[3].license_kind == "inherited"
-
-
-def test_other_terms_weigh_by_their_own_frequency(spark):
-    files = [(i, f"d{i}/f", "this project and other words" if i % 2 else "other words") for i in range(200)]
-    files += [(200, "x/h", "This project is released under the MIT License."), (201, "y/rare", "Licensed under the MIT License, zzz")]
-    texts = [x for *_, x in files]
-    df = Counter(t for x in texts for t in set(licenses.terms_of(x)))
-    vec = lambda x: {t: c * licenses.idf(df[t], len(files)) for t, c in Counter(licenses.terms_of(x)).items()}
-
-    def score(x):
-        a, best = vec(x), 0.0
-        for _, y in licenses.TEMPLATES:
-            b = vec(y)
-            norm = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
-            best = max(best, round(sum(v * b.get(t, 0) for t, v in a.items()) / norm, 6))
-        return best
-
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
-    assert got[200].license == "MIT" and got[200].license_score == score("This project is released under the MIT License.")
-    assert got[201].license_score == score("Licensed under the MIT License, zzz")
-    assert all(r.license is None for i, r in got.items() if i < 200)
