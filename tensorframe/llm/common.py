@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as a regular expression that Java, Python and RE2 read alike.
@@ -58,15 +58,21 @@ def buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+def null_key(c: str) -> Column:
+    """A string for each value and another one for null, so that plain joins and windows take null as a value."""
+    return F.concat(F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str | list[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """rows joined with a table of one row a key, whose rows are few beside them.
 
     A hot key's rows are dealt over as many places as there are salts, each with a
     copy of the key's row.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)))
+    keys = [key] if isinstance(key, str) else list(key)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]), F.lit(salts)))
     copies = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -84,8 +90,9 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that few texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows and bytes on average, so that few texts are Python objects at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)

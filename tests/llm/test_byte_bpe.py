@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -46,4 +47,22 @@ def test_round_trip_repeats_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "same"), (1, "same"), (None, None)], "doc_id long, text string")
     back = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS)
     assert sorted((r.doc_id or 0, bytes(r.bytes)) for r in back.collect()) == [(0, b""), (1, b"same"), (1, b"same")]
-    assert byte_bpe.digests(byte_bpe.encode(docs.limit(0), RANKS, PATTERN), RANKS).count() == 0
+    assert byte_bpe.digests(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("size,overlap", [(32_768, 256), (40, 8), (7, 3)])
+def test_bytes_of_the_ids_are_the_texts(spark, size, overlap):
+    rows = texts()
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(rows)], "doc_id long, text string, raw string, rid int")
+    got = byte_bpe.encode(docs, RANKS, PATTERN, decoded="raw", chunk_chars=size, overlap=overlap)
+    assert got.columns == ["doc_id", "rid", "token_ids", "raw"]
+    assert {r.doc_id: bytes(r.raw).decode() for r in got.collect()} == {i: t or "" for i, t in enumerate(rows)}
+
+
+def test_a_full_cache_changes_nothing(oracle, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 600)
+    ids = byte_bpe._Pieces(RANKS, PATTERN)
+    for _ in range(2):
+        for piece in ("word", " other", "é" * 9, "ab" * 400, "x"):
+            assert list(np.frombuffer(ids[piece], np.int32)) == oracle._encode_single_piece(piece)
+            assert len(ids) <= 2
