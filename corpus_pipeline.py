@@ -39,10 +39,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids instead of texts, with digests of the ids and of the bytes they decode to."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(ids, ranks).select(
+    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="raw")
+    return ids.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
     )
 
 
