@@ -2,36 +2,41 @@
 
 Each text gives counts (words, symbols, repeated lines and word windows) and a
 verdict of its own.  Across documents, lines are normalised and hashed; the
-distinct documents of each host that hold a line are counted; lines held by
-more than a limit of a host's documents are removed; a document that loses too
-large a share of its words is rejected.
+distinct documents of each host that hold a line are counted; lines above the
+limit are removed; a document that loses too large a share of its words is
+rejected.  Documents of one text are one document to the counts, so that copies
+of a text don't make its lines frequent.
 
-The limit of a host is max(min_docs, share * documents of the host), so it
-behaves alike at every size.  Only prose-length lines count: a line of fewer
-than min_line_words words is never removed.
+A line is above the limit where so many of its host's documents hold it that, if
+a share of SHARE of them did, the chance of it would be below CHANCE by
+Chernoff's bound: n documents of N with n ln(p / s) + (N - n) ln((1 - p) / (1 - s))
+>= ln(1 / CHANCE), p = n / N > s.  The rule has no floor and is one at every
+size: of 50 documents nine must hold a line, of 500 nineteen, of many 0.5 %.
 
 Defined cases: a null text has no words and fails; a null host is a host of its
-own; repeated rows and doc_ids count as separate documents; an empty table
-gives an empty result; other columns are ignored.
+own; repeated rows and doc_ids have verdicts of their own; an empty table gives
+an empty result; other columns are ignored, and passed through by clean(),
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import WORD, materialize, slices, tidy
+from tensorframe.llm.common import WORD, materialize, null_key, slices, spread_join, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
 MIN_WORDS = 20
-MIN_DOCS = 20
 SHARE = 0.005
-MIN_LINE_WORDS = 4
+CHANCE = 1e-9
 MOST_LOST = 0.7
 
 RULES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
@@ -85,52 +90,59 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def lines_of(text: str, min_line_words: int = MIN_LINE_WORDS) -> dict[int, int]:
-    """Words by hash of the normalised line, for each line long enough."""
+def lines_of(text: str) -> dict[int, int]:
+    """Words by hash of the normalised line, for each line that has a word."""
     out: dict[int, int] = {}
     for line in text.encode().split(b"\n"):
-        n = len(line.split())
-        if n >= min_line_words:
+        if n := len(line.split()):
             h = xxhash.xxh3_64_intdigest(normalised(line))
             h -= (h >> 63) << 64
             out[h] = out.get(h, 0) + n
     return out
 
 
-def measure(docs: DataFrame, host: str = "source", min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """A row for each document: doc_id, host, the rules' counts, and its lines' hashes and words."""
-    inner = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("host"), F.col("text"))
-    at = T.StructType([*inner.schema.fields[:2], *RULES.fields, T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
+def measure(docs: DataFrame, host: str = "source") -> DataFrame:
+    """A row for each document: doc_id, host (as a key without nulls), tie (a hash of the text), the rules' counts, and its lines' hashes and words."""
+    inner = docs.select(F.col("doc_id"), null_key(host).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.col("text"))
+    at = T.StructType([*inner.schema.fields[:3], *RULES.fields, T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for part in slices(batches):
-            texts = [x or "" for x in part.column(2).to_pylist()]
+            texts = [x or "" for x in part.column(3).to_pylist()]
             counts = np.array([rules(x) for x in texts], dtype=np.int64).reshape(-1, len(RULES))
-            lines = [lines_of(x, min_line_words) for x in texts]
+            lines = [lines_of(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *(pa.array(counts[:, i]) for i in range(len(RULES))), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))],
+                [*part.columns[:3], *(pa.array(counts[:, i]) for i in range(len(RULES))), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int32()))],
                 names=at.names,
             )
 
     return inner.mapInArrow(tidy(run), at)
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, hash) of the lines that more of a host's documents hold than its limit."""
-    limits = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")).select("host", F.greatest(F.lit(float(min_docs)), F.col("n_docs") * F.lit(share)).alias("most"))
-    held = measured.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    return held.join(limits, held.host.eqNullSafe(limits.host)).filter(F.col("n") > F.col("most")).select(held.host, "hash")
+def above_limit(n: Column, of: Column, share: float = SHARE, chance: float = CHANCE) -> Column:
+    """Whether n documents of so many are too many for a line."""
+    p = n / of
+    rest = F.when(n < of, (of - n) * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    return (p > share) & (n * F.log(p / share) + rest >= -math.log(chance))
+
 
+def frequent_lines(measured: DataFrame, share: float = SHARE, chance: float = CHANCE) -> DataFrame:
+    """(host, hash) of the lines that more of a host's distinct documents hold than its limit."""
+    texts = measured.select("host", "tie", "hashes").dropDuplicates(["host", "tie"])
+    # A document's own row counts it; its lines' rows count the lines.
+    counts = texts.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    limits = counts.filter("hash is null").select("host", F.col("n").alias("of"))
+    # No line of one document can be above a limit.
+    return spread_join(counts.filter("hash is not null and n > 1"), limits, "host").filter(above_limit(F.col("n"), F.col("of"), share, chance)).select("host", "hash")
 
-def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_line_words: int = MIN_LINE_WORDS, most_lost: float = MOST_LOST) -> DataFrame:
-    """A row for each document: its counts, words lost to removed lines, those lines' hashes, base_failed and kept."""
-    measured = materialize(measure(docs, host, min_line_words).withColumn("rid", F.monotonically_increasing_id()), "quality")
-    frequent = frequent_lines(measured, min_docs, share)
+
+def verdicts(docs: DataFrame, host: str = "source", share: float = SHARE, chance: float = CHANCE, most_lost: float = MOST_LOST) -> DataFrame:
+    """A row for each document: doc_id, host, tie, its counts, words lost to removed lines, those lines' hashes, base_failed and kept."""
+    measured = materialize(measure(docs, host).withColumn("rid", F.monotonically_increasing_id()), "quality")
+    frequent = frequent_lines(measured, share, chance)
     lines = measured.select("rid", "host", F.explode(F.arrays_zip("hashes", "words")).alias("line")).select("rid", "host", F.col("line.hashes").alias("hash"), F.col("line.words").alias("w"))
-    lost = (
-        lines.join(frequent.withColumnRenamed("host", "h"), (F.col("host").eqNullSafe(F.col("h"))) & (lines.hash == frequent.hash))
-        .groupBy("rid").agg(F.sum("w").alias("lost"), F.collect_list(lines.hash).alias("removed"))
-    )
+    # A line that a large host's documents share is as hot as the host.
+    lost = spread_join(lines, frequent, ["host", "hash"]).groupBy("rid").agg(F.sum("w").alias("lost"), F.collect_list("hash").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         measured.drop("hashes", "words").join(lost, "rid", "left")
@@ -141,35 +153,27 @@ def verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sh
     )
 
 
-def without_lines(text: str, removed: set[int], min_line_words: int = MIN_LINE_WORDS) -> str:
+def without_lines(text: str, removed: set[int]) -> str:
     """The text without the lines whose hash is among the removed."""
-    kept = []
-    for line in text.split("\n"):
-        if any(h in removed for h in lines_of(line, min_line_words)):
-            continue
-        kept.append(line)
-    return "\n".join(kept)
+    return "\n".join(line for line in text.split("\n") if not any(h in removed for h in lines_of(line)))
 
 
-def clean(docs: DataFrame, **settings) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", **settings) -> DataFrame:
     """The documents kept, without the removed lines; n_chars, where it exists, follows the text."""
-    tie = F.xxhash64("text")
-    # Rows of one doc_id and text have one verdict.
-    found = verdicts(docs.withColumn("doc_id", F.struct("doc_id", tie.alias("tie"))), **settings)
-    found = found.filter(~F.col("kept") | (F.size("removed") > 0)).select("doc_id.*", "kept", "removed").dropDuplicates(["doc_id", "tie"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
-    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (tie == F.col("_tie")), "left").filter(F.coalesce("_kept", F.lit(True)))
-    rows = rows.select(*docs.columns, "_removed")
-    least = settings.get("min_line_words", MIN_LINE_WORDS)
     at, schema = docs.columns.index("text"), docs.schema
+    # Documents of one host and text have one verdict.
+    found = verdicts(docs, host, **settings).filter(~F.col("kept") | F.col("removed").isNotNull()).select("host", "tie", "kept", "removed").dropDuplicates(["host", "tie"])
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("host", null_key(names[docs.columns.index(host)])).withColumn("tie", F.xxhash64(F.coalesce(names[at], F.lit(""))))
+    rows = spread_join(rows, found, ["host", "tie"], "left").filter(F.coalesce("kept", F.lit(True))).select(*names, "removed")
 
     def run(batches):
         for b in slices(batches):
-            texts = [without_lines(x, set(r), least) if r and x else x for x, r in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            texts = [without_lines(x, set(r)) if r and x else x for x, r in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             part = b.select(list(range(b.num_columns - 1)))
             yield part.set_column(at, part.schema.field(at), pa.array(texts, pa.string()))
 
-    out = rows.mapInArrow(tidy(run), schema)
+    out = rows.mapInArrow(tidy(run), T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields, strict=True)])).toDF(*schema.names)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 
@@ -185,10 +189,12 @@ again AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, s) > 1
 rep AS (SELECT rid, count(DISTINCT i + k.range) AS n FROM again, range({SPAN}) k GROUP BY rid),
 lines AS (SELECT rid, source, line, regexp_extract_all(line, '{WORD}') AS lw FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d)),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE len(lw) > 0 GROUP BY rid),
-norm AS (SELECT rid, source, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s, len(lw) AS n FROM lines WHERE len(lw) >= {MIN_LINE_WORDS}),
-hosts AS (SELECT source, greatest({MIN_DOCS}.0::DOUBLE, count(*) * {SHARE}::DOUBLE) AS most FROM d GROUP BY source),
-held AS (SELECT source, s, count(DISTINCT rid) AS n FROM norm GROUP BY source, s),
-freq AS (SELECT held.source, s FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > {MIN_DOCS} AND n > most),
+norm AS (SELECT rid, source, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s, len(lw) AS n FROM lines WHERE len(lw) > 0),
+texts AS (SELECT source, min(rid) AS rid FROM d GROUP BY source, t),
+hosts AS (SELECT source, count(*)::DOUBLE AS m FROM texts GROUP BY source),
+held AS (SELECT norm.source, s, count(DISTINCT rid)::DOUBLE AS n FROM norm JOIN texts USING (rid) GROUP BY norm.source, s),
+freq AS (SELECT held.source, s FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 1 AND n / m > {SHARE}::DOUBLE
+  AND n * ln(n / m / {SHARE}::DOUBLE) + CASE WHEN n < m THEN (m - n) * ln((1 - n / m) / (1 - {SHARE}::DOUBLE)) ELSE 0 END >= ln(1 / {CHANCE}::DOUBLE)),
 lost AS (SELECT rid, sum(n) AS n FROM norm JOIN freq ON norm.s = freq.s AND norm.source IS NOT DISTINCT FROM freq.source GROUP BY rid),
 m AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words

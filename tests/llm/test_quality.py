@@ -2,8 +2,14 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tensorframe.llm import quality
 
+from .oracle import rows as rows_of
+from .oracle import sql_rows
+
 
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -26,16 +32,39 @@ PROSE = " ".join(f"word{i}x" for i in range(40))
 
 def test_frequent_lines_reject_depleted_documents(spark):
     line = "This very common banner line shows everywhere again"
-    rows = [(i, f"{line}\n {line.upper()} \n{line.title()}", "a", "z") for i in range(30)]  # only the banner, in other letters
-    rows += [(100 + i, f"{PROSE} {chr(97 + i)}q\n{line}", "a", "z") for i in range(10)]
+    own = lambda i: " ".join(f"own{i}n{k}" for k in range(8))
+    rows = [(i, f"{own(i)}\n" + f"{line}\n {line.upper()} \n{line.title()}\n", "a", "z") for i in range(30)]  # base rules pass, but little more than the banner
+    rows += [(100 + i, f"{PROSE} {own(i)}\n{line}\nMenu", "a", "z") for i in range(10)]
     rows += [(400 + i, f"{line} {i}\n{PROSE} {i}", "a", "z") for i in range(30)]  # numbers tell lines apart
-    rows += [(200, f"{line}\n" + "unique words here " + line, "b", "z"), (300, None, None, "z"), (300, None, None, "z")]
+    rows += [(200, f"{line}\n{PROSE}\nunique words here " + line, "b", "z"), (300, None, None, "z"), (300, None, None, "z")]
+    rows += [(500 + i, f"{PROSE} copied\nand again\nalways the same", "c", "z") for i in range(40)]  # one text, however often
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash string")
-    got = quality.verdicts(docs, min_docs=20).collect()
+    got = quality.verdicts(docs).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    assert all(not by[i].kept for i in range(30)) and all(by[100 + i].kept for i in range(10))
-    assert by[100].n_lost_words == 8 and all(by[400 + i].kept and not by[400 + i].n_lost_words for i in range(30))
-    assert by[0].n_lost_words == 24 and not by[300].kept and by[300].base_failed
-    assert by[200].n_lost_words == 0  # another host
+    assert not any(by[i].base_failed or by[i].kept for i in range(30)) and by[0].n_lost_words == 24
+    assert all(by[100 + i].kept and by[100 + i].n_lost_words == 9 for i in range(10))
+    assert all(by[400 + i].kept and not by[400 + i].n_lost_words for i in range(30))
+    assert not by[300].kept and by[300].base_failed and all(by[500 + i].kept and not by[500 + i].n_lost_words for i in range(40))
+    assert by[200].n_lost_words == 0 and by[200].kept  # another host
+    assert rows_of(quality.digests(docs)) == sql_rows(quality.ORACLE_SQL, documents=docs)
     assert quality.digests(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("of,least", [(3, None), (4, 4), (50, 9), (500, 19), (100_000, 651)])
+def test_the_limit_at_every_size(spark, of, least):
+    found = spark.range(1, of + 1).filter(quality.above_limit(F.col("id"), F.lit(of))).agg(F.min("id")).first()[0]
+    assert found == least
+
+
+def test_clean_passes_any_columns_through(spark):
+    banner = "a line that all of these documents share"
+    rows = [(i % 7 or None, f"{PROSE} {i}\n{banner}", None, i, i, "x") for i in range(60)] + [(1, None, "s", 0, 0, "y"), (1, "", "s", 0, 0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, n_chars int, removed string").withColumnsRenamed({"removed": "tie"})
+    docs = docs.withColumn("host", F.lit("h")).withColumn("kept", F.lit(1)).withColumn("_salt", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = quality.clean(docs.unionByName(docs.limit(3)).repartition(5))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted({r._id for r in got}) == list(range(60)) and 60 <= len(got) <= 63
+    assert all(r.text == f"{PROSE} {r._id}" and r.n_chars == len(r.text) and (r["_salt"], r["a.b"], r.kept, r.host, r.tie) == (2, 3, 1, "h", "x") for r in got)
+    assert quality.clean(docs.limit(0)).count() == 0
