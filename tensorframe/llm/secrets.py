@@ -3,19 +3,22 @@
 Named shapes (assignments to secret-like names, access keys, long hex runs) are
 found by patterns.  Other candidate strings are judged by the Shannon entropy of
 a sliding window, per character class of the window, whose counts are updated by
-one character in and one out; candidates are cut at name/value separators; an
-allow-list suppresses known harmless strings.
+one character in and one out; candidates are cut at name/value separators.  A
+window that touches a base span, or a known harmless string of the allow-list,
+is let pass; the others of its candidate are judged, and those that reach their
+class's bar make a span where they overlap.
 
 Defined cases: a null text has no spans; repeated rows and doc_ids are scanned
-as separate rows; other columns pass through, save one named like the output.
-Offsets are code points, ends exclusive.
+as separate rows; an empty table gives an empty result; other columns pass
+through, save one named like the output.  Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ WINDOW = 20
 #: Bits a character that a window must reach, by the class of its characters.  Random windows have 3.4 bits on average
 #: (hex), 4.0 (mixed), 3.9 (alnum), 2.9 (digits), 4.0 (cased) and 3.7 (letters), which long words nearly reach.
 BITS = {"hex": 3.0, "mixed": 3.7, "alnum": 3.4, "digits": 2.6, "cased": 3.7, "letters": 3.75}
-#: Candidates that contain one of these are let pass.
+#: What is let pass within a candidate; the last three match a whole one.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|lorem",
@@ -69,17 +72,19 @@ def char_class(text: str) -> str | None:
     return class_of(groups)
 
 
-def dense_part(text: str, window: int = WINDOW, bits: dict[str, float] = BITS) -> tuple[int, int] | None:
-    """From the first to the end of the last window whose entropy reaches the bits of the window's class."""
+def dense_parts(text: str, blocked: Sequence[tuple[int, int]] = (), window: int = WINDOW, bits: dict[str, float] = BITS) -> list[tuple[int, int]]:
+    """Unions of overlapping windows whose entropy reaches the bits of their class and that touch no blocked span."""
     if len(text) < window:
-        return None
+        return []
     # Entropy in bits is log2(w) - sum(c * log2(c)) / w, so the sum must stay below this.
     most = {k: (math.log2(window) - b) * window + 1e-9 for k, b in bits.items()}
     most[None] = -1.0
     groups = [0] * 6
     xlog = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
     counts: dict[str, int] = {}
-    total, first, last = 0.0, None, 0
+    total, out = 0.0, []
+    blocks = iter(sorted(blocked))
+    start, stop = next(blocks, (len(text), len(text)))
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -91,10 +96,26 @@ def dense_part(text: str, window: int = WINDOW, bits: dict[str, float] = BITS) -
             counts[old] = n - 1
             total += xlog[n - 1] - xlog[n]
             groups[GROUPS.get(old, 5)] -= 1
-        if i >= window - 1 and total <= most[class_of(groups)]:
-            first = i - window + 1 if first is None else first
-            last = i + 1
-    return None if first is None else (first, last)
+        at = i - window + 1
+        while stop <= at:
+            start, stop = next(blocks, (len(text), len(text) + window))
+        if at >= 0 and i < start and total <= most[class_of(groups)]:
+            if out and at < out[-1][1]:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((at, i + 1))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 class Scanner:
@@ -114,12 +135,9 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         base = sorted(found)
         for at, string in self.pieces(text):
-            if any(p.search(string) for p in self.allow):
-                continue
-            if part := dense_part(string, self.window, self.bits):
-                start, end = at + part[0], at + part[1]
-                if not any(a < end and start < b for a, _, b in base):
-                    found.append((start, 3, end))
+            blocked = [m.span() for p in self.allow for m in p.finditer(string)]
+            blocked += [(a - at, b - at) for a, _, b in base if a < at + len(string) and at < b]
+            found += [(at + start, 3, at + end) for start, end in dense_parts(string, merged(blocked), self.window, self.bits)]
         return sorted(found)
 
     def pieces(self, text: str) -> Iterator[tuple[int, str]]:
