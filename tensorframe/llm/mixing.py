@@ -9,18 +9,21 @@ position, and documents are range-sorted by position.
 Targets share the whole by weight; one may not exceed `most` times its source,
 and what that leaves is shared among the others (water filling, solved in closed
 form over sources ordered by size per weight).  A source's documents, in order
-of the MD5 of their ids, are taken whole passes first; the last pass takes those
-that fit before the first that doesn't, and does so again among the others that
-fit what room is left, until none does.  The registered query, as its SQL, takes
-but the largest other one instead.
+of a hash of their ids and texts, are taken whole passes first; the last pass
+takes those that fit before the first that doesn't, and does so again among the
+others that fit what room is left, until none does: what a source misses of its
+target is less than its smallest document that is left over.
 
 Running sums never put a source into one task: sums by range of hash, added up
-per source, start windows over (source, range).
+per source, start windows over (source, range).  Three windows run over all
+sources at once, with one row a source.  Positions are rounded to nine digits;
+documents at one position are ordered by their hashes.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a
-source of its own, ordered last; repeated rows and doc_ids are taken as separate
-documents; an empty table gives an empty result; other columns are ignored by
-mix() and kept by train_order().
+source of its own, ordered last; null ids are told apart by their texts;
+repeated rows and doc_ids are taken as separate documents; an empty table gives
+an empty result; other columns are ignored by mix() and kept by train_order(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import WORD, buckets, materialize, spread_join
+from tensorframe.llm.common import WORD, buckets, materialize, null_key, spread_join
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -60,7 +63,7 @@ def _starts(sized: DataFrame) -> DataFrame:
 
 
 def _fill_up(spare: DataFrame) -> DataFrame:
-    """The rows of spare (skey, bucket, at, h, size, rest, filled) that are taken, with their places `last` in the last pass.
+    """The rows of spare (rid, skey, bucket, at, size, rest, filled) that are taken, with their places `last` in the last pass.
 
     Each round takes at least the first spare document of each source that has one.
     """
@@ -69,42 +72,35 @@ def _fill_up(spare: DataFrame) -> DataFrame:
     while True:
         last = F.col("filled") + F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
         done = materialize(spare.join(_starts(spare), ["skey", "bucket"]).withColumn("last", last).withColumn("fits", F.col("last") + F.col("size") <= F.col("rest")).select(*columns, "last", "fits"), "mixing")
-        rounds.append(done.filter("fits").select("skey", "at", "h", "size", "last"))
+        rounds.append(done.filter("fits").select("rid", "skey", "size", "last"))
         if done.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
         ends = done.filter("fits").groupBy("skey").agg(F.max(F.col("last") + F.col("size")).alias("end"))
         spare = spread_join(done.filter("not fits").select(columns), ends, "skey").withColumn("filled", F.col("end")).filter(F.col("size") <= F.col("rest") - F.col("filled")).select(columns)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES, fill_up: bool = True) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, times, taken, positions (one for each time).
-
-    Without fill_up, the last pass takes only the largest document after those that fit at once.
-    """
-    n = buckets(docs.sparkSession)
+def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
+    """A row for each of rows (rid, doc_id, source, text): rid, doc_id, source, size, h, source_size, target, times, taken, positions."""
+    n = buckets(rows.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("tie")), "mixing")
+    # By the text too: null ids, and those of many rows, are spread.
+    h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = materialize(rows.select("rid", "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h")), "mixing")
     # A key without nulls, and the range of the hash: any number of ranges gives the same order.
-    sized = sized.withColumn("skey", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))).withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
+    sized = sized.withColumn("skey", null_key("source")).withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n, 32))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    aims = aims.withColumn("skey", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))).drop("source")
+    aims = aims.withColumn("skey", null_key("source")).drop("source")
     aims = aims.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     starts = _starts(sized).join(aims, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("h", "rid").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(starts, ["skey", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("fits", (F.col("size") > 0) & (F.col("at") + F.col("size") <= F.col("rest")))
     # What the last pass has room for after the first documents; then others that fit.
     placed = materialize(placed.drop("start"), "mixing")
     room = placed.groupBy("skey").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("at") + F.col("size"))), F.lit(0)).alias("filled"))
-    spare = spread_join(placed, room, "skey").filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled"))).select("skey", "bucket", "at", "h", "size", "rest", "filled")
-    if fill_up:
-        extra = _fill_up(spare)
-        more = extra.groupBy("skey").agg(F.sum("size").cast("double").alias("more"))
-    else:
-        extra = spare.groupBy("skey").agg(F.max(F.struct("size", "at", "h", "rest", "filled")).alias("x")).select("skey", "x.*").withColumn("last", F.col("filled"))
-        more = extra.select("skey", (F.col("rest") - F.col("filled")).alias("more"))
-    ends = room.join(more, "skey", "left")
-    # By the hash too, so that documents without words, which share a place, are dealt out.
-    d = spread_join(placed, ends, "skey").join(extra.select("skey", "at", "h", "last"), ["skey", "at", "h"], "left")
+    spare = spread_join(placed, room, "skey").filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled"))).select("rid", "skey", "bucket", "at", "size", "rest", "filled")
+    extra = _fill_up(spare)
+    ends = room.join(extra.groupBy("skey").agg(F.sum("size").cast("double").alias("more")), "skey", "left")
+    d = spread_join(placed, ends, "skey").join(extra.select("rid", "last"), "rid", "left")
     once = F.col("fits") | ((F.col("size") > 0) & F.col("last").isNotNull())
     d = d.withColumn("n_times", F.when(F.col("size") > 0, F.col("full") + once.cast("long")).otherwise(0))
     # The extra documents come after those that fitted; what is taken in all scales the demand to 0..1.
@@ -114,52 +110,85 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     share = lambda k: F.least((start(k) + F.col("size") / 2) / total, F.lit(1.0))
     slope = F.element_at(F.lit(list(slopes)), F.col("place") + 1)
     # a t^2 + (1 - a) t = u, in the form that is stable also at a = 0.
-    time = lambda u: 2 * u / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
+    time = lambda u: F.round(2 * u / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u)), 9)
     passes = F.when(F.col("n_times") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_times") - 1)).otherwise(F.array().cast("array<bigint>"))
     return d.select(
-        "doc_id", "source", "size", "tie", "source_size", "target", F.col("n_times").alias("times"), (F.col("size") * F.col("n_times")).alias("taken"),
+        "rid", "doc_id", "source", "size", "h", "source_size", "target", F.col("n_times").alias("times"), (F.col("size") * F.col("n_times")).alias("taken"),
         F.transform(passes, lambda k: time(share(k))).alias("positions"),
     )
 
 
+def _ordered(plan: DataFrame) -> DataFrame:
+    """(rid, shard, place): a row for each time a document is taken, range-sorted; place counts from 0 over all shards."""
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = plan.select("rid", "h", F.explode("positions").alias("position"))
+    times = materialize(times.repartitionByRange(n, "position", "h", "rid").withColumn("shard", F.spark_partition_id()), "order")
+    # A row for each shard.
+    before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = times.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard").orderBy("position", "h", "rid")
+    return times.withColumn("nth", F.row_number().over(inside) - 1).join(firsts, "shard").select("rid", "shard", (F.col("first") + F.col("nth")).alias("place"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, times, taken, positions (one for each time).
+
+    settings: weights, most and slopes.
+    """
+    return _plan(docs.select("doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id()), **settings).drop("rid", "h")
+
+
 def train_order(docs: DataFrame, **settings) -> DataFrame:
-    """The documents as training sees them: a row for each time one is taken, in order of position."""
-    # Rows that share a doc_id are told apart by their places among each other.
-    nth = Window.partitionBy("_id").orderBy("_source", "_tie")
-    plan = mix(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "positions")
-    times = plan.withColumn("_nth", F.row_number().over(nth)).select(F.col("_id").alias("_of"), F.col("_nth").alias("_n"), F.explode("positions").alias("_position"))
-    rows = docs.withColumn("_id", F.col("doc_id")).withColumn("_source", F.col("source").cast("string")).withColumn("_tie", F.xxhash64("text")).withColumn("_nth", F.row_number().over(nth))
+    """The documents as training sees them: a row for each time one is taken, in order of position.
+
+    Positions are planned and sorted without the texts, which meet their shards afterwards.
+    """
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    own = {c: names[docs.columns.index(c)] for c in ("doc_id", "source", "text")}
+    # As a table, so that a task that is run again can't give its rows other numbers.
+    rows = materialize(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), "documents")
+    order = _ordered(materialize(_plan(rows.select("rid", *[F.col(k).alias(c) for c, k in own.items()]), **settings).select("rid", "h", "positions"), "plan"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    taken = rows.join(times, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_nth") == F.col("_n")))
-    return taken.repartitionByRange(n, "_position", "_id").sortWithinPartitions("_position", "_id").select(docs.columns)
+    return rows.join(order, "rid").repartitionById(n, F.col("shard")).sortWithinPartitions("place").select(*names).toDF(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """As in ORACLES: without fill_up."""
-    return mix(docs, fill_up=False).select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    """mix() with the places that a document has in the order of training, as numbers joined by commas."""
+    plan = materialize(_plan(docs.select("doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())), "plan")
+    # As many places as a document is taken, at most `most`.
+    places = _ordered(plan).groupBy("rid").agg(F.array_join(F.sort_array(F.collect_list("place")).cast("array<string>"), ",").alias("places"))
+    return plan.join(places, "rid", "left").select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.coalesce("places", F.lit("")).alias("places"))
 
 
 _SLOPE = "(CASE place WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END)"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place FROM s),
 v AS (SELECT *, place + 1 AS weight FROM w),
-l AS (SELECT *, row_number() OVER o AS n, (sum(source_size) OVER ()::BIGINT - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)::DOUBLE
+l AS (SELECT *, row_number() OVER o AS n, (sum(source_size) OVER ()::BIGINT - coalesce(sum(3 * source_size) OVER (o {_BEFORE}), 0)::BIGINT)::DOUBLE
         / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM v WINDOW o AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST)),
 g AS (SELECT level FROM l WHERE level * weight <= 3 * source_size ORDER BY n LIMIT 1),
 a AS (SELECT l.source, source_size, place, least(3.0::DOUBLE * source_size, (SELECT level FROM g) * weight) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM a),
 c AS (SELECT d.*, b.* EXCLUDE (source), target - times * source_size AS rest,
-        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, rid {_BEFORE}), 0)::BIGINT AS pos
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 e AS (SELECT *, size > 0 AND pos + size <= rest AS fits FROM c),
 f AS (SELECT *, coalesce(max(CASE WHEN fits THEN pos + size END) OVER (PARTITION BY source), 0) AS filled FROM e),
-x AS (SELECT *, max(CASE WHEN NOT fits AND size > 0 AND size <= rest - filled THEN {{'s': size, 'a': pos}} END) OVER (PARTITION BY source) AS spare FROM f),
-y AS (SELECT *, CASE WHEN size > 0 THEN times + CASE WHEN fits OR coalesce(pos = spare.a, false) THEN 1 ELSE 0 END ELSE 0 END AS n_times,
-        greatest(times * source_size + filled + CASE WHEN spare IS NULL THEN 0.0::DOUBLE ELSE rest - filled END, 1.0::DOUBLE) AS total FROM x),
-z AS (SELECT *, least(((CASE WHEN times > 0 OR fits THEN pos ELSE filled END) + size / 2.0::DOUBLE) / total, 1.0::DOUBLE) AS u FROM y)
-SELECT doc_id, size, source_size, target, size * n_times AS taken,
-  CASE WHEN n_times > 0 THEN round(2 * u / ((1 - {_SLOPE}) + sqrt((1 - {_SLOPE}) * (1 - {_SLOPE}) + 4 * {_SLOPE} * u)), 9) END AS position
-FROM z
+r AS (
+  SELECT rid, source, pos, size, rest, last, last + size <= rest AS fits
+  FROM (SELECT *, (filled + coalesce(sum(size) OVER (PARTITION BY source ORDER BY pos {_BEFORE}), 0))::BIGINT AS last FROM f WHERE NOT fits AND size > 0 AND size <= rest - filled)
+  UNION ALL
+  SELECT rid, source, pos, size, rest, last, last + size <= rest AS fits
+  FROM (SELECT rid, source, pos, size, rest, (used + coalesce(sum(size) OVER (PARTITION BY source ORDER BY pos {_BEFORE}), 0))::BIGINT AS last
+        FROM (SELECT *, max(CASE WHEN fits THEN last + size END) OVER (PARTITION BY source) AS used FROM r) WHERE NOT fits AND size <= rest - used)),
+x AS (SELECT f.*, r.last, coalesce(sum(CASE WHEN r.rid IS NOT NULL THEN f.size END) OVER (PARTITION BY f.source), 0)::BIGINT AS more FROM f LEFT JOIN (SELECT rid, last FROM r WHERE fits) r ON f.rid = r.rid),
+y AS (SELECT *, CASE WHEN size > 0 THEN times + CASE WHEN fits OR last IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END AS n_times, greatest((times * source_size + filled + more)::DOUBLE, 1.0::DOUBLE) AS total FROM x),
+z AS (SELECT rid, h, place, least((k * source_size + CASE WHEN fits OR k < times THEN pos ELSE last END + size / 2.0::DOUBLE) / total, 1.0::DOUBLE) AS u FROM (SELECT *, unnest(range(n_times)) AS k FROM y)),
+t AS (SELECT rid, h, round(2 * u / ((1 - {_SLOPE}) + sqrt((1 - {_SLOPE}) * (1 - {_SLOPE}) + 4 * {_SLOPE} * u)), 9) AS position FROM z),
+o AS (SELECT rid, position, row_number() OVER (ORDER BY position, h, rid) - 1 AS place FROM t),
+p AS (SELECT rid, min(position) AS position, string_agg(place::VARCHAR, ',' ORDER BY place) AS places FROM o GROUP BY rid)
+SELECT doc_id, size, source_size, target, size * n_times AS taken, position, coalesce(places, '') AS places FROM y LEFT JOIN p USING (rid)
 """

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tensorframe.llm import mixing
 
 from .oracle import rows, sql_rows
@@ -18,6 +20,8 @@ def test_equals_sql_and_reruns_agree(spark):
     docs = documents(spark)
     got = rows(mixing.digests(docs))
     assert got == sql_rows(mixing.ORACLE_SQL, documents=docs) == rows(mixing.digests(docs.repartition(9)))
+    places = sorted(int(x) for r in mixing.digests(docs).collect() for x in r.places.split(",") if x)
+    assert places == list(range(len(places))) and len(places) > 300
 
 
 def test_targets_are_met_and_bounded(spark):
@@ -39,10 +43,22 @@ def test_train_order(spark):
         times[r.doc_id] += r.times
     out = mixing.train_order(docs)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == +times
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == +times
+    # In the order of the places that the query gives.
+    place = {int(x): r.doc_id for r in mixing.digests(docs).collect() for x in r.places.split(",") if x}
+    assert [r.doc_id for r in got] == [place[i] for i in range(len(got))]
     assert mixing.train_order(docs.limit(0)).count() == 0 == mixing.digests(docs.limit(0)).count()
 
 
+def test_columns_of_any_name_and_null_ids(spark):
+    data = [(None, f"text {i} " * 9, "s", i, -i, "a") for i in range(40)] + [(None, "text 1 " * 9, "s", 1, -1, "a"), (3, None, None, 90, -90, "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _id int, rid int, h string").withColumns({"_n": F.lit(1), "_position": F.lit(2), "place": F.lit(3), "shard": F.lit(4), "a.b": F.lit(5)})
+    got = mixing.train_order(docs, most=1).collect()
+    assert Counter(r._id for r in got) == Counter(r[3] for r in data[:-1])
+    assert all((r.rid, r._n, r._position, r.place, r.shard, r["a.b"], r.text) == (-r._id, 1, 2, 3, 4, 5, f"text {r._id} " * 9) for r in got)
+
+
 def test_the_last_pass_takes_all_that_fits(spark):
     first = min(range(61), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     data = [(i, "w " * (10_000 if i == first else 10), "a") for i in range(61)] + [(100 + i, "w " * 50, "b") for i in range(100)]
