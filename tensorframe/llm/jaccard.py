@@ -14,7 +14,9 @@ similarity of at least 0.8 are linked.
    the surviving pairs, however many these are.
 4. Connected components of the survivors are verified exactly: shingle sets are
    intersected in blocks of a component, and only counts of links and spanning
-   edges leave a block.  Blocks of large components are dealt out in pairs.
+   edges leave a block.  Blocks of large components are dealt out in pairs.  Up to
+   SPREAD blocks are small, so that machines share a group; beyond that blocks grow
+   to a bound of rows and shingles, so that a text isn't sent to too many pairs.
 5. Components of the verified links are the classes.
 
 Defined cases: a text without words (or null) has no links and is its own class;
@@ -44,9 +46,12 @@ THRESHOLD = 0.8
 VALUES, ROWS = 128, 4
 STEP = 16
 TOLERANCE = 1e-6
-#: Rows of a block; larger buckets and components are dealt out as pairs of blocks.
-BUCKET_BLOCK = 4096
-TEXT_BLOCK = 512
+#: Rows of a block and number of such blocks; then the most rows, and shingles, that a block of a larger group may have.
+BLOCK, SPREAD = 512, 32
+BUCKET_ROWS = 65_536
+TEXT_ROWS, TEXT_SHINGLES = 8192, 2_000_000
+#: Sets compared at a time on either side.
+TILE = 512
 #: Shingles sorted at a time when sets are intersected.
 RANGE = 500_000
 
@@ -197,9 +202,14 @@ def _starts(t: pa.Table, n_keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
-def in_blocks(rows: DataFrame, group: str, size: Column, block: int) -> DataFrame:
+def blocks_of(size: Column, most_rows: int, shingles: Column | None = None) -> Column:
+    """The number of blocks that a group of some rows (and shingles) is cut into."""
+    need = [F.least(F.ceil(size / BLOCK), F.lit(SPREAD)), F.ceil(size / most_rows)]
+    return F.greatest(*need, *([F.ceil(shingles / TEXT_SHINGLES)] if shingles is not None else [])).cast("int")
+
+
+def in_blocks(rows: DataFrame, group: str, many: Column) -> DataFrame:
     """rows with (i, j, side): each pair of a large group's blocks becomes a group of its own."""
-    many = F.ceil(size / block).cast("int")
     own = F.pmod(F.xxhash64("rid", F.col(group)), many).cast("int")
     places = F.transform(
         F.sequence(F.lit(0), many - 1),
@@ -234,7 +244,7 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).filter("size > 1")
     once = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = bands.join(once, "key").join(reps.select("rid", "sig"), "rid")
-    rows = in_blocks(members, "key", F.col("size"), BUCKET_BLOCK).select("key", "i", "j", "side", "rid", "sig")
+    rows = in_blocks(members, "key", blocks_of(F.col("size"), BUCKET_ROWS)).select("key", "i", "j", "side", "rid", "sig")
     least = least_matches(threshold, tolerance)
 
     def run(batches):
@@ -278,25 +288,28 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(run), EDGES)
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by sums of products of 0/1 matrices of bounded width."""
-    m = len(sets)
-    out = np.zeros((m, m), np.float64)
-    if m <= 4:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections of left sets with right ones (or one another), by products of 0/1 matrices of bounded width."""
+    sets = left + (right or [])
+    m = len(left)
+    out = np.zeros((m, len(right) if right is not None else m), np.float64)
+    if len(sets) <= 4:
         for i in range(m):
-            for j in range(i + 1, m):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            for j in range(i + 1, m) if right is None else range(len(right)):
+                out[i, j] = len(np.intersect1d(left[i], left[j] if right is None else right[j], assume_unique=True))
+                if right is None:
+                    out[j, i] = out[i, j]
         return out
     # By ranges of hashes, so that what is sorted at a time is bounded, however long the texts.
     n = -(-sum(map(len, sets)) // RANGE) or 1
     cuts = [np.searchsorted(x, np.array([(k << 64) // n for k in range(1, n)], np.uint64)) for x in sets]
     for k in range(n):
         parts = [x[(c[k - 1] if k else 0) : (c[k] if k < n - 1 else len(x))] for x, c in zip(sets, cuts, strict=True)]
-        _add_shared(out, parts)
+        _add_shared(out, parts, m if right is not None else None)
     return out
 
 
-def _add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
+def _add_shared(out: np.ndarray, sets: list[np.ndarray], split: int | None) -> None:
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -311,7 +324,29 @@ def _add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
         s, e = np.searchsorted(column, [at, at + width])
         x = np.zeros((m, width), np.float32)
         x[owner[s:e], column[s:e] - at] = 1
-        out += x @ x.T
+        out += x @ x.T if split is None else x[:split] @ x[split:].T
+
+
+def links_of(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, two: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's links, copies counted, and the least set of those it is linked with; only opposite sides where there are two."""
+    size = np.array([len(x) for x in sets], np.float64)
+    links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    every = np.arange(len(sets))
+    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (every, every)
+    for p in range(0, len(a), TILE):
+        for q in range(0 if two else p, len(b), TILE):
+            i, j = a[p : p + TILE], b[q : q + TILE]
+            same = not two and p == q
+            shared = shared_counts([sets[k] for k in i], None if same else [sets[k] for k in j])
+            linked = shared >= threshold * (size[i][:, None] + size[j][None, :] - shared) - 1e-9
+            if same:
+                np.fill_diagonal(linked, False)
+            links[i] += linked @ copies[j]
+            if not same:
+                links[j] += linked.T @ copies[i]
+            x, y = np.nonzero(linked)
+            label = labels_of(len(sets), np.concatenate([i[x], every]), np.concatenate([j[y], label]))
+    return links, label
 
 
 LINKS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("root", T.LongType()), T.StructField("links", T.LongType()), T.StructField("whole", T.BooleanType())])
@@ -329,15 +364,7 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 g = t.slice(s, e - s)
                 side, rid, copies = (g.column(c).to_numpy() for c in ("side", "rid", "copies"))
                 sets = [shingles(x.as_py(), hashes) for x in g.column("text")]
-                sizes = np.array([len(x) for x in sets], np.float64)
-                shared = shared_counts(sets)
-                linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
-                np.fill_diagonal(linked, False)
-                if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                    linked &= side[:, None] != side[None, :]
-                links = linked @ copies.astype(np.int64)
-                i, j = np.nonzero(np.triu(linked))
-                label = labels_of(len(rid), i, j)
+                links, label = links_of(sets, side, copies.astype(np.int64), g.column("i")[0].as_py() != g.column("j")[0].as_py(), threshold)
                 on = np.flatnonzero(links)
                 for o, x in zip(out, (rid[on], rid[label[on]], links[on], np.full(len(on), g.column("whole")[0].as_py())), strict=True):
                     o.append(x)
@@ -350,20 +377,21 @@ def verified(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each document: doc_id, class_id, n_links (to other documents)."""
     signed = materialize(signatures(docs), "signatures")
-    reps = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = signed.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     reps = materialize(reps, "representatives")
     values = signed.select("rid", "sig").join(reps.select("rid"), "rid", "left_semi")
     comps = components(materialize(candidate_edges(values, threshold, tolerance), "candidates"))
 
-    sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = materialize(spread_join(comps, sizes, "root").join(reps, F.col("node") == F.col("rid")).select(F.col("root").alias("comp"), "size", "rid", "first", "copies", "digest"), "members")
+    of_comp = comps.join(reps, F.col("node") == F.col("rid")).select(F.col("root").alias("comp"), "rid", "first", "copies", "n", "digest")
+    many = of_comp.groupBy("comp").agg(blocks_of(F.count(F.lit(1)), TEXT_ROWS, F.sum("n")).alias("many"))
+    members = materialize(spread_join(of_comp, many, "comp"), "members")
     # Texts come from the documents again, one for each member: shingles of all documents would fill the disks.
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))
     texts = docs.select(key(F.col("doc_id")).alias("_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_digest"), "text")
     # A merge join at every size: members grow with the documents, so a plan that broadcasts them would not last.
     wanted = members.withColumn("_id", key(F.col("first"))).withColumnRenamed("digest", "_digest")
     found = texts.join(wanted.hint("merge"), ["_id", "_digest"]).dropDuplicates(["rid"])
-    blocks = in_blocks(found.withColumn("whole", F.col("size") <= TEXT_BLOCK), "comp", F.col("size"), TEXT_BLOCK)
+    blocks = in_blocks(found.withColumn("whole", F.col("many") == 1), "comp", F.col("many"))
     links = materialize(verified(blocks, threshold), "links")
 
     spread = components(links.filter(~F.col("whole")).select(F.col("rid").alias("a"), F.col("root").alias("b")))
@@ -373,10 +401,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     classes = linked.groupBy("root").agg(F.min("first").alias("class_first"))
     linked = spread_join(linked, classes, "root").select("rid", "links", "class_first")
     of_text = reps.join(linked, "rid", "left").select(
-        F.col("digest").alias("_digest"), F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_first")).alias("_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"),
+        "digest", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("class_first")).alias("_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"),
     )
-    rows = signed.select("doc_id", "digest", "n")
-    return rows.join(of_text, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left").select(
+    # A text without words has no representative; one with very many copies is dealt out.
+    return spread_join(signed.select("doc_id", "digest", "n"), of_text, "digest", "left").select(
         "doc_id", F.when(F.col("n") > 0, F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
@@ -389,7 +417,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     kept = join(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rows.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"

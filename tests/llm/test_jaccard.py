@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tensorframe.llm import graph, jaccard
 
@@ -33,19 +34,44 @@ def test_equals_brute_force(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
-def test_large_groups_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("settings", [{"BLOCK": 3, "SPREAD": 1000, "BUCKET_ROWS": 4}, {"BLOCK": 2, "SPREAD": 2, "BUCKET_ROWS": 5, "TEXT_ROWS": 4}, {"SPREAD": 1, "TEXT_SHINGLES": 100}])
+def test_large_groups_in_small_blocks(spark, monkeypatch, settings):
     docs = documents(spark)
-    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 3)
-    monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 4)
+    for k, v in settings.items():
+        monkeypatch.setattr(jaccard, k, v)
     assert rows(jaccard.join(docs)) == sql_rows(jaccard.ORACLE_SQL, documents=docs)
 
 
+@pytest.mark.parametrize("tile", [2, 7, 512])
+def test_links_by_tiles(monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    r = np.random.default_rng(tile)
+    base = [r.choice(10**6, 60, replace=False) for _ in range(5)]
+    sets = [np.unique(np.concatenate([base[k % 5][: 60 - r.integers(0, 5)], r.integers(0, 10**6, r.integers(0, 5))])).astype(np.uint64) for k in range(30)]
+    copies = r.integers(1, 4, 30)
+    for side in (np.zeros(30, int), r.integers(0, 2, 30)):
+        two = bool(side.any())
+        like = np.array([[i != j and (not two or side[i] != side[j]) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+        links, label = jaccard.links_of(sets, side, copies, two)
+        assert (links == like @ copies).all() and (label == jaccard.labels_of(30, *np.nonzero(like))).all()
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     docs = documents(spark).filter("doc_id is not null")
     kept = [r.doc_id for r in jaccard.deduplicate(docs).collect()]
     assert sorted(kept) == sorted({r.class_id for r in jaccard.join(docs).collect()})
 
 
+def test_deduplicate_keeps_rows_without_ids_and_any_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    data = [(None, text), (None, text), (None, None), (4, text), (2, text + " end"), (2, text + " end"), (7, None), (8, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as class_id", "2 as rid", "3 as digest", "4 as _salt", "5 as `a.b`", "map(1, 2) as n")
+    out = jaccard.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, text), (0, text), (2, text + " end"), (7, ""), (8, "")]
+    assert jaccard.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_pruning_and_spanning():
     r = np.random.default_rng(3)
     least = jaccard.least_matches()
