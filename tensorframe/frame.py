@@ -37,6 +37,19 @@ class TensorFrame:
             raise K.ShapeError(f"columns {df.columns} aren't the cells of rank {len(self.shape)}")
         K.spark_type(dtype)
         self.df, self.dtype = df, dtype
+        #: Where known: (i0, value array) along the first axis, from which the cells come, and driver data.
+        self.rows: DataFrame | None = None
+        self.local: np.ndarray | None = None
+
+    @classmethod
+    def from_rows(cls, rows: DataFrame, shape: Sequence[int], dtype: str = "f64") -> TensorFrame:
+        """Cells of [n, *inner] from (i0, value), which row-wise operators use as it is."""
+        inner = tuple(shape)[1:]
+        lin = rows.select("i0", F.posexplode("value").alias("lin", "v"))
+        index = [(F.expr(f"lin div {s}") % d).cast("long").alias(f"i{k + 1}") for k, (d, s) in enumerate(zip(inner, K.strides(inner), strict=True))]
+        out = cls(lin.select("i0", *index, F.col("v").cast(K.spark_type(dtype)).alias("v")), shape, dtype)
+        out.rows = rows
+        return out
 
     # Inspectors.
     @property
@@ -73,8 +86,22 @@ class TensorFrame:
         return TensorFrame(df, self.shape if shape is None else shape, dtype or self.dtype)
 
     def hinted(self) -> DataFrame:
-        """The cells, to be broadcast in a join if they are few by the shape."""
-        return F.broadcast(self.df) if self.size <= BROADCAST_CELLS else self.df
+        """The cells, to be broadcast in a join if they are few by the shape, and else to be merged.
+
+        The planner may not choose: it goes by the size of the files that cells come from, which exploded rows outgrow.
+        """
+        return F.broadcast(self.df) if self.size <= BROADCAST_CELLS else self.df.hint("merge")
+
+    @property
+    def strides(self) -> tuple[int, ...]:
+        """Of the row-major order, in cells."""
+        return K.strides(self.shape)
+
+    def is_standard_layout(self) -> bool:
+        """Always: cells carry their indices, and rows are flattened row-major."""
+        return True
+
+    is_contiguous = is_standard_layout
 
     def cache(self) -> TensorFrame:
         return self.with_df(self.df.cache())
@@ -99,26 +126,29 @@ class TensorFrame:
         a = np.asarray(array)
         if dtype in K.RANGES and a.size and not (K.RANGES[dtype][0] <= a.min() and a.max() <= K.RANGES[dtype][1]):
             raise OverflowError(f"values are outside {dtype}")
+        a = K.rounded_array(a, dtype) if dtype in K.HALVES else a
         flat = a.reshape(-1)
         values = [int(x) for x in flat] if dtype in K.RANGES else [float(x) for x in flat]
         if dtype == "u64":
             values = [Decimal(x) for x in values]
         index = np.indices(a.shape).reshape(a.ndim, -1).T.tolist() if a.ndim else [[]] * len(values)
         schema = T.StructType([*(T.StructField(c, T.LongType(), False) for c in axes(a.ndim)), T.StructField("v", K.spark_type(dtype))])
-        return cls(spark.createDataFrame([(*i, v) for i, v in zip(index, values, strict=True)], schema), a.shape, dtype)
+        out = cls(spark.createDataFrame([(*i, v) for i, v in zip(index, values, strict=True)], schema), a.shape, dtype)
+        out.local = a
+        return out
 
     @classmethod
     def from_column(cls, df: DataFrame, row_id: str, values: str, shape: Sequence[int], dtype: str = "f64", rows: int | None = None) -> TensorFrame:
         """Cells of [rows, *shape] from a frame with an array for each row; row ids are 0 … rows-1."""
-        lin = df.select(F.col(row_id).cast("long").alias("i0"), F.posexplode(values).alias("lin", "v"))
-        inner = tuple(shape)
-        index = [(F.expr(f"lin div {s}") % d).cast("long").alias(f"i{k + 1}") for k, (d, s) in enumerate(zip(inner, K.strides(inner), strict=True))]
+        value = F.col(values) if isinstance(values, str) else values
+        if dtype in K.HALVES:
+            value = F.transform(value, lambda v: K.rounded(v, dtype))
         n = df.count() if rows is None else rows
-        return cls(lin.select("i0", *index, F.col("v").cast(K.spark_type(dtype)).alias("v")), (n, *inner), dtype)
+        return cls.from_rows(df.select(F.col(row_id).cast("long").alias("i0"), value.cast(T.ArrayType(K.spark_type(dtype))).alias("value")), (n, *shape), dtype)
 
     @classmethod
     def full(cls, spark: SparkSession, shape: Sequence[int], value: float, dtype: str = "f64") -> TensorFrame:
-        cells = spark.range(K.size(tuple(shape))).select(F.col("id").alias("lin"), F.lit(value).cast(K.spark_type(dtype)).alias("v"))
+        cells = spark.range(K.size(tuple(shape))).select(F.col("id").alias("lin"), K.rounded(F.lit(value).cast(K.spark_type(dtype)), dtype).alias("v"))
         return cls.from_linear(cells, shape, dtype)
 
     @classmethod
@@ -144,6 +174,8 @@ class TensorFrame:
 
     def dense(self, row_id: str = "row_id", value: str = "value") -> DataFrame:
         """Rows along the first axis, the others flattened row-major."""
+        if self.rows is not None:
+            return self.rows.select(F.col("i0").alias(row_id), F.col("value").alias(value))
         inner = F.lit(0).cast("long")
         for c, s in zip(self.index[1:], K.strides(self.shape)[1:], strict=True):
             inner = inner + F.col(c) * s

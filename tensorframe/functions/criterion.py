@@ -14,10 +14,13 @@ def _rows(x: TensorFrame, target: TensorFrame) -> DataFrame:
     x.require(ndim=2), target.require(ndim=1)
     if target.shape[0] != x.shape[0]:
         raise K.ShapeError(f"{target.shape[0]} labels for {x.shape[0]} rows")
-    classes = x.shape[1]
-    logits = x.dense("i0", "x")
-    label = F.when((F.col("v") >= 0) & (F.col("v") < classes), F.col("v").cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such class: "), F.col("v").cast("string"))).cast("int"))
-    return logits.join(target.df.select("i0", label.alias("t")), "i0").withColumn("xt", F.get("x", F.col("t")))
+    return _labelled(x.dense("i0", "x").join(target.hinted().select("i0", F.col("v").alias("t")), "i0"), x.shape[1])
+
+
+def _labelled(rows: DataFrame, classes: int) -> DataFrame:
+    """rows (x, t, …) with the label's logit xt; a label outside the classes raises."""
+    label = F.when((F.col("t") >= 0) & (F.col("t") < classes), F.col("t").cast("int")).otherwise(F.raise_error(F.concat(F.lit("no such class: "), F.col("t").cast("string"))).cast("int"))
+    return rows.withColumn("t", label).withColumn("xt", F.get("x", F.col("t")))
 
 
 def accuracy(x: TensorFrame, target: TensorFrame) -> DataFrame:
@@ -29,7 +32,11 @@ def accuracy(x: TensorFrame, target: TensorFrame) -> DataFrame:
 
 def cross_entropy_rows(x: TensorFrame, target: TensorFrame) -> DataFrame:
     """(i0, x, t, m, s, loss) of each sample: m the largest logit, s the sum of exp(x - m)."""
-    rows = _rows(x, target).withColumn("m", F.array_max("x"))
+    return _scored(_rows(x, target))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("m", F.array_max("x"))
     rows = rows.withColumn("s", F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("m"))))
     return rows.withColumn("loss", F.log("s") - (F.col("xt") - F.col("m")))
 
@@ -49,7 +56,16 @@ def cross_entropy_backward(x: TensorFrame, target: TensorFrame, dy: float = 1.0)
 
 def epoch_stats(x: TensorFrame, target: TensorFrame) -> DataFrame:
     """One row (count, loss, mean_loss, correct, accuracy in percent) in a single pass."""
-    rows = cross_entropy_rows(x, target).withColumn("scored", F.transform("x", lambda v, c: F.struct(v.alias("v"), c.alias("c"))))
+    return _stats(cross_entropy_rows(x, target))
+
+
+def row_stats(rows: DataFrame, classes: int, logits: str = "logits", label: str = "label") -> DataFrame:
+    """epoch_stats() of rows that have logits and label side by side: no join, and no shuffle but the last sum's."""
+    return _stats(_scored(_labelled(rows.select(F.col(logits).alias("x"), F.col(label).alias("t")), classes)))
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("scored", F.transform("x", lambda v, c: F.struct(v.alias("v"), c.alias("c"))))
     beaten = F.forall("scored", lambda s: (s["c"] == F.col("t")) | (s["v"] < F.col("xt")) & ~F.isnan(s["v"])) & ~F.isnan("xt")
     sums = rows.agg(F.count(F.lit(1)).alias("count"), F.sum("loss").alias("loss"), F.sum(beaten.cast("long")).alias("correct"))
     return sums.select("count", "loss", (F.col("loss") / F.col("count")).alias("mean_loss"), "correct", (100.0 * F.col("correct") / F.col("count")).alias("accuracy"))

@@ -36,12 +36,35 @@ def _options(padding, stride, dilation):
 
 
 def _filled(df: DataFrame, shape, dtype: str = "f64") -> TensorFrame:
-    """All cells of the shape: those of df (lin, v), else 0."""
+    """All cells of a shape of weights' size: those of df (lin, v), else 0."""
     spark = df.sparkSession
     grid = spark.range(K.size(tuple(shape))).select(F.col("id").alias("lin"))
     return TensorFrame.from_linear(grid.join(df, "lin", "left").select("lin", F.coalesce("v", F.lit(0)).cast(K.spark_type(dtype)).alias("v")), shape, dtype)
 
 
+def _met(place: str, size: int, kernel: int, padding: int, stride: int, dilation: int) -> str:
+    """SQL: whether some window of a row of `size` windows holds the input place."""
+    taps = [f"{place} + {padding - f * dilation}" for f in range(kernel)]
+    return "(" + " OR ".join(f"({t} >= 0 AND ({t}) % {stride} = 0 AND ({t}) div {stride} < {size})" for t in taps) + ")"
+
+
+def _holds(window: str, size: int, kernel: int, padding: int, stride: int, dilation: int) -> str:
+    """SQL: whether a window holds some place of an input of this size."""
+    return "(" + " OR ".join(f"({window} * {stride} + {f * dilation - padding} BETWEEN 0 AND {size - 1})" for f in range(kernel)) + ")"
+
+
+def _completed(df: DataFrame, shape, dtype: str, names: list[str], found: str) -> TensorFrame:
+    """df (lin, v), which has each cell for which the condition on named indices holds, with 0 for the others.
+
+    The missing cells come from index arithmetic, so nothing is joined or shuffled for them.
+    """
+    shape = tuple(shape)
+    grid = df.sparkSession.range(K.size(shape)).select(F.col("id").alias("lin"))
+    grid = grid.select("lin", *[F.expr(f"lin div {s} % {max(d, 1)}").alias(n) for n, d, s in zip(names, shape, K.strides(shape), strict=True)])
+    rest = grid.filter(~F.expr(found)).select("lin", F.lit(0).cast(K.spark_type(dtype)).alias("v"))
+    return TensorFrame.from_linear(df.select("lin", F.col("v").cast(K.spark_type(dtype)).alias("v")).unionByName(rest), shape, dtype)
+
+
 def _lin(shape, names) -> str:
     return " + ".join(f"{n} * {s}L" for n, s in zip(names, K.strides(tuple(shape)), strict=True))
 
@@ -55,7 +78,9 @@ def im2col(x: TensorFrame, kernel, padding=0, stride=1, dilation=1) -> TensorFra
     full = (b, oh, ow, c, *kernel)
     cells = taps.select(F.expr(_lin(full, ("b", "y", "x", "c", "fi", "fj"))).alias("lin"), "v")
     # The patch matrix has the same row-major places as the six axes.
-    return _filled(cells, (b * oh * ow, c * kernel[0] * kernel[1]), x.dtype)
+    inside = " AND ".join(f"{o} * {s[k]} + {f} * {d[k]} - {p[k]} BETWEEN 0 AND {x.shape[2 + k] - 1}" for k, (o, f) in enumerate((("y", "fi"), ("x", "fj"))))
+    six = cells if p == (0, 0) else _completed(cells, full, x.dtype, ["b", "y", "x", "c", "fi", "fj"], inside).df.select(F.expr(_lin(full, [f"i{k}" for k in range(6)])).alias("lin"), "v")
+    return TensorFrame.from_linear(six, (b * oh * ow, c * kernel[0] * kernel[1]), x.dtype)
 
 
 def col2im(cols: TensorFrame, shape, kernel, padding=0, stride=1, dilation=1) -> TensorFrame:
@@ -71,7 +96,13 @@ def col2im(cols: TensorFrame, shape, kernel, padding=0, stride=1, dilation=1) ->
         F.expr(f"i0 div {ow} % {oh} * {s[0]} + i1 div {kernel[1]} % {kernel[0]} * {d[0]} - {p[0]}").alias("h"), F.expr(f"i0 % {ow} * {s[1]} + i1 % {kernel[1]} * {d[1]} - {p[1]}").alias("w"), "v",
     )
     df = df.filter((F.col("h") >= 0) & (F.col("h") < shape[2]) & (F.col("w") >= 0) & (F.col("w") < shape[3]))
-    return _filled(df.groupBy(F.expr(_lin(shape, "bchw")).alias("lin")).agg(F.sum("v").alias("v")), shape)
+    return _summed(df, shape, (oh, ow), kernel, p, s, d)
+
+
+def _summed(df: DataFrame, shape, out, kernel, p, s, d) -> TensorFrame:
+    """Cells (b, c, h, w, v) added up by place, 0 where no window holds a place."""
+    met = " AND ".join(_met(n, *x) for n, x in zip("hw", zip(out, kernel, p, s, d, strict=True), strict=True))
+    return _completed(df.groupBy(F.expr(_lin(shape, "bchw")).alias("lin")).agg(F.sum("v").alias("v")), shape, "f64", [*"bchw"], met)
 
 
 def _weights(w: TensorFrame) -> DataFrame:
@@ -93,7 +124,8 @@ def conv2(x: TensorFrame, w: TensorFrame, bias: TensorFrame | None = None, paddi
     shape = (x.shape[0], w.shape[0], oh, ow)
     df = taps.join(_weights(w), ["c", "fi", "fj"]).groupBy("b", "o", "y", "x").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
     if _empty_windows(x.shape[2:], kernel, p, s, d):
-        out = _filled(df.select(F.expr(_lin(shape, "boyx")).alias("lin"), "v"), shape)
+        held = " AND ".join(_holds(n, *a) for n, a in zip("yx", zip(x.shape[2:], kernel, p, s, d, strict=True), strict=True))
+        out = _completed(df.select(F.expr(_lin(shape, "boyx")).alias("lin"), "v"), shape, "f64", [*"boyx"], held)
     else:
         out = TensorFrame(df.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("boyx")], "v"), shape)
     if bias is None:
@@ -110,7 +142,7 @@ def conv2_backward_input(dy: TensorFrame, w: TensorFrame, shape, padding=0, stri
     df = dy.require(ndim=4).df.select(F.col("i0").alias("b"), F.col("i1").alias("o"), F.col("i2").alias("y"), F.col("i3").alias("x"), "v").join(_weights(w), "o")
     df = df.select("b", "c", (F.col("y") * s[0] + F.col("fi") * d[0] - p[0]).alias("h"), (F.col("x") * s[1] + F.col("fj") * d[1] - p[1]).alias("w"), (F.col("v") * F.col("k")).alias("v"))
     df = df.filter((F.col("h") >= 0) & (F.col("h") < shape[2]) & (F.col("w") >= 0) & (F.col("w") < shape[3]))
-    return _filled(df.groupBy(F.expr(_lin(shape, "bchw")).alias("lin")).agg(F.sum("v").alias("v")), shape)
+    return _summed(df, shape, dy.shape[2:], w.shape[2:], p, s, d)
 
 
 def conv2_backward_weight(x: TensorFrame, dy: TensorFrame, kernel, padding=0, stride=1, dilation=1) -> TensorFrame:
@@ -118,7 +150,7 @@ def conv2_backward_weight(x: TensorFrame, dy: TensorFrame, kernel, padding=0, st
     kernel = K.pair(kernel)
     p, s, d = _options(padding, stride, dilation)
     taps, _ = _taps(x, kernel, p, s, d)
-    grad = dy.require(ndim=4).df.select(F.col("i0").alias("b"), F.col("i1").alias("o"), F.col("i2").alias("y"), F.col("i3").alias("x"), F.col("v").cast("double").alias("g"))
+    grad = dy.require(ndim=4).hinted().select(F.col("i0").alias("b"), F.col("i1").alias("o"), F.col("i2").alias("y"), F.col("i3").alias("x"), F.col("v").cast("double").alias("g"))
     shape = (dy.shape[1], x.shape[1], *kernel)
     df = taps.join(grad, ["b", "y", "x"]).groupBy("o", "c", "fi", "fj").agg(F.sum(F.col("v") * F.col("g")).alias("v"))
     return _filled(df.select(F.expr(_lin(shape, ("o", "c", "fi", "fj"))).alias("lin"), "v"), shape)
@@ -133,11 +165,21 @@ def conv1(x: TensorFrame, w: TensorFrame, bias: TensorFrame | None = None, paddi
     return index_axis(conv2(_as_image(x), _as_image(w), bias, (padding, 0), (stride, 1), (dilation, 1)), 3, 0)
 
 
+def _windows(x: TensorFrame, kernel, stride) -> tuple[DataFrame, tuple[int, int]]:
+    """As _taps(), but a cell of windows that don't overlap is in one, which division gives."""
+    if stride != kernel:
+        return _taps(x, kernel, (0, 0), stride, (1, 1))
+    x.require(ndim=4)
+    out = K.conv_shape(x.shape[2:], kernel, (0, 0), stride, (1, 1))
+    df = x.df.filter((F.col("i2") < out[0] * kernel[0]) & (F.col("i3") < out[1] * kernel[1])).select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bchw")], "v")
+    return df.selectExpr("*", f"h % {kernel[0]} AS fi", f"w % {kernel[1]} AS fj", f"h div {kernel[0]} AS y", f"w div {kernel[1]} AS x"), out
+
+
 def max_pool2(x: TensorFrame, kernel, stride=None) -> TensorFrame:
     """Window maxima; the stride is the window unless given."""
     kernel = K.pair(kernel)
     stride = kernel if stride is None else K.pair(stride)
-    taps, out = _taps(x, kernel, (0, 0), stride, (1, 1))
+    taps, out = _windows(x, kernel, stride)
     df = taps.groupBy("b", "c", "y", "x").agg(F.max("v").alias("v"))
     return x.with_df(df.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("bcyx")], "v"), (*x.shape[:2], *out))
 
@@ -146,13 +188,15 @@ def max_pool2_backward(x: TensorFrame, dy: TensorFrame, kernel, stride=None) ->
     """dy at the first maximum of each window, added up where windows overlap, 0 elsewhere."""
     kernel = K.pair(kernel)
     stride = kernel if stride is None else K.pair(stride)
-    taps, _ = _taps(x, kernel, (0, 0), stride, (1, 1))
+    taps, _ = _windows(x, kernel, stride)
     # An aggregate that combines before the shuffle, where a window function would sort all taps.
     first = taps.groupBy("b", "c", "y", "x").agg(F.max(F.struct("v", (-F.col("fi")).alias("fi"), (-F.col("fj")).alias("fj"))).alias("m"))
     first = first.select("b", "c", "y", "x", (F.col("y") * stride[0] - F.col("m.fi")).alias("h"), (F.col("x") * stride[1] - F.col("m.fj")).alias("w"))
-    grad = dy.df.select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bcyx")], "v")
-    df = first.join(grad, ["b", "c", "y", "x"]).groupBy(F.expr(_lin(x.shape, "bchw")).alias("lin")).agg(F.sum("v").alias("v"))
-    return _filled(df, x.shape)
+    grad = dy.hinted().select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bcyx")], "v")
+    found = first.join(grad, ["b", "c", "y", "x"]).select(F.expr(_lin(x.shape, "bchw")).alias("lin"), "v")
+    # Which cells are first depends on the data, so a 0 for each cell is added up with them.
+    zeros = x.spark.range(x.size).select(F.col("id").alias("lin"), F.lit(0.0).alias("v"))
+    return TensorFrame.from_linear(found.unionByName(zeros).groupBy("lin").agg(F.sum("v").alias("v")), x.shape)
 
 
 def max_pool1(x: TensorFrame, kernel: int, stride: int | None = None) -> TensorFrame:

@@ -16,7 +16,7 @@ def _convert(v: Column, dtype: str, saturate: bool) -> Column:
     if dtype in K.RANGES and saturate:
         least, most = K.RANGES[dtype]
         v = F.when(F.isnan(v.cast("double")), 0).otherwise(F.when(v < least, least).when(v > most, most).otherwise(v))
-    return v.cast(K.spark_type(dtype))
+    return K.rounded(v.cast(K.spark_type(dtype)), dtype)
 
 
 def cast(x: TensorFrame, dtype: str, mode: str = "error") -> TensorFrame:
@@ -29,7 +29,7 @@ def cast(x: TensorFrame, dtype: str, mode: str = "error") -> TensorFrame:
 def scaled_cast(x: TensorFrame, alpha: float, dtype: str) -> TensorFrame:
     """alpha times the converted value, in the new type."""
     y = cast(x, dtype)
-    return y.with_df(y.df.withColumn("v", (F.col("v") * F.lit(alpha)).cast(K.spark_type(dtype))))
+    return y.with_df(y.df.withColumn("v", K.rounded((F.col("v") * F.lit(alpha)).cast(K.spark_type(dtype)), dtype)))
 
 
 def zipped(x: TensorFrame, y: TensorFrame, f: Callable[[Column, Column], Column], dtype: str | None = None) -> TensorFrame:
@@ -43,7 +43,7 @@ def zipped(x: TensorFrame, y: TensorFrame, f: Callable[[Column, Column], Column]
     for k, _ in on:
         condition = condition & (F.col(f"i{k}") == F.col(f"j{k}"))
     joined = x.df.join(right, condition, "inner") if on else x.df.crossJoin(F.broadcast(right))  # one cell
-    return x.with_df(joined.select(*x.index, f(F.col("v"), F.col("w")).cast(K.spark_type(dtype or x.dtype)).alias("v")), dtype=dtype)
+    return x.with_df(joined.select(*x.index, K.rounded(f(F.col("v"), F.col("w")).cast(K.spark_type(dtype or x.dtype)), dtype or x.dtype).alias("v")), dtype=dtype)
 
 
 def scaled_add(x: TensorFrame, alpha: float, y: TensorFrame) -> TensorFrame:
@@ -69,7 +69,7 @@ def binary(op: str, alpha: float, x: TensorFrame, y: TensorFrame) -> TensorFrame
 
 
 def fill(x: TensorFrame, value: float) -> TensorFrame:
-    return x.with_df(x.df.withColumn("v", F.lit(value).cast(K.spark_type(x.dtype))))
+    return x.with_df(x.df.withColumn("v", K.rounded(F.lit(value).cast(K.spark_type(x.dtype)), x.dtype)))
 
 
 def one_hot(labels: TensorFrame, classes: int, dtype: str = "f64") -> TensorFrame:

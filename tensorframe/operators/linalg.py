@@ -1,33 +1,76 @@
 """Matrix products: a join on the shared index and a sum.
 
-Partial aggregation before the shuffle is the split of long inner axes; a side
-that is small by its shape is broadcast, else both are shuffled by the shared
-index.
+Rows times driver data of bounded size need neither: the matrix stands in the
+plan, and each row's products are added up where the row is.  Otherwise partial
+aggregation before the shuffle is the split of long inner axes; a side that is
+small by its shape is broadcast, else the output is cut into tiles, so that rows
+of one and columns of the other meet by tile of the output and shared index.
 """
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorframe import types as K
-from tensorframe.frame import TensorFrame
+from tensorframe.frame import BROADCAST_CELLS, TensorFrame
 from tensorframe.operators.shape import transpose
 
 
+#: A matrix of driver data with at most so many cells stands in the plan as a literal.
+LITERAL_CELLS = 16_384
+#: Ranges of rows, and of columns, that the output of two large matrices is cut into.
+TILES = 8
+
+
+def row_product(value: str, matrix: np.ndarray) -> Column:
+    """The array value times a matrix, as an array."""
+    columns = F.lit([[float(x) for x in c] for c in np.asarray(matrix).T])
+    return F.transform(columns, lambda c: F.aggregate(F.zip_with(value, c, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x))
+
+
+def _turned(x: TensorFrame) -> TensorFrame:
+    out = transpose(x)
+    if x.local is not None:
+        out.local = x.local.T
+    return out
+
+
 def dot(a: TensorFrame, b: TensorFrame, ta: bool = False, tb: bool = False, alpha: float = 1.0, beta: float = 0.0, c: TensorFrame | None = None) -> TensorFrame:
     """alpha * A·B + beta * C of matrices of one element type, either one transposed on the way."""
     a.require(ndim=2), b.require(ndim=2, dtype=a.dtype)
-    a, b = transpose(a) if ta else a, transpose(b) if tb else b
+    a, b = _turned(a) if ta else a, _turned(b) if tb else b
     (m, k), (k2, n) = a.shape, b.shape
     if k != k2:
         raise K.ShapeError(f"{a.shape} and {b.shape} don't multiply")
     wide = "double" if K.is_float(a.dtype) else "long"
+    if a.rows is not None and b.local is not None and b.size <= LITERAL_CELLS and wide == "double" and k:
+        out = TensorFrame.from_rows(a.rows.select("i0", row_product("value", alpha * b.local.astype(float)).alias("value")), (m, n))
+        return _plus(out, beta, c)
     left = (a.hinted() if a.size < b.size else a.df).select("i0", F.col("i1").alias("k"), F.col("v").cast(wide).alias("x"))
     right = (b.df if a.size < b.size else b.hinted()).select(F.col("i0").alias("k"), "i1", F.col("v").cast(wide).alias("y"))
-    df = left.join(right, "k").groupBy("i0", "i1").agg((F.sum(F.col("x") * F.col("y")) * F.lit(alpha)).cast(wide).alias("v"))
+    if min(a.size, b.size) > BROADCAST_CELLS:
+        left, right = _tiled(left, "i0", m, "i1", n), _tiled(right, "i1", n, "i0", m)
+    df = left.join(right, [c for c in left.columns if c in right.columns]).groupBy("i0", "i1").agg((F.sum(F.col("x") * F.col("y")) * F.lit(alpha)).cast(wide).alias("v"))
     out = TensorFrame(df.select("i0", "i1", "v"), (m, n), "f64" if wide == "double" else "i64")
-    if c is not None and beta:
-        from tensorframe.operators.elementwise import scaled_add
+    return _plus(out, beta, c)
 
-        return scaled_add(out, beta, c)
-    return out
+
+def _tiled(side: DataFrame, own: str, size: int, other: str, count: int) -> DataFrame:
+    """A side with the tile of the output that its cells meet the other's in: its own range, and each of the other's.
+
+    With n by n tiles a cell is sent n times, and as many tasks share the pairs of an index.
+    """
+    n = TILES
+    mine = F.expr(f"{own} * {n} div {max(size, 1)}")
+    theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return side.withColumn(f"t_{own}", mine).withColumn(f"t_{other}", theirs)
+
+
+def _plus(out: TensorFrame, beta: float, c: TensorFrame | None) -> TensorFrame:
+    if c is None or not beta:
+        return out
+    from tensorframe.operators.elementwise import scaled_add
+
+    return scaled_add(out, beta, c)

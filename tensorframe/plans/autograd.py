@@ -23,14 +23,16 @@ Backward = Callable[[TensorFrame], TensorFrame]
 class Node:
     """A gradient slot and the edges to the nodes of the inputs."""
 
-    def __init__(self, shape: tuple[int, ...], edges: Sequence[tuple[Node, Backward]] = ()) -> None:
-        self.shape, self.edges = shape, list(edges)
+    def __init__(self, shape: tuple[int, ...], edges: Sequence[tuple[Node, Backward]] = (), dtype: str | None = None) -> None:
+        self.shape, self.edges, self.dtype = shape, list(edges), dtype
         self.grad: TensorFrame | None = None
         self.done = False
 
     def add(self, grad: TensorFrame) -> None:
         if grad.shape != self.shape:
             raise K.ShapeError(f"a gradient of {grad.shape} for a value of {self.shape}")
+        if self.dtype is not None and K.is_float(self.dtype) != K.is_float(grad.dtype):
+            raise TypeError(f"a gradient of {grad.dtype} for a value of {self.dtype}")
         self.grad = grad if self.grad is None else O.add_assign(self.grad, grad)
 
     def backward(self, grad: TensorFrame) -> None:
@@ -67,20 +69,28 @@ class Variable:
     def custom(cls, value: TensorFrame, edges: Sequence[tuple[Variable, Backward]]) -> Variable:
         """An operator of one's own: its value and, for each input, the gradient's way back."""
         kept = [(v.node, f) for v, f in edges if v.node is not None]
-        return cls(value, Node(value.shape, kept) if kept else None)
+        return cls(value, Node(value.shape, kept, value.dtype) if kept else None)
 
     @classmethod
     def leaf(cls, value: TensorFrame) -> Variable:
-        return cls(value, Node(value.shape))
+        return cls(value, Node(value.shape, dtype=value.dtype))
 
     @property
     def shape(self) -> tuple[int, ...]:
         return self.value.shape
 
+    @property
+    def dtype(self) -> str:
+        return self.value.dtype
+
     @property
     def grad(self) -> TensorFrame | None:
         return self.node.grad if self.node else None
 
+    def cast(self, dtype: str) -> Variable:
+        """Another element type; the gradient comes back in the old one."""
+        return self.custom(O.cast(self.value, dtype), [(self, lambda g: O.cast(g, self.dtype))])
+
     def backward(self, grad: TensorFrame | None = None) -> None:
         if self.node is not None:
             self.node.backward(grad if grad is not None else TensorFrame.ones(self.value.spark, self.shape))
@@ -146,7 +156,7 @@ class Parameter:
 
     def init_grad(self) -> None:
         """From now on to_variable() gives a differentiated one."""
-        self._node = Node(self.value.shape)
+        self._node = Node(self.value.shape, dtype=self.value.dtype)
 
     @property
     def grad(self) -> TensorFrame | None:

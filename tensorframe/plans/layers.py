@@ -12,11 +12,25 @@ from tensorframe.frame import TensorFrame
 from tensorframe.plans.autograd import Parameter, Variable
 
 
+def run_through(parts, x: Variable) -> Variable:
+    """x through the layers among parts (and in lists), in order; None, for a layer that is not there, passes it on."""
+    for part in parts:
+        if isinstance(part, list | tuple):
+            x = run_through(part, x)
+        elif isinstance(part, Layer):
+            x = part(x)
+    return x
+
+
 class Layer:
-    """Attributes that are parameters or layers (also in lists, or None) are found by themselves."""
+    """Attributes that are parameters or layers (also in lists, or None) are found by themselves.
+
+    A model without a forward() of its own passes its input through the layers
+    among its attributes, in the order in which they were set; None is left out.
+    """
 
     def forward(self, x: Variable) -> Variable:
-        raise NotImplementedError
+        return run_through(vars(self).values(), x)
 
     def __call__(self, x: Variable | TensorFrame) -> Variable:
         return self.forward(x if isinstance(x, Variable) else Variable(x))
@@ -42,18 +56,36 @@ class Layer:
         for _, p in self.parameters():
             p.cast(dtype)
 
+    def options(self) -> dict:
+        """What a saved model needs besides parameters and inner layers: plain attributes."""
+        return {k: v for k, v in vars(self).items() if isinstance(v, str | int | float | bool | None | dict) or (isinstance(v, list | tuple) and not any(isinstance(y, Layer | Parameter) for y in v))}
+
+
+class Optional(Layer):
+    """A layer or None, which passes the input on."""
+
+    def __init__(self, layer: Layer | None) -> None:
+        self.layer = layer
 
-def _uniform(spark: SparkSession, shape: tuple[int, ...], inputs: int, seed: int) -> Parameter:
+
+class OneOf(Layer):
+    """The one of several layers, by name, that is chosen; only its parameters are the model's."""
+
+    def __init__(self, chosen: str, **layers: Layer) -> None:
+        self.chosen, self.layer = chosen, layers[chosen]
+
+
+def _uniform(spark: SparkSession, shape: tuple[int, ...], inputs: int, seed: int, dtype: str = "f64") -> Parameter:
     a = np.sqrt(2 / inputs)
-    return Parameter(TensorFrame.from_numpy(spark, np.random.default_rng(seed).uniform(-a, a, shape)))
+    return Parameter(TensorFrame.from_numpy(spark, np.random.default_rng(seed).uniform(-a, a, shape), dtype))
 
 
 class Dense(Layer):
     """x·W (+ b), W of [inputs, outputs]."""
 
-    def __init__(self, spark: SparkSession, inputs: int, outputs: int, bias: bool = False, seed: int = 0) -> None:
-        self.weight = _uniform(spark, (inputs, outputs), inputs, seed)
-        self.bias = _uniform(spark, (outputs,), inputs, seed + 1) if bias else None
+    def __init__(self, spark: SparkSession, inputs: int, outputs: int, bias: bool = False, seed: int = 0, dtype: str = "f64") -> None:
+        self.weight = _uniform(spark, (inputs, outputs), inputs, seed, dtype)
+        self.bias = _uniform(spark, (outputs,), inputs, seed + 1, dtype) if bias else None
 
     def forward(self, x: Variable) -> Variable:
         y = x.dot(self.weight.to_variable())
@@ -63,28 +95,28 @@ class Dense(Layer):
 class Conv2(Layer):
     """W of [outputs, inputs, fh, fw]; the bias is one for each output channel."""
 
-    def __init__(self, spark: SparkSession, inputs: int, outputs: int, kernel, padding=0, stride=1, dilation=1, bias: bool = False, seed: int = 0) -> None:
+    def __init__(self, spark: SparkSession, inputs: int, outputs: int, kernel, padding=0, stride=1, dilation=1, bias: bool = False, seed: int = 0, dtype: str = "f64") -> None:
         kernel = K.pair(kernel)
-        self.options = {"padding": padding, "stride": stride, "dilation": dilation}
-        self.weight = _uniform(spark, (outputs, inputs, *kernel), inputs * kernel[0] * kernel[1], seed)
-        self.bias = _uniform(spark, (outputs,), inputs * kernel[0] * kernel[1], seed + 1) if bias else None
+        self.conv = {"padding": padding, "stride": stride, "dilation": dilation}
+        self.weight = _uniform(spark, (outputs, inputs, *kernel), inputs * kernel[0] * kernel[1], seed, dtype)
+        self.bias = _uniform(spark, (outputs,), inputs * kernel[0] * kernel[1], seed + 1, dtype) if bias else None
 
     def forward(self, x: Variable) -> Variable:
-        y = x.conv2(self.weight.to_variable(), **self.options)
+        y = x.conv2(self.weight.to_variable(), **self.conv)
         return y.add(self.bias.to_variable().reshape((y.shape[1], 1, 1))) if self.bias else y
 
 
 class Conv1(Layer):
     """W of [outputs, inputs, f] over [n, c, h]."""
 
-    def __init__(self, spark: SparkSession, inputs: int, outputs: int, kernel: int, padding: int = 0, stride: int = 1, dilation: int = 1, bias: bool = False, seed: int = 0) -> None:
-        self.options = {"padding": (padding, 0), "stride": (stride, 1), "dilation": (dilation, 1)}
-        self.weight = _uniform(spark, (outputs, inputs, kernel), inputs * kernel, seed)
-        self.bias = _uniform(spark, (outputs,), inputs * kernel, seed + 1) if bias else None
+    def __init__(self, spark: SparkSession, inputs: int, outputs: int, kernel: int, padding: int = 0, stride: int = 1, dilation: int = 1, bias: bool = False, seed: int = 0, dtype: str = "f64") -> None:
+        self.conv = {"padding": (padding, 0), "stride": (stride, 1), "dilation": (dilation, 1)}
+        self.weight = _uniform(spark, (outputs, inputs, kernel), inputs * kernel, seed, dtype)
+        self.bias = _uniform(spark, (outputs,), inputs * kernel, seed + 1, dtype) if bias else None
 
     def forward(self, x: Variable) -> Variable:
         w = self.weight.to_variable()
-        y = x.reshape((*x.shape, 1)).conv2(w.reshape((*w.shape, 1)), **self.options)
+        y = x.reshape((*x.shape, 1)).conv2(w.reshape((*w.shape, 1)), **self.conv)
         y = y.reshape(y.shape[:3])
         return y.add(self.bias.to_variable().reshape((y.shape[1], 1))) if self.bias else y
 
@@ -128,9 +160,7 @@ class Sequential(Layer):
         self.layers = list(layers)
 
     def forward(self, x: Variable) -> Variable:
-        for layer in self.layers:
-            x = x if layer is None else layer(x)
-        return x
+        return run_through(self.layers, x)
 
 
 def lenet5(spark: SparkSession, seed: int = 0) -> Sequential:

@@ -22,6 +22,7 @@ from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.plans import kernels, layers
 from tensorframe.plans.layers import Layer, Sequential
+from tensorframe.scratch import materialize
 
 cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,7 +52,7 @@ class Net:
             case layers.Dense():
                 self.plan.append(("dense", None, names))
             case layers.Conv2():
-                self.plan.append(("conv", tuple(K.pair(layer.options[o]) for o in ("padding", "stride", "dilation")), names))
+                self.plan.append(("conv", tuple(K.pair(layer.conv[o]) for o in ("padding", "stride", "dilation")), names))
             case layers.MaxPool2():
                 kernel = K.pair(layer.kernel)
                 self.plan.append(("pool", (kernel, kernel if layer.stride is None else K.pair(layer.stride)), names))
@@ -62,6 +63,9 @@ class Net:
             case layers.Sequential():
                 for k, inner in enumerate(x for x in layer.layers if x is not None):
                     self._compile(f"{path}.layers.{k}", inner)
+            case layers.Optional() | layers.OneOf():
+                if layer.layer is not None:
+                    self._compile(f"{path}.layer", layer.layer)
             case layers.Identity():
                 pass
             case _:
@@ -82,7 +86,7 @@ class Net:
         spark.createDataFrame(rows, "param string, slot string, idx long, v double").coalesce(1).write.mode("overwrite").parquet(path)
 
     def load(self, spark, path: str) -> None:
-        t = spark.read.parquet(path).toPandas().sort_values(["param", "slot", "idx"])
+        t = spark.read.parquet(path).filter(F.col("slot").isin("value", "velocity")).toPandas().sort_values(["param", "slot", "idx"])
         for (n, slot), g in t.groupby(["param", "slot"]):
             (self.params if slot == "value" else self.velocity)[n] = g.v.to_numpy().astype(self.dtype).reshape(self.params[n].shape)
 
@@ -161,9 +165,13 @@ def train(rows: DataFrame, net: Net, shape: tuple[int, ...], learning_rate: floa
 
 
 def train_batches(batched: DataFrame, net: Net, shape: tuple[int, ...], learning_rate: float, momentum: float | None = None, **options) -> list[dict[str, float]]:
-    """An epoch of steps over a frame with a batch_id, which should be cached or bucketed by it."""
-    most = batched.agg(F.max("batch_id")).first()[0]
+    """An epoch of steps over a frame with a batch_id.
+
+    The rows are laid out by batch once, so that a step reads its own batch only.
+    """
+    laid = materialize(batched, "batches", by="batch_id")
+    most = laid.agg(F.max("batch_id")).first()[0]
     out = []
     for k in range(-1 if most is None else int(most) + 1):
-        out += train(batched.filter(F.col("batch_id") == k), net, shape, learning_rate, momentum, **options)
+        out += train(laid.filter(F.col("batch_id") == k), net, shape, learning_rate, momentum, **options)
     return out

@@ -6,19 +6,23 @@ integer formulas, so that both engines make the same.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorframe import operators as O
+from tensorframe import types as K
 from tensorframe.frame import TensorFrame
-from tensorframe.functions import accuracy, cross_entropy_backward, cross_entropy_rows, epoch_stats
-from tensorframe.plans import SGD, Conv2, Dense, Flatten, MaxPool2, Parameter, Relu, Sequential, Variable
+from tensorframe.functions import accuracy, cross_entropy_backward, cross_entropy_rows, epoch_stats, row_stats
+from tensorframe.plans import SGD, Conv2, Dense, Flatten, Identity, Layer, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
 from tensorframe.plans.train import Net, evaluate, gradients, predict, train
-from tensorframe.sources import sequential, shuffled
+from tensorframe.scratch import scratch_path, write_file
+from tensorframe.sources import digits, iris, sequential, shuffled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,8 +107,10 @@ _V = "round(v, 6) + 0.0 AS v"
 
 @query("SELECT (SELECT count(*) FROM loss) AS count, (SELECT round(sum(loss), 4) FROM loss) AS loss, (SELECT round(avg(loss), 6) FROM loss) AS mean_loss, (SELECT count(*) FROM hit WHERE hit) AS correct, (SELECT round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 6) FROM hit) AS accuracy")
 def q_dense_loss_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = TensorFrame.from_column(table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding").cast("array<double>"), (64,), rows=table(spark, sf_dir, "embeddings").count())
-    stats = epoch_stats(O.dot(x, weight(spark)), labels(spark, sf_dir))
+    """Row by row: the weights stand in the plan, and only sums are shuffled."""
+    w = weight(spark).local
+    rows = table(spark, sf_dir, "embeddings").select(O.row_product("embedding", w).alias("logits"), "label")
+    stats = row_stats(rows, w.shape[1])
     return stats.select("count", F.round("loss", 4).alias("loss"), F.round("mean_loss", 6).alias("mean_loss"), "correct", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -476,18 +482,228 @@ def q_cnn_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("count", F.round("loss", 4).alias("loss"))
 
 
-@query()
+def _cnn_step(k: int) -> str:
+    """SQL of step k: forward, loss and gradients of cnn() from its parameters ker<k>, den<k>, off<k>."""
+    return f"""
+con{k} AS MATERIALIZED (SELECT img.b, q.o, img.h - q.fi AS y, img.w - q.fj AS z, sum(img.v * q.k) AS v FROM img JOIN ker{k} q ON img.h - q.fi BETWEEN 0 AND 5 AND img.w - q.fj BETWEEN 0 AND 5 GROUP BY ALL),
+poo{k} AS MATERIALIZED (SELECT b, o, o * 9 + y // 2 * 3 + z // 2 AS i, y, z, v, greatest(v, 0) AS r FROM con{k} QUALIFY row_number() OVER (PARTITION BY b, o, y // 2, z // 2 ORDER BY greatest(v, 0) DESC, y, z) = 1),
+log{k} AS MATERIALIZED (SELECT b, n, sum(r * w) + any_value(off{k}.v) AS v FROM poo{k} JOIN den{k} USING (i) JOIN off{k} USING (n) GROUP BY b, n),
+top{k} AS (SELECT b, max(v) AS m FROM log{k} GROUP BY b),
+exp{k} AS MATERIALIZED (SELECT b, n, t, v, m, exp(v - m) AS e, sum(exp(v - m)) OVER (PARTITION BY b) AS s FROM log{k} JOIN top{k} USING (b) JOIN lab ON lab.i0 = b),
+sta{k} AS (SELECT {k} AS step, count(*) AS count, round(sum(ln(s) - (v - m)), 4) AS loss, (SELECT count(*) FROM (SELECT b FROM exp{k} GROUP BY b HAVING max(CASE WHEN n = t THEN v END) > max(CASE WHEN n <> t THEN v END))) AS correct FROM exp{k} WHERE n = t),
+gra{k} AS MATERIALIZED (SELECT b, n, (e / s - CASE WHEN n = t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / (SELECT count(*) FROM lab) AS g FROM exp{k}),
+gde{k} AS MATERIALIZED (SELECT i, n, sum(r * g) AS g FROM poo{k} JOIN gra{k} USING (b) GROUP BY i, n),
+gof{k} AS MATERIALIZED (SELECT n, sum(g) AS g FROM gra{k} GROUP BY n),
+bac{k} AS MATERIALIZED (SELECT b, i, sum(g * w) AS g FROM gra{k} JOIN den{k} USING (n) GROUP BY b, i),
+gke{k} AS MATERIALIZED (SELECT p.o, fi.range AS fi, fj.range AS fj, sum(CASE WHEN p.v >= 0 THEN bac{k}.g ELSE 0 END * img.v) AS g
+  FROM poo{k} p JOIN bac{k} USING (b, i) CROSS JOIN range(3) fi CROSS JOIN range(3) fj JOIN img ON img.b = p.b AND img.h = p.y + fi.range AND img.w = p.z + fj.range GROUP BY ALL)"""
+
+
+_CNN_START = """
+ker0 AS (SELECT o, fi, fj, k FROM ker), den0 AS (SELECT i.range AS i, n.range AS n, ((i.range * 7 + n.range * 3) % 11 - 5) / 10.0::DOUBLE AS w FROM range(18) i, range(10) n), off0 AS (SELECT o AS n, k AS v FROM bia),"""
+
+
+def _cnn_update(k: int, rate: float, momentum: float) -> str:
+    """SQL of the parameters and velocities after step k."""
+    of = {"ker": ("o, fi, fj", "k", "gke"), "den": ("i, n", "w", "gde"), "off": ("n", "v", "gof")}
+    out = []
+    for name, (keys, v, grad) in of.items():
+        before = f"{momentum}::DOUBLE * u.v + " if k else ""
+        join = f" JOIN v{name}{k} u USING ({keys})" if k else ""
+        out.append(f"v{name}{k + 1} AS MATERIALIZED (SELECT {keys}, {before}d.g AS v FROM {grad}{k} d{join})")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {keys}, p.{v} - {rate}::DOUBLE * q.v AS {v} FROM {name}{k} p JOIN (SELECT {keys}, v FROM v{name}{k + 1}) q USING ({keys}))")
+    return ",\n".join(out)
+
+
+@query(f""", {_CNN_START} {_cnn_step(0)}
+SELECT 'layers.0.weight' AS param, o * 9 + fi * 3 + fj AS idx, round(g, 4) + 0.0 AS v FROM gke0 UNION ALL SELECT 'layers.4.weight', i * 10 + n, round(g, 4) + 0.0 FROM gde0 UNION ALL SELECT 'layers.4.bias', n, round(g, 4) + 0.0 FROM gof0""")
 def q_cnn_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients of all parameters of the network, by the tape."""
     model = cnn(spark)
     model.init_parameter_grads()
     model(vectors(spark, sf_dir, (1, 8, 8))).cross_entropy(labels(spark, sf_dir)).backward()
-    rows = [p.grad.df.select(F.lit(name).alias("param"), p.grad.linear().alias("idx"), F.round("v", 4).alias("v")) for name, p in model.parameters()]
+    rows = [p.grad.df.select(F.lit(name).alias("param"), p.grad.linear().alias("idx"), (F.round("v", 4) + F.lit(0.0)).alias("v")) for name, p in model.parameters()]
     return reduce(DataFrame.unionByName, rows)
 
 
-@query()
+@query(f""", {_CNN_START} {_cnn_step(0)}, {_cnn_update(0, 0.05, 0.9)}, {_cnn_step(1)}, {_cnn_update(1, 0.05, 0.9)}, {_cnn_step(2)}
+SELECT * FROM sta0 UNION ALL SELECT * FROM sta1 UNION ALL SELECT * FROM sta2""")
 def q_cnn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics before each of three steps of gradient descent with momentum."""
     stats = train(table(spark, sf_dir, "embeddings"), Net(cnn(spark), np.float64), (1, 8, 8), 0.05, 0.9, steps=3, value="embedding")
     return spark.createDataFrame([(k, x["count"], round(float(x["loss"]), 4), x["correct"]) for k, x in enumerate(stats)], "step int, count long, loss double, correct long")
+
+
+# --- What the others leave out --------------------------------------------------------------------
+
+
+@query("SELECT round(sum(v) + 0.25 * (SELECT v FROM x WHERE i0 = 3 AND i1 = 5), 4) AS v FROM x")
+def q_sum_with_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = vectors(spark, sf_dir)
+    return shown(O.sum_all(x, 0.25, O.index_axis(O.index_axis(x, 0, 3), 0, 5)), 4)
+
+
+@query("SELECT y.i0, y.i1, round(0.5 * y.v + 2 * bia.k, 6) + 0.0 AS v FROM y JOIN bia ON bia.o = y.i1")
+def q_gemm_alpha_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(O.dot(vectors(spark, sf_dir), weight(spark), alpha=0.5, beta=2.0, c=bias(spark, 10)))
+
+
+@query("SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM x a JOIN x b ON a.i1 = b.i1 GROUP BY a.i0, b.i0")
+def q_dot_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors by one another: no side is driver data."""
+    x = vectors(spark, sf_dir)
+    return shown(O.dot(x, x, tb=True), 4)
+
+
+_BIN = "SELECT y.i0, y.i1, round({}, 6) + 0.0 AS v FROM y JOIN bia ON bia.o = y.i1"
+
+
+def _binary(op: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(O.binary(op, 0.5, bias(spark, 10), O.dot(vectors(spark, sf_dir), weight(spark))))
+
+    run.__name__ = f"q_binary_{op}"
+    return run
+
+
+for _op, _sql in (("add", "0.5 * bia.k + y.v"), ("mul", "0.5 * bia.k * y.v"), ("identity", "0.5 * bia.k")):
+    query(_BIN.format(_sql))(_binary(_op))
+
+
+@query("SELECT y.i0, y.i1, round(0.5 * bia.k / (y.v * y.v + 1), 6) + 0.0 AS v FROM y JOIN bia ON bia.o = y.i1")
+def q_binary_div(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = O.dot(vectors(spark, sf_dir), weight(spark))
+    return shown(O.binary("div", 0.5, bias(spark, 10), y.with_df(y.df.withColumn("v", F.col("v") * F.col("v") + 1))))
+
+
+@query(f"SELECT i0, i1, {_V} FROM x")
+def q_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tensor written with its shape and type, and read back."""
+    path = scratch_path(spark, "tensor")
+    vectors(spark, sf_dir).save(path)
+    return shown(TensorFrame.load(spark, path))
+
+
+@query("SELECT * FROM (VALUES (0, 5::BIGINT, 3::BIGINT, 15::BIGINT, true, 2, 'f32')) v(axis, length, stride, size, standard, rank, dtype) UNION ALL SELECT 1, 3::BIGINT, 1::BIGINT, 15::BIGINT, true, 2, 'f32'")
+def q_inspectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = O.standard_layout(O.transpose(formula(spark, (3, 5), 1, 2))).require(ndim=2)
+    x = O.cast(x, "f32").require(dtype="f32")
+    rows = [(k, n, s, x.size, x.is_standard_layout(), x.ndim, x.dtype) for k, (n, s) in enumerate(zip(x.shape, x.strides, strict=True))]
+    return spark.createDataFrame(rows, "axis int, length long, stride long, size long, standard boolean, rank int, dtype string")
+
+
+@query("SELECT a.range AS size, f.range AS kernel, p.range AS padding, s.range AS stride, d.range AS dilation, (a.range + 2 * p.range - d.range * (f.range - 1) - 1) // s.range + 1 AS output, d.range * (f.range - 1) + 1 + s.range * ((a.range + 2 * p.range - d.range * (f.range - 1) - 1) // s.range) - 2 * p.range AS input FROM range(9, 13) a, range(1, 4) f, range(2) p, range(1, 3) s, range(1, 3) d")
+def q_conv_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output lengths of convolutions, and the input lengths that these need."""
+    grid = product(range(9, 13), range(1, 4), range(2), range(1, 3), range(1, 3))
+    rows = [(a, f, p, s, d, K.conv_output(a, f, p, s, d), K.conv_input(K.conv_output(a, f, p, s, d), f, p, s, d)) for a, f, p, s, d in grid]
+    return spark.createDataFrame(rows, "size long, kernel long, padding long, stride long, dilation long, output long, input long")
+
+
+@query("SELECT i0, i1, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round_even(v * 2.0::DOUBLE ^ (7 - floor(log2(abs(v)))), 0) / 2.0::DOUBLE ^ (7 - floor(log2(abs(v)))) END AS v FROM x")
+def q_half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounded to eight significant bits."""
+    x = O.cast(vectors(spark, sf_dir), "bf16")
+    return O.cast(x, "f64").df
+
+
+@query("SELECT i0, i1, round(2 * CASE WHEN v >= 0 THEN v ELSE 0 END, 6) + 0.0 AS v FROM x")
+def q_own_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of one's own by the order of its fields, with layers that are optional, chosen by name, or do nothing."""
+
+    class Doubled(Layer):
+        def forward(self, x: Variable) -> Variable:
+            return Variable.custom(O.scaled_add(x.value, 1.0, x.value), [(x, lambda g: O.scaled_add(g, 1.0, g))])
+
+    class Model(Layer):
+        def __init__(self) -> None:
+            self.first = Optional(None)
+            self.nothing = None
+            self.act = OneOf("relu", relu=Relu(), identity=Identity())
+            self.rest = [Identity(), Doubled()]
+
+    return shown(Model()(vectors(spark, sf_dir)).value)
+
+
+@query("SELECT i0, i1, round(6 * (3 * v - 1) , 6) + 0.0 AS v FROM x")
+def q_custom_operator_and_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of sum((3 x - 1)^2), both an operator and a loss of one's own."""
+    x = Variable.leaf(vectors(spark, sf_dir))
+    tripled = Variable.custom(O.scaled_cast(x.value, 3.0, "f64"), [(x, lambda g: O.scaled_cast(g, 3.0, "f64"))])
+    less = tripled.value.with_df(tripled.value.df.withColumn("v", F.col("v") - 1))
+    squares = O.sum_all(less.with_df(less.df.withColumn("v", F.col("v") * F.col("v"))))
+    loss = Variable.custom(squares, [(tripled, lambda g: O.elementwise.zipped(less, g, lambda v, dy: 2 * v * dy))])
+    loss.backward()
+    return shown(x.grad)
+
+
+@query("SELECT w.i0, w.i1, round(0.9 * w.v - 0.1 * 2 * dw.v, 6) + 0.0 AS v FROM w JOIN dw USING (i0, i1)")
+def q_custom_optimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An optimizer of one's own with a scalar and a tensor as state, saved after a step and resumed for another."""
+
+    class Decay(Optimizer):
+        def update(self, learning_rate: float, parameter: Parameter) -> None:
+            if parameter.state_of != "decay":
+                parameter.state, parameter.state_of = {"steps": 0.0, "sum": TensorFrame.zeros(spark, parameter.value.shape)}, "decay"
+            grad = parameter.take_grad()
+            parameter.state = {"steps": parameter.state["steps"] + 1, "sum": O.add_assign(parameter.state["sum"], grad)}
+            if parameter.state["steps"] == 2:
+                parameter.value = O.scaled_add(O.scaled_cast(parameter.value, 0.9, "f64"), -learning_rate, parameter.state["sum"])
+
+    w = Variable.leaf(weight(spark))
+    Variable(vectors(spark, sf_dir)).dot(w).cross_entropy(labels(spark, sf_dir)).backward()
+    grad = TensorFrame.from_numpy(spark, w.grad.to_numpy())
+    layer = Dense(spark, 64, 10)
+    layer.weight = Parameter(weight(spark))
+    for _ in range(2):
+        layer.init_parameter_grads()
+        layer.weight.to_variable().backward(grad)
+        layer.update(Decay(), 0.1)
+        save_model(layer, path := scratch_path(spark, "model"))
+        layer = load_model(spark, path)
+    return shown(layer.weight.value)
+
+
+@query("SELECT o AS i0, round(k, 6) + 0.0 AS v, 0.0::DOUBLE AS velocity FROM bia")
+def q_optimizer_without_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No gradient: the value stays, though the state is made."""
+    p = Parameter(bias(spark, 10))
+    SGD(0.9).update(0.1, p)
+    return shown(p.value.df.join(p.state["velocity"].df.withColumnRenamed("v", "velocity"), "i0"))
+
+
+@query("SELECT o AS i0, round((SELECT count(*) FROM embeddings) * 1.0::DOUBLE + k * 0, 6) AS v FROM bia")
+def q_add_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient of a bias that is broadcast and added; nothing flows to a value that isn't differentiated."""
+    b, y = Variable.leaf(bias(spark, 10)), Variable(O.dot(vectors(spark, sf_dir), weight(spark)))
+    y.add(b).backward()
+    return shown(b.grad)
+
+
+@query("SELECT i0, i1, round(i1 // 8 * 8 + i1 % 8 + i0, 6) * 1.0::DOUBLE AS v FROM x")
+def q_reshape_permute_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gradient's way back through reshape and permute; each cell's is its own place."""
+    x = Variable.leaf(vectors(spark, sf_dir))
+    y = x.reshape((x.shape[0], 8, 8)).permute((2, 0, 1))
+    y.backward(y.value.with_df(y.value.df.withColumn("v", (F.col("i2") * 8 + F.col("i0") + F.col("i1")).cast("double"))))
+    return shown(x.grad)
+
+
+@query("SELECT r.range AS row_id, 'train' AS split, j.range AS i1, ((j.range % 7 + r.range % 3))::SMALLINT AS v, (r.range % 10)::SMALLINT AS label FROM range(50) r, range(784) j")
+def q_digit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and labels written as gzip IDX files, and decoded on the executors."""
+    path = scratch_path(spark, "digits")
+    images = (np.arange(784) % 7 + (np.arange(50) % 3)[:, None]).astype(np.uint8).reshape(50, 28, 28)
+    for name, magic, data in (("train-images-idx3-ubyte", 2051, images), ("train-labels-idx1-ubyte", 2049, (np.arange(50) % 10).astype(np.uint8))):
+        write_file(spark, f"{path}/{name}.gz", gzip.compress(np.array([magic, *data.shape], ">i4").tobytes() + data.tobytes()))
+    return digits(spark, path).select("row_id", "split", F.posexplode("value").alias("i1", "v"), "label")
+
+
+@query("SELECT range AS row_id, (range % 3)::SMALLINT AS label, ((range + 1) / 2.0)::FLOAT AS v FROM range(30)")
+def q_iris_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four measures and a named class a line."""
+    path = scratch_path(spark, "iris")
+    names = ("Iris-setosa", "Iris-versicolor", "Iris-virginica")
+    lines = ["sepal_length,sepal_width,petal_length,petal_width,species", *(f"{(k + 1) / 2},1,2,3,{names[k % 3]}" for k in range(30))]
+    write_file(spark, path, "\n".join(lines).encode())
+    return iris(spark, path).select("row_id", "label", F.get("value", F.lit(0)).alias("v"))

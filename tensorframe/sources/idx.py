@@ -33,13 +33,15 @@ def decode(content: bytes) -> np.ndarray:
     return np.frombuffer(body, np.uint8).reshape(shape)
 
 
-def read_idx(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, value array<smallint> of one file; labels have arrays of one."""
+def read_idx(spark: SparkSession, path: str, shape: tuple[int, int] | None = None) -> DataFrame:
+    """row_id, value array<smallint> of one file; labels have arrays of one.  Images of another shape than asked for raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 a = decode(content.as_py())
+                if shape is not None and a.ndim == 3 and a.shape[1:] != shape:
+                    raise ValueError(f"images of {a.shape[1:]} aren't {shape}")
                 for at in range(0, len(a), 4096):
                     part = a[at : at + 4096].reshape(len(a[at : at + 4096]), -1).astype(np.int16)
                     ends = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
@@ -48,7 +50,7 @@ def read_idx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, value array<smallint>")
 
 
-def digits(spark: SparkSession, folder: str, split: str = "train", suffix: str = ".gz") -> DataFrame:
+def digits(spark: SparkSession, folder: str, split: str = "train", suffix: str = ".gz", shape: tuple[int, int] = (28, 28)) -> DataFrame:
     """row_id, split, value array<smallint>, label of a folder with the four files of a digits data set."""
-    images, labels = (read_idx(spark, f"{folder}/{name}{suffix}") for name in _FILES[split])
+    images, labels = (read_idx(spark, f"{folder}/{name}{suffix}", shape) for name in _FILES[split])
     return images.join(labels.select("row_id", F.get("value", F.lit(0)).alias("label")), "row_id").select("row_id", F.lit(split).alias("split"), "value", "label")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from math import prod
 
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Spark has no unsigned or 16-bit float types: those widen, with a range check at ingest.
+#: Spark has no unsigned or 16-bit float types: those widen, with a range check at ingest, and are rounded.
 DTYPES: dict[str, T.DataType] = {
     "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(),
     "u8": T.ShortType(), "u16": T.IntegerType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0),
@@ -31,6 +34,36 @@ def is_float(dtype: str) -> bool:
     return dtype in ("f16", "bf16", "f32", "f64")
 
 
+#: Of 16-bit floats: bits after the point, least exponent of a normal number, greatest finite number.
+HALVES = {"f16": (10, -14, 65504.0), "bf16": (7, -126, float(2**127 * (2 - 2**-7)))}
+
+
+def rounded(v: Column, dtype: str) -> Column:
+    """v, for 16-bit floats rounded to the nearest that the type has, ties to even, as the widened type."""
+    if dtype not in HALVES:
+        return v
+    bits, least, most = HALVES[dtype]
+    x = v.cast("double")
+    exponent = F.greatest(F.floor(F.log2(F.abs(x))).cast("int"), F.lit(least))
+    unit = F.pow(F.lit(2.0), exponent - bits)
+    near = F.rint(x / unit) * unit
+    kept = F.isnan(x) | (x == 0) | (F.abs(x) == float("inf"))
+    return F.when(kept, x).when(F.abs(near) > most, F.signum(x) * float("inf")).otherwise(near).cast(spark_type(dtype))
+
+
+def rounded_array(a: np.ndarray, dtype: str) -> np.ndarray:
+    """rounded() of an array, as 32-bit floats."""
+    a = np.asarray(a, np.float32)
+    if dtype == "f16":
+        with np.errstate(over="ignore"):
+            return a.astype(np.float16).astype(np.float32)
+    if dtype != "bf16":
+        return a
+    bits = a.view(np.uint32)
+    near = (bits + np.uint32(0x7FFF) + ((bits >> np.uint32(16)) & np.uint32(1))) & np.uint32(0xFFFF0000)
+    return np.where(np.isnan(a), a, near.view(np.float32))
+
+
 def size(shape: tuple[int, ...]) -> int:
     n = prod(shape)
     if n > MOST_ELEMENTS:
