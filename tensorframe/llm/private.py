@@ -1,29 +1,36 @@
 """Personal data by shapes, and by bootstrapped context.
 
-Shapes (email, ip, card, phone) give the base spans.  Each whitespace-parted
-token with an @ or four digits in a row is an instance; the one and two words
-before it (lower case, digits as 0) are its lexical patterns.  Instances that
-overlap a base span are seeds.  Rounds over the pattern-instance graph score a
-pattern by its instances (the sum of their scores, less what chance allows, over
-their number) and an instance by its confident patterns; instances that reach
-the bar and have at least six digits are added as spans of kind context.
+Shapes (email, ip, card, phone) give the base spans.  A base span as a whole is a
+seed instance.  Other instances are the whitespace-parted tokens with a digit or
+an @ that touch no base span, less the signs at their ends; those of too few
+letters and digits to identify anyone (see LEAST) are counterexamples.  The two
+words before an instance, the word before with the one after, and the two words
+after are its lexical patterns (lower case, digits as 0, without signs).
+
+Rounds over the graph of patterns and distinct instances score each by the other:
+a pattern by the scores of its instances that reach the bar, over their sum plus
+its counterexamples, a share of what is still unknown, and what chance allows;
+an instance by the chance that not all its confident patterns err.  Instances
+found count as seeds do from the next round on, so that a pattern without seeds
+can become confident.  Scores only rise, so the rounds end, when none does.  What
+reaches the bar is added as spans of kind context.
 
 Everything is DataFrame expressions.  Spark has no function for the places of
 matches; they come from the lengths of the pieces between and of the matches,
 summed in two levels, so that a text with very many matches stays cheap.
 
 Defined cases: a null text is empty; repeated rows and doc_ids are separate
-documents, though only distinct instances count in scores; an empty table gives
-an empty result; other columns are ignored.  Offsets are code points, ends
-exclusive.
+documents, though only distinct instances count in scores; an instance is the
+same wherever it stands; an empty table gives an empty result; other columns are
+ignored.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import materialize, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive and anchored forms that match what the plain ones do, in linear time:
@@ -39,35 +46,47 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _S = r"[^\x20\x09-\x0D]"
-INSTANCE = rf"(?<!{_S}){_S}*?(?:[0-9]{{4}}|@){_S}*+"
+INSTANCE = rf"(?<!{_S}){_S}*?[0-9@]{_S}*+"
 CONTEXT = 64
-ROUNDS = 3
-#: A pattern's least distinct seed instances, what is taken off its sum, and the bars.
-SUPPORT, DISCOUNT, PATTERN_BAR, INSTANCE_BAR, DIGITS = 3, 0.5, 0.8, 0.8, 6
+#: Letters and digits, and digits, that an instance must have not to be a counterexample.
+LEAST = (6, 3)
+#: Distinct instances that a pattern needs, and what of an unknown one and of chance counts against it.
+SUPPORT, UNKNOWN, DISCOUNT = 3, 0.05, 0.5
+PATTERN_BAR, INSTANCE_BAR = 0.8, 0.8
 WIDE = 128
+INTS = "array<int>"
 
 
-def running(lengths: Column) -> Column:
-    """Sums of the numbers before each, by pieces of WIDE numbers."""
-    ints = F.array().cast("array<int>")
-    step = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out"))
-    fold = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("total"), ints.alias("out")), step)
-    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(WIDE))).otherwise(ints)
-    parts = F.transform(starts, lambda s: fold(F.slice(lengths, s, WIDE)))
-    offsets = fold(F.transform(parts, lambda p: p["total"]))["out"]
-    return F.flatten(F.zip_with(parts, offsets, lambda p, o: F.transform(p["out"], lambda x: x + o)))
-
+def located(d: DataFrame, found: dict[str, tuple[str, Column]]) -> DataFrame:
+    """d (with text t) and, by name, array<struct<start, end, match, before, after, prev, next>> of the matches of (pattern, condition).
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of a pattern's matches; before is the text since the last one."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.arrays_zip(found.alias("match"), pieces.alias("before"))
-    both = F.filter(both, lambda x: x["match"].isNotNull())
-    starts = running(F.transform(both, lambda x: F.length(x["before"]) + F.length(x["match"])))
-    return F.zip_with(both, starts, lambda x, s: F.struct(
-        (s + F.length(x["before"])).alias("start"), (s + F.length(x["before"]) + F.length(x["match"])).alias("end"), x["match"].alias("match"), x["before"].alias("before"),
-    ))
+    before and after are the texts since the last match and up to the next, prev and
+    next those matches.  Each step is a projection of its own: an expression that
+    is used twice, or in a lambda, would be evaluated as often.
+    """
+    strings = F.array().cast("array<string>")
+    d = d.withColumns({f"{k}_f": F.when(has, F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(strings) for k, (p, has) in found.items()} | {f"{k}_p": F.when(has, F.split("t", p, -1)).otherwise(F.array(F.lit(""))) for k, (p, has) in found.items()})
+    d = d.withColumns({f"{k}_n": F.size(f"{k}_f") for k in found})
+    d = d.withColumns({f"{k}_l": F.zip_with(f"{k}_f", F.slice(f"{k}_p", F.lit(1), F.col(f"{k}_n")), lambda m, b: F.length(m) + F.length(b)) for k in found})
+    step = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out"))
+    fold = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("total"), F.array().cast(INTS).alias("out")), step)
+    firsts = lambda k: F.when(F.col(f"{k}_n") > 0, F.sequence(F.lit(1), F.col(f"{k}_n"), F.lit(WIDE))).otherwise(F.array().cast(INTS))
+    parts = lambda k: F.transform(firsts(k), lambda s: fold(F.slice(f"{k}_l", s, WIDE)))
+    d = d.withColumns({f"{k}_s": parts(k) for k in found})
+    d = d.withColumns({f"{k}_o": fold(F.transform(f"{k}_s", lambda p: p["total"]))["out"] for k in found})
+    d = d.withColumns({f"{k}_a": F.flatten(F.zip_with(f"{k}_s", f"{k}_o", lambda p, o: F.transform(p["out"], lambda x: x + o))) for k in found})
+
+    def row(k: str) -> Column:
+        n, m, p = F.col(f"{k}_n"), F.col(f"{k}_f"), F.col(f"{k}_p")
+        fewer = F.greatest(n - 1, F.lit(0))
+        columns = {"at": F.col(f"{k}_a"), "match": m, "before": F.slice(p, F.lit(1), n), "after": F.slice(p, F.lit(2), n), "prev": F.concat(F.array(F.lit("")), F.slice(m, F.lit(1), fewer)), "next": F.concat(F.slice(m, F.lit(2), fewer), F.array(F.lit("")))}
+        both = F.filter(F.arrays_zip(*[c.alias(name) for name, c in columns.items()]), lambda x: x["match"].isNotNull())
+        return F.transform(both, lambda x: F.struct(
+            (x["at"] + F.length(x["before"])).alias("start"), (x["at"] + F.length(x["before"]) + F.length(x["match"])).alias("end"),
+            *[x[c].alias(c) for c in ("match", "before", "after", "prev", "next")],
+        ))
+
+    return d.withColumns({k: row(k) for k in found}).drop(*[f"{k}_{c}" for k in found for c in "fpnlsoa"])
 
 
 def luhn(digits: Column) -> Column:
@@ -88,10 +107,6 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _filter_of(kind: str):
-    return lambda x: _holds(kind, x["match"])
-
-
 def _has(kind: str) -> Column:
     return F.contains(F.col("t"), F.lit(NEEDS[kind])) if kind in ("email", "phone") else F.col("t").rlike(NEEDS[kind])
 
@@ -99,63 +114,89 @@ def _has(kind: str) -> Column:
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def _words(x: Column, n: int) -> Column:
-    near = F.lower(F.regexp_replace(F.substring(x["before"], -CONTEXT, CONTEXT), "[0-9]", "0"))
-    return F.regexp_extract(near, "((?:" + _S + "+[\\x20\\x09-\\x0D]+){" + str(n) + "})$", 1)
+def _instance(x: Column, label: Column, lead: Column | int = 0, tail: Column | int = 0, text: Column | None = None) -> Column:
+    """A match less its first and last code points, with the texts beside it."""
+    return F.struct(
+        (x["start"] + lead).alias("start"), (x["end"] - tail).alias("end"), (x["match"] if text is None else text).alias("instance"), label.alias("label"),
+        F.right(F.concat(F.right(x["prev"], F.lit(CONTEXT)), x["before"]), F.lit(CONTEXT)).alias("left"), F.left(F.concat(x["after"], F.left(x["next"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("right"),
+    )
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, a span array for each kind, and the instances with their patterns."""
+    """rid, doc_id, a span array for each kind, and the instances (start, end, instance, label, left, right).
+
+    label is 1 for seeds, -1 for counterexamples and 0 for what is unknown.
+    """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    for kind in KINDS:
-        held = F.filter(matches(F.col("t"), PATTERNS[kind]), _filter_of(kind))
-        d = d.withColumn(kind, F.when(_has(kind), F.transform(held, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(F.array().cast(SPAN)))
-    base = F.concat(*KINDS)
+    d = located(d, {k: (PATTERNS[k], _has(k)) for k in KINDS} | {"token": (INSTANCE, F.col("t").rlike("[0-9@]"))})
+    held = lambda k: F.filter(k, lambda x: _holds(k, x["match"]))
+    d = d.withColumns({k: held(k) for k in KINDS})
     lead = lambda x: F.length(F.regexp_extract(x["match"], "^[^A-Za-z0-9+]+", 0))
     tail = lambda x: F.length(F.regexp_extract(x["match"], "[^A-Za-z0-9]+$", 0))
-    trimmed = F.transform(matches(F.col("t"), INSTANCE), lambda x: F.struct(
-        (x["start"] + lead(x)).alias("start"), (x["end"] - tail(x)).alias("end"),
-        F.regexp_replace(x["match"], "^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "").alias("instance"),
-        F.array(_words(x, 1), _words(x, 2)).alias("patterns"),
-    ))
-    d = d.withColumn("base", base)
-    marked = F.transform(F.filter(trimmed, lambda x: x["start"] < x["end"]), lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), x["patterns"].alias("patterns"),
-        F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("seed"),
-    ))
-    none = F.array().cast("array<struct<start:int,end:int,instance:string,patterns:array<string>,seed:boolean>>")
-    d = d.withColumn("instances", F.when(F.col("t").rlike("[0-9]{4}|@"), marked).otherwise(none))
-    return d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *KINDS, "instances")
-
-
-def confident(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    inner = lambda x: F.regexp_replace(x["match"], "^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
+    few = lambda x: (F.length(F.regexp_replace(x["match"], "[^A-Za-z0-9]", "")) < LEAST[0]) | (F.length(F.regexp_replace(x["match"], "[^0-9]", "")) < LEAST[1])
+    tokens = F.transform("token", lambda x: _instance(x, F.when(few(x), -1).otherwise(0), lead(x), tail(x), inner(x)))
+    seeds = F.concat(*[F.transform(k, lambda x: _instance(x, F.lit(1))) for k in KINDS])
+    d = d.withColumn("instances", F.concat(seeds, F.filter(tokens, lambda x: x["start"] < x["end"])))
+    spans = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS]
+    return d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *spans, "instances")
+
+
+def mentions(found_in: DataFrame) -> DataFrame:
+    """(rid, start, end, instance, label, left, right): seeds, and other instances that touch no base span."""
+    each = found_in.select("rid", F.explode("instances").alias("x")).select("rid", "x.*")
+    seed = F.col("label") == 1
+    up = Window.partitionBy("rid").orderBy("start", "end", "label").rowsBetween(Window.unboundedPreceding, -1)
+    # A seed that starts with a token comes after it here.
+    down = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("end"), F.desc("label")).rowsBetween(Window.unboundedPreceding, -1)
+    far, near = F.max(F.when(seed, F.col("end"))).over(up), F.min(F.when(seed, F.col("start"))).over(down)
+    apart = each.withColumn("far", far).withColumn("near", near)
+    return apart.filter(seed | (F.coalesce(F.col("far") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("near") >= F.col("end"), F.lit(True)))).drop("far", "near")
+
+
+def patterns_of(left: Column, right: Column) -> Column:
+    """The patterns of a place, by the texts beside it."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), r"[^\p{L}\p{N}\s]+", "")
+    last, first = r"(\S+)\s*$", r"^\s*(\S+)"
+    one, two = F.regexp_extract(plain(left), last, 1), F.regexp_extract(plain(left), r"(\S+\s+\S+)\s*$", 1)
+    next_, after = F.regexp_extract(plain(right), first, 1), F.regexp_extract(plain(right), r"^\s*(\S+\s+\S+)", 1)
+    single = lambda c: F.regexp_replace(c, r"\s+", " ")
+    shapes = [(two != "", F.concat(single(two), F.lit(" _"))), ((one != "") & (next_ != ""), F.concat(one, F.lit(" _ "), next_)), (after != "", F.concat(F.lit("_ "), single(after)))]
+    return F.array_compact(F.array(*[F.when(on, p) for on, p in shapes]))
+
+
+def confident(mentioned: DataFrame) -> DataFrame:
     """Instances (not seeds) that the graph's rounds bring to the bar.
 
-    mentions: (pattern, instance, seed).  An instance that is a seed anywhere stays
-    at 1; a pattern's sum counts distinct instances.
+    mentioned: (pattern, instance, label).  An instance that is a seed anywhere is one everywhere.
     """
-    edges = materialize(mentions.filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "mentions")
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(rounds):
-        scored = edges.select("pattern", "instance").join(scores, "instance")
-        patterns = (
-            scored.groupBy("pattern").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
-            .filter(F.col("seeds") >= SUPPORT).withColumn("confidence", (F.col("total") - DISCOUNT) / F.col("n")).filter(F.col("confidence") >= PATTERN_BAR)
-        )
-        # 1 - prod(1 - c), as the chance that not all confident patterns err; below 1, which is for seeds.
-        raised = edges.join(patterns.select("pattern", "confidence"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("raised"))
-        scores = scores.join(raised, "instance", "left").select("instance", F.when(F.col("score") == 1, 1.0).otherwise(F.least(F.coalesce("raised", F.lit(0.0)), F.lit(0.999))).alias("score"))
-        scores = materialize(scores, "scores")
-    return scores.filter((F.col("score") >= INSTANCE_BAR) & (F.col("score") < 1)).select("instance")
+    known = mentioned.groupBy("instance").agg(F.max("label").alias("label"))
+    edges = materialize(mentioned.select("pattern", "instance").distinct().join(known, "instance"), "mentions")
+    # Counterexamples never change, so they are counted once; patterns of too few instances can't become confident.
+    patterns = edges.groupBy("pattern").agg(F.sum((F.col("label") < 0).cast("int")).alias("against"), F.sum((F.col("label") >= 0).cast("int")).alias("n")).filter(F.col("n") >= SUPPORT)
+    patterns = materialize(patterns, "patterns")
+    edges = materialize(edges.filter("label >= 0").join(patterns.select("pattern"), "pattern", "left_semi"), "edges")
+    scores, risen = edges.select("instance", F.col("label").cast("double").alias("score")).distinct(), 0.0
+    while True:
+        scored = spread_join(edges.select("pattern", "instance"), scores, "instance")
+        sums = scored.filter(F.col("score") >= INSTANCE_BAR).groupBy("pattern").agg(F.sum("score").alias("for"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= SUPPORT)
+        chosen = sums.join(patterns, "pattern").withColumn("confidence", F.col("for") / (F.col("for") + F.col("against") + UNKNOWN * (F.col("n") - F.col("held")) + DISCOUNT)).filter(F.col("confidence") >= PATTERN_BAR)
+        raised = spread_join(edges, chosen.select("pattern", "confidence"), "pattern").filter("label = 0").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("raised"))
+        scores = materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.round(F.coalesce("raised", F.lit(0.0)), 6)).alias("score")), "scores")
+        total = scores.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
+        if total == risen:
+            break
+        risen = total
+    return scores.filter(F.col("score") >= INSTANCE_BAR).join(known.filter("label = 0"), "instance", "left_semi").select("instance")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and, for each kind and for context, an array of spans."""
     d = materialize(found(docs), "private")
-    each = d.select("rid", F.explode("instances").alias("x")).select("rid", "x.*")
-    chosen = confident(each.select(F.explode("patterns").alias("pattern"), "instance", "seed"))
-    digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    added = each.filter(~F.col("seed") & (digits >= DIGITS)).join(chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
+    each = materialize(mentions(d), "instances")
+    chosen = confident(each.select(F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"), "instance", "label"))
+    hits = each.filter("label = 0").select("rid", "start", "end", "instance")
+    added = hits.join(chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
     return d.drop("instances").join(added, "rid", "left").withColumn("context", F.coalesce("context", F.array().cast(SPAN))).drop("rid")
 
 
@@ -164,4 +205,4 @@ def digests(docs: DataFrame) -> DataFrame:
         return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
     line = lambda kinds: F.array_join(F.concat(*map(shown, kinds)), ",")
-    return scan(docs).select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(line(KINDS), 256).alias("base_sha256"), line((*KINDS, "context")).alias("spans"))
+    return scan(docs).select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(line(KINDS), 256).alias("base_sha256"), line((*KINDS, "context")).alias("spans"), sum((F.size(k) for k in (*KINDS, "context")), F.lit(0)).cast("long").alias("n_spans"))
