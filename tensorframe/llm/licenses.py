@@ -1,22 +1,23 @@
 """License scans.
 
-Units of a file are its lines and its whole text.  A unit's terms and those of
-license templates get TF-IDF weights (document frequencies over all files); the
-sparse cosine of a unit to each template decides: a line that reaches the bar
-is a header, a whole text that does makes the file a license file.  A file with
-neither inherits from the license file of its nearest ancestor directory, by
-joins of path prefixes.
-
-Only the templates' vocabulary (bounded by the templates) is looked up.  Terms
-outside it lengthen a unit's vector at the weight of a term of one file.  A unit
-is scored only if it has one of the heavy template terms without which, by the
-Cauchy-Schwarz bound, no unit can reach the bar.
+Units of a file are its whole text, its paragraphs, its runs of comment lines
+and its lines.  A unit's terms and those of license templates (notices, and whole
+licence texts) get TF-IDF weights, (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) with
+document frequencies of all terms over all files; the sparse cosine of a unit to
+each template decides: a part of a text that reaches the bar is a header, a whole
+text that does makes the file a license file.  A file with neither inherits from
+the license file of its nearest ancestor directory, by joins of path prefixes.
+
+A unit is scored only if, by the Cauchy-Schwarz bound, it can reach the bar: it
+has one of the terms without which no unit comes near a notice, or so many of
+the terms of whole texts as the heaviest of them need to add up to the bar.  What
+the driver holds is bounded by the templates' vocabulary.
 
 Defined cases: a null text has no terms; a null path has no directory and
 inherits nothing; of equal scores the license first by name wins, of several
 license files in a directory the best score, then license, then path; repeated
 rows are separate files; an empty table gives an empty result; other columns
-pass through.
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +25,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import materialize
+from tensorframe.llm.common import materialize, spread_join
 
 TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 BAR = 0.6
+PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
+COMMENTS = r"(?:\n[ \t]*(?:#|//|/\*|\*|--|;|%)[^\n]*)+"
+#: Templates with more distinct terms than this are whole texts.
+NOTICE_TERMS = 60
 #: Notices by license (public texts, shortened to what tells them apart).
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -49,8 +55,15 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved. Confidential and proprietary."),
 )
+#: Whole texts by license: public licence texts as their authors publish them.
+TEXTS = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+TEMPLATES = NOTICES + TEXTS
 
 
 def terms_of(text: str) -> list[str]:
@@ -68,54 +81,64 @@ def _terms(text: Column) -> Column:
 
 
 def weights(df: dict[str, int], n: int, templates=TEMPLATES, bar: float = BAR):
-    """idf by term, unit vectors of the templates, and the heavy terms one of which is needed."""
+    """idf by term, unit vectors of the templates, the terms one of which a notice needs, and of the whole texts' terms how many are needed."""
     vocabulary = {t for _, text in templates for t in terms_of(text)}
     idfs = {t: idf(df.get(t, 0), n) for t in vocabulary}
-    vectors, heavy = [], set()
+    vectors, heavy, least = [], set(), math.inf
     for _, text in templates:
-        v = {t: c * idfs[t] for t, c in Counter(terms_of(text)).items()}
+        v = {t: (1 + math.log(c)) * idfs[t] for t, c in Counter(terms_of(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         v = {t: x / norm for t, x in v.items()}
         vectors.append(v)
+        by_weight = sorted(v.items(), key=lambda p: (-p[1], p[0]))
+        if len(v) > NOTICE_TERMS:
+            # The cosine is at most the root of the sum of squares over the terms in common.
+            have = need = 0
+            while need < len(by_weight) and have < bar * bar - 1e-9:
+                have += by_weight[need][1] ** 2
+                need += 1
+            least = min(least, need)
+            continue
         rest = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in by_weight:
             if rest < bar * bar - 1e-9:
                 break
             heavy.add(t)
             rest -= x * x
-    return idfs, vectors, heavy
+    return idfs, vectors, heavy, least
 
 
 def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
     """files (with a key of the text) to key, kind (header or file), license and score, where a unit reaches the bar."""
     spark = files.sparkSession
-    vocabulary = sorted({t for _, x in templates for t in terms_of(x)})
-    # Frequencies of the vocabulary's terms: as many rows as the templates have terms.
-    counted = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_terms(F.coalesce(F.col(text), F.lit(""))), F.lit(vocabulary)))).alias("term")).groupBy("term").count().collect()
-    df = {r.term: r["count"] for r in counted}
-    n = df.pop("", 0)
-    idfs, vectors, heavy = weights(df, n, templates, bar)
-
-    # Few files have a heavy term; of equal texts one is enough.
-    found = files.filter(F.arrays_overlap(_terms(F.coalesce(F.col(text), F.lit(""))), F.lit(sorted(heavy))))
-    found = materialize(found.select("key", F.col(text).alias("t")).dropDuplicates(["key"]), "candidates")
-    lines = found.select("key", F.posexplode(F.split("t", "\n", -1)).alias("unit", "line")).select("key", F.col("unit").cast("long").alias("unit"), _terms(F.col("line")).alias("terms"))
-    whole = found.select("key", F.lit(-1).cast("long").alias("unit"), _terms(F.col("t")).alias("terms"))
-    units = lines.unionByName(whole).filter(F.arrays_overlap("terms", F.lit(sorted(heavy))))
-    known = F.filter("terms", lambda t: F.array_contains(F.lit(vocabulary), t))
-    units = units.select("key", "unit", known.alias("known"), "terms")
-    other_counts = F.aggregate(F.transform(F.array_distinct(F.array_except("terms", F.lit(vocabulary))), lambda t: F.size(F.filter("terms", lambda u: u == t))), F.lit(0).cast("long"), lambda a, c: a + c * c)
-    unknown_idf = idf(1, n)
-    units = units.select("key", "unit", "known", (other_counts * unknown_idf * unknown_idf).alias("others"))
-    term = units.select("key", "unit", "others", F.explode("known").alias("term")).groupBy("key", "unit", "others", "term").agg(F.count(F.lit(1)).alias("tf"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    vocabulary = sorted({x for _, y in templates for x in terms_of(y)})
+    df = materialize(files.select(F.explode(F.array_distinct(_terms(t))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    n = files.count()
+    # As many rows as the templates have terms.
+    known = spark.createDataFrame([(x,) for x in vocabulary], "term string")
+    idfs, vectors, heavy, least = weights({r.term: r.df for r in df.join(F.broadcast(known), "term").collect()}, n, templates, bar)
+    whole_texts = sorted({x for v in vectors if len(v) > NOTICE_TERMS for x in v})
+
+    def worth(terms: Column) -> Column:
+        # By way of a lambda, whose variable is evaluated once.
+        able = lambda x: F.arrays_overlap(x, F.lit(sorted(heavy))) if not whole_texts else F.arrays_overlap(x, F.lit(sorted(heavy))) | ((F.size(x) >= least) & (F.size(F.array_intersect(x, F.lit(whole_texts))) >= least))
+        return F.exists(F.array(terms), able)
+
+    # Of equal texts one is enough.
+    found = materialize(files.select("key", t.alias("t")).filter(worth(_terms(F.col("t")))).dropDuplicates(["key"]), "candidates")
+    parts = F.array_distinct(F.concat(F.split("t", "\n", -1), F.split("t", PARAGRAPH, -1), F.regexp_extract_all(F.concat(F.lit("\n"), F.col("t")), F.lit(COMMENTS), F.lit(0))))
+    units = found.select("key", F.posexplode(F.concat(F.array("t"), parts)).alias("unit", "part")).select("key", "unit", _terms(F.col("part")).alias("terms")).filter(worth(F.col("terms")))
+    term = units.select("key", "unit", F.explode("terms").alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = materialize(term.join(df, "term").select("key", "unit", "term", ((1 + F.log("tf")) * idf(F.col("df"), F.lit(n))).alias("x")), "weights")
     # Broadcast: a row for each term of each template, whatever the files.
-    table = spark.createDataFrame([(t, i, templates[i][0], idfs[t], x) for i, v in enumerate(vectors) for t, x in v.items()], "term string, template int, license string, idf double, w double")
-    norms = term.join(F.broadcast(table.select("term", "idf").distinct()), "term").groupBy("key", "unit").agg(F.sqrt(F.first("others") + F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    dots = term.join(F.broadcast(table), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
+    table = spark.createDataFrame([(x, i, templates[i][0], w) for i, v in enumerate(vectors) for x, w in v.items()], "term string, template int, license string, w double")
+    norms = weighted.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighted.join(F.broadcast(table), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(norms, ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= bar)
-    # A whole text before a line, then the best score, then the license's name.
-    best = scored.groupBy("key").agg(F.min(F.struct((F.col("unit") >= 0).alias("line"), (-F.col("score")).alias("minus"), "license")).alias("x"))
-    return best.select("key", F.when(F.col("x.line"), "header").otherwise("file").alias("kind"), F.col("x.license").alias("license"), (-F.col("x.minus")).alias("score"))
+    # A whole text before a part, then the best score, then the license's name.
+    best = scored.groupBy("key").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), (-F.col("score")).alias("minus"), "license")).alias("x"))
+    return best.select("key", F.when(F.col("x.part"), "header").otherwise("file").alias("kind"), F.col("x.license").alias("license"), (-F.col("x.minus")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -124,19 +147,20 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
     """files with license, license_kind (header, file, inherited or none), license_score and license_from (a path)."""
-    keep = [c for c in files.columns if c != text]
+    keep = [F.col(f"`{c}`") for c in files.columns if c != text]
     # A text decides its own license, so copies are scored once.  The caller's columns stay in a struct, where no name can clash.
     d = files.select(F.struct(*keep).alias("_row"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
     own = materialize(own_licenses(d.select("key", "_text"), "_text", templates, bar), "licenses")
     placed = materialize(d.drop("_text").withColumn("_dir", directory(F.col("_path"))), "files")
-    placed = placed.join(own, "key", "left")
+    # Copies of a text, and files of a directory, may be very many.
+    placed = spread_join(placed, own, "key", "left", by=["_path"])
     holders = placed.filter("kind = 'file' and _dir is not null").groupBy(F.col("_dir").alias("_holder")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", F.col("_path").alias("from"))).alias("_best"))
     # Each directory once, however many files it has; then its prefixes, as many as it is deep.
     parts = F.split("_dir", "/", -1)
     dirs = placed.filter("kind is null and _dir is not null").select("_dir").distinct()
     prefixes = dirs.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("_holder")))).alias("p")).select("_dir", "p.*")
     nearest = prefixes.join(holders, "_holder").groupBy("_dir").agg(F.max_by("_best", "depth").alias("_near"))
-    out = placed.join(nearest.withColumnRenamed("_dir", "_of"), (F.col("_dir") == F.col("_of")) & F.col("kind").isNull(), "left")
+    out = spread_join(placed, nearest, "_dir", "left", by=["_path"]).withColumn("_near", F.when(F.col("kind").isNull(), F.col("_near")))
     return out.select(
         "_row.*", F.coalesce("license", "_near.license").alias("license"),
         F.coalesce("kind", F.when(F.col("_near").isNotNull(), "inherited"), F.lit("none")).alias("license_kind"),
@@ -159,15 +183,16 @@ WITH f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 tpl AS (SELECT * FROM (VALUES {values}) v(template, license, text)),
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({terms("text")}) AS term FROM tpl) GROUP BY ALL),
 docterm AS (SELECT DISTINCT rid, term FROM (SELECT rid, unnest({terms("text")}) AS term FROM f)),
-df AS (SELECT v.term, count(docterm.rid) AS df FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN docterm USING (term) GROUP BY v.term),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM f))::DOUBLE / (1 + df)) + 1 AS idf FROM df),
-tw AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
-units AS (SELECT rid, unit, text FROM (SELECT rid, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS unit FROM f) UNION ALL SELECT rid, -1, text FROM f),
+df AS (SELECT term, count(*) AS df FROM docterm GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM f))::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) FULL JOIN df USING (term)),
+tw AS (SELECT template, license, term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ^ 2) OVER (PARTITION BY template)) AS w FROM tt JOIN idf USING (term)),
+parts AS (SELECT rid, unnest(list_distinct(string_split(text, chr(10)) || regexp_split_to_array(text, '{PARAGRAPH}') || regexp_extract_all(chr(10) || text, '{COMMENTS}'))) AS text FROM f),
+units AS (SELECT rid, row_number() OVER () AS unit, text FROM parts UNION ALL SELECT rid, 0, text FROM f),
 ut AS (SELECT rid, unit, term, count(*) AS tf FROM (SELECT rid, unit, unnest({terms("text")}) AS term FROM units) GROUP BY ALL),
-uw AS (SELECT rid, unit, term, tf * coalesce(idf, ln((1 + (SELECT count(*) FROM f))::DOUBLE / 2) + 1) AS x, sqrt(sum(tf * tf * coalesce(idf, ln((1 + (SELECT count(*) FROM f))::DOUBLE / 2) + 1) ^ 2) OVER (PARTITION BY rid, unit)) AS norm FROM ut LEFT JOIN idf USING (term)),
+uw AS (SELECT rid, unit, term, (1 + ln(tf)) * idf AS x, sqrt(sum(((1 + ln(tf)) * idf) ^ 2) OVER (PARTITION BY rid, unit)) AS norm FROM ut JOIN idf USING (term)),
 scored AS (SELECT rid, unit, license, round(sum(x * w) / any_value(norm), 6) AS score FROM uw JOIN tw USING (term) GROUP BY rid, unit, template, license HAVING round(sum(x * w) / any_value(norm), 6) >= {bar}),
-own AS (SELECT rid, unit, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY unit >= 0, score DESC, license) = 1),
-p AS (SELECT f.rid, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, score, CASE WHEN unit >= 0 THEN 'header' WHEN unit = -1 THEN 'file' END AS kind FROM f LEFT JOIN own USING (rid)),
+own AS (SELECT rid, unit, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY unit > 0, score DESC, license) = 1),
+p AS (SELECT f.rid, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, score, CASE WHEN unit > 0 THEN 'header' WHEN unit = 0 THEN 'file' END AS kind FROM f LEFT JOIN own USING (rid)),
 held AS (SELECT dir, license, score, path FROM p WHERE kind = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, path) = 1),
 near AS (SELECT d.dir, h.license, h.score, h.path FROM (SELECT DISTINCT dir FROM p) d JOIN held h ON d.dir = h.dir OR h.dir = '' OR starts_with(d.dir, h.dir || '/') QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(h.dir) DESC) = 1)
 SELECT doc_id, p.path, coalesce(p.license, n.license) AS license, coalesce(kind, CASE WHEN n.dir IS NOT NULL THEN 'inherited' END, 'none') AS license_kind,
