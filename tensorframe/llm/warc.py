@@ -1,14 +1,18 @@
 """WARC archives and their capture index.
 
 Pages are written as WARC/1.1 records, a payload equal to another of at least
-`least_bytes` bytes as a revisit of the capture with the largest page_id.  The
-archives are written by Spark's own text writer (gzip files in the shared
-folder), whose line separator is the empty line that ends a record, and read
-back as bytes, by record length.
+`least_bytes` bytes as a revisit of the capture with the largest page_id.  Each
+record is a gzip member of its own, so that a capture's place in its archive
+(file, offset, length) is enough to fetch it.  Spark's own writer writes the
+archives into the shared folder, one after about `archive_bytes` bytes: members
+are values of its text source, whose line separator is a zero byte, which is the
+byte that each member ends with (the highest one of the length of what it packs,
+which is kept below 2^24 by splitting a record into members where need be).
 
 Each archive yields a locally sorted run of captures (URL key, timestamp).  Runs
-are range-partitioned and merged k ways by a loser tree in each range, which
-gives globally ordered capture histories.
+are range-partitioned, into as many ranges as keep a range below RANGE_ROWS rows
+on average, and merged k ways by a loser tree in each range, which gives globally
+ordered capture histories; memory follows a range, not the runs.
 
 Defined cases: null html is an empty payload; a null url gets a urn of the page;
 of equal payloads, all rows with the largest page_id are responses, null ids
@@ -22,6 +26,8 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -29,13 +35,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tensorframe.llm.common import materialize, scratch_path, tidy
+from tensorframe.llm.common import materialize, scratch_path, slices, tidy
 
 END = "\r\n\r\n"
 LEAST_BYTES = 1000
 #: Captures have no time of their own: page_id seconds after this one.
 EPOCH = 1_704_067_200
-RECORDS_A_FILE = 20_000
+#: Of packed records in an archive, and of a member's content.
+ARCHIVE_BYTES = 64_000_000
+MEMBER_BYTES = 16_000_000
+#: Captures that one task merges.
+RANGE_ROWS = 100_000
 
 
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -66,12 +76,37 @@ def _one_line(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7F]", "%20")
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_a_file: int = RECORDS_A_FILE) -> None:
-    records(pages, least_bytes).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+def members(record: bytes, most: int = MEMBER_BYTES) -> list[bytes]:
+    """A record as gzip members, one unless it is very long."""
+    return [gzip.compress(record[at : at + most], 6, mtime=0) for at in range(0, len(record), most)]
 
 
-def parse(stream) -> list[tuple[dict[str, str], bytes]]:
-    """Records (fields in lower case, block) of an archive, one at a time."""
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives below path, in a folder for each number that a task's archives have."""
+
+    def run(batches):
+        number = held = 0
+        for part in slices(batches):
+            done, numbers = [], []
+            for x in part.column(0).to_pylist():
+                packed = members((x + END).encode())
+                if held > archive_bytes:
+                    number, held = number + 1, 0
+                held += sum(map(len, packed))
+                for m in packed:
+                    if m[-1]:
+                        raise ValueError("a member must be shorter than 2^24 bytes")
+                    done.append(m[:-1])
+                    numbers.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), pa.array(numbers, pa.int32())], names=["value", "archive"])
+
+    packed = records(pages, least_bytes).mapInArrow(tidy(run), "value binary, archive int")
+    # As a string only in name: the writer hands its bytes on as they are.
+    packed.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(path)
+
+
+def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records (fields in lower case, block) of an unpacked archive, one at a time."""
     while first := stream.readline():
         if not first.strip():
             continue
@@ -88,6 +123,43 @@ def parse(stream) -> list[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def _missing(held: bytes) -> int:
+    """How much of a record (and the empty line after it) is not there yet, as far as can be told."""
+    head, there, rest = held.partition(END.encode())
+    if not there:
+        return 1
+    return int(re.search(rb"(?mi)^content-length: *(\d+)", head)[1]) + len(END) - len(rest)
+
+
+def unpacked(archive, step: int = 16_384) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """offset, length, fields and block of each record of a packed archive."""
+    archive = memoryview(archive)
+    at = start = 0
+    parts: list[bytes] = []
+    while at < len(archive):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(archive):
+                raise ValueError("an archive is cut short")
+            parts.append(member.decompress(archive[at : at + step]))
+            at += step
+        at = min(at, len(archive)) - len(member.unused_data)
+        held = b"".join(parts)
+        if _missing(held) > 0:
+            parts = [held]
+            continue
+        for fields, block in parse(io.BytesIO(held)):
+            yield start, at - start, fields, block
+        start, parts = at, []
+    if parts:
+        raise ValueError("a record is cut short")
+
+
+def record_at(archive, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Fields and block of the record at a capture's place in its archive."""
+    return next(r[2:] for r in unpacked(memoryview(archive)[offset : offset + length]))
+
+
 _port = re.compile(r":(80|443)$")
 
 
@@ -112,6 +184,7 @@ CAPTURE = T.StructType([
     T.StructField("url_key", T.StringType()), T.StructField("ts", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()),
     T.StructField("refers_to", T.LongType()), T.StructField("run", T.StringType()), T.StructField("nth", T.IntegerType()),
+    T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()),
 ])
 
 
@@ -126,18 +199,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for nth, (fields, block) in enumerate(parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))))):
+                for nth, (offset, length, fields, block) in enumerate(unpacked(content.as_buffer())):
                     head, _, payload = block.partition(END.encode())
                     size = int(re.search(rb"(?m)^Content-Length: (\d+)", head)[1])
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
                     url = fields["warc-target-uri"]
-                    rows.append((url_key(url), fields["warc-date"], _page(fields["warc-record-id"]), url, size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), name.rpartition("/")[2], nth))
+                    rows.append((url_key(url), fields["warc-date"], _page(fields["warc-record-id"]), url, size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), "/".join(name.split("/")[-2:]), nth, offset, length))
                 rows.sort(key=_order)
-                yield _batch(rows)
+                for at in range(0, len(rows), 5000):
+                    yield _batch(rows[at : at + 5000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    # An empty table has no archive, and its folder nothing that could be read.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(tidy(run), CAPTURE)
 
 
@@ -185,10 +260,10 @@ class LoserTree:
             self._play(i)
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """Captures in global order: ranges of (key, time, page), in each the runs' slices merged."""
+def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Captures (a table) in global order: ranges of (key, time, page), in each the runs' slices merged."""
     spark = captures.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // range_rows))
 
     def run(batches):
         runs: dict[str, list[tuple]] = {}

@@ -1,5 +1,10 @@
+import gzip
+import hashlib
+import io
 import random
+from pathlib import Path
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,3 +38,40 @@ def test_global_order(spark):
     keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in got]
     assert keys == sorted(keys) and len(got) == 204
     assert "org,z)/y?q=1" in {k[0] for k in keys}
+
+
+def test_places_fetch_records(spark, tmp_path):
+    path = f"{tmp_path}/warc"
+    warc.write(pages(spark).repartition(3), path, archive_bytes=2000)
+    found = warc.read(spark, path).collect()
+    assert len(found) == 204 and len({r.run for r in found}) > 6
+    for r in found:
+        archive = Path(path, r.run).read_bytes()
+        fields, block = warc.record_at(archive, r.offset, r.length)
+        assert fields["warc-record-id"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
+        if r.record_type == "response":
+            assert hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() == r.payload_digest
+    # A run is an archive that any reader of gzip unpacks, record after record.
+    whole = Path(path, found[0].run).read_bytes()
+    assert len(list(warc.parse(io.BytesIO(gzip.decompress(whole))))) == sum(r.run == found[0].run for r in found)
+
+
+def test_long_records_are_split_into_members():
+    record = b"WARC/1.1\r\nContent-Length: 5000\r\n\r\n" + b"x\r\n\r\n" * 1000 + warc.END.encode()
+    short = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n" + warc.END.encode()
+    packed = warc.members(record, 700)
+    assert len(packed) > 5 and all(m[-1] == 0 for m in packed)
+    archive = b"".join([*warc.members(short), *packed, *warc.members(short)])
+    for step in (1, 7, 100_000):
+        got = list(warc.unpacked(archive, step))
+        assert [len(x[3]) for x in got] == [0, 5000, 0] and got[-1][0] + got[-1][1] == len(archive)
+    with pytest.raises(ValueError):
+        list(warc.unpacked(archive[:-3]))
+
+
+def test_more_ranges_than_partitions(spark):
+    path = warc.scratch_path(spark, "warc")
+    warc.write(pages(spark), path)
+    got = warc.merge_runs(warc.materialize(warc.read(spark, path), "captures"), range_rows=10).collect()
+    keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys) and len(got) == 204
