@@ -3,22 +3,27 @@
 Sections are parted by empty lines, paragraphs by line ends; a paragraph's
 leaves are runs of at most 24 code points that also end with a sentence, so that
 an edit disturbs its own sentence only.  Every node's hash is the MD5 of its
-children's hashes, the root's tells whether texts are equal, and the printed
-tree (root:section(paragraph.leaves)…, hashes below the root shortened) shows the
-branches that differ.  Cutting loses no character, so only equal texts (or MD5
-collisions) have equal roots.
+children's hashes and the root's tells whether texts are equal.  The fingerprint
+prints the tree down to paragraphs (root:section(paragraph,…);…, hashes below the
+root shortened), and shows the branches that differ.  Cutting loses no character,
+so only equal texts (or MD5 collisions) have equal roots.
 
-Likeness is Dice's coefficient of two trees' distinct leaves; equal roots give 1.
+Likeness is Dice's coefficient of two trees' distinct leaves, which `fingerprint`
+gives as a column of their own if asked; equal roots give 1.
 
 Defined cases: a null text is the empty text; rows with one doc_id are ordered by
-text, null ids first; the row after the last is the first, also when it is the
-only one; an empty table gives an empty result; other columns are ignored.
-Everything is DataFrame expressions; the texts are shuffled once, by ranges of
-doc_id whose bounds (a few per shuffle partition) come from quantiles.
+a hash of the text, null ids first; the row after the last is the first, also
+when it is the only one; an empty table gives an empty result; other columns are
+ignored.  Everything is DataFrame expressions; the texts are shuffled once, by
+ranges of doc_id whose bounds (a few per shuffle partition) come from quantiles.
+An id that fills more than one range, as null may, is cut by the texts' hashes;
+only rows alike in id and text must share a range.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ from tensorframe.llm.common import buckets
 LEAF = r"[^.!?]{0,24}[.!?]+|[^.!?]{1,24}"
 SHORT = 8
 LEAST = -(2**63)
+#: Hexadecimal digits of a text's hash that count for its place.
+DIGITS = 15
 
 
 def tree(text: Column) -> Column:
@@ -36,11 +43,11 @@ def tree(text: Column) -> Column:
 
 
 def printed(nodes: Column) -> Column:
-    """root:section(paragraph.leaves,…);… as one string."""
+    """root:section(paragraph,…);… as one string."""
     paragraph_hash = lambda leaves: F.md5(F.array_join(leaves, ""))
     section_hash = lambda section: F.md5(F.array_join(F.transform(section, paragraph_hash), ""))
     short = lambda x: F.substring(x, 1, SHORT)
-    show_paragraph = lambda leaves: F.concat(short(paragraph_hash(leaves)), F.lit("."), F.array_join(F.transform(leaves, short), ""))
+    show_paragraph = lambda leaves: short(paragraph_hash(leaves))
     show_section = lambda section: F.concat(short(section_hash(section)), F.lit("("), F.array_join(F.transform(section, show_paragraph), ","), F.lit(")"))
     root = F.md5(F.array_join(F.transform(nodes, section_hash), ""))
     return F.concat(root, F.lit(":"), F.array_join(F.transform(nodes, show_section), ";"))
@@ -55,9 +62,10 @@ def likeness(a_print: Column, a_leaves: Column, b_print: Column, b_leaves: Colum
     return F.when(F.substring(a_print, 1, 32) == F.substring(b_print, 1, 32), 1.0).otherwise(2.0 * shared / F.greatest(F.size(a_leaves) + F.size(b_leaves), F.lit(1)))
 
 
-def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the printed tree of each text."""
-    return docs.withColumn(out, printed(tree(F.coalesce(F.col(text), F.lit("")))))
+def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", leaves: str | None = None) -> DataFrame:
+    """docs with the printed tree of each text, and its distinct leaves if a column is named for them."""
+    nodes = tree(F.coalesce(F.col(text), F.lit("")))
+    return docs.withColumns({out: printed(nodes)} | ({leaves: distinct_leaves(nodes)} if leaves else {}))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -66,21 +74,29 @@ def differing(a: Column, b: Column) -> Column:
     return F.array_except(sections(a), sections(b))
 
 
-def _bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
-    """(bucket, least key) of the buckets that have rows; n at most."""
-    cuts = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or ()))
-    found = keys.groupBy(_bucket(F.col("key"), cuts).alias("bucket")).agg(F.min("key").alias("least")).collect()
-    return sorted((r.bucket, r.least) for r in found)
+def _place(key: Column, h: Column) -> Column:
+    """A string that sorts as (key, h) do: the key's hexadecimal digits, counted from the least long, and the first of the hash."""
+    return F.concat(F.lpad(F.hex(key.bitwiseXOR(F.lit(LEAST))), 16, "0"), F.substring(h, 1, DIGITS))
+
+
+def _cuts(keys: DataFrame, n: int) -> list[str]:
+    """Places at which ranges of about as many rows start, at most n."""
+    found = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    out = []
+    for key, times in Counter(found or ()).items():
+        # A key that is there d times fills d - 1 ranges at least: its hashes are cut alike.
+        prefix = f"{(key - LEAST):016X}"
+        out += [prefix + f"{(i << 4 * DIGITS) // times:0{DIGITS}x}" for i in range(times)]
+    return sorted(out)
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
-    """Number of cuts up to the key: a search in two levels, as cuts can be many."""
+def _bucket(place: Column, cuts: list[str]) -> Column:
+    """Number of cuts up to the place: a search in two levels, as cuts can be many."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    up_to = lambda values: F.size(F.filter(values, lambda c: c <= key))
+    up_to = lambda values: F.size(F.filter(values, lambda c: c <= place))
     coarse = up_to(F.lit([g[0] for g in groups]))
     fine = up_to(F.element_at(F.lit(groups), F.greatest(coarse, F.lit(1))))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
@@ -89,23 +105,23 @@ def _bucket(key: Column, cuts: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and the leaves of the text, and the same of the next row as next_text and next_leaves.
 
-    Each range of keys goes to one window; the first rows of a range are also
+    Each range of places goes to one window; the first rows of a range are also
     sent, marked, to the range before, whose last row looks at them.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
-    bounds = _bounds(rows.select("key"), buckets(docs.sparkSession))
-    cuts = [least for _, least in bounds[1:]]  # each is a key that exists, the least of its bucket
-    number = _bucket(F.col("key"), cuts)
+    rows = rows.withColumn("h", F.md5("text"))
+    rows = rows.withColumn("at", _place(F.col("key"), F.col("h")))
+    found = rows.groupBy(_bucket(F.col("at"), _cuts(rows.select("key"), buckets(docs.sparkSession))).alias("bucket")).agg(F.min("at").alias("least")).collect()
+    bounds = sorted(r.least for r in found)
+    cuts = bounds[1:]  # each is a place that exists, the least of its range
+    number = _bucket(F.col("at"), cuts)
     last = len(cuts)
-    before = F.when(F.col("key").isin([least for _, least in bounds][:1]), last).otherwise(number - 1) if last else F.lit(0)
-    firsts = F.lit(False)
-    if bounds:
-        leasts = F.element_at(F.lit([least for _, least in bounds]), number + 1)
-        firsts = F.col("key") == leasts
+    before = F.when(F.col("at") == bounds[0], last).otherwise(number - 1) if last else F.lit(0)
+    firsts = F.col("at") == F.element_at(F.lit(bounds), number + 1) if bounds else F.lit(False)
     places = F.when(firsts, F.array(F.struct(number.alias("bucket"), F.lit(False).alias("guest")), F.struct(before.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(number.alias("bucket"), F.lit(False).alias("guest"))))
-    order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
+    order = Window.partitionBy("bucket").orderBy("guest", "at", "h", "text")
     dealt = (
-        rows.withColumn("place", F.explode(places)).select("doc_id", "key", "text", F.col("place.bucket").alias("bucket"), F.col("place.guest").alias("guest"))
+        rows.withColumn("place", F.explode(places)).select("doc_id", "at", "h", "text", F.col("place.bucket").alias("bucket"), F.col("place.guest").alias("guest"))
         .repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
     )
     nodes = dealt.withColumn("nodes", tree(F.col("text")))
@@ -140,10 +156,10 @@ _TREE = f"""list_transform(string_split(x.t, chr(10) || chr(10)), lambda s: list
     lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda l: md5(l))))"""
 _PRINTED = """md5(array_to_string(list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':' ||
   array_to_string(list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))[1:8] || '(' ||
-    array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))[1:8] || '.' || array_to_string(list_transform(p, lambda l: l[1:8]), '')), ',') || ')'), ';')"""
+    array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))[1:8]), ',') || ')'), ';')"""
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS n, count(*) OVER () AS m FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), coalesce(text, '')) AS n, count(*) OVER () AS m FROM documents),
 e AS (SELECT a.doc_id, a.n, length(a.t) AS n_chars, a.t, b.t AS next_t,
         a.t[1:length(a.t) - length(a.t) // 4] || b.t[1:length(a.t) // 4] AS edited
       FROM d a JOIN d b ON b.n = a.n % a.m + 1),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,23 @@ def test_one_row_and_empty(spark):
     assert fingerprints.edits(docs.limit(0)).count() == 0
 
 
+def test_ids_that_fill_many_ranges(spark):
+    r = random.Random(3)
+    data = [(r.choice([None, None, 7, 7, 7, i, -i]), f"text {r.randint(0, 60)} of these. " * r.randint(0, 3), "x") for i in range(400)]
+    docs = spark.createDataFrame([*data, (7, None, "x"), (2**62, "far", "x"), (-(2**62), "off", "x")], "doc_id long, text string, at string").repartition(5)
+    assert rows(fingerprints.edits(docs)) == sql_rows(fingerprints.ORACLE_SQL, documents=docs)
+    # Null and 7 don't stay in one range each.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(fingerprints.LEAST)).alias("key"))
+    starts = Counter(c[:16] for c in fingerprints._cuts(keyed, 16))
+    assert sorted(starts.values())[-2] >= 3
+
+
+def test_a_fingerprint_is_smaller_than_its_text(spark):
+    docs = documents(spark).withColumn("text", F.repeat(F.coalesce("text", F.lit("")), 20))
+    done = fingerprints.fingerprint(docs, leaves="leaves").agg(F.sum(F.length("fingerprint")).alias("a"), F.sum(F.length("text")).alias("b"), F.max(F.size("leaves")).alias("c")).first()
+    assert done.a < done.b / 2 and done.c > 5
+
+
 def test_differing_branches(spark):
     base = "\n\n".join(f"Section {i} says this. And that.\nMore of {i}." for i in range(6))
     df = spark.createDataFrame([(base, base.replace("More of 3", "Less of 3"), base)], "a string, b string, c string")
