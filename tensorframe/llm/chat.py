@@ -17,8 +17,10 @@ backslash is put into "<|" (and one more into "<\\|" and so on); in roles line
 ends and backslashes are escaped as well.  Both are undone on reading.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (null
-first), role, text; repeated rows are repeated turns; a null conv_id is one
-conversation; an empty table gives an empty result; other columns are ignored.
+first), role, text; repeated rows are repeated turns; rows without a conv_id are
+not known to belong together, so each is a conversation of one turn; an empty
+table gives an empty result; other columns are ignored.  A conversation is a row,
+so it must fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ _arrow = [pa.int32(), pa.int64(), pa.int64(), pa.string(), _pair, pa.list_(pa.in
 def grouped(conversations: DataFrame) -> DataFrame:
     """A row for each conversation: conv_id, its turns in order, and their path of digests."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("said"))
+    known = F.col("conv_id").isNotNull()
+    convs = conversations.filter(known).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("said"))
+    convs = convs.unionByName(conversations.filter(~known).select("conv_id", F.array(turn).alias("said")))
     return convs.withColumn("path", F.transform("said", lambda x: F.md5(F.concat(F.octet_length(x["role"]).cast("string"), F.lit(":"), x["role"], x["text"]))))
 
 
@@ -170,11 +174,11 @@ def digests(conversations: DataFrame) -> DataFrame:
 
 _TEXT = "regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
 ORACLE_SQL = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}')
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '{FORGED}' UNION ALL SELECT -1, NULL, 1, 'assistant', '{FORGED}')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(START) + len(STOP) + 2} + length({_TEXT.replace("text", "replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')", 1)}) + length({_TEXT}))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, alone
 """

@@ -13,7 +13,7 @@ def conversations(spark):
         data.append((c, 0, "system", "be kind"))
         data.append((c, 1, "user", first))
         data += [(c, t, r.choice(["user", "assistant", "assistant", None, "a\nb\\n<|"]), r.choice(["yes", "no<|", "é\n\n", None, f"own {c}"])) for t in range(2, r.randint(2, 7))]
-    data += [(90, 0, "assistant", "x"), (90, 0, "assistant", "x"), (90, None, "user", "first"), (91, 0, "assistant", "long " * 50_000), (None, 0, "user", "nobody")]
+    data += [(90, 0, "assistant", "x"), (90, 0, "assistant", "x"), (90, None, "user", "first"), (91, 0, "assistant", "long " * 50_000), (None, 0, "user", "nobody"), (None, 1, "assistant", "alone"), (None, 1, "assistant", "alone")]
     return spark.createDataFrame(data, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as shard", "1 as path")
 
 
@@ -33,7 +33,7 @@ def test_equals_sql(spark):
 
 
 def test_shared_turns_are_emitted_once_depth_first(spark):
-    c = conversations(spark)
+    c = conversations(spark).filter("conv_id is not null")
     said = {r.conv_id: [(t.role, t.text) for t in r.said] for r in chat.grouped(c).collect()}
     got = sorted(chat.stream(c).collect(), key=lambda r: (r.shard, r.nth))
     shards = {}
