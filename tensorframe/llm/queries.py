@@ -63,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": jaccard.ORACLE_SQL,
     "op2_fingerprints": fingerprints.ORACLE_SQL,
+    "op3_secret_scans": secrets.oracle_sql(),
     "op4_license_scans": licenses.oracle_sql(),
     "op5_mixing": mixing.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,

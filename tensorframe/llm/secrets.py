@@ -176,6 +176,55 @@ def digests(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _any_case(pattern: str) -> str:
+    """The pattern's ASCII letters outside brackets in either case, as engines differ on what else a flag would match."""
+    return re.sub(r"\[[^]]*\]|\\x..|\\.|[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]" if len(m[0]) == 1 else m[0], pattern)
+
+
+def oracle_sql() -> str:
+    """digests() as SQL: matches are placed by the lengths of the pieces between them, windows are unnested."""
+    quoted = lambda x: x.replace("'", "''")
+    assign = quoted(_any_case(ASSIGN))
+
+    def placed(name: str, source: str, keys: str, text: str, pattern: str) -> str:
+        """Rows (keys, match, pos) of a pattern's matches."""
+        return f"""{name} AS (SELECT {keys}, match, (sum(length(before) + length(match)) OVER (PARTITION BY {keys} ORDER BY n) - length(match))::BIGINT AS pos
+  FROM (SELECT {keys}, unnest(m) AS match, unnest(p[1:len(m)]) AS before, unnest(range(len(m))) AS n FROM (SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS p FROM {source}))),
+"""
+
+    classes = [f"length(regexp_replace(s, '[^{c}]', '', 'g')) AS {n}" for n, c in (("dg", "0-9"), ("la", "a-f"), ("lo", "g-z"), ("ua", "A-F"), ("up", "G-Z"), ("sg", ""))]
+    classes[-1] = "length(regexp_replace(s, '[0-9A-Za-z]', '', 'g')) AS sg"
+    bars = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in BITS.items())
+    allowed = ""
+    for k, pattern in enumerate(ALLOW):
+        pattern = quoted(pattern)
+        allowed += placed(f"al{k}", "piece", "rid, pid", "s", pattern)
+    blocked = " UNION ALL ".join(f"SELECT rid, pid, pos AS x, pos + length(match) AS y FROM al{k}" for k in range(len(ALLOW)))
+    w = WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{placed("ass", "d", "rid", "t", assign)}{placed("acc", "d", "rid", "t", "AKIA[A-Z0-9]+")}{placed("hexs", "d", "rid", "t", "[0-9a-f]+")}base AS (
+  SELECT rid, 0 AS k, pos AS x, pos + length(match) AS y FROM ass WHERE length(regexp_extract(match, '{assign}', 2)) >= 8
+  UNION ALL SELECT rid, 1, pos, pos + length(match) FROM acc WHERE length(match) >= 16
+  UNION ALL SELECT rid, 2, pos, pos + length(match) FROM hexs WHERE length(match) >= 32),
+{placed("cand", "d", "rid", "t", CANDIDATE)}{placed("part", "(SELECT rid, pos AS cat, match AS s FROM cand)", "rid, cat", "s", PIECE)}piece AS (SELECT rid, cat + pos AS pid, match AS s FROM part WHERE length(match) >= {w}),
+{allowed}blocked AS ({blocked} UNION ALL SELECT b.rid, p.pid, x - p.pid, y - p.pid FROM base b JOIN piece p ON p.rid = b.rid AND x < p.pid + length(p.s) AND p.pid < y),
+win AS (SELECT rid, pid, i, s[i + 1:i + {w}] AS s FROM (SELECT rid, pid, s, unnest(range(length(s) - {w - 1})) AS i FROM piece)),
+free AS (SELECT * FROM win WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.rid = win.rid AND b.pid = win.pid AND b.x < win.i + {w} AND win.i < b.y)),
+sums AS (SELECT rid, pid, i, sum(c * log2(c)) AS total FROM (SELECT rid, pid, i, ch, count(*) AS c FROM (SELECT rid, pid, i, unnest(string_split(s, '')) AS ch FROM free) GROUP BY ALL) GROUP BY ALL),
+cls AS (SELECT rid, pid, i, CASE WHEN la + lo + ua + up = 0 THEN CASE WHEN dg > 0 AND sg = 0 THEN 'digits' END
+    WHEN dg = 0 THEN CASE WHEN sg = 0 THEN CASE WHEN la + lo = 0 OR ua + up = 0 THEN 'letters' ELSE 'cased' END END
+    WHEN sg > 0 OR (la + lo > 0 AND ua + up > 0) THEN 'mixed' WHEN lo + up > 0 THEN 'alnum' ELSE 'hex' END AS class FROM (SELECT rid, pid, i, {", ".join(classes)} FROM free)),
+hit AS (SELECT rid, pid + i AS pos FROM sums JOIN cls USING (rid, pid, i) WHERE total <= (log2({w}) - CASE class {bars} END) * {w} + 1e-9),
+isl AS (SELECT rid, pos, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS g FROM (SELECT rid, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY rid ORDER BY pos) < {w} THEN 0 ELSE 1 END AS fresh FROM hit)),
+spans AS (SELECT * FROM base UNION ALL SELECT rid, 3, min(pos), max(pos) + {w} FROM isl GROUP BY rid, g),
+o AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    coalesce(string_agg(n || ':' || x || ':' || y, ',' ORDER BY x, k) FILTER (k < 3), '') AS base, string_agg(n || ':' || x || ':' || y, ',' ORDER BY x, k) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] AS n FROM spans) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (rid)
+"""
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with each span replaced by the mask; n_chars, where it exists, follows the text."""
     schema = docs.schema
