@@ -8,9 +8,9 @@ each template decides: a part of a text that reaches the bar is a header, a whol
 text that does makes the file a license file.  A file with neither inherits from
 the license file of its nearest ancestor directory, by joins of path prefixes.
 
-A unit is scored only if, by the Cauchy-Schwarz bound, it can reach the bar: it
-has one of the terms without which no unit comes near a notice, or so many of
-the terms of whole texts as the heaviest of them need to add up to the bar.  What
+A text is scored only if, by the Cauchy-Schwarz bound, it can reach the bar: the
+squared weights of the terms that it shares with some template must add up to the
+bar's square, of which a template's lightest terms may give LIGHT at most.  What
 the driver holds is bounded by the templates' vocabulary.
 
 Defined cases: a null text has no terms; a null path has no directory and
@@ -23,8 +23,10 @@ pass through, whatever their names.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +38,10 @@ TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 BAR = 0.6
 PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
 COMMENTS = r"(?:\n[ \t]*(?:#|//|/\*|\*|--|;|%)[^\n]*)+"
-#: Templates with more distinct terms than this are whole texts.
-NOTICE_TERMS = 60
+#: Templates with more telling terms than this are whole texts.
+NOTICE_TERMS = 200
+#: Share of a template's squared weights that its lightest terms may have to be left out of the search.
+LIGHT = 0.1
 #: Notices by license (public texts, shortened to what tells them apart).
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -80,32 +84,47 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
-def weights(df: dict[str, int], n: int, templates=TEMPLATES, bar: float = BAR):
-    """idf by term, unit vectors of the templates, the terms one of which a notice needs, and of the whole texts' terms how many are needed."""
-    vocabulary = {t for _, text in templates for t in terms_of(text)}
-    idfs = {t: idf(df.get(t, 0), n) for t in vocabulary}
-    vectors, heavy, least = [], set(), math.inf
+def _constant(terms: set[str]) -> Column:
+    """The terms as one literal, which the optimizer makes of it; terms have no blanks."""
+    return F.split(F.lit(" ".join(sorted(terms))), " ")
+
+
+def weights(df: dict[str, int], n: int, templates=TEMPLATES) -> list[dict[str, float]]:
+    """Unit vectors of the templates."""
+    out = []
     for _, text in templates:
-        v = {t: (1 + math.log(c)) * idfs[t] for t, c in Counter(terms_of(text)).items()}
+        v = {t: (1 + math.log(c)) * idf(df.get(t, 0), n) for t, c in Counter(terms_of(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        v = {t: x / norm for t, x in v.items()}
-        vectors.append(v)
-        by_weight = sorted(v.items(), key=lambda p: (-p[1], p[0]))
-        if len(v) > NOTICE_TERMS:
-            # The cosine is at most the root of the sum of squares over the terms in common.
-            have = need = 0
-            while need < len(by_weight) and have < bar * bar - 1e-9:
-                have += by_weight[need][1] ** 2
-                need += 1
-            least = min(least, need)
-            continue
-        rest = 1.0
-        for t, x in by_weight:
-            if rest < bar * bar - 1e-9:
-                break
-            heavy.add(t)
-            rest -= x * x
-    return idfs, vectors, heavy, least
+        out.append({t: x / norm for t, x in v.items()})
+    return out
+
+
+def search_terms(vectors: list[dict[str, float]], bar: float) -> tuple[list[dict[str, float]], float, list[int]]:
+    """For each template its squared weights by term, without its lightest terms, the sum that a text needs, and the fewest terms that give it."""
+    out, fewest, need = [], [], bar * bar - LIGHT - 1e-9
+    for v in vectors:
+        by_weight, light = sorted(v.items(), key=lambda p: (p[1], p[0])), 0.0
+        while light + by_weight[0][1] ** 2 <= LIGHT:
+            light += by_weight.pop(0)[1] ** 2
+        out.append({t: x * x for t, x in by_weight})
+        have = terms = 0
+        while by_weight and have < need:
+            have += by_weight.pop()[1] ** 2
+            terms += 1
+        fewest.append(terms)
+    return out, need, fewest
+
+
+def can_reach(terms: Column, telling: list[dict[str, float]], fewest: list[int]) -> Column:
+    """Whether the terms have as many of some template's telling ones as the heaviest of those need; whole texts count as one."""
+    texts = [i for i, v in enumerate(telling) if len(v) > NOTICE_TERMS]
+    notices = [i for i in range(len(telling)) if i not in texts]
+    some = lambda x, which: F.array_intersect(x, _constant({t for i in which for t in telling[i]}))
+    enough = lambda x: reduce(operator.or_, [F.size(some(x, [i])) >= fewest[i] for i in notices], F.lit(False))
+    # By way of lambdas, whose variables are evaluated once.
+    able = lambda x: F.exists(F.array(some(x, notices)), enough) if notices else F.lit(False)
+    least = min((fewest[i] for i in texts), default=0)
+    return F.exists(F.array(terms), lambda x: able(x) | ((F.size(x) >= least) & (F.size(some(x, texts)) >= least)) if texts else able(x))
 
 
 def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
@@ -117,24 +136,22 @@ def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar:
     n = files.count()
     # As many rows as the templates have terms.
     known = spark.createDataFrame([(x,) for x in vocabulary], "term string")
-    idfs, vectors, heavy, least = weights({r.term: r.df for r in df.join(F.broadcast(known), "term").collect()}, n, templates, bar)
-    whole_texts = sorted({x for v in vectors if len(v) > NOTICE_TERMS for x in v})
-
-    def worth(terms: Column) -> Column:
-        # By way of a lambda, whose variable is evaluated once.
-        able = lambda x: F.arrays_overlap(x, F.lit(sorted(heavy))) if not whole_texts else F.arrays_overlap(x, F.lit(sorted(heavy))) | ((F.size(x) >= least) & (F.size(F.array_intersect(x, F.lit(whole_texts))) >= least))
-        return F.exists(F.array(terms), able)
+    vectors = weights({r.term: r.df for r in df.join(F.broadcast(known), "term").collect()}, n, templates)
+    telling, need, fewest = search_terms(vectors, bar)
 
-    # Of equal texts one is enough.
-    found = materialize(files.select("key", t.alias("t")).filter(worth(_terms(F.col("t")))).dropDuplicates(["key"]), "candidates")
+    # Texts with enough telling terms; of equal ones one is enough.  Then those whose terms can reach the bar with one template.
+    able = materialize(files.select("key", t.alias("t")).filter(can_reach(_terms(F.col("t")), telling, fewest)).dropDuplicates(["key"]), "texts")
+    # Broadcast: a row for each term of each template, whatever the files.
+    squares = F.broadcast(spark.createDataFrame([(x, i, w) for i, v in enumerate(telling) for x, w in v.items()], "term string, template int, square double"))
+    near = able.select("key", F.explode(F.array_distinct(_terms(F.col("t")))).alias("term")).join(squares, "term").groupBy("key", "template").agg(F.sum("square").alias("square")).filter(F.col("square") >= need).select("key").distinct()
+    found = able.join(near, "key", "left_semi")
     parts = F.array_distinct(F.concat(F.split("t", "\n", -1), F.split("t", PARAGRAPH, -1), F.regexp_extract_all(F.concat(F.lit("\n"), F.col("t")), F.lit(COMMENTS), F.lit(0))))
-    units = found.select("key", F.posexplode(F.concat(F.array("t"), parts)).alias("unit", "part")).select("key", "unit", _terms(F.col("part")).alias("terms")).filter(worth(F.col("terms")))
+    units = found.select("key", F.posexplode(F.concat(F.array("t"), parts)).alias("unit", "part")).select("key", "unit", _terms(F.col("part")).alias("terms")).filter(can_reach(F.col("terms"), telling, fewest))
     term = units.select("key", "unit", F.explode("terms").alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = materialize(term.join(df, "term").select("key", "unit", "term", ((1 + F.log("tf")) * idf(F.col("df"), F.lit(n))).alias("x")), "weights")
-    # Broadcast: a row for each term of each template, whatever the files.
-    table = spark.createDataFrame([(x, i, templates[i][0], w) for i, v in enumerate(vectors) for x, w in v.items()], "term string, template int, license string, w double")
+    table = F.broadcast(spark.createDataFrame([(x, i, templates[i][0], w) for i, v in enumerate(vectors) for x, w in v.items()], "term string, template int, license string, w double"))
     norms = weighted.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighted.join(F.broadcast(table), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighted.join(table, "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(norms, ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= bar)
     # A whole text before a part, then the best score, then the license's name.
     best = scored.groupBy("key").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), (-F.col("score")).alias("minus"), "license")).alias("x"))
