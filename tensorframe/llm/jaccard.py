@@ -46,8 +46,9 @@ THRESHOLD = 0.8
 VALUES, ROWS = 128, 4
 STEP = 16
 TOLERANCE = 1e-6
-#: Rows of a block and number of such blocks; then the most rows, and shingles, that a block of a larger group may have.
-BLOCK, SPREAD = 512, 32
+#: Rows of a bucket's and of a component's block, and number of such blocks; then the most rows, and shingles, that a
+#: block of a larger group may have.
+BUCKET_BLOCK, TEXT_BLOCK, SPREAD = 512, 128, 32
 BUCKET_ROWS = 65_536
 TEXT_ROWS, TEXT_SHINGLES = 8192, 2_000_000
 #: Sets compared at a time on either side.
@@ -202,9 +203,9 @@ def _starts(t: pa.Table, n_keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
-def blocks_of(size: Column, most_rows: int, shingles: Column | None = None) -> Column:
+def blocks_of(size: Column, rows: int, most_rows: int, shingles: Column | None = None) -> Column:
     """The number of blocks that a group of some rows (and shingles) is cut into."""
-    need = [F.least(F.ceil(size / BLOCK), F.lit(SPREAD)), F.ceil(size / most_rows)]
+    need = [F.least(F.ceil(size / rows), F.lit(SPREAD)), F.ceil(size / most_rows)]
     return F.greatest(*need, *([F.ceil(shingles / TEXT_SHINGLES)] if shingles is not None else [])).cast("int")
 
 
@@ -244,7 +245,7 @@ def candidate_edges(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")).filter("size > 1")
     once = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     members = bands.join(once, "key").join(reps.select("rid", "sig"), "rid")
-    rows = in_blocks(members, "key", blocks_of(F.col("size"), BUCKET_ROWS)).select("key", "i", "j", "side", "rid", "sig")
+    rows = in_blocks(members, "key", blocks_of(F.col("size"), BUCKET_BLOCK, BUCKET_ROWS)).select("key", "i", "j", "side", "rid", "sig")
     least = least_matches(threshold, tolerance)
 
     def run(batches):
@@ -383,7 +384,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     comps = components(materialize(candidate_edges(values, threshold, tolerance), "candidates"))
 
     of_comp = comps.join(reps, F.col("node") == F.col("rid")).select(F.col("root").alias("comp"), "rid", "first", "copies", "n", "digest")
-    many = of_comp.groupBy("comp").agg(blocks_of(F.count(F.lit(1)), TEXT_ROWS, F.sum("n")).alias("many"))
+    many = of_comp.groupBy("comp").agg(blocks_of(F.count(F.lit(1)), TEXT_BLOCK, TEXT_ROWS, F.sum("n")).alias("many"))
     members = materialize(spread_join(of_comp, many, "comp"), "members")
     # Texts come from the documents again, one for each member: shingles of all documents would fill the disks.
     key = lambda c: F.coalesce(c.cast("long"), F.lit(-1))

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import WORD, buckets, materialize, null_key, spread_join
+from tensorframe.llm.common import WORD, materialize, null_key, spread_join
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -81,7 +81,7 @@ def _fill_up(spare: DataFrame) -> DataFrame:
 
 def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
     """A row for each of rows (rid, doc_id, source, text): rid, doc_id, source, size, h, source_size, target, times, taken, positions."""
-    n = buckets(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # By the text too: null ids, and those of many rows, are spread.
     h = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))

@@ -34,7 +34,7 @@ def test_equals_brute_force(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("settings", [{"BLOCK": 3, "SPREAD": 1000, "BUCKET_ROWS": 4}, {"BLOCK": 2, "SPREAD": 2, "BUCKET_ROWS": 5, "TEXT_ROWS": 4}, {"SPREAD": 1, "TEXT_SHINGLES": 100}])
+@pytest.mark.parametrize("settings", [{"BUCKET_BLOCK": 3, "TEXT_BLOCK": 4, "SPREAD": 1000, "BUCKET_ROWS": 4}, {"BUCKET_BLOCK": 2, "TEXT_BLOCK": 2, "SPREAD": 2, "BUCKET_ROWS": 5, "TEXT_ROWS": 4}, {"SPREAD": 1, "TEXT_SHINGLES": 100}])
 def test_large_groups_in_small_blocks(spark, monkeypatch, settings):
     docs = documents(spark)
     for k, v in settings.items():
