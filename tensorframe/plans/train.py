@@ -28,6 +28,8 @@ cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Rows that go through the layers at a time: few enough for a core's caches.
 ROWS = 128
+#: Numbers in a piece of a partition's gradients.
+PIECE = 8192
 
 
 class Net:
@@ -127,10 +129,31 @@ def evaluate(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1
     return sums.select("count", "loss", (F.col("loss") / F.col("count")).alias("mean_loss"), "correct", (100.0 * F.col("correct") / F.col("count")).alias("accuracy"))
 
 
+def _pieces(flat: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
+    """(piece, values) of a vector."""
+    for k, at in enumerate(range(0, len(flat), piece)):
+        part = flat[at : at + piece]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part))], names=["piece", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one piece added up, one after another."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            v = v.values.to_numpy()
+            sums[k] = sums[k] + v if k in sums else v
+    for k, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["piece", "v"])
+
+
 def gradients(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1.0, value: str = "value", label: str = "label") -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    """Gradient of the mean loss over the rows, and their stats."""
+    """Gradient of the mean loss over the rows, and their stats.
+
+    A partition's sums leave it as a few pieces of one vector, which meet by piece.
+    """
     plan, params, dtype = net.plan, net.params, net.dtype
-    names = list(params)
+    names, piece = list(params), PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {n: np.zeros(params[n].size, np.float64) for n in names}
@@ -144,14 +167,19 @@ def gradients(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float =
                 for n, d in kernels.backward(plan, params, kept, g).items():
                     sums[n] += d.reshape(-1)
                 stats += (part.num_rows, total, correct)
-        for n, v in (*sums.items(), ("", stats)):
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(v)), pa.array(np.arange(len(v))), pa.array(v)], names=["param", "idx", "v"])
-
-    t = rows.select(value, F.col(label).cast("int")).mapInArrow(run, "param string, idx long, v double").groupBy("param", "idx").agg(F.sum("v").alias("v")).toPandas().sort_values(["param", "idx"])
-    by = {n: g.v.to_numpy() for n, g in t.groupby("param")}
-    count, total, correct = by.pop("", np.zeros(3))
-    stats = {"count": int(count), "loss": total, "correct": int(correct)}
-    return {n: (g / max(count, 1)).reshape(params[n].shape) for n, g in by.items()}, stats
+        if stats[0]:
+            yield from _pieces(np.concatenate([stats, *sums.values()]), piece)
+
+    n = -(-(3 + sum(p.size for p in params.values())) // piece)
+    width = min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = "piece int, v array<double>"
+    t = rows.select(value, F.col(label).cast("int")).mapInArrow(run, schema).repartition(width, "piece").mapInArrow(_added, schema).toArrow().sort_by("piece")
+    flat = np.concatenate([x.values.to_numpy() for c in t.column("v").chunks for x in c]) if t.num_rows else np.zeros(3 + sum(p.size for p in params.values()))
+    count, at, grads = flat[0], 3, {}
+    for name, p in params.items():
+        grads[name] = (flat[at : at + p.size] / max(count, 1)).reshape(p.shape)
+        at += p.size
+    return grads, {"count": int(count), "loss": float(flat[1]), "correct": int(flat[2])}
 
 
 def train(rows: DataFrame, net: Net, shape: tuple[int, ...], learning_rate: float, momentum: float | None = None, steps: int = 1, scale: float = 1.0, value: str = "value", label: str = "label") -> list[dict[str, float]]:
