@@ -63,16 +63,18 @@ def null_key(c: str) -> Column:
     return F.concat(F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
-def spread_join(rows: DataFrame, by_key: DataFrame, key: str | list[str], how: str = "inner", salts: int = 32, by: list[str] | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str | list[str], how: str = "inner", salts: int = 32, by: list[str] | None = None, few: bool = False) -> DataFrame:
     """rows joined with a table of one row a key, whose rows are few beside them.
 
     A hot key's rows are dealt, by their other columns or those named, over as many
-    places as there are salts, each with a copy of the key's row.
+    places as there are salts, each with a copy of the key's row.  The planner may
+    broadcast the copies only where they are said to be few (a row for each source):
+    it sizes them by the file they come from, and would find a growing table small.
     """
     keys = [key] if isinstance(key, str) else list(key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in by or rows.columns if c not in keys]), F.lit(salts)))
     copies = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies if few else copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -76,7 +76,7 @@ def _fill_up(spare: DataFrame) -> DataFrame:
         if done.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
         ends = done.filter("fits").groupBy("skey").agg(F.max(F.col("last") + F.col("size")).alias("end"))
-        spare = spread_join(done.filter("not fits").select(columns), ends, "skey").withColumn("filled", F.col("end")).filter(F.col("size") <= F.col("rest") - F.col("filled")).select(columns)
+        spare = spread_join(done.filter("not fits").select(columns), ends, "skey", few=True).withColumn("filled", F.col("end")).filter(F.col("size") <= F.col("rest") - F.col("filled")).select(columns)
 
 
 def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
@@ -97,10 +97,10 @@ def _plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     # What the last pass has room for after the first documents; then others that fit.
     placed = materialize(placed.drop("start"), "mixing")
     room = placed.groupBy("skey").agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("at") + F.col("size"))), F.lit(0)).alias("filled"))
-    spare = spread_join(placed, room, "skey").filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled"))).select("rid", "skey", "bucket", "at", "size", "rest", "filled")
+    spare = spread_join(placed, room, "skey", few=True).filter(~F.col("fits") & (F.col("size") > 0) & (F.col("size") <= F.col("rest") - F.col("filled"))).select("rid", "skey", "bucket", "at", "size", "rest", "filled")
     extra = _fill_up(spare)
     ends = room.join(extra.groupBy("skey").agg(F.sum("size").cast("double").alias("more")), "skey", "left")
-    d = spread_join(placed, ends, "skey").join(extra.select("rid", "last"), "rid", "left")
+    d = spread_join(placed, ends, "skey", few=True).join(extra.select("rid", "last"), "rid", "left")
     once = F.col("fits") | ((F.col("size") > 0) & F.col("last").isNotNull())
     d = d.withColumn("n_times", F.when(F.col("size") > 0, F.col("full") + once.cast("long")).otherwise(0))
     # The extra documents come after those that fitted; what is taken in all scales the demand to 0..1.

@@ -133,7 +133,7 @@ def frequent_lines(measured: DataFrame, share: float = SHARE, chance: float = CH
     counts = texts.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     limits = counts.filter("hash is null").select("host", F.col("n").alias("of"))
     # No line of one document can be above a limit.
-    return spread_join(counts.filter("hash is not null and n > 1"), limits, "host").filter(above_limit(F.col("n"), F.col("of"), share, chance)).select("host", "hash")
+    return spread_join(counts.filter("hash is not null and n > 1"), limits, "host", few=True).filter(above_limit(F.col("n"), F.col("of"), share, chance)).select("host", "hash")
 
 
 def verdicts(docs: DataFrame, host: str = "source", share: float = SHARE, chance: float = CHANCE, most_lost: float = MOST_LOST) -> DataFrame:
