@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import materialize, spread_join
+from tensorframe.llm.common import discard, materialize, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = spread_join(e.select(F.col("v").alias("k"), "u"), least.select(F.col("u").alias("k"), "m"), "k", "left").select("u", F.coalesce("m", "k").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = e
         e, now = _round_end(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         if now == seen:
             break
         seen = now

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import materialize, spread_join
+from tensorframe.llm.common import discard, materialize, spread_join
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive and anchored forms that match what the plain ones do, in linear time:
@@ -182,7 +182,8 @@ def confident(mentioned: DataFrame) -> DataFrame:
         sums = scored.filter(F.col("score") >= INSTANCE_BAR).groupBy("pattern").agg(F.sum("score").alias("for"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= SUPPORT)
         chosen = sums.join(patterns, "pattern").withColumn("confidence", F.col("for") / (F.col("for") + F.col("against") + UNKNOWN * (F.col("n") - F.col("held")) + DISCOUNT)).filter(F.col("confidence") >= PATTERN_BAR)
         raised = spread_join(edges, chosen.select("pattern", "confidence"), "pattern").filter("label = 0").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("raised"))
-        scores = materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.round(F.coalesce("raised", F.lit(0.0)), 6)).alias("score")), "scores")
+        before, scores = scores, materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.round(F.coalesce("raised", F.lit(0.0)), 6)).alias("score")), "scores")
+        discard(before)
         total = scores.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
         if total == risen:
             break

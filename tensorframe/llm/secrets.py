@@ -150,19 +150,27 @@ class Scanner:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, list[T.StructField]]:
+    """docs under names of our own, as Arrow functions take no name with a dot, and their fields."""
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "spans", **settings) -> DataFrame:
     """docs with the spans of each text, by start and then kind."""
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != out), T.StructField(out, SPANS)])
-    names = schema.names
+    at = docs.columns.index(text)
+    inner, fields = _named(docs)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         scanner = Scanner(**settings)
         for b in slices(batches):
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner(x or "")] for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names[:-1]), pa.array(spans, kind)], names=names)
+            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner(x or "")] for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, "spans"])
 
-    return docs.mapInArrow(tidy(run), schema)
+    done = inner.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("spans", SPANS)]))
+    keep = [(f.name, c) for f, c in zip(fields, docs.columns, strict=True) if c != out]
+    return done.select(*[F.col(k).alias(c) for k, c in keep], F.col("spans").alias(out))
 
 
 def joined(spans):
@@ -227,11 +235,11 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with each span replaced by the mask; n_chars, where it exists, follows the text."""
-    schema = docs.schema
+    at = docs.columns.index("text")
+    inner, fields = _named(docs)
 
     def run(batches):
         scanner = Scanner()
-        at = schema.names.index("text")
         for b in slices(batches):
             done = []
             for x in b.column(at).to_pylist():
@@ -243,5 +251,5 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 done.append("".join([*pieces, x[end:]]) if pieces else x)
             yield b.set_column(at, b.schema.field(at), pa.array(done, pa.string()))
 
-    out = docs.mapInArrow(tidy(run), schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+    out = inner.mapInArrow(tidy(run), T.StructType(fields)).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -92,7 +92,10 @@ def test_scan_and_redact(spark):
     assert len(rows) == len(TEXTS) and rows[0].spans == "" and rows[2].n_assign == 1 and rows[6].n_access == 2
     done = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert done[2].text == "[SECRET]" and done[2].n_chars == 8 and done[0].text is None
-    assert secrets.digests(docs.limit(0)).count() == 0
+    assert secrets.digests(docs.limit(0)).count() == 0 == secrets.redact(docs.limit(0)).count()
+    dotted = docs.withColumnRenamed("spans", "a.b")
+    assert secrets.scan(dotted).columns == ["doc_id", "text", "n_chars", "a.b", "spans"] and secrets.redact(dotted).columns == dotted.columns
+    assert {r["a.b"] for r in secrets.scan(dotted).collect()} == {"x"}
 
 
 def found_in(name, alphabet, length, scan=secrets.Scanner()):
