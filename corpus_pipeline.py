@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; between stages the documents are a Parquet table in the shared folder.
+
+Defined cases, for each stage: a null text has no words, so the quality rules
+reject it; a null source is a source of its own; null ids and languages pass
+through, and rows without an id are never duplicates of one another; repeated
+rows of one id and text become one in the Jaccard stage; an empty table gives an
+empty one; other columns, whatever their names, pass through all stages but the
+last, which gives ids and digests beside doc_id, lang and source.
 """
 
 from __future__ import annotations
