@@ -169,5 +169,21 @@ class Parameter:
     def to_variable(self) -> Variable:
         return Variable(self.value, self._node)
 
+    @property
+    def dtype(self) -> str:
+        return self.value.dtype
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self.value.shape
+
+    def assign(self, value: TensorFrame) -> None:
+        """Another value of the same shape and type."""
+        if value.shape != self.shape:
+            raise K.ShapeError(f"{value.shape} isn't {self.shape}")
+        self.value = value.require(dtype=self.dtype)
+
     def cast(self, dtype: str) -> None:
+        """Another element type, for the state's tensors too."""
         self.value = O.cast(self.value, dtype)
+        self.state = {k: O.cast(s, dtype) if isinstance(s, TensorFrame) else s for k, s in self.state.items()}

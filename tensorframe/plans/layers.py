@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -44,9 +44,12 @@ class Layer:
                 elif isinstance(y, Layer):
                     yield from y.parameters(f"{path}.")
 
-    def init_parameter_grads(self) -> None:
+    def for_each_parameter(self, f: Callable[[Parameter], None]) -> None:
         for _, p in self.parameters():
-            p.init_grad()
+            f(p)
+
+    def init_parameter_grads(self) -> None:
+        self.for_each_parameter(Parameter.init_grad)
 
     def update(self, optimizer, learning_rate: float) -> None:
         for _, p in self.parameters():

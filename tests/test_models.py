@@ -173,3 +173,22 @@ def test_images_of_another_shape_raise(spark, tmp_path):
     with pytest.raises(Exception, match="aren't"):
         digits(spark, str(tmp_path)).collect()
     assert digits(spark, str(tmp_path), shape=(5, 5)).count() == 2
+
+
+def test_parameters_are_visited_cast_and_assigned(spark):
+    model = Sequential(Dense(spark, 3, 2, bias=True), None)
+    seen = []
+    model.for_each_parameter(lambda p: seen.append(p.shape))
+    assert seen == [(3, 2), (2,)]
+    weight = model.layers[0].weight
+    model.init_parameter_grads()
+    SGD(0.5).update(0.1, weight)
+    model.cast("bf16")
+    assert weight.dtype == "bf16" and weight.state["velocity"].dtype == "bf16"
+    new = TensorFrame.from_numpy(spark, np.ones((3, 2)), "bf16")
+    weight.assign(new)
+    assert weight.value is new
+    with pytest.raises(K.ShapeError):
+        weight.assign(TensorFrame.from_numpy(spark, np.ones((2, 3)), "bf16"))
+    with pytest.raises(TypeError):
+        weight.assign(TensorFrame.from_numpy(spark, np.ones((3, 2))))
