@@ -696,7 +696,7 @@ def q_digit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = (np.arange(784) % 7 + (np.arange(50) % 3)[:, None]).astype(np.uint8).reshape(50, 28, 28)
     for name, magic, data in (("train-images-idx3-ubyte", 2051, images), ("train-labels-idx1-ubyte", 2049, (np.arange(50) % 10).astype(np.uint8))):
         write_file(spark, f"{path}/{name}.gz", gzip.compress(np.array([magic, *data.shape], ">i4").tobytes() + data.tobytes()))
-    return digits(spark, path).select("row_id", "split", F.posexplode("value").alias("i1", "v"), "label")
+    return digits(spark, path).select("row_id", "split", F.posexplode("value").alias("i1", "v"), "label").withColumn("i1", F.col("i1").cast("long"))
 
 
 @query("SELECT range AS row_id, (range % 3)::SMALLINT AS label, ((range + 1) / 2.0)::FLOAT AS v FROM range(30)")
