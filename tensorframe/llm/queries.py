@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorframe.llm import byte_bpe, chat, filters, fingerprints, jaccard, licenses, mixing, private, quality, secrets, warc
+from tensorframe.llm import byte_bpe, chat, classifier, filters, fingerprints, jaccard, licenses, mixing, private, quality, search, secrets, warc
 from tensorframe.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -59,11 +59,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.report(spark, sf_dir)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(spark, sf_dir)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.report(spark, sf_dir)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_secret_scans, op4_license_scans, op5_mixing, op6_personal_data, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc, op11_filter_audit, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_fingerprints, op3_secret_scans, op4_license_scans, op5_mixing, op6_personal_data, op7_byte_bpe, op8_chat, op9_quality_rules, op10_warc, op11_filter_audit, op12_lexical_search, op13_quality_classifier, pipeline)}
 ORACLES: dict[str, str] = {
     "op1_jaccard_join": jaccard.ORACLE_SQL,
     "op2_fingerprints": fingerprints.ORACLE_SQL,
@@ -74,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
     "op11_filter_audit": filters.oracle_sql(),
+    "op12_lexical_search": search.ORACLE_SQL,
 }
