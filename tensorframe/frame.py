@@ -30,31 +30,78 @@ def axes(n: int, prefix: str = "i") -> list[str]:
 
 
 class TensorFrame:
-    def __init__(self, df: DataFrame, shape: Sequence[int], dtype: str = "f64") -> None:
+    def __init__(self, df: DataFrame | None, shape: Sequence[int], dtype: str = "f64", rows: DataFrame | None = None, block=None) -> None:
         self.shape = tuple(int(x) for x in shape)
         K.size(self.shape)
-        if df.columns != [*axes(len(self.shape)), "v"]:
+        if df is not None and df.columns != [*axes(len(self.shape)), "v"]:
             raise K.ShapeError(f"columns {df.columns} aren't the cells of rank {len(self.shape)}")
         K.spark_type(dtype)
-        self.df, self.dtype = df, dtype
-        #: Where known: (i0, value array) along the first axis, from which the cells come, and driver data.
-        self.rows: DataFrame | None = None
+        self._df, self.dtype = df, dtype
+        #: Where known: (i0, value array) along the first axis, from which the cells come; a row block; driver data.
+        self._rows: DataFrame | None = rows
+        self._block = block
         self.local: np.ndarray | None = None
+        self._spark: SparkSession | None = None
 
     @classmethod
     def from_rows(cls, rows: DataFrame, shape: Sequence[int], dtype: str = "f64") -> TensorFrame:
         """Cells of [n, *inner] from (i0, value), which row-wise operators use as it is."""
-        inner = tuple(shape)[1:]
-        lin = rows.select("i0", F.posexplode("value").alias("lin", "v"))
-        index = [(F.expr(f"lin div {s}") % d).cast("long").alias(f"i{k + 1}") for k, (d, s) in enumerate(zip(inner, K.strides(inner), strict=True))]
-        out = cls(lin.select("i0", *index, F.col("v").cast(K.spark_type(dtype)).alias("v")), shape, dtype)
-        out.rows = rows
-        return out
+        return cls(None, shape, dtype, rows)
+
+    @classmethod
+    def from_block(cls, block, shape: Sequence[int]) -> TensorFrame:
+        """A row block, or a sum over its rows, as a tensor; its plan is made when it is asked for."""
+        return cls(None, shape, "f64", block=block)
+
+    @property
+    def df(self) -> DataFrame:
+        """The cells."""
+        if self._df is None:
+            if self.local is not None:
+                self._df = self._from_local()
+            elif self._block is not None and self._block.is_sum:
+                cells = blocks.gathered({"": self._block}).select(F.col("at").alias("lin"), "v")
+                self._df = TensorFrame.from_linear(cells, self.shape)._df
+            elif self.ndim == 1:
+                self._df = self.rows.select("i0", F.get("value", F.lit(0)).cast(K.spark_type(self.dtype)).alias("v"))
+            else:
+                inner = self.shape[1:]
+                lin = self.rows.select("i0", F.posexplode("value").alias("lin", "v"))
+                index = [(F.expr(f"lin div {s}") % d).cast("long").alias(f"i{k + 1}") for k, (d, s) in enumerate(zip(inner, K.strides(inner), strict=True))]
+                self._df = lin.select("i0", *index, F.col("v").cast(K.spark_type(self.dtype)).alias("v"))
+        return self._df
+
+    @property
+    def rows(self) -> DataFrame | None:
+        if self._rows is None and self._block is not None and not self._block.is_sum:
+            self._rows = self._block.rows()
+        return self._rows
+
+    @property
+    def block(self):
+        """The row block of doubles with dense rows, or of operators on blocks; else None."""
+        if self._block is None and self.local is None and self.ndim and self.shape[0]:
+            if self._rows is not None and self.dtype == "f64":
+                (self._block,) = blocks.source(self._rows, {"value": ("value", self.shape[1:])})
+        return None if self._block is None or self._block.is_sum or not self.shape[0] else self._block
+
+    def numbers(self):
+        """The row block of a tensor of rank 1, whose rows are numbers."""
+        if self.block is None and self._block is None and self.require(ndim=1).shape[0]:
+            (self._block,) = blocks.source(self.df, {"v": ("v", ())})
+        return self.block
+
+    @property
+    def sums(self):
+        """The sum over rows that this tensor is, if it is one."""
+        return self._block if self._block is not None and self._block.is_sum else None
 
     # Inspectors.
     @property
     def spark(self) -> SparkSession:
-        return self.df.sparkSession
+        if self._spark is not None:
+            return self._spark
+        return (self._df if self._df is not None else self._rows if self._rows is not None else self._block.base.df).sparkSession
 
     @property
     def ndim(self) -> int:
@@ -126,16 +173,19 @@ class TensorFrame:
         a = np.asarray(array)
         if dtype in K.RANGES and a.size and not (K.RANGES[dtype][0] <= a.min() and a.max() <= K.RANGES[dtype][1]):
             raise OverflowError(f"values are outside {dtype}")
-        a = K.rounded_array(a, dtype) if dtype in K.HALVES else a
+        out = cls(None, a.shape, dtype)
+        out.local, out._spark = K.rounded_array(a, dtype) if dtype in K.HALVES else a, spark
+        return out
+
+    def _from_local(self) -> DataFrame:
+        a, dtype = self.local, self.dtype
         flat = a.reshape(-1)
         values = [int(x) for x in flat] if dtype in K.RANGES else [float(x) for x in flat]
         if dtype == "u64":
             values = [Decimal(x) for x in values]
         index = np.indices(a.shape).reshape(a.ndim, -1).T.tolist() if a.ndim else [[]] * len(values)
         schema = T.StructType([*(T.StructField(c, T.LongType(), False) for c in axes(a.ndim)), T.StructField("v", K.spark_type(dtype))])
-        out = cls(spark.createDataFrame([(*i, v) for i, v in zip(index, values, strict=True)], schema), a.shape, dtype)
-        out.local = a
-        return out
+        return self._spark.createDataFrame([(*i, v) for i, v in zip(index, values, strict=True)], schema)
 
     @classmethod
     def from_column(cls, df: DataFrame, row_id: str, values: str, shape: Sequence[int], dtype: str = "f64", rows: int | None = None) -> TensorFrame:
@@ -146,10 +196,20 @@ class TensorFrame:
         n = df.count() if rows is None else rows
         return cls.from_rows(df.select(F.col(row_id).cast("long").alias("i0"), value.cast(T.ArrayType(K.spark_type(dtype))).alias("value")), (n, *shape), dtype)
 
+    @classmethod
+    def from_columns(cls, df: DataFrame, row_id: str, columns: dict[str, Sequence[int]], rows: int | None = None) -> list[TensorFrame]:
+        """A tensor [rows, *shape] for each column, of arrays or numbers, of one frame: operators on them need no join and one scan."""
+        n = df.count() if rows is None else rows
+        found = blocks.source(df.select(F.col(row_id).cast("long").alias("i0"), *columns), {c: (c, tuple(shape)) for c, shape in columns.items()})
+        return [cls.from_block(b, (n, *shape)) for b, shape in zip(found, columns.values(), strict=True)]
+
     @classmethod
     def full(cls, spark: SparkSession, shape: Sequence[int], value: float, dtype: str = "f64") -> TensorFrame:
         cells = spark.range(K.size(tuple(shape))).select(F.col("id").alias("lin"), K.rounded(F.lit(value).cast(K.spark_type(dtype)), dtype).alias("v"))
-        return cls.from_linear(cells, shape, dtype)
+        out = cls.from_linear(cells, shape, dtype)
+        if out.size == 1 and dtype == "f64":
+            out.local = np.full(out.shape, float(value))
+        return out
 
     @classmethod
     def zeros(cls, spark: SparkSession, shape: Sequence[int], dtype: str = "f64") -> TensorFrame:
@@ -164,6 +224,8 @@ class TensorFrame:
     # Sinks.
     def to_numpy(self) -> np.ndarray:
         """All cells at the driver, in order: for small tensors."""
+        if self.local is not None and self.dtype in ("f64", "i64"):
+            return self.local.astype(float if self.dtype == "f64" else np.int64)
         t = self.df.select(self.linear().alias("lin"), F.col("v").cast("double" if K.is_float(self.dtype) else self.df.schema["v"].dataType)).toArrow()
         lin = t.column("lin").to_numpy()
         if len(lin) != self.size:
@@ -176,6 +238,8 @@ class TensorFrame:
         """Rows along the first axis, the others flattened row-major."""
         if self.rows is not None:
             return self.rows.select(F.col("i0").alias(row_id), F.col("value").alias(value))
+        if self.sums is not None and self.ndim == 1:
+            return self.df.select(F.col("i0").alias(row_id), F.array("v").alias(value))
         inner = F.lit(0).cast("long")
         for c, s in zip(self.index[1:], K.strides(self.shape)[1:], strict=True):
             inner = inner + F.col(c) * s
@@ -192,3 +256,6 @@ class TensorFrame:
     def load(cls, spark: SparkSession, path: str) -> TensorFrame:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         return cls(spark.read.parquet(f"{path}/cells"), meta["shape"], meta["dtype"])
+
+
+from tensorframe.operators import blocks  # noqa: E402  operators need TensorFrame

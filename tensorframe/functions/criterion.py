@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
+from tensorframe.operators import blocks
 
 
 def _rows(x: TensorFrame, target: TensorFrame) -> DataFrame:
@@ -41,6 +42,21 @@ def _scored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("loss", F.log("s") - (F.col("xt") - F.col("m")))
 
 
+def _blocks(x: TensorFrame, target: TensorFrame):
+    """Loss, being right, and gradient of each row, where logits and labels are row blocks."""
+    x.require(ndim=2), target.require(ndim=1)
+    if target.shape[0] != x.shape[0]:
+        raise K.ShapeError(f"{target.shape[0]} labels for {x.shape[0]} rows")
+    return None if x.block is None or target.local is not None or target.numbers() is None else blocks.cross_entropy(x.block, target.numbers())
+
+
+def cross_entropy(x: TensorFrame, target: TensorFrame) -> TensorFrame:
+    """The loss summed over samples as a tensor of rank 0; where rows carry both, a sum that gradients of them share a pass with."""
+    if (found := _blocks(x, target)) is not None:
+        return TensorFrame.from_block(blocks.total(found[0]), ())
+    return TensorFrame(cross_entropy_loss(x, target).withColumnRenamed("loss", "v"), ())
+
+
 def cross_entropy_loss(x: TensorFrame, target: TensorFrame) -> DataFrame:
     """One row (loss): the sum over samples."""
     return cross_entropy_rows(x, target).agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("loss"))
@@ -49,6 +65,8 @@ def cross_entropy_loss(x: TensorFrame, target: TensorFrame) -> DataFrame:
 def cross_entropy_backward(x: TensorFrame, target: TensorFrame, dy: float = 1.0) -> TensorFrame:
     """The gradient of the mean loss: dy / n * (softmax - one hot)."""
     n = x.shape[0]
+    if (found := _blocks(x, target)) is not None:
+        return TensorFrame.from_block(found[2].then("scale", x.shape[1:], dy / n), x.shape)
     rows = cross_entropy_rows(x, target).select("i0", "t", "m", "s", F.posexplode("x").alias("c", "v"))
     g = (F.exp(F.col("v") - F.col("m")) / F.col("s") - (F.col("c") == F.col("t")).cast("double")) * F.lit(dy / n)
     return TensorFrame(rows.select("i0", F.col("c").cast("long").alias("i1"), g.alias("v")), x.shape)

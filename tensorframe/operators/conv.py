@@ -3,7 +3,8 @@
 An input cell is sent to the output positions whose windows hold it (a generate
 over the filter's taps with index arithmetic), so no padding is stored and no
 patch matrix is needed for convolution: taps join the weights, and an aggregate
-sums.
+sums.  Images that are row blocks, with weights at the driver, take none of this:
+see blocks.py.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
+from tensorframe.operators import blocks
 from tensorframe.operators.shape import index_axis, reshape
 
 
@@ -120,6 +122,9 @@ def conv2(x: TensorFrame, w: TensorFrame, bias: TensorFrame | None = None, paddi
         raise K.ShapeError(f"{w.shape[1]} input channels aren't {x.shape[1]}")
     kernel = w.shape[2:]
     p, s, d = _options(padding, stride, dilation)
+    if x.require(ndim=4).block is not None and w.local is not None:
+        y = blocks.conv2(x.block, w.local.astype(float), p, s, d)
+        return _with_bias(TensorFrame.from_block(y, (x.shape[0], *y.inner)), bias)
     taps, (oh, ow) = _taps(x, kernel, p, s, d)
     shape = (x.shape[0], w.shape[0], oh, ow)
     df = taps.join(_weights(w), ["c", "fi", "fj"]).groupBy("b", "o", "y", "x").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
@@ -128,6 +133,10 @@ def conv2(x: TensorFrame, w: TensorFrame, bias: TensorFrame | None = None, paddi
         out = _completed(df.select(F.expr(_lin(shape, "boyx")).alias("lin"), "v"), shape, "f64", [*"boyx"], held)
     else:
         out = TensorFrame(df.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("boyx")], "v"), shape)
+    return _with_bias(out, bias)
+
+
+def _with_bias(out: TensorFrame, bias: TensorFrame | None) -> TensorFrame:
     if bias is None:
         return out
     from tensorframe.operators.elementwise import add_assign
@@ -139,6 +148,8 @@ def conv2_backward_input(dy: TensorFrame, w: TensorFrame, shape, padding=0, stri
     """The gradient of conv2 at its input of this shape."""
     shape = tuple(shape)
     p, s, d = _options(padding, stride, dilation)
+    if dy.require(ndim=4).block is not None and w.local is not None:
+        return TensorFrame.from_block(blocks.conv2_backward_input(dy.block, w.local.astype(float), shape[1:], p, s, d), shape)
     df = dy.require(ndim=4).df.select(F.col("i0").alias("b"), F.col("i1").alias("o"), F.col("i2").alias("y"), F.col("i3").alias("x"), "v").join(_weights(w), "o")
     df = df.select("b", "c", (F.col("y") * s[0] + F.col("fi") * d[0] - p[0]).alias("h"), (F.col("x") * s[1] + F.col("fj") * d[1] - p[1]).alias("w"), (F.col("v") * F.col("k")).alias("v"))
     df = df.filter((F.col("h") >= 0) & (F.col("h") < shape[2]) & (F.col("w") >= 0) & (F.col("w") < shape[3]))
@@ -149,6 +160,8 @@ def conv2_backward_weight(x: TensorFrame, dy: TensorFrame, kernel, padding=0, st
     """The gradient of conv2 at its weights; a map-side sum over the batch, as few rows as weights leave a task."""
     kernel = K.pair(kernel)
     p, s, d = _options(padding, stride, dilation)
+    if x.require(ndim=4).block is not None and dy.require(ndim=4).block is not None:
+        return TensorFrame.from_block(blocks.conv2_backward_weight(x.block, dy.block, kernel, p, s, d), (dy.shape[1], x.shape[1], *kernel))
     taps, _ = _taps(x, kernel, p, s, d)
     grad = dy.require(ndim=4).hinted().select(F.col("i0").alias("b"), F.col("i1").alias("o"), F.col("i2").alias("y"), F.col("i3").alias("x"), F.col("v").cast("double").alias("g"))
     shape = (dy.shape[1], x.shape[1], *kernel)
@@ -175,28 +188,59 @@ def _windows(x: TensorFrame, kernel, stride) -> tuple[DataFrame, tuple[int, int]
     return df.selectExpr("*", f"h % {kernel[0]} AS fi", f"w % {kernel[1]} AS fj", f"h div {kernel[0]} AS y", f"w div {kernel[1]} AS x"), out
 
 
+def _winner(taps: DataFrame) -> DataFrame:
+    """(b, c, y, x, m): the value and tap that win each window, from the first tap by strict >.
+
+    NaN wins only as the first tap; else the greatest of the others, and of equal ones the first.
+    """
+    first_nan = F.bool_or((F.col("fi") == 0) & (F.col("fj") == 0) & F.isnan(F.col("v").cast("double")))
+    order = F.struct("v", (-F.col("fi")).alias("fi"), (-F.col("fj")).alias("fj"))
+    # An aggregate that combines before the shuffle, where a window function would sort all taps.
+    best = taps.groupBy("b", "c", "y", "x").agg(F.max(F.when(~F.isnan(F.col("v").cast("double")), order)).alias("m"), first_nan.alias("nan"), F.max("v").alias("most"))
+    zero = F.lit(0).cast("long")
+    return best.select("b", "c", "y", "x", F.when(F.col("nan"), F.struct(F.col("most").alias("v"), zero.alias("fi"), zero.alias("fj"))).otherwise(F.col("m")).alias("m"))
+
+
 def max_pool2(x: TensorFrame, kernel, stride=None) -> TensorFrame:
-    """Window maxima; the stride is the window unless given."""
+    """The value that wins each window; the stride is the window unless given."""
+    return max_pool2_switches(x, kernel, stride)[0]
+
+
+def max_pool2_switches(x: TensorFrame, kernel, stride=None) -> tuple[TensorFrame, TensorFrame]:
+    """The value that wins each window, and its tap (row-major, from 0) for the way back."""
     kernel = K.pair(kernel)
     stride = kernel if stride is None else K.pair(stride)
+    if x.require(ndim=4).block is not None:
+        y, won = blocks.max_pool2(x.block, kernel, stride), blocks.switches(x.block, kernel, stride)
+        return TensorFrame.from_block(y, (x.shape[0], *y.inner)), TensorFrame.from_block(won, (x.shape[0], *won.inner))
     taps, out = _windows(x, kernel, stride)
-    df = taps.groupBy("b", "c", "y", "x").agg(F.max("v").alias("v"))
-    return x.with_df(df.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("bcyx")], "v"), (*x.shape[:2], *out))
+    df = _winner(taps).select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("bcyx")], "m")
+    shape = (*x.shape[:2], *out)
+    won = (-F.col("m.fi") * kernel[1] - F.col("m.fj")).cast("int").alias("v")
+    return x.with_df(df.select("i0", "i1", "i2", "i3", F.col("m.v").alias("v")), shape), TensorFrame(df.select("i0", "i1", "i2", "i3", won), shape, "i32")
+
 
+def max_pool2_backward(x: TensorFrame, dy: TensorFrame, kernel, stride=None, won: TensorFrame | None = None) -> TensorFrame:
+    """dy at the cell that won each window, added up where windows overlap, 0 elsewhere.
 
-def max_pool2_backward(x: TensorFrame, dy: TensorFrame, kernel, stride=None) -> TensorFrame:
-    """dy at the first maximum of each window, added up where windows overlap, 0 elsewhere."""
+    won: the taps that the forward pass kept; else they are found again.
+    """
     kernel = K.pair(kernel)
     stride = kernel if stride is None else K.pair(stride)
-    taps, _ = _windows(x, kernel, stride)
-    # An aggregate that combines before the shuffle, where a window function would sort all taps.
-    first = taps.groupBy("b", "c", "y", "x").agg(F.max(F.struct("v", (-F.col("fi")).alias("fi"), (-F.col("fj")).alias("fj"))).alias("m"))
-    first = first.select("b", "c", "y", "x", (F.col("y") * stride[0] - F.col("m.fi")).alias("h"), (F.col("x") * stride[1] - F.col("m.fj")).alias("w"))
-    grad = dy.hinted().select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bcyx")], "v")
-    found = first.join(grad, ["b", "c", "y", "x"]).select(F.expr(_lin(x.shape, "bchw")).alias("lin"), "v")
-    # Which cells are first depends on the data, so a 0 for each cell is added up with them.
-    zeros = x.spark.range(x.size).select(F.col("id").alias("lin"), F.lit(0.0).alias("v"))
-    return TensorFrame.from_linear(found.unionByName(zeros).groupBy("lin").agg(F.sum("v").alias("v")), x.shape)
+    won = max_pool2_switches(x, kernel, stride)[1] if won is None else won
+    if won.block is not None and dy.block is not None:
+        return TensorFrame.from_block(blocks.max_pool2_backward(won.block, dy.block, x.shape[1:], kernel, stride), x.shape)
+    grad = dy.hinted().select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bcyx")], F.col("v").alias("g"))
+    taps = won.df.select(*[F.col(f"i{k}").alias(n) for k, n in enumerate("bcyx")], F.col("v").alias("tap")).join(grad, ["b", "c", "y", "x"])
+    # Each window gives all its cells a number, 0 but for one, so only cells outside all windows are missing.
+    taps = taps.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(kernel[0] * kernel[1] - 1))))
+    cell = [F.col("b"), F.col("c"), F.expr(f"y * {stride[0]} + t div {kernel[1]}").alias("h"), F.expr(f"x * {stride[1]} + t % {kernel[1]}").alias("w")]
+    cells = taps.select(*cell, F.when(F.col("t") == F.col("tap"), F.col("g")).otherwise(F.lit(0.0)).alias("v"))
+    out = won.shape[2:]
+    if stride != kernel:
+        return _summed(cells, x.shape, out, kernel, (0, 0), stride, (1, 1))
+    met = f"h < {out[0] * kernel[0]} AND w < {out[1] * kernel[1]}"
+    return _completed(cells.select(F.expr(_lin(x.shape, "bchw")).alias("lin"), "v"), x.shape, "f64", [*"bchw"], met)
 
 
 def max_pool1(x: TensorFrame, kernel: int, stride: int | None = None) -> TensorFrame:

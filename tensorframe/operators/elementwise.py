@@ -48,11 +48,24 @@ def zipped(x: TensorFrame, y: TensorFrame, f: Callable[[Column, Column], Column]
 
 def scaled_add(x: TensorFrame, alpha: float, y: TensorFrame) -> TensorFrame:
     """x + alpha * y, y broadcast to x."""
+    if x.local is not None and y.local is not None and x.dtype == y.dtype == "f64" and K.broadcast_shape(y.shape, x.shape) is not None:
+        return TensorFrame.from_numpy(x.spark, x.local + alpha * y.local)
+    if x.block is not None and y.local is not None and (y.ndim < x.ndim or y.shape[0] == 1) and K.broadcast_shape(y.shape, x.shape) is not None:
+        return TensorFrame.from_block(x.block.then("shift", x.shape[1:], None, (alpha * y.local.astype(float),)), x.shape)
+    if x.block is not None and y.block is not None and x.shape == y.shape:
+        return TensorFrame.from_block(x.block.then("plus", x.shape[1:], float(alpha), other=y.block), x.shape)
     return zipped(x, y, lambda a, b: a + b * F.lit(alpha))
 
 
 def add_assign(x: TensorFrame, y: TensorFrame) -> TensorFrame:
-    return zipped(x, y, lambda a, b: a + b)
+    return scaled_add(x, 1.0, y) if K.is_float(x.dtype) else zipped(x, y, lambda a, b: a + b)
+
+
+def scaled(x: TensorFrame, by: TensorFrame) -> TensorFrame:
+    """x times the one number of another tensor."""
+    if x.block is not None and by.local is not None:
+        return TensorFrame.from_block(x.block.then("scale", x.shape[1:], float(by.local.reshape(()))), x.shape)
+    return zipped(x, by, lambda a, b: a * b)
 
 
 def assign(x: TensorFrame, y: TensorFrame) -> TensorFrame:
@@ -86,12 +99,16 @@ def _passes(v: Column) -> Column:
 
 def relu(x: TensorFrame) -> TensorFrame:
     """x where x >= 0, else 0; NaN gives 0."""
+    if x.block is not None:
+        return TensorFrame.from_block(x.block.then("relu", x.shape[1:]), x.shape)
     return x.with_df(x.df.withColumn("v", F.when(_passes(F.col("v")), F.col("v")).otherwise(F.lit(0)).cast(K.spark_type(x.dtype))))
 
 
 def relu_backward(x: TensorFrame, dy: TensorFrame) -> TensorFrame:
     """dy where x >= 0 (at 0 too), else 0."""
+    if x.block is not None and dy.block is not None and x.shape == dy.shape:
+        return TensorFrame.from_block(x.block.then("relu_back", x.shape[1:], other=dy.block), x.shape)
     return zipped(x, dy, lambda a, d: F.when(_passes(a), d).otherwise(F.lit(0)))
 
 
-__all__ = ["add_assign", "assign", "binary", "cast", "fill", "one_hot", "relu", "relu_backward", "scaled_add", "scaled_cast", "zipped"]
+__all__ = ["add_assign", "assign", "binary", "cast", "fill", "one_hot", "relu", "relu_backward", "scaled", "scaled_add", "scaled_cast", "zipped"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
+from tensorframe.operators import blocks
 
 
 def reshape(x: TensorFrame, shape: Sequence[int], order: str = "C") -> TensorFrame:
@@ -18,6 +19,12 @@ def reshape(x: TensorFrame, shape: Sequence[int], order: str = "C") -> TensorFra
         raise K.ShapeError(f"{x.shape} doesn't reshape to {shape}")
     if order == "F":
         return reverse_axes(reshape(reverse_axes(x), shape[::-1]))
+    if x.sums is not None:
+        return TensorFrame.from_block(x.sums, shape)
+    if x.ndim > 1 and x.block is not None and shape and shape[0] == x.shape[0]:
+        return TensorFrame.from_block(x.block.then("reshape", shape[1:], shape[1:]), shape)
+    if x.local is not None:
+        return TensorFrame.from_numpy(x.spark, x.local.reshape(shape), x.dtype)
     return TensorFrame.from_linear(x.df.select(x.linear().alias("lin"), "v"), shape, x.dtype)
 
 
@@ -60,7 +67,10 @@ def broadcast_backward(dy: TensorFrame, shape: Sequence[int]) -> TensorFrame:
     along = K.broadcast_shape(shape, dy.shape)
     if along is None:
         raise K.ShapeError(f"{shape} doesn't broadcast to {dy.shape}")
-    return reshape(sum_axes(dy, [k for k, a in enumerate(along) if a is None]), shape)
+    over = [k for k, a in enumerate(along) if a is None]
+    if dy.block is not None and 0 in over:
+        return TensorFrame.from_block(blocks.total(dy.block, over[1:]), shape)
+    return reshape(sum_axes(dy, over), shape)
 
 
 def _checked(x: TensorFrame, axis: int, at: int) -> None:

@@ -8,14 +8,19 @@ collected or written.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tensorframe import operators as O
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
-from tensorframe.functions import cross_entropy_backward
+from tensorframe.functions import cross_entropy, cross_entropy_backward
+from tensorframe.operators import blocks
+from tensorframe.scratch import discard, materialize
 
 Backward = Callable[[TensorFrame], TensorFrame]
 
@@ -27,6 +32,7 @@ class Node:
         self.shape, self.edges, self.dtype = shape, list(edges), dtype
         self.grad: TensorFrame | None = None
         self.done = False
+        self.inputs: list[TensorFrame] = []
 
     def add(self, grad: TensorFrame) -> None:
         if grad.shape != self.shape:
@@ -48,6 +54,7 @@ class Node:
                     seen.add(id(node))
                     queue.append(node)
         self.add(grad)
+        cuts = Checkpoints.active
         ready = deque([self])
         while ready:
             node = ready.popleft()
@@ -56,7 +63,102 @@ class Node:
                 to.add(f(node.grad))
                 pending[id(to)] -= 1
                 if not pending[id(to)]:
+                    if cuts is not None:
+                        cuts.complete(to)
                     ready.append(to)
+            if cuts is not None:
+                cuts.expanded(node)
+
+
+class Checkpoints:
+    """While it is active, a tape's activations and gradients are written as they come, and removed after use.
+
+        with Checkpoints(most_bytes):
+            model(x).cross_entropy(labels).backward()
+
+    A plan of cells holds all that led to it; an activation that the next layer
+    and the way back both read would be worked out again for each of them, all
+    layers before it included.  Cut points end that: each operator's result whose
+    estimated size still fits into what may be held at a time is written to the
+    shared folder at once, as is each gradient when it is complete, so each
+    operator runs once in either direction and the inputs are read once by each
+    operator on them.  What doesn't fit is worked out again from the cut before.
+    An activation goes when the gradients that it is needed for are written; those
+    of leaves are always written, and stay.
+
+    Row blocks and driver data are never cut: the former's gradients take one pass
+    over the rows.
+    """
+
+    active: Checkpoints | None = None
+
+    def __init__(self, most_bytes: int = 1 << 40) -> None:
+        self.most, self.held, self.peak = most_bytes, 0, 0
+        self._tables: dict[int, tuple[DataFrame, int]] = {}
+        self._readers: dict[int, int] = {}
+        self._open: list[Node] = []
+        self._cut: set[int] = set()
+        self._nodes: list[Node] = []
+
+    @staticmethod
+    def size(x: TensorFrame) -> int:
+        """Estimated bytes of the cells of a tensor."""
+        return x.size * 8 * (x.ndim + 1)
+
+    def __enter__(self) -> Checkpoints:
+        self._before, Checkpoints.active = Checkpoints.active, self
+        return self
+
+    def __exit__(self, *_) -> None:
+        Checkpoints.active = self._before
+
+    def keep(self, x: TensorFrame, always: bool = False) -> TensorFrame:
+        """x, as a table if it may be one."""
+        size = self.size(x)
+        if x.local is not None or x.block is not None or x.sums is not None or not always and size > self.most - self.held:
+            return x
+        out = x.with_df(materialize(x.df, "activation"))
+        self._tables[id(out.df)] = out.df, size
+        self.held += size
+        self.peak = max(self.peak, self.held)
+        return out
+
+    def _drop(self, x: TensorFrame) -> None:
+        table, size = self._tables.pop(id(x._df), (None, 0)) if x._df is not None else (None, 0)
+        if table is not None:
+            discard(table)
+            self.held -= size
+
+    def reads(self, node: Node, inputs: Sequence[TensorFrame]) -> None:
+        """The way back through a node reads these."""
+        node.inputs = [x for x in inputs if x._df is not None and id(x._df) in self._tables]
+        for x in node.inputs:
+            self._readers[id(x._df)] = self._readers.get(id(x._df), 0) + 1
+
+    def complete(self, node: Node) -> None:
+        """All of a node's gradient is there."""
+        grad = node.grad
+        node.grad = self.keep(grad, always=not node.edges)
+        if node.grad is not grad or grad.local is not None or grad.block is not None or grad.sums is not None:
+            self._cut.add(id(node))
+
+    def expanded(self, node: Node) -> None:
+        """A node's edges are followed; what all gradients behind it are written without, goes."""
+        self._open.append(node)
+        self._nodes.append(node)  # ids of live objects
+        settled = lambda n: id(n) in self._cut or n.done and n not in self._open
+        again = True
+        while again:
+            again = False
+            for n in list(self._open):
+                if n.edges and all(settled(to) for to, _ in n.edges):
+                    self._open.remove(n)
+                    again = True
+                    self._drop(n.grad)
+                    for x in n.inputs:
+                        self._readers[id(x._df)] -= 1
+                        if not self._readers[id(x._df)]:
+                            self._drop(x)
 
 
 class Variable:
@@ -66,10 +168,16 @@ class Variable:
         self.value, self.node = value, node
 
     @classmethod
-    def custom(cls, value: TensorFrame, edges: Sequence[tuple[Variable, Backward]]) -> Variable:
-        """An operator of one's own: its value and, for each input, the gradient's way back."""
+    def custom(cls, value: TensorFrame, edges: Sequence[tuple[Variable, Backward]], also: Sequence[TensorFrame] = ()) -> Variable:
+        """An operator of one's own: its value and, for each input, the gradient's way back; also: what that reads besides the inputs."""
         kept = [(v.node, f) for v, f in edges if v.node is not None]
-        return cls(value, Node(value.shape, kept, value.dtype) if kept else None)
+        cuts = Checkpoints.active
+        if cuts is not None:
+            value = cuts.keep(value)
+        node = Node(value.shape, kept, value.dtype) if kept else None
+        if cuts is not None and node is not None:
+            cuts.reads(node, [*[v.value for v, _ in edges], *also])
+        return cls(value, node)
 
     @classmethod
     def leaf(cls, value: TensorFrame) -> Variable:
@@ -131,18 +239,30 @@ class Variable:
         ])
 
     def max_pool2(self, kernel, stride=None) -> Variable:
-        return self.custom(O.max_pool2(self.value, kernel, stride), [(self, lambda g: O.max_pool2_backward(self.value, g, kernel, stride))])
+        """The winning taps are kept for the way back."""
+        value, won = O.max_pool2_switches(self.value, kernel, stride)
+        won = won if Checkpoints.active is None else Checkpoints.active.keep(won)
+        return self.custom(value, [(self, lambda g: O.max_pool2_backward(self.value, g, kernel, stride, won))], [won])
 
     def cross_entropy(self, target: TensorFrame) -> Variable:
         """The summed loss as rank 0; its gradient is that of the mean.  The incoming gradient must be one cell."""
-        from tensorframe.functions import cross_entropy_loss
+        return self.custom(cross_entropy(self.value, target), [(self, lambda g: O.scaled(cross_entropy_backward(self.value, target), g))])
 
-        value = TensorFrame(cross_entropy_loss(self.value, target).withColumnRenamed("loss", "v"), ())
 
-        def back(g: TensorFrame) -> TensorFrame:
-            return O.elementwise.zipped(cross_entropy_backward(self.value, target), g, lambda d, dy: d * dy)
+def gradient_table(parameters: Iterable[tuple[str, Parameter]]) -> DataFrame:
+    """(param, idx, v): the gradients of all parameters that have one, row-major.
 
-        return self.custom(value, [(self, back)])
+    Those that are sums over row blocks come from one pass over the rows, which
+    runs forward and backward once; others have a plan of their own.
+    """
+    grads = {name: p.grad for name, p in parameters if p.grad is not None}
+    if not grads:
+        raise ValueError("no parameter has a gradient")
+    sums = {name: g.sums for name, g in grads.items() if g.sums is not None}
+    found = [g.df.select(F.lit(name).alias("param"), g.linear().alias("idx"), F.col("v").cast("double").alias("v")) for name, g in grads.items() if name not in sums]
+    if sums:
+        found.append(blocks.gathered(sums).select(F.col("name").alias("param"), F.col("at").alias("idx"), "v"))
+    return reduce(DataFrame.unionByName, found)
 
 
 class Parameter:
@@ -162,6 +282,12 @@ class Parameter:
     def grad(self) -> TensorFrame | None:
         return self._node.grad if self._node else None
 
+    def set_grad(self, grad: TensorFrame) -> None:
+        """The same gradient in another form."""
+        if self._node is None or grad.shape != self.shape:
+            raise K.ShapeError(f"a gradient of {grad.shape} for a value of {self.shape}")
+        self._node.grad = grad
+
     def take_grad(self) -> TensorFrame | None:
         grad, self._node = self.grad, None
         return grad

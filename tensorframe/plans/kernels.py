@@ -8,42 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def _conv_columns(x: np.ndarray, kernel, padding, stride, dilation) -> tuple[np.ndarray, tuple[int, int]]:
-    """[c·fh·fw, n·oh·ow]: a block copy for each tap, so that one product gives all channels."""
-    (ph, pw), (sh, sw), (dh, dw) = padding, stride, dilation
-    x = np.pad(x, ((0, 0), (0, 0), (ph, ph), (pw, pw))) if ph or pw else x
-    n, c, h, w = x.shape
-    oh, ow = (h - dh * (kernel[0] - 1) - 1) // sh + 1, (w - dw * (kernel[1] - 1) - 1) // sw + 1
-    cols = np.empty((c, *kernel, n, oh, ow), x.dtype)
-    by_channel = x.transpose(1, 0, 2, 3)
-    for i in range(kernel[0]):
-        for j in range(kernel[1]):
-            cols[:, i, j] = by_channel[:, :, i * dh : i * dh + sh * (oh - 1) + 1 : sh, j * dw : j * dw + sw * (ow - 1) + 1 : sw]
-    return cols.reshape(c * kernel[0] * kernel[1], -1), (oh, ow)
-
-
-def _taps(shape, kernel, stride):
-    """For each tap of a window, the slices of the cells that it meets."""
-    oh, ow = (shape[2] - kernel[0]) // stride[0] + 1, (shape[3] - kernel[1]) // stride[1] + 1
-    for i in range(kernel[0]):
-        for j in range(kernel[1]):
-            yield (slice(None), slice(None), slice(i, i + stride[0] * (oh - 1) + 1, stride[0]), slice(j, j + stride[1] * (ow - 1) + 1, stride[1]))
-
-
-def _pooled(x: np.ndarray, kernel, stride, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Window maxima, a tap at a time, and if asked which tap is the first to have it."""
-    out = first = None
-    for k, tap in enumerate(_taps(x.shape, kernel, stride)):
-        v = x[tap]
-        if out is None:
-            out = v.copy()
-            first = np.zeros(out.shape, np.uint16) if where else None
-            continue
-        if where:
-            first[v > out] = k
-        np.maximum(out, v, out=out)
-    return out, first
+from tensorframe import kernels as K
 
 
 def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -57,20 +22,17 @@ def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list
                 x += params[names[1]]
         elif kind == "conv":
             w = params[names[0]]
-            cols, (oh, ow) = _conv_columns(x, w.shape[2:], *options)
+            cols, out = K.conv_columns(x, w.shape[2:], *options)
             saved = x.shape, cols
-            y = w.reshape(w.shape[0], -1) @ cols
+            x = K.conv_product(cols, w, out)
             if len(names) > 1:
-                y += params[names[1]][:, None]
-            x = y.reshape(w.shape[0], x.shape[0], oh, ow).transpose(1, 0, 2, 3)
+                x = x + params[names[1]][:, None, None]
         elif kind == "pool":
-            shape = x.shape
-            x, first = _pooled(x, *options, keep is not None)
-            saved = shape, first
+            won = K.switches(x, *options)
+            saved = x.shape[1:], won
+            x = K.picked(x, won, *options)
         elif kind == "relu":
-            if keep is not None:
-                with np.errstate(invalid="ignore"):
-                    saved = x >= 0
+            saved = K.passes(x)
             x = np.fmax(x, x.dtype.type(0))  # of NaN and 0 it is 0
         elif kind == "flatten":
             saved = x.shape
@@ -93,26 +55,16 @@ def backward(plan: list, params: dict[str, np.ndarray], kept: list, g: np.ndarra
         elif kind == "conv":
             shape, cols = saved
             w = params[names[0]]
-            (ph, pw), (sh, sw), (dh, dw) = options
-            n, _, oh, ow = g.shape
-            flat = g.transpose(1, 0, 2, 3).reshape(w.shape[0], -1)
+            flat = K.by_channel(g)
             grads[names[0]] = (flat @ cols.T).reshape(w.shape)
             if len(names) > 1:
                 grads[names[1]] = flat.sum(axis=1)
             if at == 0:
                 continue
-            back = (w.reshape(w.shape[0], -1).T @ flat).reshape(shape[1], *w.shape[2:], n, oh, ow)
-            x = np.zeros((n, shape[1], shape[2] + 2 * ph, shape[3] + 2 * pw), g.dtype)
-            for i in range(w.shape[2]):
-                for j in range(w.shape[3]):
-                    x[:, :, i * dh : i * dh + sh * (oh - 1) + 1 : sh, j * dw : j * dw + sw * (ow - 1) + 1 : sw] += back[:, i, j].transpose(1, 0, 2, 3)
-            g = x[:, :, ph : ph + shape[2], pw : pw + shape[3]]
+            g = K.conv_back(g, w, shape[1:], *options)
         elif kind == "pool":
-            shape, first = saved
-            x = np.zeros(shape, g.dtype)
-            for k, tap in enumerate(_taps(shape, *options)):
-                x[tap] += np.where(first == k, g, g.dtype.type(0))
-            g = x
+            shape, won = saved
+            g = K.pool_back(won, g, shape, *options)
         elif kind == "relu":
             g = np.where(saved, g, g.dtype.type(0))
         elif kind == "flatten":
@@ -122,14 +74,5 @@ def backward(plan: list, params: dict[str, np.ndarray], kept: list, g: np.ndarra
 
 def loss(logits: np.ndarray, labels: np.ndarray) -> tuple[float, int, np.ndarray]:
     """Summed cross-entropy, correct rows (strictly the largest), and the summed loss's gradient."""
-    m = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - m)
-    s = e.sum(axis=1, keepdims=True)
-    at = np.arange(len(labels)), labels
-    total = float((np.log(s[:, 0]) - (logits[at] - m[:, 0])).sum(dtype=np.float64))
-    rest = logits.copy()
-    rest[at] = -np.inf
-    correct = int((logits[at] > rest.max(axis=1)).sum()) if len(labels) else 0
-    g = e / s
-    g[at] -= 1
-    return total, correct, g
+    each, right, g = K.scored(logits, labels)
+    return float(each.sum(dtype=np.float64)), int(right.sum()), g

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
-from tensorframe.plans.autograd import Parameter, Variable
+from tensorframe.plans.autograd import Parameter, Variable, gradient_table
 
 
 def run_through(parts, x: Variable) -> Variable:
@@ -51,7 +51,23 @@ class Layer:
     def init_parameter_grads(self) -> None:
         self.for_each_parameter(Parameter.init_grad)
 
+    def gradients(self) -> DataFrame:
+        """(param, idx, v) of all parameters with a gradient."""
+        return gradient_table(self.parameters())
+
     def update(self, optimizer, learning_rate: float) -> None:
+        """A step of each parameter.
+
+        Parameters at the driver whose gradients are sums over row blocks get them
+        there, all in one pass over the rows, and stay at the driver; other steps
+        only make plans longer.
+        """
+        own = {name: p for name, p in self.parameters() if p.value.local is not None and p.grad is not None and p.grad.sums is not None}
+        if own:
+            found = gradient_table(own.items()).toArrow().to_pandas().set_index("idx")
+            for name, p in own.items():
+                g = found.v[found.param == name].sort_index()
+                p.set_grad(TensorFrame.from_numpy(p.value.spark, g.to_numpy().reshape(p.shape)))
         for _, p in self.parameters():
             optimizer.update(learning_rate, p)
 

@@ -6,6 +6,7 @@ import json
 from functools import reduce
 from importlib import import_module
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from tensorframe.plans.autograd import Parameter
 from tensorframe.plans.layers import Layer
 
 
+def zeros_like(x: TensorFrame) -> TensorFrame:
+    """Zeros of a shape, at the driver if x is there."""
+    return TensorFrame.zeros(x.spark, x.shape) if x.local is None else TensorFrame.from_numpy(x.spark, np.zeros(x.shape))
+
+
 class Optimizer:
     def update(self, learning_rate: float, parameter: Parameter) -> None:
         raise NotImplementedError
@@ -31,7 +37,7 @@ class SGD(Optimizer):
         """Take the gradient; without one the value stays, though the state is made."""
         kind = f"sgd:{self.momentum is not None}"
         if parameter.state_of != kind:
-            parameter.state = {} if self.momentum is None else {"velocity": TensorFrame.zeros(parameter.value.spark, parameter.value.shape)}
+            parameter.state = {} if self.momentum is None else {"velocity": zeros_like(parameter.value)}
             parameter.state_of = kind
         grad = parameter.take_grad()
         if grad is None:

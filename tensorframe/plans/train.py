@@ -18,12 +18,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorframe import kernels as array_kernels
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.plans import kernels, layers
 from tensorframe.plans.layers import Layer, Sequential
 from tensorframe.scratch import materialize
 
+cloudpickle.register_pickle_by_value(array_kernels)
 cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Rows that go through the layers at a time: few enough for a core's caches.
@@ -122,7 +124,7 @@ def evaluate(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                total, correct, _ = kernels.loss(kernels.forward(plan, params, _arrays(part, shape, dtype, scale)), part.column(1).to_numpy())
+                total, correct, _ = kernels.loss(kernels.forward(plan, params, _arrays(part, shape, dtype, scale)), part.column(1).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_pydict({"n": [part.num_rows], "loss": [total], "correct": [correct]})
 
     sums = rows.select(value, F.col(label).cast("int")).mapInArrow(run, "n long, loss double, correct long").agg(F.sum("n").alias("count"), F.sum("loss").alias("loss"), F.sum("correct").alias("correct"))
@@ -163,7 +165,7 @@ def gradients(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float =
                 part = b.slice(at, ROWS)
                 kept: list = []
                 logits = kernels.forward(plan, params, _arrays(part, shape, dtype, scale), kept)
-                total, correct, g = kernels.loss(logits, part.column(1).to_numpy())
+                total, correct, g = kernels.loss(logits, part.column(1).to_numpy(zero_copy_only=False))
                 for n, d in kernels.backward(plan, params, kept, g).items():
                     sums[n] += d.reshape(-1)
                 stats += (part.num_rows, total, correct)

@@ -19,7 +19,8 @@ from tensorframe import operators as O
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.functions import accuracy, cross_entropy_backward, cross_entropy_rows, epoch_stats, row_stats
-from tensorframe.plans import SGD, Conv2, Dense, Flatten, Identity, Layer, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
+from tensorframe.operators.tiles import Tiles
+from tensorframe.plans import SGD, Checkpoints, Conv2, Dense, Flatten, Identity, Layer, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
 from tensorframe.plans.train import Net, evaluate, gradients, predict, train
 from tensorframe.scratch import scratch_path, write_file
 from tensorframe.sources import digits, iris, sequential, shuffled
@@ -57,6 +58,11 @@ def labels(spark: SparkSession, sf_dir: str) -> TensorFrame:
     return TensorFrame(e.select(F.col("vec_id").cast("long").alias("i0"), F.col("label").alias("v")), (e.count(),), "i32")
 
 
+def images_and_labels(spark: SparkSession, sf_dir: str) -> list[TensorFrame]:
+    """[n, 1, 8, 8] and [n] as columns of one frame."""
+    return TensorFrame.from_columns(table(spark, sf_dir, "embeddings"), "vec_id", {"embedding": (1, 8, 8), "label": ()})
+
+
 def formula(spark: SparkSession, shape: tuple[int, ...], *factors: int, mod: int = 11, less: int = 5, by: float = 10.0) -> TensorFrame:
     """((sum of index * factor) % mod - less) / by."""
     index = np.indices(shape).reshape(len(shape), -1)
@@ -503,6 +509,9 @@ _CNN_START = """
 ker0 AS (SELECT o, fi, fj, k FROM ker), den0 AS (SELECT i.range AS i, n.range AS n, ((i.range * 7 + n.range * 3) % 11 - 5) / 10.0::DOUBLE AS w FROM range(18) i, range(10) n), off0 AS (SELECT o AS n, k AS v FROM bia),"""
 
 
+_CNN_GRADIENTS = "SELECT 'layers.0.weight' AS param, o * 9 + fi * 3 + fj AS idx, round(g, 4) + 0.0 AS v FROM gke0 UNION ALL SELECT 'layers.4.weight', i * 10 + n, round(g, 4) + 0.0 FROM gde0 UNION ALL SELECT 'layers.4.bias', n, round(g, 4) + 0.0 FROM gof0"
+
+
 def _cnn_update(k: int, rate: float, momentum: float) -> str:
     """SQL of the parameters and velocities after step k."""
     of = {"ker": ("o, fi, fj", "k", "gke"), "den": ("i, n", "w", "gde"), "off": ("n", "v", "gof")}
@@ -516,14 +525,14 @@ def _cnn_update(k: int, rate: float, momentum: float) -> str:
 
 
 @query(f""", {_CNN_START} {_cnn_step(0)}
-SELECT 'layers.0.weight' AS param, o * 9 + fi * 3 + fj AS idx, round(g, 4) + 0.0 AS v FROM gke0 UNION ALL SELECT 'layers.4.weight', i * 10 + n, round(g, 4) + 0.0 FROM gde0 UNION ALL SELECT 'layers.4.bias', n, round(g, 4) + 0.0 FROM gof0""")
+{_CNN_GRADIENTS}""")
 def q_cnn_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradients of all parameters of the network, by the tape."""
+    """Gradients of all parameters of the network, by the tape: one pass over the rows."""
     model = cnn(spark)
     model.init_parameter_grads()
-    model(vectors(spark, sf_dir, (1, 8, 8))).cross_entropy(labels(spark, sf_dir)).backward()
-    rows = [p.grad.df.select(F.lit(name).alias("param"), p.grad.linear().alias("idx"), (F.round("v", 4) + F.lit(0.0)).alias("v")) for name, p in model.parameters()]
-    return reduce(DataFrame.unionByName, rows)
+    x, t = images_and_labels(spark, sf_dir)
+    model(x).cross_entropy(t).backward()
+    return shown(model.gradients(), 4)
 
 
 @query(f""", {_CNN_START} {_cnn_step(0)}, {_cnn_update(0, 0.05, 0.9)}, {_cnn_step(1)}, {_cnn_update(1, 0.05, 0.9)}, {_cnn_step(2)}
@@ -534,6 +543,62 @@ def q_cnn_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, x["count"], round(float(x["loss"]), 4), x["correct"]) for k, x in enumerate(stats)], "step int, count long, loss double, correct long")
 
 
+@query(f""", {_CNN_START} {_cnn_step(0)}
+{_CNN_GRADIENTS}""")
+def q_cnn_backward_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by relational plans over cells, with activations and gradients written as they come and removed after use."""
+    model = cnn(spark)
+    model.init_parameter_grads()
+    x = vectors(spark, sf_dir, (1, 8, 8))
+    with Checkpoints():
+        model(TensorFrame(x.df, x.shape)).cross_entropy(labels(spark, sf_dir)).backward()
+    return shown(model.gradients(), 4)
+
+
+@query(f""", {_CNN_START} {_cnn_step(0)}, {_cnn_update(0, 0.05, 0.9)}, {_cnn_step(1)}, {_cnn_update(1, 0.05, 0.9)}, {_cnn_step(2)}
+SELECT step, loss FROM sta0 UNION ALL SELECT step, loss FROM sta1 UNION ALL SELECT step, loss FROM sta2""")
+def q_cnn_train_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss before each of three steps of momentum, by the tape; a step is one pass over the rows."""
+    x, t = images_and_labels(spark, sf_dir)
+    model, optimizer, losses = cnn(spark), SGD(0.9), []
+    for k in range(3):
+        model.init_parameter_grads()
+        loss = model(x).cross_entropy(t)
+        losses.append(loss.value.df.select(F.lit(k).alias("step"), F.round("v", 4).alias("loss")))
+        if k < 2:
+            loss.backward()
+            model.update(optimizer, 0.05)
+    return reduce(DataFrame.unionByName, losses)
+
+
+_NAN = """nimg AS (SELECT b, h, w, CASE WHEN (b * 64 + h * 8 + w) % 7 = 3 THEN 'NaN'::DOUBLE ELSE v END AS v FROM img),
+win AS (SELECT b, h // 2 AS y, w // 2 AS z, max(v) FILTER (h % 2 = 0 AND w % 2 = 0) AS v0, max(v) FILTER (h % 2 = 0 AND w % 2 = 1) AS v1, max(v) FILTER (h % 2 = 1 AND w % 2 = 0) AS v2, max(v) FILTER (h % 2 = 1 AND w % 2 = 1) AS v3 FROM nimg GROUP BY ALL),
+on1 AS (SELECT *, CASE WHEN NOT isnan(v1) AND NOT isnan(v0) AND v1 > v0 THEN 1 ELSE 0 END AS t1, CASE WHEN NOT isnan(v1) AND NOT isnan(v0) AND v1 > v0 THEN v1 ELSE v0 END AS m1 FROM win),
+on2 AS (SELECT *, CASE WHEN NOT isnan(v2) AND NOT isnan(m1) AND v2 > m1 THEN 2 ELSE t1 END AS t2, CASE WHEN NOT isnan(v2) AND NOT isnan(m1) AND v2 > m1 THEN v2 ELSE m1 END AS m2 FROM on1),
+won AS (SELECT *, CASE WHEN NOT isnan(v3) AND NOT isnan(m2) AND v3 > m2 THEN 3 ELSE t2 END AS t, CASE WHEN NOT isnan(v3) AND NOT isnan(m2) AND v3 > m2 THEN v3 ELSE m2 END AS m FROM on2)"""
+
+
+def _images_with_nan(spark: SparkSession, sf_dir: str) -> list[TensorFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    x = F.transform("embedding", lambda v, j: F.when((F.col("vec_id") * 64 + j) % 7 == 3, float("nan")).otherwise(v.cast("double"))).alias("x")
+    dy = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: k.cast("double")).alias("dy")
+    return TensorFrame.from_columns(e.select("vec_id", x, dy), "vec_id", {"x": (1, 8, 8), "dy": (1, 4, 4)})
+
+
+@query(f", {_NAN} SELECT b AS i0, 0::BIGINT AS i1, y AS i2, z AS i3, CASE WHEN isnan(m) THEN -999.0::DOUBLE ELSE round(m, 6) + 0.0 END AS v FROM won")
+def q_max_pool2_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN wins a window only as its first tap."""
+    x, _ = _images_with_nan(spark, sf_dir)
+    return shown(O.max_pool2(x, 2)).withColumn("v", F.when(F.isnan("v"), F.lit(-999.0)).otherwise(F.col("v")))
+
+
+@query(f", {_NAN} SELECT nimg.b AS i0, 0::BIGINT AS i1, h AS i2, w AS i3, CASE WHEN won.t = h % 2 * 2 + w % 2 THEN y * 4 + z + 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM nimg JOIN won ON won.b = nimg.b AND won.y = h // 2 AND won.z = w // 2")
+def q_max_pool2_nan_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, dy = _images_with_nan(spark, sf_dir)
+    _, won = O.max_pool2_switches(x, 2)
+    return shown(O.max_pool2_backward(x, dy, 2, won=won))
+
+
 # --- What the others leave out --------------------------------------------------------------------
 
 
@@ -548,11 +613,22 @@ def q_gemm_alpha_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(O.dot(vectors(spark, sf_dir), weight(spark), alpha=0.5, beta=2.0, c=bias(spark, 10)))
 
 
-@query("SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM x a JOIN x b ON a.i1 = b.i1 GROUP BY a.i0, b.i0")
+_CLASSES = "cls AS (SELECT t AS i1, x.i1 AS k, sum(v) AS v FROM x JOIN lab USING (i0) GROUP BY ALL)"
+
+
+@query(f", {_CLASSES} SELECT x.i0, cls.i1::BIGINT AS i1, round(sum(x.v * cls.v), 3) + 0.0 AS v FROM x JOIN cls ON cls.k = x.i1 GROUP BY ALL")
 def q_dot_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors by one another: no side is driver data."""
-    x = vectors(spark, sf_dir)
-    return shown(O.dot(x, x, tb=True), 4)
+    """All vectors by the sums of each class's: no side is driver data, and the output has a column for each class."""
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: (c == F.col("label")).cast("double")).alias("hot")
+    x, hot = TensorFrame.from_columns(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", one_hot), "vec_id", {"embedding": (64,), "hot": (10,)})
+    return shown(O.dot(x, O.dot(hot, x, ta=True), tb=True), 3)
+
+
+@query("SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM x a JOIN x b ON a.i0 = b.i0 GROUP BY ALL")
+def q_dot_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products of all pairs of coordinates, by dense tiles of 16 by 16 and stretches of the long inner axis."""
+    x = Tiles.of(vectors(spark, sf_dir), 16)
+    return shown(x.transposed().dot(x, group=2).frame(), 4)
 
 
 _BIN = "SELECT y.i0, y.i1, round({}, 6) + 0.0 AS v FROM y JOIN bia ON bia.o = y.i1"
