@@ -23,7 +23,7 @@ from tensorframe.operators.tiles import Tiles
 from tensorframe.plans import SGD, Checkpoints, Conv2, Dense, Flatten, Identity, Layer, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
 from tensorframe.plans.train import Net, evaluate, gradients, predict, train
 from tensorframe.scratch import scratch_path, write_file
-from tensorframe.sources import digits, iris, sequential, shuffled
+from tensorframe.sources import Permutation, batched, digits, iris, sequential, shuffled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -430,13 +430,32 @@ def q_batches_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential(table(spark, sf_dir, "embeddings").select("vec_id"), 100, "vec_id")
 
 
-@query("""SELECT vec_id, (vec_id * a + (104729 * 13) % n) % n AS place, ((vec_id * a + (104729 * 13) % n) % n) // 100 AS batch_id
-    FROM embeddings, (SELECT count(*) AS n FROM embeddings), (SELECT min(range) AS a FROM range((7919 * 13) % 999983 + 1, 110000) WHERE gcd(range, (SELECT count(*) FROM embeddings)) = 1)""")
+def _feistel_sql(seed: int, walks: int = 6) -> str:
+    """SQL of the keyed permutation of 0 … n-1: grid (a, b), rounds, and walks for places that aren't below n."""
+    p, keys = 2**31 - 1, Permutation(1, seed).keys
+    steps = ["g AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM embeddings))", "s0 AS (SELECT vec_id, vec_id AS x, n, a, b FROM embeddings, g)"]
+    for w in range(walks + 1):
+        inner = f"SELECT *, x // b AS l, x % b AS r FROM s{w}"
+        for k, (multiplier, summand, other) in enumerate(keys):
+            t = f"SELECT *, ({'l' if k % 2 else 'r'} % {p} * {multiplier} + {summand}) % {p} AS t FROM ({inner})"
+            inner = f"SELECT vec_id, x, n, a, b, {f'l, (r + (t * t + {other}) % {p}) % b AS r' if k % 2 else f'(l + (t * t + {other}) % {p}) % a AS l, r'} FROM ({t})"
+        steps.append(f"s{w + 1} AS (SELECT vec_id, {'l * b + r' if not w else 'CASE WHEN x >= n THEN l * b + r ELSE x END'} AS x, n, a, b FROM ({inner}))")
+    return f", {', '.join(steps)} SELECT vec_id, x AS place, x // 100 AS batch_id FROM s{walks + 1}"
+
+
+@query(_feistel_sql(13))
 def q_batches_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id")
     return shuffled(e, 100, e.count(), 13, "vec_id")
 
 
+@query("SELECT o_orderkey, c_name, row_number() OVER (ORDER BY c_name, o_orderkey) - 1 AS row_id, (row_number() OVER (ORDER BY c_name, o_orderkey) - 1) // 1000 AS batch_id FROM orders JOIN customer ON o_custkey = c_custkey")
+def q_batches_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in batches by their customers' names, which are strings that repeat: numbered without a global window."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return batched(o, 1000, ["c_name", "o_orderkey"])
+
+
 _LX = "(SELECT l_quantity / 50 AS x0, l_extendedprice / 100000 AS x1, l_discount AS x2, l_tax AS x3, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t FROM lineitem)"
 
 

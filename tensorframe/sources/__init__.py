@@ -1,7 +1,7 @@
 """Data sources and batching."""
 
-from tensorframe.sources.batches import sequential, shuffled
+from tensorframe.sources.batches import Permutation, batched, dense, sequential, shuffled
 from tensorframe.sources.idx import digits, read_idx
 from tensorframe.sources.iris import iris
 
-__all__ = ["digits", "iris", "read_idx", "sequential", "shuffled"]
+__all__ = ["Permutation", "batched", "dense", "digits", "iris", "read_idx", "sequential", "shuffled"]
