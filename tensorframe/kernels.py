@@ -121,3 +121,11 @@ def scored(logits: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
         beaten = logits < logits[at][:, None]
     beaten[at] = ~np.isnan(logits[at])
     return loss, beaten.all(axis=1), g
+
+
+def to_bf16(a: np.ndarray) -> np.ndarray:
+    """The nearest numbers with bfloat16's eight significant bits, ties to even, as 32-bit floats; NaN stays."""
+    a = np.ascontiguousarray(a, np.float32)
+    b = a.view(np.uint32)
+    near = (b + np.uint32(0x7FFF) + ((b >> np.uint32(16)) & np.uint32(1))) & np.uint32(0xFFFF0000)
+    return np.where(np.isnan(a), a, near.view(np.float32))

@@ -1,7 +1,11 @@
 """Array kernels of a layer stack, for Arrow batches on executors.
 
-A plan is a list of (kind, options, parameter names); parameters are arrays by
-name.  Only NumPy is used, so executors need nothing of this library.
+A plan is a list of (kernel, options, parameter names); parameters are arrays by
+name.  A kernel is a pair of functions: forward (x, options, parameters) gives the
+value and what the way back needs; backward (g, that, options, parameters, first)
+gives the gradient at the input (None will do if the layer is the first) and
+those of the parameters.  Only NumPy is used, so executors need nothing of this
+library.
 """
 
 from __future__ import annotations
@@ -11,64 +15,98 @@ import numpy as np
 from tensorframe import kernels as K
 
 
-def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Logits; keep gets what backward() needs of each layer."""
-    for kind, options, names in plan:
-        saved = None
-        if kind == "dense":
-            saved = x
-            x = x @ params[names[0]]
-            if len(names) > 1:
-                x += params[names[1]]
-        elif kind == "conv":
-            w = params[names[0]]
-            cols, out = K.conv_columns(x, w.shape[2:], *options)
-            saved = x.shape, cols
-            x = K.conv_product(cols, w, out)
-            if len(names) > 1:
-                x = x + params[names[1]][:, None, None]
-        elif kind == "pool":
-            won = K.switches(x, *options)
-            saved = x.shape[1:], won
-            x = K.picked(x, won, *options)
-        elif kind == "relu":
-            saved = K.passes(x)
-            x = np.fmax(x, x.dtype.type(0))  # of NaN and 0 it is 0
-        elif kind == "flatten":
-            saved = x.shape
-            x = x.reshape(x.shape[0], -1)
+def dense(x, options, params):
+    y = x @ params[0]
+    return (y + params[1] if len(params) > 1 else y), x
+
+
+def dense_back(g, saved, options, params, first):
+    grads = [saved.T @ g]
+    if len(params) > 1:
+        grads.append(g.sum(axis=0))
+    return None if first else g @ params[0].T, grads
+
+
+def _four(w):
+    """Weights of one spatial axis get a second one."""
+    return w if w.ndim == 4 else w[..., None]
+
+
+def conv(x, options, params):
+    w = _four(params[0])
+    cols, out = K.conv_columns(x, w.shape[2:], *options)
+    y = K.conv_product(cols, w, out)
+    return (y + params[1][:, None, None] if len(params) > 1 else y), (x.shape, cols)
+
+
+def conv_back(g, saved, options, params, first):
+    (shape, cols), w, flat = saved, _four(params[0]), K.by_channel(g)
+    grads = [(flat @ cols.T).reshape(params[0].shape)]
+    if len(params) > 1:
+        grads.append(flat.sum(axis=1))
+    return None if first else K.conv_back(g, w, shape[1:], *options), grads
+
+
+def pool(x, options, params):
+    won = K.switches(x, *options)
+    return K.picked(x, won, *options), (x.shape[1:], won)
+
+
+def pool_back(g, saved, options, params, first):
+    shape, won = saved
+    return K.pool_back(won, g, shape, *options), []
+
+
+def relu(x, options, params):
+    return np.fmax(x, x.dtype.type(0)), K.passes(x)  # of NaN and 0 it is 0
+
+
+def relu_back(g, saved, options, params, first):
+    return np.where(saved, g, g.dtype.type(0)), []
+
+
+def flatten(x, options, params):
+    return x.reshape(x.shape[0], -1), x.shape
+
+
+def widen(x, options, params):
+    """[n, c, h] to [n, c, h, 1]."""
+    return x[..., None], x.shape
+
+
+def narrow(x, options, params):
+    return x[..., 0], x.shape
+
+
+def shape_back(g, saved, options, params, first):
+    return g.reshape(saved), []
+
+
+DENSE, CONV, POOL, RELU = (dense, dense_back), (conv, conv_back), (pool, pool_back), (relu, relu_back)
+FLATTEN, WIDEN, NARROW = (flatten, shape_back), (widen, shape_back), (narrow, shape_back)
+
+
+def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None, half: bool = False) -> np.ndarray:
+    """Logits; keep gets what backward() needs of each layer; half: every value is rounded to bfloat16, sums are those of its type."""
+    for kernel, options, names in plan:
+        x, saved = kernel[0](x, options, [params[n] for n in names])
+        if half:
+            x = K.to_bf16(x)
         if keep is not None:
             keep.append(saved)
     return x
 
 
-def backward(plan: list, params: dict[str, np.ndarray], kept: list, g: np.ndarray) -> dict[str, np.ndarray]:
+def backward(plan: list, params: dict[str, np.ndarray], kept: list, g: np.ndarray, half: bool = False) -> dict[str, np.ndarray]:
     """Gradients of the parameters from that of the logits."""
     grads: dict[str, np.ndarray] = {}
     for at in range(len(plan) - 1, -1, -1):
-        (kind, options, names), saved = plan[at], kept[at]
-        if kind == "dense":
-            grads[names[0]] = saved.T @ g
-            if len(names) > 1:
-                grads[names[1]] = g.sum(axis=0)
-            g = g @ params[names[0]].T
-        elif kind == "conv":
-            shape, cols = saved
-            w = params[names[0]]
-            flat = K.by_channel(g)
-            grads[names[0]] = (flat @ cols.T).reshape(w.shape)
-            if len(names) > 1:
-                grads[names[1]] = flat.sum(axis=1)
-            if at == 0:
-                continue
-            g = K.conv_back(g, w, shape[1:], *options)
-        elif kind == "pool":
-            shape, won = saved
-            g = K.pool_back(won, g, shape, *options)
-        elif kind == "relu":
-            g = np.where(saved, g, g.dtype.type(0))
-        elif kind == "flatten":
-            g = g.reshape(saved)
+        (kernel, options, names), saved = plan[at], kept[at]
+        g, own = kernel[1](g, saved, options, [params[n] for n in names], at == 0)
+        if half and g is not None:
+            g = K.to_bf16(g)
+        for n, d in zip(names, own, strict=True):
+            grads[n] = grads[n] + d if n in grads else d
     return grads
 
 

@@ -10,7 +10,7 @@ sum over its rows divided by their number, so a batch may be any part of the dat
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from tensorframe import kernels as array_kernels
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.plans import kernels, layers
+from tensorframe.plans.autograd import Parameter
 from tensorframe.plans.layers import Layer, Sequential
 from tensorframe.scratch import materialize
 
@@ -34,55 +35,101 @@ ROWS = 128
 PIECE = 8192
 
 
+#: Layer type: what its kernels are, as (kernel, options) from a layer; kernels of one's own are added by compiled().
+_COMPILERS: dict[type, Callable[[Layer], list[tuple]]] = {}
+_SLOTS = ("weight", "bias")
+
+
+def compiled(kind: type, kernel: tuple[Callable, Callable], options: Callable[[Layer], object] = lambda layer: None) -> None:
+    """From now on layers of a type run by a pair of NumPy functions (see kernels.py); their parameters come in the order of their attributes."""
+    _COMPILERS[kind] = lambda layer: [(kernel, options(layer), True)]
+
+
+def _window(layer) -> tuple:
+    kernel = K.pair(layer.kernel)
+    return kernel, kernel if layer.stride is None else K.pair(layer.stride)
+
+
+def _conv_options(layer) -> tuple:
+    return tuple(K.pair(layer.conv[o]) for o in ("padding", "stride", "dilation"))
+
+
+compiled(layers.Dense, kernels.DENSE)
+compiled(layers.Conv2, kernels.CONV, _conv_options)
+compiled(layers.MaxPool2, kernels.POOL, _window)
+compiled(layers.Relu, kernels.RELU)
+compiled(layers.Flatten, kernels.FLATTEN)
+_COMPILERS[layers.Conv1] = lambda layer: [(kernels.WIDEN, None, False), (kernels.CONV, _conv_options(layer), True), (kernels.NARROW, None, False)]
+_COMPILERS[layers.MaxPool1] = lambda layer: [(kernels.WIDEN, None, False), (kernels.POOL, _window(layer), False), (kernels.NARROW, None, False)]
+_COMPILERS[layers.Identity] = lambda layer: []
+
+
 class Net:
-    """A stack of layers as kernels: plan, parameters, velocities."""
+    """A model as kernels: plan, parameters, velocities.
+
+    Layers of types that compiled() knows become kernels; any other layer is gone
+    through by the order of its fields (lists too; None is left out), unless it
+    has a forward() of its own, which only the tape can run.  dtype "bf16" (the
+    default if a parameter has it): parameters, velocities, values and gradients
+    are numbers of bfloat16, sums and updates are computed in 32 bits; with
+    master, parameters and velocities keep 32 bits, and layers see them rounded.
+    """
 
-    def __init__(self, model: Sequential, dtype=np.float32) -> None:
+    def __init__(self, model: Layer, dtype=None, master: bool = False) -> None:
         self.plan: list = []
         self.params: dict[str, np.ndarray] = {}
         self.velocity: dict[str, np.ndarray] = {}
-        self.dtype = dtype
-        for k, layer in enumerate(x for x in model.layers if x is not None):
-            self._compile(f"layers.{k}", layer)
+        if dtype is None:
+            dtype = "bf16" if any(p.dtype == "bf16" for _, p in model.parameters()) else np.float32
+        self.half, self.dtype = dtype == "bf16", np.float32 if dtype == "bf16" else dtype
+        self.rounded = self.half and not master
+        self._compile("", model)
+
+    def _stored(self, a: np.ndarray) -> np.ndarray:
+        return array_kernels.to_bf16(a) if self.rounded else np.asarray(a, self.dtype)
+
+    def seen(self) -> dict[str, np.ndarray]:
+        """The parameters as layers see them."""
+        return {n: array_kernels.to_bf16(p) for n, p in self.params.items()} if self.half and not self.rounded else self.params
 
     def _compile(self, path: str, layer: Layer) -> None:
-        names = []
-        for slot in ("weight", "bias"):
-            p = getattr(layer, slot, None)
-            if p is not None:
-                names.append(f"{path}.{slot}")
-                self.params[names[-1]] = p.value.to_numpy().astype(self.dtype)
-        match layer:
-            case layers.Dense():
-                self.plan.append(("dense", None, names))
-            case layers.Conv2():
-                self.plan.append(("conv", tuple(K.pair(layer.conv[o]) for o in ("padding", "stride", "dilation")), names))
-            case layers.MaxPool2():
-                kernel = K.pair(layer.kernel)
-                self.plan.append(("pool", (kernel, kernel if layer.stride is None else K.pair(layer.stride)), names))
-            case layers.Relu():
-                self.plan.append(("relu", None, names))
-            case layers.Flatten():
-                self.plan.append(("flatten", None, names))
-            case layers.Sequential():
-                for k, inner in enumerate(x for x in layer.layers if x is not None):
-                    self._compile(f"{path}.layers.{k}", inner)
-            case layers.Optional() | layers.OneOf():
-                if layer.layer is not None:
-                    self._compile(f"{path}.layer", layer.layer)
-            case layers.Identity():
-                pass
-            case _:
-                raise TypeError(f"{type(layer).__name__} has no kernel; train it on the tape")
+        make = next((_COMPILERS[t] for t in type(layer).__mro__ if t in _COMPILERS and (t is type(layer) or t.forward is type(layer).forward)), None)
+        if make is not None:
+            names = []
+            own = [(s, getattr(layer, s, None)) for s in _SLOTS] if any(hasattr(layer, s) for s in _SLOTS) else []
+            own += [(s, p) for s, p in vars(layer).items() if s not in _SLOTS]
+            for slot, p in own:
+                if isinstance(p, Parameter):
+                    names.append(f"{path}{slot}")
+                    self.params[names[-1]] = self._stored(p.value.to_numpy())
+            self.plan += [(kernel, options, names if has else []) for kernel, options, has in make(layer)]
+        elif type(layer).forward in (Layer.forward, Sequential.forward):
+            for name, x in vars(layer).items():
+                if isinstance(x, Layer):
+                    self._compile(f"{path}{name}.", x)
+                elif isinstance(x, list | tuple):
+                    self._listed(f"{path}{name}.", x)
+        else:
+            raise TypeError(f"{type(layer).__name__} has no kernel; give it one by compiled(), or train it on the tape")
+
+    def _listed(self, path: str, parts) -> None:
+        for k, x in enumerate(x for x in parts if x is not None):
+            if isinstance(x, list | tuple):
+                self._listed(f"{path}{k}.", x)
+            elif isinstance(x, Layer):
+                self._compile(f"{path}{k}.", x)
 
     def frames(self, spark) -> dict[str, TensorFrame]:
         return {n: TensorFrame.from_numpy(spark, p) for n, p in self.params.items()}
 
     def step(self, grads: dict[str, np.ndarray], learning_rate: float, momentum: float | None = None) -> None:
         for n, g in grads.items():
+            if self.half:
+                g = array_kernels.to_bf16(g)
             if momentum is not None:
-                g = self.velocity[n] = momentum * self.velocity.get(n, 0) + g
-            self.params[n] = (self.params[n] - learning_rate * g).astype(self.dtype)
+                g = momentum * self.velocity.get(n, 0) + g
+                self.velocity[n] = self._stored(g) if self.half else g
+            self.params[n] = self._stored(self.params[n] - learning_rate * g)
 
     def save(self, spark, path: str) -> None:
         """The parameter table: values and velocities."""
@@ -95,21 +142,22 @@ class Net:
             (self.params if slot == "value" else self.velocity)[n] = g.v.to_numpy().astype(self.dtype).reshape(self.params[n].shape)
 
 
-def _arrays(b: pa.RecordBatch, shape: tuple[int, ...], dtype, scale: float) -> np.ndarray:
+def _arrays(b: pa.RecordBatch, shape: tuple[int, ...], dtype, scale: float, half: bool) -> np.ndarray:
     values = b.column(0).flatten().to_numpy(zero_copy_only=False)
     x = values.astype(dtype).reshape(b.num_rows, *shape)
-    return x if scale == 1 else x * dtype(scale)
+    x = x if scale == 1 else x * dtype(scale)
+    return array_kernels.to_bf16(x) if half else x
 
 
 def predict(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1.0, value: str = "value", row_id: str = "row_id") -> DataFrame:
     """(row_id, logits)."""
-    plan, params, dtype = net.plan, net.params, net.dtype
+    plan, params, dtype, half = net.plan, net.seen(), net.dtype, net.half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                y = kernels.forward(plan, params, _arrays(part, shape, dtype, scale)).astype(np.float64)
+                y = kernels.forward(plan, params, _arrays(part, shape, dtype, scale, half), half=half).astype(np.float64)
                 ends = np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(y.reshape(-1)))], names=["row_id", "logits"])
 
@@ -118,13 +166,13 @@ def predict(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1.
 
 def evaluate(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float = 1.0, value: str = "value", label: str = "label") -> DataFrame:
     """One row: count, loss, mean_loss, correct, accuracy in percent."""
-    plan, params, dtype = net.plan, net.params, net.dtype
+    plan, params, dtype, half = net.plan, net.seen(), net.dtype, net.half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                total, correct, _ = kernels.loss(kernels.forward(plan, params, _arrays(part, shape, dtype, scale)), part.column(1).to_numpy(zero_copy_only=False))
+                total, correct, _ = kernels.loss(kernels.forward(plan, params, _arrays(part, shape, dtype, scale, half), half=half), part.column(1).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_pydict({"n": [part.num_rows], "loss": [total], "correct": [correct]})
 
     sums = rows.select(value, F.col(label).cast("int")).mapInArrow(run, "n long, loss double, correct long").agg(F.sum("n").alias("count"), F.sum("loss").alias("loss"), F.sum("correct").alias("correct"))
@@ -154,7 +202,7 @@ def gradients(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float =
 
     A partition's sums leave it as a few pieces of one vector, which meet by piece.
     """
-    plan, params, dtype = net.plan, net.params, net.dtype
+    plan, params, dtype, half = net.plan, net.seen(), net.dtype, net.half
     names, piece = list(params), PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +212,9 @@ def gradients(rows: DataFrame, net: Net, shape: tuple[int, ...], scale: float =
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
                 kept: list = []
-                logits = kernels.forward(plan, params, _arrays(part, shape, dtype, scale), kept)
+                logits = kernels.forward(plan, params, _arrays(part, shape, dtype, scale, half), kept, half)
                 total, correct, g = kernels.loss(logits, part.column(1).to_numpy(zero_copy_only=False))
-                for n, d in kernels.backward(plan, params, kept, g).items():
+                for n, d in kernels.backward(plan, params, kept, array_kernels.to_bf16(g) if half else g, half).items():
                     sums[n] += d.reshape(-1)
                 stats += (part.num_rows, total, correct)
         if stats[0]:

@@ -13,6 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorframe.sources.idx_source import header, local_path, read_split
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this library
 IMAGES, LABELS = 2051, 2049
 _FILES = {"train": ("train-images-idx3-ubyte", "train-labels-idx1-ubyte"), "test": ("t10k-images-idx3-ubyte", "t10k-labels-idx1-ubyte")}
@@ -52,5 +54,11 @@ def read_idx(spark: SparkSession, path: str, shape: tuple[int, int] | None = Non
 
 def digits(spark: SparkSession, folder: str, split: str = "train", suffix: str = ".gz", shape: tuple[int, int] = (28, 28)) -> DataFrame:
     """row_id, split, value array<smallint>, label of a folder with the four files of a digits data set."""
-    images, labels = (read_idx(spark, f"{folder}/{name}{suffix}", shape) for name in _FILES[split])
+    paths = [f"{folder}/{name}{suffix}" for name in _FILES[split]]
+    if not suffix and all(local_path(p) for p in paths):  # plain files are read by ranges
+        if (found := header(local_path(paths[0]))[1][1:]) != shape:
+            raise ValueError(f"images of {found} aren't {shape}")
+        images, labels = (read_split(spark, p) for p in paths)
+    else:
+        images, labels = (read_idx(spark, p, shape) for p in paths)
     return images.join(labels.select("row_id", F.get("value", F.lit(0)).alias("label")), "row_id").select("row_id", F.lit(split).alias("split"), "value", "label")
