@@ -6,7 +6,6 @@ integer formulas, so that both engines make the same.
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
@@ -19,11 +18,13 @@ from tensorframe import operators as O
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.functions import accuracy, cross_entropy_backward, cross_entropy_rows, epoch_stats, row_stats
+from tensorframe.functions.criterion import wide_rows
 from tensorframe.operators.tiles import Tiles
-from tensorframe.plans import SGD, Checkpoints, Conv2, Dense, Flatten, Identity, Layer, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
+from tensorframe.plans import SGD, Checkpoints, Conv1, Conv2, Dense, Flatten, Identity, Layer, MaxPool1, MaxPool2, OneOf, Optimizer, Optional, Parameter, Relu, Sequential, Variable, load_model, save_model
+from tensorframe.plans.sharded import ShardedMatrix, softmax_step
 from tensorframe.plans.train import Net, evaluate, gradients, predict, train
-from tensorframe.scratch import scratch_path, write_file
-from tensorframe.sources import Permutation, batched, digits, iris, sequential, shuffled
+from tensorframe.scratch import make_folder, scratch_path
+from tensorframe.sources import Permutation, batched, digits, iris, sequential, shuffled, write_idx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,9 +189,10 @@ def q_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(O.transpose(vectors(spark, sf_dir)))
 
 
-@query(f"SELECT r.range AS i0, b.o AS i1, round(b.k, 6) + 0.0 AS v FROM bia b, range(5) r")
+@query(f"SELECT r.range AS i0, x.i0 AS i1, x.i1 AS i2, {_V} FROM x, range(3) r")
 def q_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(O.broadcast(bias(spark, 10), (5, 10)))
+    x = vectors(spark, sf_dir)
+    return shown(O.broadcast(x, (3, *x.shape)))
 
 
 @query("SELECT 0::BIGINT AS i0, i1, round(sum(v), 5) + 0.0 AS v FROM x GROUP BY i1")
@@ -459,15 +461,19 @@ def q_batches_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LX = "(SELECT l_quantity / 50 AS x0, l_extendedprice / 100000 AS x1, l_discount AS x2, l_tax AS x3, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS t FROM lineitem)"
 
 
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount"), F.col("l_tax")).alias("value"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"),
+    )
+
+
 @query(f"""SELECT k.range AS i0, j.range AS i1, round(((k.range * 2 + j.range * 3) % 5 - 2) / 10.0::DOUBLE - 0.5 * g.v, 6) + 0.0 AS v
     FROM range(4) k, range(3) j, LATERAL (SELECT sum((CASE k.range WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END) * (exp(CASE j.range WHEN 0 THEN y0 WHEN 1 THEN y1 ELSE y2 END) / (exp(y0) + exp(y1) + exp(y2)) - (t = j.range)::INTEGER)) / count(*) AS v
       FROM (SELECT *, {", ".join(" + ".join(f"x{k} * {((2 * k + 3 * j) % 5 - 2) / 10}::DOUBLE" for k in range(4)) + f" AS y{j}" for j in range(3))} FROM {_LX})) g""")
 def q_lineitem_softmax_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step of softmax regression over line items, by Arrow batches."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount"), F.col("l_tax")).alias("value"),
-        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"),
-    )
+    rows = _line_items(spark, sf_dir)
     layer = Dense(spark, 4, 3)
     layer.weight = Parameter(formula(spark, (4, 3), 2, 3, mod=5, less=2))
     net = Net(Sequential(layer), np.float64)
@@ -679,20 +685,26 @@ def q_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(TensorFrame.load(spark, path))
 
 
-@query("SELECT * FROM (VALUES (0, 5::BIGINT, 3::BIGINT, 15::BIGINT, true, 2, 'f32')) v(axis, length, stride, size, standard, rank, dtype) UNION ALL SELECT 1, 3::BIGINT, 1::BIGINT, 15::BIGINT, true, 2, 'f32'")
+@query("""SELECT a.range AS axis, CASE a.range WHEN 0 THEN 64 ELSE n END AS length, CASE a.range WHEN 0 THEN n ELSE 1 END AS stride, 64 * n AS size, true AS standard, 2 AS rank, 'f32' AS dtype, CASE a.range WHEN 0 THEN 63 ELSE n - 1 END AS last
+    FROM range(2) a, (SELECT count(*) AS n FROM embeddings)""")
 def q_inspectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = O.standard_layout(O.transpose(formula(spark, (3, 5), 1, 2))).require(ndim=2)
-    x = O.cast(x, "f32").require(dtype="f32")
-    rows = [(k, n, s, x.size, x.is_standard_layout(), x.ndim, x.dtype) for k, (n, s) in enumerate(zip(x.shape, x.strides, strict=True))]
-    return spark.createDataFrame(rows, "axis int, length long, stride long, size long, standard boolean, rank int, dtype string")
+    """What a tensor says of itself, beside the last index along each axis that its cells have."""
+    x = O.cast(O.standard_layout(O.transpose(vectors(spark, sf_dir))).require(ndim=2), "f32").require(dtype="f32")
+    said = [F.struct(F.lit(k).cast("long").alias("axis"), *[F.lit(v).cast("long").alias(c) for c, v in (("length", n), ("stride", s), ("size", x.size))], F.lit(x.is_standard_layout()).alias("standard"), F.lit(x.ndim).alias("rank"), F.lit(x.dtype).alias("dtype"), F.col(f"m{k}").alias("last")) for k, (n, s) in enumerate(zip(x.shape, x.strides, strict=True))]
+    return x.df.agg(F.max("i0").alias("m0"), F.max("i1").alias("m1")).select(F.inline(F.array(*said)))
 
 
-@query("SELECT a.range AS size, f.range AS kernel, p.range AS padding, s.range AS stride, d.range AS dilation, (a.range + 2 * p.range - d.range * (f.range - 1) - 1) // s.range + 1 AS output, d.range * (f.range - 1) + 1 + s.range * ((a.range + 2 * p.range - d.range * (f.range - 1) - 1) // s.range) - 2 * p.range AS input FROM range(9, 13) a, range(1, 4) f, range(2) p, range(1, 3) s, range(1, 3) d")
+@query("""SELECT f.range AS kernel, p.range AS padding, s.range AS stride, d.range AS dilation, (8 + 2 * p.range - d.range * (f.range - 1) - 1) // s.range + 1 AS output,
+    d.range * (f.range - 1) + 1 + s.range * ((8 + 2 * p.range - d.range * (f.range - 1) - 1) // s.range) - 2 * p.range AS input, ((8 + 2 * p.range - d.range * (f.range - 1) - 1) // s.range + 1) * ((8 + 2 * p.range - d.range * (f.range - 1) - 1) // s.range + 1) * n AS cells
+    FROM range(1, 4) f, range(2) p, range(1, 3) s, range(1, 3) d, (SELECT count(*) AS n FROM embeddings)""")
 def q_conv_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output lengths of convolutions, and the input lengths that these need."""
-    grid = product(range(9, 13), range(1, 4), range(2), range(1, 3), range(1, 3))
-    rows = [(a, f, p, s, d, K.conv_output(a, f, p, s, d), K.conv_input(K.conv_output(a, f, p, s, d), f, p, s, d)) for a, f, p, s, d in grid]
-    return spark.createDataFrame(rows, "size long, kernel long, padding long, stride long, dilation long, output long, input long")
+    """Output lengths of convolutions of the images, the input lengths that these need, and the cells that there are."""
+    x, found = vectors(spark, sf_dir, (1, 8, 8)), []
+    for f, p, s, d in product(range(1, 4), range(2), range(1, 3), range(1, 3)):
+        y = O.conv2(x, TensorFrame.from_numpy(spark, np.ones((1, 1, f, f))), None, p, s, d)
+        said = {"kernel": f, "padding": p, "stride": s, "dilation": d, "output": K.conv_output(8, f, p, s, d), "input": K.conv_input(K.conv_output(8, f, p, s, d), f, p, s, d)}
+        found.append(y.rows.agg(F.sum(F.size("value")).alias("cells")).select(*[F.lit(v).cast("long").alias(c) for c, v in said.items()], "cells"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT i0, i1, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE round_even(v * 2.0::DOUBLE ^ (7 - floor(log2(abs(v)))), 0) / 2.0::DOUBLE ^ (7 - floor(log2(abs(v)))) END AS v FROM x")
@@ -759,12 +771,20 @@ def q_custom_optimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(layer.weight.value)
 
 
-@query("SELECT o AS i0, round(k, 6) + 0.0 AS v, 0.0::DOUBLE AS velocity FROM bia")
+@query("""SELECT 'without' AS param, i1 AS i0, round(sum(v), 4) + 0.0 AS v, 0.0::DOUBLE AS velocity FROM x GROUP BY i1
+    UNION ALL SELECT 'with', i1, round(sum(v) - 0.1 * any_value(n), 4) + 0.0, any_value(n)::DOUBLE FROM x, (SELECT count(*) AS n FROM embeddings) GROUP BY i1""")
 def q_optimizer_without_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No gradient: the value stays, though the state is made."""
-    p = Parameter(bias(spark, 10))
-    SGD(0.9).update(0.1, p)
-    return shown(p.value.df.join(p.state["velocity"].df.withColumnRenamed("v", "velocity"), "i0"))
+    """Two parameters of sums of the vectors' coordinates, one with the gradient of adding it to all vectors; the other's value stays, though its state is made."""
+    x = vectors(spark, sf_dir)
+    found = []
+    for name in ("without", "with"):
+        p = Parameter(O.sum_axis(x, 0))
+        if name == "with":
+            p.init_grad()
+            Variable(x).add(p.to_variable()).backward()
+        SGD(0.9).update(0.1, p)
+        found.append(p.value.df.join(p.state["velocity"].df.withColumnRenamed("v", "velocity"), "i0").select(F.lit(name).alias("param"), "i0", "v", "velocity"))
+    return shown(reduce(DataFrame.unionByName, found), 4)
 
 
 @query("SELECT o AS i0, round((SELECT count(*) FROM embeddings) * 1.0::DOUBLE + k * 0, 6) AS v FROM bia")
@@ -784,21 +804,98 @@ def q_reshape_permute_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(x.grad)
 
 
-@query("SELECT r.range AS row_id, 'train' AS split, j.range AS i1, ((j.range % 7 + r.range % 3))::SMALLINT AS v, (r.range % 10)::SMALLINT AS label FROM range(50) r, range(784) j")
-def q_digit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images and labels written as gzip IDX files, and decoded on the executors."""
-    path = scratch_path(spark, "digits")
-    images = (np.arange(784) % 7 + (np.arange(50) % 3)[:, None]).astype(np.uint8).reshape(50, 28, 28)
-    for name, magic, data in (("train-images-idx3-ubyte", 2051, images), ("train-labels-idx1-ubyte", 2049, (np.arange(50) % 10).astype(np.uint8))):
-        write_file(spark, f"{path}/{name}.gz", gzip.compress(np.array([magic, *data.shape], ">i4").tobytes() + data.tobytes()))
-    return digits(spark, path).select("row_id", "split", F.posexplode("value").alias("i1", "v"), "label").withColumn("i1", F.col("i1").cast("long"))
+_PIXEL = "greatest(least(trunc(v * 60 + 128), 255), 0)::SMALLINT"
+
 
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixel = lambda v: F.greatest(F.least((v.cast("double") * 60 + 128).cast("long"), F.lit(255)), F.lit(0)).cast("smallint")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", pixel).alias("value"), F.array(F.col("label").cast("smallint")).alias("label"))
 
-@query("SELECT range AS row_id, (range % 3)::SMALLINT AS label, ((range + 1) / 2.0)::FLOAT AS v FROM range(30)")
+
+@query(f"SELECT i0 AS row_id, 'train' AS split, i1, {_PIXEL} AS v, t::SMALLINT AS label FROM x JOIN lab USING (i0)")
+def q_digit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All images and labels written as IDX files, each by many tasks, and read back by ranges of bytes."""
+    folder = scratch_path(spark, "digits")
+    rows = _pixels(spark, sf_dir)
+    n = rows.count()
+    make_folder(spark, folder)
+    write_idx(rows, f"{folder}/train-images-idx3-ubyte", (n, 8, 8))
+    write_idx(rows, f"{folder}/train-labels-idx1-ubyte", (n,), value="label")
+    found = digits(spark, folder, suffix="", shape=(8, 8))
+    return found.select("row_id", "split", F.posexplode("value").alias("i1", "v"), "label").withColumn("i1", F.col("i1").cast("long"))
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY i0) - 1) AS row_id, (t % 3)::SMALLINT AS label, v::FLOAT AS v FROM (SELECT x.i0, t, {_PIXEL} AS v FROM x JOIN lab USING (i0) WHERE i1 = 0)")
 def q_iris_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four measures and a named class a line."""
+    """Four measures and a named class a line, written from the first numbers of all vectors."""
     path = scratch_path(spark, "iris")
-    names = ("Iris-setosa", "Iris-versicolor", "Iris-virginica")
-    lines = ["sepal_length,sepal_width,petal_length,petal_width,species", *(f"{(k + 1) / 2},1,2,3,{names[k % 3]}" for k in range(30))]
-    write_file(spark, path, "\n".join(lines).encode())
+    names = F.lit(["Iris-setosa", "Iris-versicolor", "Iris-virginica"])
+    rows = _pixels(spark, sf_dir).select("row_id", F.concat_ws(",", *[F.get("value", F.lit(k)).cast("string") for k in range(4)], F.get(names, (F.get("label", F.lit(0)) % 3).cast("int"))).alias("line"))
+    rows.orderBy("row_id").select("line").write.text(path)
     return iris(spark, path).select("row_id", "label", F.get("value", F.lit(0)).alias("v"))
+
+
+# --- Models and sums of any size ------------------------------------------------------------------
+
+
+@query("SELECT i1 AS i0, round(sum((v * 1152921504606846976)::HUGEINT)::DOUBLE / 1152921504606846976, 9) + 0.0 AS v FROM x GROUP BY i1")
+def q_sum_axis0_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums that are rounded once, and the same under any partitioning."""
+    return shown(O.sum_axis(vectors(spark, sf_dir), 0, exact=True), 9)
+
+
+@query("SELECT w.i0, w.i1, round(w.v - 0.1 * dw.v, 6) + 0.0 AS v FROM w JOIN dw USING (i0, i1)")
+def q_sharded_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of momentum of parameters that are tiles of a bucketed table, and never at the driver."""
+    w = ShardedMatrix.of(weight(spark), edge=16, buckets=8)
+    x, t = TensorFrame.from_columns(table(spark, sf_dir, "embeddings"), "vec_id", {"embedding": (64,), "label": ()})
+    after, _ = softmax_step(x, t, w, 0.1, 0.9)
+    return shown(after.frame())
+
+
+@query("""SELECT i1 AS i0, t, round(ln(sum(exp(v - m))) - (max(v) FILTER (i0 = t) - any_value(m)), 6) + 0.0 AS loss, max(v) FILTER (i0 = t) > max(v) FILTER (i0 <> t) AS "right"
+    FROM (SELECT x.i0, x.i1, v, ((x.i1 * 7919) % n)::INTEGER AS t, max(v) OVER (PARTITION BY x.i1) AS m FROM x, (SELECT count(*) AS n FROM embeddings)) GROUP BY i1, t""")
+def q_wide_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates as samples and vectors as classes, as many as the table has: no row of them is put together."""
+    x = vectors(spark, sf_dir)
+    t = TensorFrame.from_numpy(spark, (np.arange(64) * 7919) % x.shape[0], "i32")
+    return shown(wide_rows(O.transpose(x), t).select("i0", "t", "loss", "right"))
+
+
+_BF16 = "CASE WHEN {0} = 0 THEN 0.0::DOUBLE ELSE round_even({0} * 2.0::DOUBLE ^ (7 - floor(log2(abs({0})))), 0) / 2.0::DOUBLE ^ (7 - floor(log2(abs({0})))) END"
+_HX = f"hx AS (SELECT {', '.join(f'{_BF16.format(f"x{k}::DOUBLE")} AS x{k}' for k in range(4))}, t FROM {_LX})"
+_HW = [[float(K.rounded_array(np.array(((2 * k + 3 * j) % 5 - 2) / 10), "bf16")) for j in range(3)] for k in range(4)]
+
+
+@query(f""", {_HX}, hy AS (SELECT *, {", ".join(_BF16.format("(" + " + ".join(f"x{k} * {_HW[k][j]}::DOUBLE" for k in range(4)) + ")") + f" AS y{j}" for j in range(3))} FROM hx),
+hg AS (SELECT *, {", ".join(_BF16.format(f"(exp(y{j}) / (exp(y0) + exp(y1) + exp(y2)) - (t = {j})::INTEGER)") + f" AS g{j}" for j in range(3))} FROM hy),
+hd AS (SELECT {", ".join(f"sum(x{k} * g{j}) / count(*) AS d{k}{j}" for k in range(4) for j in range(3))} FROM hg),
+hs AS ({" UNION ALL ".join(f"SELECT {k}::BIGINT AS i0, {j}::BIGINT AS i1, {_HW[k][j]}::DOUBLE - 0.5::DOUBLE * {_BF16.format(f'd{k}{j}')} AS s FROM hd" for k in range(4) for j in range(3))})
+SELECT i0, i1, round({_BF16.format("s")}, 6) + 0.0 AS v FROM hs""")
+def q_bf16_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of softmax regression over line items, all that is stored rounded to eight significant bits."""
+    layer = Dense(spark, 4, 3, dtype="bf16")
+    layer.weight = Parameter(O.cast(formula(spark, (4, 3), 2, 3, mod=5, less=2), "bf16"))
+    net = Net(Sequential(layer))
+    grads, _ = gradients(_line_items(spark, sf_dir), net, (4,))
+    net.step(grads, 0.5)
+    return shown(TensorFrame.from_numpy(spark, net.params["layers.0.weight"]))
+
+
+@query("""SELECT x.i0, n.range AS i1, round(sum(p.v * (((p.o * 15 + p.q) * 7 + n.range * 3) % 11 - 5) / 10.0::DOUBLE), 6) + 0.0 AS v FROM lab x
+    JOIN (SELECT i0, o, y // 4 AS q, max(greatest(v, 0)) AS v FROM (SELECT x.i0, k.o, x.i1 - k.f AS y, sum(x.v * k.k) AS v FROM x
+      JOIN (SELECT o.range AS o, f.range AS f, ((o.range * 5 + f.range * 3) % 7 - 3) / 10.0::DOUBLE AS k FROM range(2) o, range(5) f) k ON x.i1 - k.f BETWEEN 0 AND 59 GROUP BY ALL) GROUP BY ALL) p USING (i0) CROSS JOIN range(10) n GROUP BY ALL""")
+def q_fields_forward_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model by the order of its fields, of layers of one spatial axis, compiled for Arrow batches."""
+
+    class Model(Layer):
+        def __init__(self) -> None:
+            self.conv, self.nothing = Conv1(spark, 1, 2, 5), None
+            self.steps = [Relu(), [MaxPool1(4), Identity()]]
+            self.flat = OneOf("flat", flat=Flatten())
+            self.head = Dense(spark, 30, 10)
+
+    model = Model()
+    model.conv.weight, model.head.weight = Parameter(formula(spark, (2, 1, 5), 5, 1, 3, mod=7, less=3)), Parameter(formula(spark, (30, 10), 7, 3))
+    logits = predict(table(spark, sf_dir, "embeddings"), Net(model, np.float64), (1, 64), 1.0, "embedding", "vec_id")
+    return shown(logits.select(F.col("row_id").alias("i0"), F.posexplode("logits").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), "v"))

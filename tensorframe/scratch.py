@@ -52,6 +52,11 @@ def discard(table: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
     """A file of driver data, hence small, by way of Spark's file systems."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
