@@ -3,10 +3,13 @@
 Named shapes (assignments to secret-like names, access keys, long hex runs) are
 found by patterns.  Other candidate strings are judged by the Shannon entropy of
 a sliding window, per character class of the window, whose counts are updated by
-one character in and one out; candidates are cut at name/value separators.  A
-window that touches a base span, or a known harmless string of the allow-list,
-is let pass; the others of its candidate are judged, and those that reach their
-class's bar make a span where they overlap.
+one character in and one out; candidates are cut at name/value separators.  Names
+in code, slugs and paths have as much entropy as keys, but their letters follow
+one another as in words: the same window counts its pairs of letters, and those
+that are common in words; with more than WORDLIKE of the one among the other it
+reads as words, and is let pass.  So is a window that touches a base span, or a
+known harmless string of the allow-list; the others of its candidate are judged,
+and those that reach their class's bar make a span where they overlap.
 
 Defined cases: a null text has no spans; repeated rows and doc_ids are scanned
 as separate rows; an empty table gives an empty result; other columns pass
@@ -35,9 +38,20 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 PIECE = r"[A-Za-z0-9+/_-]+(?:=+$)?"
 WINDOW = 20
 #: Bits a character that a window must reach, by the class of its characters.  Random windows have 3.4 bits on average
-#: (hex), 4.0 (mixed), 3.9 (alnum), 2.9 (digits), 4.0 (cased) and 3.7 (letters), which long words nearly reach.
-BITS = {"hex": 3.0, "mixed": 3.7, "alnum": 3.4, "digits": 2.6, "cased": 3.7, "letters": 3.75}
-#: What is let pass within a candidate; the last three match a whole one.
+#: (hex), 4.0 (mixed), 3.9 (alnum), 2.9 (digits), 4.0 (cased) and 3.7 (letters).
+BITS = {"hex": 3.0, "mixed": 3.7, "alnum": 3.4, "digits": 2.6, "cased": 3.7, "letters": 3.3}
+#: Pairs of letters that are common in words of English, most of them in German, French and Spanish too.
+#: A quarter of random pairs is among them, and three quarters or more of those of words.
+PAIRS = (
+    "ab ac ad ag ai al am an ap ar as at av ay be bl bo br ca ce ch ci ck cl co cr ct cu da de di do ea ec ed ee ef ei el em en er es et ev ex "
+    "fa fi fo fr ga ge gi gr gu ha he hi ho ic id ie if ig il im in io ir is it iv ke ki la ld le li ll lo ls ly ma me mi mo mp mu na nd ne ng ni no ns nt "
+    "od of og ol om on oo op or os ot ou ov ow pa pe ph pl po pr qu ra rd re ri rn ro rs rt ry sa sc se sh si so sp ss st su ta te th ti tl to tr ts tu ty "
+    "ui ul un up ur us ut va ve vi wa we wh wi wo ye"
+).split()
+#: A window with at least so many pairs of letters reads as words if more than its class's share of them is common.
+LEAST_PAIRS = 6
+WORDLIKE = {"letters": 0.5, "cased": 0.5, "alnum": 0.55, "mixed": 0.55}
+#: What is let pass within a candidate; the last four match a whole one.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|lorem",
@@ -45,6 +59,7 @@ ALLOW = (
     r"^(?:/[a-z0-9_-]+)+/?$",  # a path in lower case
     r"^[A-Za-z]{1,19}(?:[-_/=+][A-Za-z]{1,19})*$",  # words joined by signs
     r"^[0-9]{1,19}(?:[+/_=-]+[0-9]{1,19})*$",  # numbers joined by signs
+    r"^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[01][0-9]|2[0-3])[0-5][0-9][0-5][0-9][0-9]*$",  # a time stamp
 )
 
 
@@ -72,8 +87,19 @@ def char_class(text: str) -> str | None:
     return class_of(groups)
 
 
+_common = frozenset(PAIRS)
+
+
+def pair_of(text: str, i: int) -> int:
+    """Of the characters before and at i: 0 if they are no two ASCII letters, 1 if they are, 2 if common in words."""
+    if not i:
+        return 0
+    p = text[i - 1 : i + 1]
+    return 0 if not (p.isascii() and p.isalpha()) else 1 + (p.lower() in _common)
+
+
 def dense_parts(text: str, blocked: Sequence[tuple[int, int]] = (), window: int = WINDOW, bits: dict[str, float] = BITS) -> list[tuple[int, int]]:
-    """Unions of overlapping windows whose entropy reaches the bits of their class and that touch no blocked span."""
+    """Unions of overlapping windows whose entropy reaches the bits of their class, that don't read as words and touch no blocked span."""
     if len(text) < window:
         return []
     # Entropy in bits is log2(w) - sum(c * log2(c)) / w, so the sum must stay below this.
@@ -82,6 +108,8 @@ def dense_parts(text: str, blocked: Sequence[tuple[int, int]] = (), window: int
     groups = [0] * 6
     xlog = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
     counts: dict[str, int] = {}
+    pairs = [pair_of(text, i) for i in range(len(text))]
+    letters = common = 0
     total, out = 0.0, []
     blocks = iter(sorted(blocked))
     start, stop = next(blocks, (len(text), len(text)))
@@ -90,7 +118,12 @@ def dense_parts(text: str, blocked: Sequence[tuple[int, int]] = (), window: int
         counts[c] = n + 1
         total += xlog[n + 1] - xlog[n]
         groups[GROUPS.get(c, 5)] += 1
-        if i >= window:
+        letters += pairs[i] > 0
+        common += pairs[i] > 1
+        if i >= window:  # the pair whose first character leaves
+            gone = pairs[i - window + 1]
+            letters -= gone > 0
+            common -= gone > 1
             old = text[i - window]
             n = counts[old]
             counts[old] = n - 1
@@ -99,7 +132,7 @@ def dense_parts(text: str, blocked: Sequence[tuple[int, int]] = (), window: int
         at = i - window + 1
         while stop <= at:
             start, stop = next(blocks, (len(text), len(text) + window))
-        if at >= 0 and i < start and total <= most[class_of(groups)]:
+        if at >= 0 and i < start and total <= most[kind := class_of(groups)] and (letters < LEAST_PAIRS or common <= WORDLIKE.get(kind, 1) * letters):
             if out and at < out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -223,7 +256,9 @@ sums AS (SELECT rid, pid, i, sum(c * log2(c)) AS total FROM (SELECT rid, pid, i,
 cls AS (SELECT rid, pid, i, CASE WHEN la + lo + ua + up = 0 THEN CASE WHEN dg > 0 AND sg = 0 THEN 'digits' END
     WHEN dg = 0 THEN CASE WHEN sg = 0 THEN CASE WHEN la + lo = 0 OR ua + up = 0 THEN 'letters' ELSE 'cased' END END
     WHEN sg > 0 OR (la + lo > 0 AND ua + up > 0) THEN 'mixed' WHEN lo + up > 0 THEN 'alnum' ELSE 'hex' END AS class FROM (SELECT rid, pid, i, {", ".join(classes)} FROM free)),
-hit AS (SELECT rid, pid + i AS pos FROM sums JOIN cls USING (rid, pid, i) WHERE total <= (log2({w}) - CASE class {bars} END) * {w} + 1e-9),
+prs AS (SELECT rid, pid, i, len(p) AS letters, len(list_filter(p, lambda x: list_contains([{", ".join(f"'{x}'" for x in PAIRS)}], lower(x)))) AS common
+  FROM (SELECT rid, pid, i, list_filter(list_transform(range(1, {w}), lambda k: s[k:k + 1]), lambda x: regexp_full_match(x, '[A-Za-z]{{2}}')) AS p FROM free)),
+hit AS (SELECT rid, pid + i AS pos FROM sums JOIN cls USING (rid, pid, i) JOIN prs USING (rid, pid, i) WHERE (letters < {LEAST_PAIRS} OR common <= CASE class {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WORDLIKE.items())} ELSE 1.0::DOUBLE END * letters) AND total <= (log2({w}) - CASE class {bars} END) * {w} + 1e-9),
 isl AS (SELECT rid, pos, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS g FROM (SELECT rid, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY rid ORDER BY pos) < {w} THEN 0 ELSE 1 END AS fresh FROM hit)),
 spans AS (SELECT * FROM base UNION ALL SELECT rid, 3, min(pos), max(pos) + {w} FROM isl GROUP BY rid, g),
 o AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
