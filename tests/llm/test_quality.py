@@ -68,3 +68,32 @@ def test_clean_passes_any_columns_through(spark):
     assert sorted({r._id for r in got}) == list(range(60)) and 60 <= len(got) <= 63
     assert all(r.text == f"{PROSE} {r._id}" and r.n_chars == len(r.text) and (r["_salt"], r["a.b"], r.kept, r.host, r.tie) == (2, 3, 1, "h", "x") for r in got)
     assert quality.clean(docs.limit(0)).count() == 0
+
+
+def family(of, lines=10, changed=1, at=0, host="a"):
+    """Near copies: ten lines each, some of them changed."""
+    own = [f"line {k} of family {at} has its own words w{at}x{k} v{at}x{k}" for k in range(lines)]
+    return [(at + i, "\n".join(f"changed {i} {k} in family {at} so other words here" if (k - i) % lines < changed else x for k, x in enumerate(own)), host) for i in range(of)]
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_a_family_of_near_copies_is_one_document(spark, changed):
+    """Twenty near copies among 320 documents of a host: none of their lines is frequent, and all stay for the next stage."""
+    banner = "Subscribe to our newsletter for more of this"
+    rows = family(20, changed=changed) + [(1000 + i, f"{PROSE} {i}\n" + "\n".join(f"own {i} line {k} with words x{i}y{k}" for k in range(3)) + f"\n{banner}", "a") for i in range(300)]
+    rows += family(5, at=5000, host=None) + [(9000, rows[0][1], "a"), (9001, rows[0][1].upper(), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert all(r.kept for r in got.values())
+    assert all(got[i].n_lost_words == 0 for i in got if i < 1000 or i >= 5000) and all(got[1000 + i].n_lost_words == 8 for i in range(300))
+    assert rows_of(quality.digests(docs)) == sql_rows(quality.ORACLE_SQL, documents=docs)
+
+
+def test_bands_find_near_copies():
+    r = random.Random(1)
+    found = 0
+    for _ in range(300):
+        shared = [r.getrandbits(63) for _ in range(8)]
+        a, b = (quality.bands_of(shared + [r.getrandbits(63) for _ in range(2)]) for _ in range(2))
+        found += bool(set(a) & set(b))
+    assert found >= 285 and quality.bands_of([5]) == quality.bands_of([]) == []
