@@ -2,8 +2,11 @@
 
 Shapes (email, ip, card, phone) give the base spans.  A base span as a whole is a
 seed instance.  Other instances are the whitespace-parted tokens with a digit or
-an @ that touch no base span, less the signs at their ends; those of too few
-letters and digits to identify anyone (see LEAST) are counterexamples.  The two
+an @ that touch no base span, less the signs at their ends; groups of digits (and
+capitals) with single spaces between, up to six, are one instance, as they are in
+cards and phone numbers, so that pieces of an identifier don't stand for others.
+Instances of too few letters and digits to identify anyone (see LEAST) are
+counterexamples.  The two
 words before an instance, the word before with the one after, and the two words
 after are its lexical patterns (lower case, digits as 0, without signs).
 
@@ -46,7 +49,9 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": "+"}
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _S = r"[^\x20\x09-\x0D]"
-INSTANCE = rf"(?<!{_S}){_S}*?[0-9@]{_S}*+"
+#: Of a spaced identifier, a group: capitals, digits and signs with a digit among them.
+_GROUP = r"[A-Z(+]*+[0-9][A-Z0-9()./-]*+"
+INSTANCE = rf"(?<!{_S})(?:{_GROUP}(?:\x20{_GROUP}){{1,5}}[^A-Za-z0-9\x20\x09-\x0D]*+(?!{_S})|{_S}*?[0-9@]{_S}*+)"
 CONTEXT = 64
 #: Letters and digits, and digits, that an instance must have not to be a counterexample.
 LEAST = (6, 3)
@@ -171,11 +176,11 @@ def confident(mentioned: DataFrame) -> DataFrame:
     mentioned: (pattern, instance, label).  An instance that is a seed anywhere is one everywhere.
     """
     known = mentioned.groupBy("instance").agg(F.max("label").alias("label"))
-    edges = materialize(mentioned.select("pattern", "instance").distinct().join(known, "instance"), "mentions")
+    edges = materialize(spread_join(mentioned.select("pattern", "instance").distinct(), known, "instance"), "mentions")
     # Counterexamples never change, so they are counted once; patterns of too few instances can't become confident.
     patterns = edges.groupBy("pattern").agg(F.sum((F.col("label") < 0).cast("int")).alias("against"), F.sum((F.col("label") >= 0).cast("int")).alias("n")).filter(F.col("n") >= SUPPORT)
     patterns = materialize(patterns, "patterns")
-    edges = materialize(edges.filter("label >= 0").join(patterns.select("pattern"), "pattern", "left_semi"), "edges")
+    edges = materialize(spread_join(edges.filter("label >= 0"), patterns.select("pattern"), "pattern", "left_semi"), "edges")
     scores, risen = edges.select("instance", F.col("label").cast("double").alias("score")).distinct(), 0.0
     while True:
         scored = spread_join(edges.select("pattern", "instance"), scores, "instance")
@@ -197,7 +202,7 @@ def scan(docs: DataFrame) -> DataFrame:
     each = materialize(mentions(d), "instances")
     chosen = confident(each.select(F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"), "instance", "label"))
     hits = each.filter("label = 0").select("rid", "start", "end", "instance")
-    added = hits.join(chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
+    added = spread_join(hits, chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
     return d.drop("instances").join(added, "rid", "left").withColumn("context", F.coalesce("context", F.array().cast(SPAN))).drop("rid")
 
 
