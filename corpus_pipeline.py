@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorframe.llm import byte_bpe, jaccard, mixing, quality, secrets
-from tensorframe.llm.common import materialize, table
+from tensorframe.llm.common import discard, materialize, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,9 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, "stage")
+            discard(before)  # a stage's table goes when the next one's is written
+            before = docs
     return docs
