@@ -127,3 +127,32 @@ def test_odd_rows_and_columns_pass_each_stage(spark, tmp_path):
             else:  # the long text is more than its source's target
                 assert set(ids) == {None, 3}
     assert {"doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256"} == set(d.columns) and d.count() > 3
+
+
+def test_one_of_each_family_of_near_copies_is_left(spark, tmp_path):
+    """Twenty near copies, ten lines each with one changed, among 320 documents of a host: quality rules keep them, and one stays."""
+    r = random.Random(5)
+    words = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    own = [words(20) for _ in range(10)]
+    data = [(i, "\n".join(words(3) + " " + x[x.index(" ") + 1 :] if k == i % 10 else x for k, x in enumerate(own))) for i in range(20)]
+    data += [(100 + i, "\n".join(words(15) for _ in range(4))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    left = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:2]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        left.append({x.doc_id for x in docs.collect()})
+    assert left[0] == {i for i, _ in data}
+    assert sum(i < 20 for i in left[1]) == 1 and sum(i >= 100 for i in left[1]) == 300
+
+
+def test_stage_tables_go(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from tensorframe.scratch import shared_dir
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("tensorframe/stage-*"))
+    before = stages()
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert len(stages() - before) == 1
