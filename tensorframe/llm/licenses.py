@@ -17,7 +17,7 @@ Defined cases: a null text has no terms; a null path has no directory and
 inherits nothing; of equal scores the license first by name wins, of several
 license files in a directory the best score, then license, then path; repeated
 rows are separate files; an empty table gives an empty result; other columns
-pass through, whatever their names.
+pass through, whatever their names, but for those named like the result's.
 """
 
 from __future__ import annotations
@@ -147,8 +147,10 @@ def own_licenses(files: DataFrame, text: str = "text", templates=TEMPLATES, bar:
     found = able.join(near, "key", "left_semi")
     parts = F.array_distinct(F.concat(F.split("t", "\n", -1), F.split("t", PARAGRAPH, -1), F.regexp_extract_all(F.concat(F.lit("\n"), F.col("t")), F.lit(COMMENTS), F.lit(0))))
     units = found.select("key", F.posexplode(F.concat(F.array("t"), parts)).alias("unit", "part")).select("key", "unit", _terms(F.col("part")).alias("terms")).filter(can_reach(F.col("terms"), telling, fewest))
-    term = units.select("key", "unit", F.explode("terms").alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = materialize(term.join(df, "term").select("key", "unit", "term", ((1 + F.log("tf")) * idf(F.col("df"), F.lit(n))).alias("x")), "weights")
+    term = materialize(units.select("key", "unit", F.explode("terms").alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf")), "units")
+    # A common word is in nearly every unit: its rows are dealt over many tasks, with the frequencies of the units' terms only.
+    wanted = df.join(term.select("term").distinct(), "term", "left_semi")
+    weighted = materialize(spread_join(term, wanted, "term").select("key", "unit", "term", ((1 + F.log("tf")) * idf(F.col("df"), F.lit(n))).alias("x")), "weights")
     table = F.broadcast(spark.createDataFrame([(x, i, templates[i][0], w) for i, v in enumerate(vectors) for x, w in v.items()], "term string, template int, license string, w double"))
     norms = weighted.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighted.join(table, "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
@@ -163,8 +165,8 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, bar: float = BAR) -> DataFrame:
-    """files with license, license_kind (header, file, inherited or none), license_score and license_from (a path)."""
-    keep = [F.col(f"`{c}`") for c in files.columns if c != text]
+    """files, less the text and columns named like these, with license, license_kind (header, file, inherited or none), license_score and license_from (a path)."""
+    keep = [F.col(f"`{c}`") for c in files.columns if c != text and c not in ("license", "license_kind", "license_score", "license_from")]
     # A text decides its own license, so copies are scored once.  The caller's columns stay in a struct, where no name can clash.
     d = files.select(F.struct(*keep).alias("_row"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
     own = materialize(own_licenses(d.select("key", "_text"), "_text", templates, bar), "licenses")

@@ -99,3 +99,11 @@ def test_one_ordinary_word_more_at_any_size(spark):
     for n in (50, 2000):
         files = [(i, f"{i}/x", f"this is a file, see it {i}") for i in range(n)] + [(-1, "z/x", "Released under the MIT License, see file")]
         assert licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).filter("doc_id = -1").first().license == "MIT"
+
+
+def test_columns_named_like_the_result_are_replaced(spark):
+    docs = spark.createDataFrame(FILES[:4], "doc_id long, path string, text string").selectExpr("*", "'own' as license", "1 as license_score", "2 as license_from")
+    got = licenses.scan(docs)
+    assert got.columns == ["doc_id", "path", "license", "license_kind", "license_score", "license_from"]
+    assert sorted((tuple(r) for r in got.select("doc_id", "license", "license_kind", "license_score", "license_from").collect()), key=repr) == brute(FILES[:4])
+    assert licenses.scan(docs.select("path", "text", "license")).filter("license = 'MIT'").count() > 0
