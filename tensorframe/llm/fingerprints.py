@@ -5,8 +5,9 @@ leaves are runs of at most 24 code points that also end with a sentence, so that
 an edit disturbs its own sentence only.  Every node's hash is the MD5 of its
 children's hashes and the root's tells whether texts are equal.  The fingerprint
 prints the tree down to paragraphs (root:section(paragraph,…);…, hashes below the
-root shortened), and shows the branches that differ.  Cutting loses no character,
-so only equal texts (or MD5 collisions) have equal roots.
+root shortened).  Cutting loses no character, so only equal texts (or MD5
+collisions) have equal roots; of unequal ones the trees are descended from the
+root to the paragraphs that differ, which locates an edit in either text.
 
 Likeness is Dice's coefficient of two trees' distinct leaves, which `fingerprint`
 gives as a column of their own if asked; equal roots give 1.
@@ -68,10 +69,50 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", l
     return docs.withColumns({out: printed(nodes)} | ({leaves: distinct_leaves(nodes)} if leaves else {}))
 
 
+def _mismatch(a: Column, b: Column) -> Column:
+    """How many nodes two lists have in common before they first differ."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """from and to (counted from 1) of the nodes of a that lie between what both lists begin with and end with; to is before from if b only has more."""
+    head = F.array(F.struct(a.alias("a"), b.alias("b"), _mismatch(a, b).alias("head")))
+    tail = F.transform(head, lambda x: F.struct(x["head"].alias("head"), F.least(_mismatch(F.reverse(x["a"]), F.reverse(x["b"])), F.least(F.size(x["a"]), F.size(x["b"])) - x["head"]).alias("tail"), F.size(x["a"]).alias("n")))
+    return F.transform(tail, lambda x: F.struct((x["head"] + 1).alias("from"), (x["n"] - x["tail"]).alias("to")))[0]
+
+
+def _sections(fp: Column) -> Column:
+    return F.split(F.substring(fp, 34, 2**31 - 1), ";")
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.split(F.regexp_extract(section, r"\((.*)\)", 1), ",")
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Sections (as printed) of the first tree that the second lacks."""
-    sections = lambda x: F.split(F.substring(x, 34, 2**31 - 1), ";")
-    return F.array_except(sections(a), sections(b))
+    """Where the tree printed as a differs from that printed as b: branches "section.paragraph-paragraph", counted from 1.
+
+    Both are descended from their roots: equal roots have no differing branch;
+    else sections that both begin or end with are left out, and those between are
+    descended in pairs, in order, to their paragraphs, of which again those that
+    both begin or end with are left out.  "s.f-t" with t before f: between t and f
+    the other has more; a section without a partner is "s".
+    """
+    span = F.array(F.struct(_sections(a).alias("a"), _sections(b).alias("b")))
+    span = F.transform(span, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _apart(x["a"], x["b"]).alias("own"), _apart(x["b"], x["a"]).alias("other")))
+
+    def branch(x: Column, i: Column) -> Column:
+        pair = F.transform(F.array(_apart(_paragraphs(F.get(x["a"], i - 1)), _paragraphs(F.get(x["b"], i - 1)))), lambda y: F.concat_ws("", i.cast("string"), F.lit("."), y["from"].cast("string"), F.lit("-"), y["to"].cast("string")))[0]
+        return F.when(i <= x["other"]["to"], pair).otherwise(i.cast("string"))
+
+    def branches(x: Column) -> Column:
+        to = x["own"]["to"]
+        some = F.when(to >= x["own"]["from"], F.sequence(x["own"]["from"], to)).otherwise(F.array().cast("array<int>"))
+        return F.transform(some, lambda i: branch(x, i))
+
+    found = F.flatten(F.transform(span, branches))
+    return F.when(F.substring(a, 1, 32) == F.substring(b, 1, 32), F.array().cast("array<string>")).otherwise(found)
 
 
 def _place(key: Column, h: Column) -> Column:
@@ -149,6 +190,8 @@ def edits(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("a"), F.col("edited_fingerprint"), F.col("b")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("a"), F.col("next_fingerprint"), F.col("c")).alias("near_next"),
+        F.array_join(differing(F.col("fingerprint"), F.col("edited_fingerprint")), ",").alias("differs"),
+        F.array_join(differing(F.col("edited_fingerprint"), F.col("fingerprint")), ",").alias("edited_differs"),
     )
 
 
@@ -158,6 +201,21 @@ _PRINTED = """md5(array_to_string(list_transform(tree, lambda s: md5(array_to_st
   array_to_string(list_transform(tree, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))[1:8] || '(' ||
     array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))[1:8]), ',') || ')'), ';')"""
 
+
+
+def _differs(a: str, b: str) -> str:
+    """SQL of differing() of two printed trees, joined."""
+    mismatch = lambda x, y: f"(coalesce(list_position(list_transform(range(1, greatest(len({x}), len({y})) + 1), lambda k: {x}[k] IS DISTINCT FROM {y}[k]), true), len({x}) + 1) - 1)"
+    tail = lambda x, y: f"least({mismatch(f'list_reverse({x})', f'list_reverse({y})')}, least(len({x}), len({y})) - {mismatch(x, y)})"
+    sections = lambda x: f"string_split({x}[34:], ';')"
+    paragraphs = lambda x: f"string_split(regexp_extract({x}, '\\((.*)\\)', 1), ',')"
+    x, y = sections(a), sections(b)
+    p, q = paragraphs(f"{x}[i]"), paragraphs(f"{y}[i]")
+    pair = f"i || '.' || ({mismatch(p, q)} + 1) || '-' || (len({p}) - {tail(p, q)})"
+    each = f"list_transform(range({mismatch(x, y)} + 1, len({x}) - {tail(x, y)} + 1), lambda i: CASE WHEN i <= len({y}) - {tail(x, y)} THEN {pair} ELSE i::VARCHAR END)"
+    return f"CASE WHEN {a}[1:32] = {b}[1:32] THEN '' ELSE coalesce(array_to_string({each}, ','), '') END"
+
+
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), coalesce(text, '')) AS n, count(*) OVER () AS m FROM documents),
 e AS (SELECT a.doc_id, a.n, length(a.t) AS n_chars, a.t, b.t AS next_t,
@@ -168,6 +226,7 @@ f AS (SELECT n, kind, {_TREE} AS tree FROM x),
 p AS (SELECT n, kind, {_PRINTED} AS fp, list_distinct(list_transform(flatten(flatten(tree)), lambda l: l[1:8])) AS leaves FROM f)
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
   CASE WHEN a.fp[1:32] = b.fp[1:32] THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / greatest(len(a.leaves) + len(b.leaves), 1) END AS near_edited,
-  CASE WHEN a.fp[1:32] = c.fp[1:32] THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next
+  CASE WHEN a.fp[1:32] = c.fp[1:32] THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / greatest(len(a.leaves) + len(c.leaves), 1) END AS near_next,
+  {_differs("a.fp", "b.fp")} AS differs, {_differs("b.fp", "a.fp")} AS edited_differs
 FROM e JOIN p a ON a.n = e.n AND a.kind = 0 JOIN p b ON b.n = e.n AND b.kind = 1 JOIN p c ON c.n = e.n AND c.kind = 2
 """

@@ -45,10 +45,37 @@ def test_a_fingerprint_is_smaller_than_its_text(spark):
     assert done.a < done.b / 2 and done.c > 5
 
 
+def brute_differs(a, b):
+    """Branches of a by descent, from the texts."""
+
+    def apart(x, y):
+        head = 0
+        while head < min(len(x), len(y)) and x[head] == y[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        return head + 1, len(x) - tail
+
+    if a == b:
+        return ""
+    x, y = ([s.split("\n") for s in t.split("\n\n")] for t in (a, b))
+    (first, last), (_, other) = apart(x, y), apart(y, x)
+    return ",".join(f"{i}.{'-'.join(map(str, apart(x[i - 1], y[i - 1])))}" if i <= other else str(i) for i in range(first, last + 1))
+
+
 def test_differing_branches(spark):
-    base = "\n\n".join(f"Section {i} says this. And that.\nMore of {i}." for i in range(6))
-    df = spark.createDataFrame([(base, base.replace("More of 3", "Less of 3"), base)], "a string, b string, c string")
-    for c in "abc":
+    base = "\n\n".join(f"Section {i} says this. And that.\nMore of {i}.\nThe end of {i}." for i in range(6))
+    others = [
+        base, base.replace("More of 3", "Less of 3"), base.replace("More of 3.\n", ""), base.replace("More of 3", "New line\nMore of 3"), base + "\n\nOne section more", "Before\n\n" + base, base.replace("of 1", "1").replace("of 4", "4"), "",
+        "\n\n".join(base.split("\n\n")[::-1]), base[:-40], base.replace("\n\nSection 2", "\nSection 2"), base * 2,
+    ]
+    r = random.Random(2)
+    pairs = [(base, x) for x in others] + [tuple("".join(r.choices(["a", "b", "\n", "\n\n"], k=r.randint(0, 14))) for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for c in "ab":
         df = fingerprints.fingerprint(df, c, f"f{c}")
-    r = df.select(F.size(fingerprints.differing(F.col("fa"), F.col("fb"))).alias("ab"), F.size(fingerprints.differing(F.col("fa"), F.col("fc"))).alias("ac"), (F.col("fa") == F.col("fc")).alias("same")).first()
-    assert (r.ab, r.ac, r.same) == (1, 0, True)
+    got = df.select("a", "b", F.array_join(fingerprints.differing(F.col("fa"), F.col("fb")), ",").alias("ab"), F.array_join(fingerprints.differing(F.col("fb"), F.col("fa")), ",").alias("ba")).collect()
+    for x in got:
+        assert (x.ab, x.ba) == (brute_differs(x.a, x.b), brute_differs(x.b, x.a)), x
+    assert [x.ab for x in got[:6]] == ["", "4.2-2", "4.2-2", "4.2-1", "", ""] and [x.ba for x in got[3:6]] == ["4.2-2", "7", "1"]
