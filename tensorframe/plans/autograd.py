@@ -305,9 +305,14 @@ class Parameter:
 
     def assign(self, value: TensorFrame) -> None:
         """Another value of the same shape and type."""
+        self.check(value)
+        self.value = value
+
+    def check(self, value: TensorFrame) -> None:
+        """Whether a value could be this parameter's; raises if not."""
         if value.shape != self.shape:
             raise K.ShapeError(f"{value.shape} isn't {self.shape}")
-        self.value = value.require(dtype=self.dtype)
+        value.require(dtype=self.dtype)
 
     def cast(self, dtype: str) -> None:
         """Another element type, for the state's tensors too."""

@@ -48,6 +48,29 @@ class Layer:
         for _, p in self.parameters():
             f(p)
 
+    def try_for_each_parameter(self, f: Callable[[str, Parameter], None]) -> None:
+        """f of each path and parameter, until one fails: that one is named, and what follows isn't visited."""
+        for path, p in self.parameters():
+            try:
+                f(path, p)
+            except Exception as e:
+                e.add_note(f"at parameter {path}")
+                raise
+
+    def edit_parameters(self, f: Callable[[str, TensorFrame], TensorFrame | None]) -> None:
+        """New values from f of each path and value (None: as it is), all of them or, if one fails or doesn't fit, none."""
+        new: list[tuple[Parameter, TensorFrame]] = []
+
+        def visit(path: str, p: Parameter) -> None:
+            value = f(path, p.value)
+            if value is not None:
+                p.check(value)
+                new.append((p, value))
+
+        self.try_for_each_parameter(visit)
+        for p, value in new:
+            p.assign(value)
+
     def init_parameter_grads(self) -> None:
         self.for_each_parameter(Parameter.init_grad)
 

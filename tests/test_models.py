@@ -192,3 +192,23 @@ def test_parameters_are_visited_cast_and_assigned(spark):
         weight.assign(TensorFrame.from_numpy(spark, np.ones((2, 3)), "bf16"))
     with pytest.raises(TypeError):
         weight.assign(TensorFrame.from_numpy(spark, np.ones((3, 2))))
+
+
+def test_fallible_visits_and_edits(spark):
+    model = Sequential(Dense(spark, 3, 2, bias=True, seed=1), Relu(), Dense(spark, 2, 2, seed=3))
+    seen = []
+
+    def stop(path, p):
+        seen.append(path)
+        if path == "layers.0.bias":
+            raise RuntimeError("enough")
+
+    with pytest.raises(RuntimeError) as e:
+        model.try_for_each_parameter(stop)
+    assert seen == ["layers.0.weight", "layers.0.bias"] and e.value.__notes__ == ["at parameter layers.0.bias"]
+    before = {path: p.value.to_numpy() for path, p in model.parameters()}
+    with pytest.raises(K.ShapeError):
+        model.edit_parameters(lambda path, v: O.scaled_cast(v, 2.0, "f64") if path != "layers.2.weight" else O.flatten(O.sum_axis(v, 0)))
+    assert all(np.array_equal(p.value.to_numpy(), before[path]) for path, p in model.parameters())
+    model.edit_parameters(lambda path, v: O.scaled_cast(v, 2.0, "f64") if path.endswith("weight") else None)
+    assert all(np.allclose(p.value.to_numpy(), (2 if path.endswith("weight") else 1) * before[path]) for path, p in model.parameters())
