@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ ARCHIVE_BYTES = 64_000_000
 MEMBER_BYTES = 16_000_000
 #: Captures that one task merges.
 RANGE_ROWS = 100_000
+#: Rows of a run that are taken out of its columns at a time.
+HEADS = 64
 
 
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -266,20 +269,31 @@ def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // range_rows))
 
     def run(batches):
-        runs: dict[str, list[tuple]] = {}
+        # A run's slice stays in columns; only the rows at the tree's leaves, HEADS a run, are Python's.
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs.setdefault(row[8], []).append(row)
+            names = np.array(b.column(8).to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    runs.setdefault(names[lo], []).append(b.slice(lo, hi - lo))
+
+        def rows(pieces):
+            for b in pieces:
+                for at in range(0, b.num_rows, HEADS):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, HEADS).columns), strict=True)
+
         out = []
-        for row in LoserTree(list(runs.values()), _order):
+        for row in LoserTree([rows(pieces) for pieces in runs.values()], _order):
             out.append(row)
             if len(out) == 5000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    # A shuffle may mix the rows that one task sends, so each run's slice is put in its order again.
-    return captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", F.col("page_id").asc_nulls_first(), "nth").mapInArrow(tidy(run), CAPTURE)
+    # A shuffle may mix the rows that one task sends, so each run's slice is put in its order again.  Captures alike in key,
+    # time and page (as those without a url or page are) go by run and place, at which their range can be cut, too.
+    return captures.repartitionByRange(n, "url_key", "ts", "page_id", "run", "nth").sortWithinPartitions("run", "url_key", "ts", F.col("page_id").asc_nulls_first(), "nth").mapInArrow(tidy(run), CAPTURE)
 
 
 def archive(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -75,3 +75,18 @@ def test_more_ranges_than_partitions(spark):
     got = warc.merge_runs(warc.materialize(warc.read(spark, path), "captures"), range_rows=10).collect()
     keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in got]
     assert keys == sorted(keys) and len(got) == 204
+
+
+def test_captures_of_one_key_fill_several_ranges(spark):
+    """Rows without url and page are one key: their ranges are cut by run and place, and all come out in order."""
+    docs = spark.createDataFrame([(None, None, f"page {i}") for i in range(300)] + [(i, f"http://a.org/{i}", "x") for i in range(20)], "page_id long, url string, html string").repartition(4)
+    path = warc.scratch_path(spark, "warc")
+    warc.write(docs, path, archive_bytes=4000)
+    captures = warc.materialize(warc.read(spark, path), "captures")
+    merged = warc.merge_runs(captures, range_rows=20)
+    got = merged.collect()
+    assert [warc._order(tuple(r)) for r in got] == sorted(warc._order(tuple(r)) for r in captures.collect()) and len(got) == 320
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in merged.withColumn("part", warc.F.spark_partition_id()).groupBy("part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) <= 80
