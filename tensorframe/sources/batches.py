@@ -50,19 +50,18 @@ def dense(rows: DataFrame, by: str | Sequence[str], name: str = "row_id") -> Dat
     low = (1 << 33) - 1
     part = F.shiftrightunsigned("_at", 33)
     counts = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    order_ = np.argsort(counts.column("part").to_numpy())
-    ids, sizes = counts.column("part").to_numpy()[order_], counts.column("n").to_numpy()[order_]
-    starts = np.concatenate([[0], np.cumsum(sizes)])[: len(ids)]
-    # One entry a range.
-    start = F.create_map(*[F.lit(int(x)) for pair in zip(ids, starts, strict=True) for x in pair])[part] if len(ids) else F.lit(0)
-    out = laid.withColumn("_id", (start + F.col("_at").bitwiseAND(F.lit(low))).cast("long"))
+    in_order = np.argsort(counts.column("part").to_numpy())
+    parts, sizes = counts.column("part").to_numpy()[in_order], counts.column("n").to_numpy()[in_order]
+    # Broadcast: a row for each range, whatever the rows.
+    starts = rows.sparkSession.createDataFrame(list(zip(parts.tolist(), (np.cumsum(sizes) - sizes).tolist(), strict=True)), "_part long, _start long")
+    out = laid.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_id", F.col("_start") + F.col("_at").bitwiseAND(F.lit(low)))
     return out.select(*[F.col(i).alias(c) for i, c in zip(inner, rows.columns, strict=True) if c != name], F.col("_id").alias(name))
 
 
 def batched(rows: DataFrame, batch_size: int, by: str | Sequence[str], seed: int | None = None, name: str = "row_id") -> DataFrame:
     """Batches of any rows in the order of some columns, or in a shuffled order of theirs."""
     numbered = dense(rows, by, name)
-    return sequential(numbered, batch_size, name) if seed is None else shuffled(numbered, batch_size, rows.count(), seed, name)
+    return sequential(numbered, batch_size, name) if seed is None else shuffled(numbered, batch_size, numbered.count(), seed, name)
 
 
 class Permutation:
