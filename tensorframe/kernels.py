@@ -54,8 +54,8 @@ def taps(shape, kernel, stride) -> Iterator[tuple]:
             yield (slice(None), slice(None), slice(i, i + stride[0] * (oh - 1) + 1, stride[0]), slice(j, j + stride[1] * (ow - 1) + 1, stride[1]))
 
 
-def switches(x: np.ndarray, kernel, stride) -> np.ndarray:
-    """The tap that wins each window, as a byte (two if there are more taps).
+def pooled(x: np.ndarray, kernel, stride) -> tuple[np.ndarray, np.ndarray]:
+    """The value that wins each window, and its tap, as a byte (two if there are more taps).
 
     From the first tap, a later one wins only if it is greater; NaN is greater
     than nothing, and nothing than it, so it wins if it is first and else never.
@@ -70,19 +70,15 @@ def switches(x: np.ndarray, kernel, stride) -> np.ndarray:
             better = v > best
         won[better] = k
         np.copyto(best, v, where=better)
-    return won
+    return best, won
 
 
-def picked(x: np.ndarray, won: np.ndarray, kernel, stride) -> np.ndarray:
-    """The values of the winning taps."""
-    out = None
-    for k, tap in enumerate(taps(x.shape, kernel, stride)):
-        v = x[tap]
-        if out is None:
-            out = v.copy()
-        else:
-            np.copyto(out, v, where=won == k)
-    return out
+def maxima(x: np.ndarray, kernel, stride) -> np.ndarray:
+    """The values of pooled() alone: maxima, as long as there is no NaN."""
+    best = None
+    for tap in taps(x.shape, kernel, stride):
+        best = x[tap].copy() if best is None else np.maximum(best, x[tap], out=best)
+    return pooled(x, kernel, stride)[0] if np.isnan(best).any() else best
 
 
 def pool_back(won: np.ndarray, g: np.ndarray, shape, kernel, stride) -> np.ndarray:

@@ -46,8 +46,7 @@ KERNELS = {
     "columns": lambda a, o, c: kernels.conv_columns(a[0], *o)[0],
     "conv": lambda a, o, c: kernels.conv_product(a[0], c[0], o),
     "conv_back": lambda a, o, c: kernels.conv_back(a[0], c[0], *o),
-    "switches": lambda a, o, c: kernels.switches(a[0], *o),
-    "picked": lambda a, o, c: kernels.picked(a[0], a[1], *o),
+    "pooled": lambda a, o, c: kernels.pooled(a[0], *o),
     "pool_back": lambda a, o, c: kernels.pool_back(a[0], a[1], *o),
     "relu": lambda a, o, c: np.where(kernels.passes(a[0]), a[0], 0.0),
     "relu_back": lambda a, o, c: np.where(kernels.passes(a[0]), a[1], 0.0),
@@ -243,14 +242,11 @@ def conv2_backward_weight(x: Block, dy: Block, kernel, padding, stride, dilation
     return x.then("columns", (), (kernel, padding, stride, dilation)).then("sum:conv", shape, shape, other=dy)
 
 
-def max_pool2(x: Block, kernel, stride) -> Block:
-    out = K.conv_shape(x.inner[1:], kernel, (0, 0), stride, (1, 1))
-    return x.then("picked", (x.inner[0], *out), (kernel, stride), other=switches(x, kernel, stride))
-
-
-def switches(x: Block, kernel, stride) -> Block:
-    out = K.conv_shape(x.inner[1:], kernel, (0, 0), stride, (1, 1))
-    return x.then("switches", (x.inner[0], *out), (kernel, stride))
+def max_pool2(x: Block, kernel, stride) -> tuple[Block, Block]:
+    """The values that win the windows, and their taps."""
+    inner = (x.inner[0], *K.conv_shape(x.inner[1:], kernel, (0, 0), stride, (1, 1)))
+    both = x.then("pooled", (), (kernel, stride))
+    return both.then("part", inner, 0), both.then("part", inner, 1)
 
 
 def max_pool2_backward(won: Block, dy: Block, inner, kernel, stride) -> Block:

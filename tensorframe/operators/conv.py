@@ -211,7 +211,7 @@ def max_pool2_switches(x: TensorFrame, kernel, stride=None) -> tuple[TensorFrame
     kernel = K.pair(kernel)
     stride = kernel if stride is None else K.pair(stride)
     if x.require(ndim=4).block is not None:
-        y, won = blocks.max_pool2(x.block, kernel, stride), blocks.switches(x.block, kernel, stride)
+        y, won = blocks.max_pool2(x.block, kernel, stride)
         return TensorFrame.from_block(y, (x.shape[0], *y.inner)), TensorFrame.from_block(won, (x.shape[0], *won.inner))
     taps, out = _windows(x, kernel, stride)
     df = _winner(taps).select(*[F.col(n).alias(f"i{k}") for k, n in enumerate("bcyx")], "m")

@@ -1,7 +1,7 @@
 """Array kernels of a layer stack, for Arrow batches on executors.
 
 A plan is a list of (kernel, options, parameter names); parameters are arrays by
-name.  A kernel is a pair of functions: forward (x, options, parameters) gives the
+name.  A kernel is a pair of functions (and perhaps a third, for values alone): forward (x, options, parameters) gives the
 value and what the way back needs; backward (g, that, options, parameters, first)
 gives the gradient at the input (None will do if the layer is the first) and
 those of the parameters.  Only NumPy is used, so executors need nothing of this
@@ -48,8 +48,12 @@ def conv_back(g, saved, options, params, first):
 
 
 def pool(x, options, params):
-    won = K.switches(x, *options)
-    return K.picked(x, won, *options), (x.shape[1:], won)
+    y, won = K.pooled(x, *options)
+    return y, (x.shape[1:], won)
+
+
+def pool_values(x, options, params):
+    return K.maxima(x, *options), None
 
 
 def pool_back(g, saved, options, params, first):
@@ -61,6 +65,10 @@ def relu(x, options, params):
     return np.fmax(x, x.dtype.type(0)), K.passes(x)  # of NaN and 0 it is 0
 
 
+def relu_values(x, options, params):
+    return np.fmax(x, x.dtype.type(0)), None
+
+
 def relu_back(g, saved, options, params, first):
     return np.where(saved, g, g.dtype.type(0)), []
 
@@ -82,14 +90,15 @@ def shape_back(g, saved, options, params, first):
     return g.reshape(saved), []
 
 
-DENSE, CONV, POOL, RELU = (dense, dense_back), (conv, conv_back), (pool, pool_back), (relu, relu_back)
+DENSE, CONV, POOL, RELU = (dense, dense_back), (conv, conv_back), (pool, pool_back, pool_values), (relu, relu_back, relu_values)
 FLATTEN, WIDEN, NARROW = (flatten, shape_back), (widen, shape_back), (narrow, shape_back)
 
 
 def forward(plan: list, params: dict[str, np.ndarray], x: np.ndarray, keep: list | None = None, half: bool = False) -> np.ndarray:
     """Logits; keep gets what backward() needs of each layer; half: every value is rounded to bfloat16, sums are those of its type."""
     for kernel, options, names in plan:
-        x, saved = kernel[0](x, options, [params[n] for n in names])
+        run = kernel[2] if keep is None and len(kernel) > 2 else kernel[0]
+        x, saved = run(x, options, [params[n] for n in names])
         if half:
             x = K.to_bf16(x)
         if keep is not None:

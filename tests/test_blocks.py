@@ -74,7 +74,8 @@ def test_pooling_with_nan_and_ties(spark, kernel, stride):
         assert np.array_equal(y.to_numpy(), want, equal_nan=True)
         assert np.allclose(O.max_pool2_backward(form(x), form(dy), kernel, stride, won).to_numpy(), back)
         assert np.allclose(O.max_pool2_backward(form(x), form(dy), kernel, stride).to_numpy(), back)
-    assert kernels.switches(a, kernel, stride).dtype == np.uint8
+    assert kernels.pooled(a, kernel, stride)[1].dtype == np.uint8 and np.array_equal(kernels.maxima(a, kernel, stride), want, equal_nan=True)
+    assert np.array_equal(kernels.maxima(np.nan_to_num(a), kernel, stride), kernels.pooled(np.nan_to_num(a), kernel, stride)[0])
     assert O.max_pool2(cells(x), (2, 2)).to_numpy()[0, 0, 0, 0] == 3
 
 
@@ -177,7 +178,7 @@ def test_equal_parts_run_once(spark):
     y, won = O.max_pool2_switches(O.relu(x), 2)
     back = O.max_pool2_backward(O.relu(x), y, 2)
     steps, _ = blocks._ordered([back.block.op, won.block.op])
-    assert sorted(kind for kind, *_ in steps) == ["picked", "pool_back", "relu", "source", "switches"]
+    assert sorted(kind for kind, *_ in steps) == ["part", "part", "pool_back", "pooled", "relu", "source"]
 
 
 def test_no_rows(spark):
