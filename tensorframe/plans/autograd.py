@@ -86,8 +86,10 @@ class Checkpoints:
     An activation goes when the gradients that it is needed for are written; those
     of leaves are always written, and stay.
 
-    Row blocks and driver data are never cut: the former's gradients take one pass
-    over the rows.
+    Driver data and blocks of rows that are given are never cut: the latter's
+    gradients take one pass over the rows.  Rows that come of tables written here
+    (a product of large matrices is rows) would be read when those are gone, so
+    they are written as what they are.
     """
 
     active: Checkpoints | None = None
@@ -102,8 +104,8 @@ class Checkpoints:
 
     @staticmethod
     def size(x: TensorFrame) -> int:
-        """Estimated bytes of the cells of a tensor."""
-        return x.size * 8 * (x.ndim + 1)
+        """Estimated bytes of the cells of a tensor, or of its rows."""
+        return 8 * (x.size + x.shape[0]) if x.block is not None else x.size * 8 * (x.ndim + 1)
 
     def __enter__(self) -> Checkpoints:
         self._before, Checkpoints.active = Checkpoints.active, self
@@ -115,31 +117,45 @@ class Checkpoints:
     def keep(self, x: TensorFrame, always: bool = False) -> TensorFrame:
         """x, as a table if it may be one."""
         size = self.size(x)
-        if x.local is not None or x.block is not None or x.sums is not None or not always and size > self.most - self.held:
+        if self._lasts(x) or not always and size > self.most - self.held:
             return x
-        out = x.with_df(materialize(x.df, "activation"))
-        self._tables[id(out.df)] = out.df, size
+        rows = x.block is not None
+        table = materialize(x.rows if rows else x.df, "activation")
+        out = TensorFrame.from_rows(table, x.shape) if rows else x.with_df(table)
+        self._tables[id(table)] = table, size
         self.held += size
         self.peak = max(self.peak, self.held)
         return out
 
+    def _lasts(self, x: TensorFrame) -> bool:
+        """Driver data, or over rows that come of no table of this."""
+        block = x.block or x.sums
+        if x.local is not None or block is None:
+            return x.local is not None
+        names = {table._scratch_path.rpartition("/")[2] for table, _ in self._tables.values()}
+        return not names or not any(f.split("/")[-2] in names for f in block.base.df.inputFiles())
+
+    def _key(self, x: TensorFrame) -> int | None:
+        """Of the table that a tensor is."""
+        return next((id(d) for d in (x._df, x._rows) if d is not None and id(d) in self._tables), None)
+
     def _drop(self, x: TensorFrame) -> None:
-        table, size = self._tables.pop(id(x._df), (None, 0)) if x._df is not None else (None, 0)
+        table, size = self._tables.pop(self._key(x), (None, 0))
         if table is not None:
             discard(table)
             self.held -= size
 
     def reads(self, node: Node, inputs: Sequence[TensorFrame]) -> None:
         """The way back through a node reads these."""
-        node.inputs = [x for x in inputs if x._df is not None and id(x._df) in self._tables]
+        node.inputs = [x for x in inputs if self._key(x) is not None]
         for x in node.inputs:
-            self._readers[id(x._df)] = self._readers.get(id(x._df), 0) + 1
+            self._readers[self._key(x)] = self._readers.get(self._key(x), 0) + 1
 
     def complete(self, node: Node) -> None:
         """All of a node's gradient is there."""
         grad = node.grad
         node.grad = self.keep(grad, always=not node.edges)
-        if node.grad is not grad or grad.local is not None or grad.block is not None or grad.sums is not None:
+        if node.grad is not grad or self._lasts(grad):
             self._cut.add(id(node))
 
     def expanded(self, node: Node) -> None:
@@ -156,8 +172,8 @@ class Checkpoints:
                     again = True
                     self._drop(n.grad)
                     for x in n.inputs:
-                        self._readers[id(x._df)] -= 1
-                        if not self._readers[id(x._df)]:
+                        self._readers[self._key(x)] -= 1
+                        if not self._readers[self._key(x)]:
                             self._drop(x)
 
 

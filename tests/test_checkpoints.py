@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tensorframe.frame import TensorFrame
+from tensorframe.operators import linalg
 from tensorframe.plans import Checkpoints, Conv2, Dense, Flatten, MaxPool2, Relu, Sequential, Variable
 from tensorframe.scratch import shared_dir
 
@@ -78,6 +79,42 @@ def test_a_value_with_two_readers(spark):
     assert all(np.allclose(p, q) for p, q in zip(*grads, strict=True))
 
 
+@pytest.mark.parametrize("most", [1 << 40, 2_000, 0])
+@pytest.mark.parametrize("gram_cells", [0, 1 << 20])
+def test_products_of_large_matrices_are_written(spark, monkeypatch, most, gram_cells):
+    """They are rows that come of tables which go; what reads them later must not miss those."""
+    monkeypatch.setattr(linalg, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(linalg, "GRAM_CELLS", gram_cells)
+    x, t = inputs(spark)
+    m = model(spark)
+    m.init_parameter_grads()
+    with Checkpoints(most) as cuts:
+        loss = m(x).cross_entropy(t)
+        loss.backward()
+    got = {name: p.grad.to_numpy() for name, p in m.parameters()}
+    assert len(got) == m.gradients().select("param").distinct().count() == 4
+    assert cuts.peak <= most + sum(Checkpoints.size(p.grad) for _, p in m.parameters())
+    monkeypatch.undo()
+    want = model(spark)
+    want.init_parameter_grads()
+    want(x).cross_entropy(t).backward()
+    for name, p in want.parameters():
+        assert np.allclose(p.grad.to_numpy(), got[name]), name
+
+
+def test_a_chain_over_such_rows_is_written(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "BROADCAST_CELLS", 0)
+    r = np.random.default_rng(4)
+    a, b, c = (r.normal(size=s) for s in ((6, 5), (5, 4), (4, 3)))
+    x, v, w = (Variable.leaf(TensorFrame(TensorFrame.from_numpy(spark, y).df, y.shape)) for y in (a, b, c))
+    with Checkpoints():
+        y = x.dot(v).relu().dot(w)
+        y.backward(TensorFrame.ones(spark, y.shape))
+    hidden, ones = np.maximum(a @ b, 0), np.ones((6, 3))
+    down = (ones @ c.T) * (a @ b >= 0)
+    assert all(np.allclose(n.grad.to_numpy(), g) for n, g in ((w, hidden.T @ ones), (v, a.T @ down), (x, down @ b.T)))
+
+
 def test_row_blocks_are_not_cut(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(6)], "id long, x array<double>, t int")
     x, t = TensorFrame.from_columns(df, "id", {"x": (2,), "t": ()})
