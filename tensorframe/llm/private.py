@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorframe.llm.common import discard, materialize, spread_join
+from tensorframe.llm.common import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive and anchored forms that match what the plain ones do, in linear time:
@@ -59,6 +59,8 @@ LEAST = (6, 3)
 SUPPORT, UNKNOWN, DISCOUNT = 3, 0.05, 0.5
 PATTERN_BAR, INSTANCE_BAR = 0.8, 0.8
 WIDE = 128
+#: Rows of one key that a join leaves together, and places that more are dealt over at most.
+TOGETHER, PLACES = 1000, 32
 INTS = "array<int>"
 
 
@@ -170,24 +172,43 @@ def patterns_of(left: Column, right: Column) -> Column:
     return F.array_compact(F.array(*[F.when(on, p) for on, p in shapes]))
 
 
+def places(n: Column) -> Column:
+    """How many places n rows of one key are dealt over."""
+    return F.least(F.expr("1L") + F.floor(n / TOGETHER), F.lit(PLACES))
+
+
+def dealt_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, which says in n how many rows a key has, or more.
+
+    Only keys of many rows are dealt over several places, by their other columns, each with
+    a copy of the key's row: the copies are fewer than the keys and a thousandth of n together.
+    Such keys are few, a thousandth of n at most, and are broadcast.
+    """
+    many = F.broadcast(by_key.filter(F.col("n") >= TOGETHER).select(key, places(F.col("n")).alias("_places")))
+    salt = F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("_places")))
+    salted = rows.join(many, key, "left").withColumn("_salt", salt).drop("_places")
+    copies = by_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), places(F.col("n")) - 1))).drop("n")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def confident(mentioned: DataFrame) -> DataFrame:
     """Instances (not seeds) that the graph's rounds bring to the bar.
 
     mentioned: (pattern, instance, label).  An instance that is a seed anywhere is one everywhere.
     """
-    known = mentioned.groupBy("instance").agg(F.max("label").alias("label"))
-    edges = materialize(spread_join(mentioned.select("pattern", "instance").distinct(), known, "instance"), "mentions")
+    known = materialize(mentioned.groupBy("instance").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("n")), "known")
+    edges = materialize(dealt_join(mentioned.select("pattern", "instance").distinct(), known, "instance"), "mentions")
     # Counterexamples never change, so they are counted once; patterns of too few instances can't become confident.
     patterns = edges.groupBy("pattern").agg(F.sum((F.col("label") < 0).cast("int")).alias("against"), F.sum((F.col("label") >= 0).cast("int")).alias("n")).filter(F.col("n") >= SUPPORT)
     patterns = materialize(patterns, "patterns")
-    edges = materialize(spread_join(edges.filter("label >= 0"), patterns.select("pattern"), "pattern", "left_semi"), "edges")
-    scores, risen = edges.select("instance", F.col("label").cast("double").alias("score")).distinct(), 0.0
+    edges = materialize(dealt_join(edges.filter("label >= 0"), patterns.select("pattern", "n"), "pattern", "left_semi"), "edges")
+    scores, risen = edges.groupBy("instance").agg(F.max("label").cast("double").alias("score"), F.count(F.lit(1)).alias("n")), 0.0
     while True:
-        scored = spread_join(edges.select("pattern", "instance"), scores, "instance")
+        scored = dealt_join(edges.select("pattern", "instance"), scores, "instance")
         sums = scored.filter(F.col("score") >= INSTANCE_BAR).groupBy("pattern").agg(F.sum("score").alias("for"), F.count(F.lit(1)).alias("held")).filter(F.col("held") >= SUPPORT)
         chosen = sums.join(patterns, "pattern").withColumn("confidence", F.col("for") / (F.col("for") + F.col("against") + UNKNOWN * (F.col("n") - F.col("held")) + DISCOUNT)).filter(F.col("confidence") >= PATTERN_BAR)
-        raised = spread_join(edges, chosen.select("pattern", "confidence"), "pattern").filter("label = 0").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("raised"))
-        before, scores = scores, materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.round(F.coalesce("raised", F.lit(0.0)), 6)).alias("score")), "scores")
+        raised = dealt_join(edges, chosen.select("pattern", "confidence", "n"), "pattern").filter("label = 0").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))).alias("raised"))
+        before, scores = scores, materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.round(F.coalesce("raised", F.lit(0.0)), 6)).alias("score"), "n"), "scores")
         discard(before)
         total = scores.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
         if total == risen:
@@ -202,7 +223,8 @@ def scan(docs: DataFrame) -> DataFrame:
     each = materialize(mentions(d), "instances")
     chosen = confident(each.select(F.explode(patterns_of(F.col("left"), F.col("right"))).alias("pattern"), "instance", "label"))
     hits = each.filter("label = 0").select("rid", "start", "end", "instance")
-    added = spread_join(hits, chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
+    chosen = chosen.join(hits.groupBy("instance").agg(F.count(F.lit(1)).alias("n")), "instance")
+    added = dealt_join(hits, chosen, "instance", "left_semi").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("context"))
     return d.drop("instances").join(added, "rid", "left").withColumn("context", F.coalesce("context", F.array().cast(SPAN))).drop("rid")
 
 

@@ -183,3 +183,15 @@ def test_one_more_format_takes_nothing_away(spark):
     for texts in (seeds + hyphens, seeds + hyphens + spaced[:10], seeds + hyphens + spaced):
         got = spans_of(spark, texts)
         assert all("context" in got[k] for k in range(60, len(texts)))
+
+
+def test_only_frequent_keys_are_copied(spark, monkeypatch):
+    """Rows of a frequent key lie in several places, each with a copy of the key's row; other keys have one row."""
+    monkeypatch.setattr(private, "TOGETHER", 10)
+    rows = spark.createDataFrame([("hot", i) for i in range(95)] + [(f"k{i}", i) for i in range(60)] + [("none", 0)], "k string, v int")
+    keys = spark.createDataFrame([("hot", 95, "a")] + [(f"k{i}", 1, "b") for i in range(50)], "k string, n long, w string")
+    want = sorted([("hot", i, "a") for i in range(95)] + [(f"k{i}", i, "b") for i in range(50)])
+    got = private.dealt_join(rows, keys, "k")
+    assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, private.dealt_join(rows, keys.select("k", "n"), "k", "left_semi").collect())) == [x[:2] for x in want]
+    assert keys.select(private.places(keys.n).alias("p")).groupBy().sum("p").first()[0] == 10 + 50
