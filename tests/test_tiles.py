@@ -1,5 +1,6 @@
 """Products of two large matrices."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tensorframe import types as K
 from tensorframe.frame import TensorFrame
 from tensorframe.operators import linalg
 from tensorframe.operators.tiles import Tiles, gram
+from tensorframe.queries import ORACLES, QUERIES
 
 
 def cells(spark, a):
@@ -66,6 +68,18 @@ def test_dot_of_large_matrices(spark, monkeypatch, ta, tb, gram_cells):
     assert "MapInArrow" in plan
 
 
+def test_the_query_of_all_vectors_by_one_another(spark, tmp_path):
+    """A number for each pair, over a border of tiles, as its SQL says."""
+    v = np.random.default_rng(7).integers(-9, 10, (270, 64)) / 4
+    spark.createDataFrame([(i, x.tolist(), i % 10) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.i0, r.i1): r.v for r in QUERIES["q_dot_large"](spark, str(tmp_path)).toLocalIterator()}
+    want = np.round(v @ v.T, 4)
+    assert len(got) == 270 * 270 and all(got[i, j] == want[i, j] for i in range(270) for j in range(270))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert {(i, j): x for i, j, x in db.execute(ORACLES["q_dot_large"]).fetchall()} == got
+
+
 def test_integers_are_not_rounded(spark, monkeypatch):
     monkeypatch.setattr(linalg, "BROADCAST_CELLS", 0)
     a = np.array([[2**53 + 1, 1], [3, -(2**40)]])
