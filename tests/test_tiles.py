@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tensorframe import operators as O
 from tensorframe import types as K
 from tensorframe.frame import TensorFrame
-from tensorframe.operators import linalg
-from tensorframe.operators.tiles import Tiles, gram
-from tensorframe.queries import ORACLES, QUERIES
+from tensorframe.operators import linalg, tiles
+from tensorframe.operators.tiles import Tiles, gram, outer
+from tensorframe.queries import ORACLES, QUERIES, rounded
 
 
 def cells(spark, a):
@@ -80,6 +80,46 @@ def test_the_query_of_all_vectors_by_one_another(spark, tmp_path):
     assert {(i, j): x for i, j, x in db.execute(ORACLES["q_dot_large"]).fetchall()} == got
 
 
+@pytest.mark.parametrize("m,n,k", [(1, 1, 1), (7, 20, 4), (25, 3, 2)])
+@pytest.mark.parametrize("tasks,strip", [(1, 1 << 19), (50, 1 << 19), (1, 1)])
+def test_strips_of_rows_by_one_another(spark, monkeypatch, m, n, k, tasks, strip):
+    """Tiles of three: one strip a side, many for the tasks, and as many as their size asks for."""
+    monkeypatch.setattr(tiles, "STRIP", strip)
+    r = np.random.default_rng(m)
+    a, b = whole(r, m, k), whole(r, n, k)
+    got = outer(rows(spark, a), rows(spark, b), 3, tasks)
+    places = sorted((t.ti, t.tj) for t in got.df.select("ti", "tj").collect())
+    assert places == [(i, j) for i in range(-(-m // 3)) for j in range(-(-n // 3))]
+    assert np.array_equal(got.frame(2.0).to_numpy(), 2 * a @ b.T)
+    with pytest.raises(K.ShapeError):
+        outer(rows(spark, a), rows(spark, whole(r, n, k + 1)))
+
+
+def test_products_of_short_rows_shuffle_the_rows_once(spark, tmp_path):
+    """Not once for each group of the other side's, which are three here."""
+    n, store = 4200, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    v = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df, before = QUERIES["q_dot_large"](spark, str(tmp_path)), written()
+    got = df.agg(F.count("v").alias("n"), F.sum("v").alias("total")).first()
+    assert got.n == n * n and got.total == pytest.approx(float((v.astype(float).sum(0) ** 2).sum()), abs=1000)
+    assert 0 < sum(x for s, x in written().items() if s not in before) < 2.5 * n * 64 * 8
+
+
+def test_rounding_is_that_of_decimal_text(spark):
+    """Ties, their neighbours, numbers too large for whole multiples, and none."""
+    ties = [(k + 0.5) / 10**4 for k in range(-300, 300)] + [1.00005, 1.00015, 2.00025, 0.15, -0.0, 0.0, 1e-300, 123456789.00005, 2.0**36, 2.0**53 + 2, 1e300]
+    values = [x for t in ties for x in (t, np.nextafter(t, -np.inf).item(), np.nextafter(t, np.inf).item())] + np.random.default_rng(9).normal(size=2000).tolist()
+    df = spark.createDataFrame([(x,) for x in [*values, *(-x for x in values), float("nan"), float("inf"), float("-inf"), None]], "v double")
+    assert df.select(rounded("v", 4).alias("a"), F.round("v", 4).alias("b")).filter("NOT (a <=> b)").count() == 0
+
+
 def test_integers_are_not_rounded(spark, monkeypatch):
     monkeypatch.setattr(linalg, "BROADCAST_CELLS", 0)
     a = np.array([[2**53 + 1, 1], [3, -(2**40)]])
